@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,8 +27,8 @@ INFORMATIVE_MASK = ((1 << len(ACCEPTED)) - 1) & ~MISSING_MASK
 
 
 def normalise(seq: Column) -> Column:
-    """Upper-case sequence text."""
-    return F.upper(seq)
+    """Upper-case the letters a to z; other characters stay as they are."""
+    return F.translate(seq, ascii_lowercase, ascii_uppercase)
 
 
 def trim_chars(text: Column, chars: str = "\n\r ") -> Column:

@@ -100,30 +100,17 @@ def excluded_sites(sequences: DataFrame, per_line: int = 8) -> DataFrame:
     )
 
 
-def minimum_tree_length(sequences: DataFrame, mode: str = "raw") -> DataFrame:
+def minimum_tree_length(sequences: DataFrame) -> DataFrame:
     """Least number of changes any tree needs: sum over variable columns of states - 1.
 
-    ``raw`` counts distinct characters other than ``- ? N X``: ``U`` and ``T`` and
+    Distinct characters other than ``- ? N X`` are counted: ``U`` and ``T`` and
     ambiguity codes count as states of their own, more than five states add 5,
     and a variable column of missing characters only adds -1. The result may
-    exceed the length of a real tree. ``encoded`` counts the least number of
-    nucleotides that explain the column instead.
+    exceed the length of a real tree.
     """
     variable = site_masks(sequences).filter(F.bit_count("mask") > 1)
-    if mode == "raw":
-        k = F.bit_count(F.col("mask").bitwiseAND(F.lit(S.INFORMATIVE_MASK)))
-        least = F.when(k > S.MAX_STATES, S.MAX_STATES).otherwise(k - 1)
-    else:
-        # smallest set of nucleotides that meets the state of every character
-        def covers(nucleotides: int) -> F.Column:
-            outside = sum(
-                1 << S.ACCEPTED.index(c) for c, s in S.STATE_OF.items() if not s & nucleotides
-            )
-            return F.col("mask").bitwiseAND(F.lit(outside)) == 0
-
-        least = F.least(
-            *[F.when(covers(z), F.lit(z.bit_count() - 1)) for z in range(1, 16)]
-        )
+    k = F.bit_count(F.col("mask").bitwiseAND(F.lit(S.INFORMATIVE_MASK)))
+    least = F.when(k > S.MAX_STATES, S.MAX_STATES).otherwise(k - 1)
     return variable.groupBy("alignment_id").agg(F.sum(least).cast("bigint").alias("min_len"))
 
 
