@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("alignments", "trees")
+_MODULES = ("alignments", "trees", "scoring", "traces")
 
 
 def _registries():

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.operators.trace import positions
+from cladeframe.session import spread
 
 LINE_WIDTH = 64
 
@@ -76,7 +77,7 @@ def document_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leaf_orders(spark: SparkSession, sf_dir: str, k: int = 6) -> DataFrame:
     """Taxa 1..k-1 of each vector group ordered by one vector component, for all 64 components."""
-    groups = vector_groups(spark, sf_dir, k)
+    groups = spread(vector_groups(spark, sf_dir, k), "gid")
     component = groups.select("gid", "vectors", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("t"))
     ranked = F.array_sort(
         F.array(

@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.functions.kernels import epoch_numbers, epoch_scan, epoch_tables, epoch_tables_composed
+from cladeframe.session import materialise
+
 SEGMENT = 65536
 
 # Fixed values of the cooling rules.
@@ -230,3 +231,137 @@ def starting_temperature(sample: DataFrame, min_length: Column) -> DataFrame:
         "run_id",
         F.least(F.lit(1.0), F.lit(EPS) + F.lit(GRID_STEP) * F.coalesce("k", F.lit(0))).alias("t0"),
     )
+
+
+def running_max(df: DataFrame, value: Column, order: str, name: str, size: int = SEGMENT) -> DataFrame:
+    """Add the largest ``value`` so far in each run (NULLs are skipped), segment by segment."""
+    seg = _segmented(df.withColumn("_v", value), order, size)
+    prior = Window.partitionBy("run_id").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        seg.groupBy("run_id", "_seg")
+        .agg(F.max("_v").alias("_m"))
+        .select("run_id", "_seg", F.max("_m").over(prior).alias("_carry"))
+    )
+    inside = Window.partitionBy("run_id", "_seg").orderBy(order)
+    return (
+        seg.withColumn("_w", F.max("_v").over(inside))
+        .join(carry, ["run_id", "_seg"])
+        .withColumn(name, F.greatest("_w", "_carry"))
+        .drop("_seg", "_v", "_w", "_carry")
+    )
+
+
+# --- cooling epochs ----------------------------------------------------------
+
+FAN = 256
+
+
+def cooling_epochs(
+    trace: DataFrame,
+    max_accept: int = MAX_ACCEPT,
+    max_propose: int = MAX_PROPOSE,
+    size: int = SEGMENT,
+) -> DataFrame:
+    """Number the cooling epochs 0, 1, ... of each run: ``run_id, iter, accepted, epoch``.
+
+    An epoch ends with the row that brings its accepted moves to ``max_accept``
+    or its proposals to ``max_propose``. That depends on all rows before, but the
+    state between two rows is small (accepted, proposed), so a segment of rows
+    acts as a table from entry state to exit state and epochs ended. Tables are
+    made per segment, chained over the segments of a run (in groups, level by
+    level, when there are many), and then each segment numbers its own rows.
+    """
+    rows = _segmented(trace.select("run_id", "iter", "accepted"), "iter", size)
+    limits = (max_accept, max_propose)
+    last = trace.agg(F.max("iter")).first()[0] or 0
+    schema = "run_id bigint, iter bigint, accepted int, epoch bigint"
+    if last < size:
+        whole = rows.groupBy("run_id", "_seg").applyInPandas(
+            lambda pdf: epoch_numbers(pdf.assign(entry=0, before=0), *limits), schema
+        )
+        return whole
+    tables = rows.groupBy("run_id", "_seg").applyInPandas(
+        lambda pdf: epoch_tables(pdf, *limits), "run_id bigint, _seg bigint, exits binary, ended binary"
+    )
+    entries = _entry_states(materialise(tables, "epochs"), math.floor(last / size) + 1)
+    return (
+        rows.join(entries, ["run_id", "_seg"])
+        .groupBy("run_id", "_seg")
+        .applyInPandas(lambda pdf: epoch_numbers(pdf, *limits), schema)
+    )
+
+
+def _entry_states(tables: DataFrame, segments: int) -> DataFrame:
+    """State and epochs before each segment: ``run_id, _seg, entry, before``."""
+    schema = "run_id bigint, _seg bigint, entry int, before bigint"
+    if segments <= FAN:
+        start = tables.withColumn("entry0", F.lit(0)).withColumn("before0", F.lit(0).cast("bigint"))
+        return start.groupBy("run_id").applyInPandas(epoch_scan, schema)
+    grouped = tables.withColumn("_group", F.floor(F.col("_seg") / FAN))
+    upper = grouped.groupBy("run_id", "_group").applyInPandas(
+        epoch_tables_composed, "run_id bigint, _seg bigint, exits binary, ended binary"
+    )
+    above = _entry_states(materialise(upper, "epochs"), math.ceil(segments / FAN)).select(
+        "run_id", F.col("_seg").alias("_group"), F.col("entry").alias("entry0"), F.col("before").alias("before0")
+    )
+    return grouped.join(above, ["run_id", "_group"]).groupBy("run_id", "_group").applyInPandas(epoch_scan, schema)
+
+
+def epoch_table(
+    epochs: DataFrame, max_accept: int = MAX_ACCEPT, max_propose: int = MAX_PROPOSE
+) -> DataFrame:
+    """One row per epoch: ``proposed, accepted, outcome`` (accepted, limited or open)."""
+    return (
+        epochs.groupBy("run_id", "epoch")
+        .agg(F.count(F.lit(1)).alias("proposed"), F.sum("accepted").alias("accepted"))
+        .withColumn(
+            "outcome",
+            F.when(F.col("accepted") >= max_accept, "accepted")
+            .when(F.col("proposed") >= max_propose, "limited")
+            .otherwise("open"),
+        )
+    )
+
+
+def frozen_runs(
+    epoch_rows: DataFrame, max_fail: int = MAX_FAIL, frozen_t: float = FROZEN_T, size: int = SEGMENT
+) -> DataFrame:
+    """Runs that freeze, with the first epoch at which they do.
+
+    ``epoch_rows(run_id, epoch, outcome, t)``. Frozen means: the last ``max_fail``
+    epochs in a row ended by the proposal limit and the temperature is below
+    ``frozen_t``.
+    """
+    ended = epoch_rows.filter("outcome <> 'open'")
+    marked = running_max(ended, F.when(F.col("outcome") == "accepted", F.col("epoch")), "epoch", "_last_ok", size)
+    streak = F.col("epoch") - F.coalesce("_last_ok", F.lit(-1))
+    return (
+        marked.filter((streak >= max_fail) & (F.col("t") < frozen_t))
+        .groupBy("run_id")
+        .agg(F.min("epoch").alias("frozen_epoch"))
+    )
+
+
+def run_summary(trace: DataFrame, min_length: Column) -> DataFrame:
+    """Per run: rearrangements, distinct best trees, score, consistency and homoplasy index."""
+    best = running_best(trace)
+    score = F.min("length")
+    return best.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("rearrangements"),
+        F.max_by("best_set_size", "iter").alias("topologies"),
+        score.alias("score"),
+        F.round(F.first(min_length) / score, 2).alias("ci"),
+        F.round(1 - F.first(min_length) / score, 2).alias("hi"),
+    )
+
+
+def run_outputs(trace: DataFrame) -> DataFrame:
+    """Per run: initial length, best length, when it was first reached, trees kept, iterations."""
+    best = running_best(trace)
+    return best.groupBy("run_id").agg(
+        F.min_by("length", "iter").alias("initial_length"),
+        F.min("length").alias("best_length"),
+        F.max(F.when(F.col("is_new_best") == 1, F.col("iter"))).alias("best_iter"),
+        F.max_by("best_set_size", "iter").alias("trees"),
+        F.count(F.lit(1)).alias("iterations"),
+    )
