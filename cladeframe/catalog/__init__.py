@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("alignments", "trees", "scoring", "traces", "files", "search")
+_MODULES = ("alignments", "trees", "scoring", "traces", "files", "search", "streams")
 
 
 def _registries():

@@ -157,8 +157,11 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stream of scored topologies: a run per user, keys shared by events of one type and value."""
-    events = table(spark, sf_dir, "events")
+    """Scored topologies: a run per user, keys shared by events of one type and value."""
+    return scored_trees_of(table(spark, sf_dir, "events"))
+
+
+def scored_trees_of(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("user_id").alias("run_id"),
         F.col("event_id").alias("seq"),

@@ -187,3 +187,88 @@ def epoch_numbers(pdf: pd.DataFrame, max_accept: int, max_propose: int) -> pd.Da
     return pd.DataFrame(
         {"run_id": pdf["run_id"].to_numpy(), "iter": pdf["iter"].to_numpy(), "accepted": accepted, "epoch": epoch}
     )
+
+
+# --- alignment columns ---------------------------------------------------------
+
+
+def _text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a string column."""
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return raw, offsets
+
+
+def mask_batches(batches: Iterator[pa.RecordBatch], accepted: str) -> Iterator[pa.RecordBatch]:
+    """Bit mask of characters per column, combined over the rows of a batch.
+
+    In: ``alignment_id, first, piece`` (``first`` is the site a piece starts at);
+    out: ``alignment_id, first, masks``.
+    """
+    bit = np.zeros(256, dtype=np.int32)
+    for i, c in enumerate(accepted.encode()):
+        bit[c] = 1 << i
+    for batch in batches:
+        ids = batch.column("alignment_id").dictionary_encode()
+        code = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        first = batch.column("first").to_numpy(zero_copy_only=False)
+        raw, offsets = _text(batch.column("piece"))
+        length = np.diff(offsets)
+        order = np.lexsort((first, code, length))
+        out_code, out_first, flat, sizes = [], [], [], []
+        # rows of one length form a matrix; its rows are grouped by alignment and start
+        cuts = np.flatnonzero(np.diff(length[order])) + 1
+        for rows in np.split(order, cuts) if len(order) else []:
+            width = int(length[rows[0]])
+            if width == 0:
+                continue
+            masks = bit[raw[offsets[rows][:, None] + np.arange(width)]]
+            change = (np.diff(code[rows]) != 0) | (np.diff(first[rows]) != 0)
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+            flat.append(np.bitwise_or.reduceat(masks, starts, axis=0).ravel())
+            out_code.append(code[rows[starts]])
+            out_first.append(first[rows[starts]])
+            sizes.append(np.full(len(starts), width))
+        if not flat:
+            continue
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                ids.dictionary.take(pa.array(np.concatenate(out_code))),
+                pa.array(np.concatenate(out_first), pa.int32()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat), pa.int32())),
+            ],
+            names=["alignment_id", "first", "masks"],
+        )
+
+
+def pattern_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turn blocks of an alignment (taxa after each other) into distinct columns with counts.
+
+    In: ``alignment_id, n, block`` (n pieces of equal length, joined); out:
+    ``alignment_id, patterns, weights``.
+    """
+    for batch in batches:
+        patterns, weights, ends = [], [], [0]
+        taxa = batch.column("n").to_pylist()
+        raw, offsets = _text(batch.column("block"))
+        for i, n in enumerate(taxa):
+            cells = raw[offsets[i] : offsets[i + 1]].reshape(n, -1)
+            columns = np.ascontiguousarray(cells.T).view(f"S{n}").ravel()
+            distinct, counts = np.unique(columns, return_counts=True)
+            patterns.append(distinct.astype(f"U{n}"))
+            weights.append(counts)
+            ends.append(ends[-1] + len(distinct))
+        offsets_out = pa.array(ends, pa.int32())
+        texts = pa.array([p for block in patterns for p in block.tolist()], pa.string())
+        counts_out = pa.array(np.concatenate(weights) if weights else [], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("alignment_id"),
+                pa.ListArray.from_arrays(offsets_out, texts),
+                pa.ListArray.from_arrays(offsets_out, counts_out),
+            ],
+            names=["alignment_id", "patterns", "weights"],
+        )

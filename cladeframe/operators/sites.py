@@ -2,9 +2,10 @@
 
 Input is ``sequences(alignment_id, taxon_id, name, seq)`` with upper-case text.
 Everything about a column follows from which characters occur in it, so all
-operators start from one shuffle: a bit mask of characters per column, combined
-map-side before it moves. Sequences themselves are never taken apart and put
-together again through a shuffle.
+operators start from one small shuffle: a bit mask of characters per column,
+combined over all rows of an Arrow batch, then over the partition, before it
+moves. Sequences are never taken apart into cells for a shuffle; where columns
+are needed as a whole, blocks of text move instead.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions import sequences as S
+from cladeframe.functions.kernels import mask_batches, pattern_batches
+
+PIECE = 4096  # sites of one piece of a long sequence
+BLOCK = 1 << 20  # characters of one block of columns
 
 
 def explode_sites(sequences: DataFrame) -> DataFrame:
@@ -23,10 +28,27 @@ def explode_sites(sequences: DataFrame) -> DataFrame:
     return cells.withColumn("state", S.state_of(F.col("base")))
 
 
+def _pieces(sequences: DataFrame, width: int) -> DataFrame:
+    """Sequences cut every ``width`` sites: ``first`` (site) and ``piece``; most are one piece."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(width))
+    cut = sequences.select("alignment_id", "taxon_id", "seq", F.explode_outer(starts).alias("first"))
+    return cut.select(
+        "alignment_id", "taxon_id", "first", F.substring("seq", F.col("first") + 1, F.lit(width)).alias("piece")
+    )
+
+
 def site_masks(sequences: DataFrame) -> DataFrame:
     """``alignment_id, site, mask``: one bit per character that occurs in the column."""
-    cells = sequences.select("alignment_id", F.posexplode(F.split("seq", "")).alias("site", "base"))
-    return cells.groupBy("alignment_id", "site").agg(F.bit_or(S.letter_mask(F.col("base"))).alias("mask"))
+    accepted = S.ACCEPTED
+    partial = (
+        _pieces(sequences, PIECE)
+        .select("alignment_id", "first", "piece")
+        .mapInArrow(
+            lambda batches: mask_batches(batches, accepted), "alignment_id string, first int, masks array<int>"
+        )
+    )
+    cells = partial.select("alignment_id", "first", F.posexplode_outer("masks").alias("i", "m"))
+    return cells.groupBy("alignment_id", (F.col("first") + F.col("i")).alias("site")).agg(F.bit_or("m").alias("mask"))
 
 
 def site_states(sequences: DataFrame) -> DataFrame:
@@ -137,16 +159,30 @@ def site_patterns(sequences: DataFrame) -> DataFrame:
     """Identical columns collapsed: ``alignment_id, pattern, weight``.
 
     A pattern is one hex digit (the nucleotide set) per taxon in taxon order.
-    Columns are spread over the cluster by (alignment, site).
+    Blocks of columns, as text and about ``BLOCK`` characters in all, are brought
+    together by (alignment, block), turned inside the task and counted there
+    before the counts of equal patterns are added up.
     """
-    cells = sequences.select(
-        "alignment_id", "taxon_id", F.posexplode(F.split(S.hex_states(F.col("seq")), "")).alias("site", "s")
+    dims = sequences.groupBy("alignment_id").agg(F.count(F.lit(1)).alias("_n"))
+    width = F.least(F.greatest(F.floor(F.lit(BLOCK) / F.col("_n")), F.lit(1)), F.lit(PIECE)).cast("int")
+    coded = sequences.withColumn("seq", S.hex_states(F.col("seq"))).join(dims, "alignment_id").withColumn("_w", width)
+    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.col("_w"))
+    cut = coded.select("alignment_id", "taxon_id", "seq", "_w", F.explode_outer(starts).alias("first"))
+    pieces = cut.select(
+        "alignment_id", "first", "taxon_id", F.substring("seq", F.col("first") + 1, F.col("_w")).alias("piece")
     )
-    columns = cells.groupBy("alignment_id", "site").agg(
-        F.array_sort(F.collect_list(F.struct("taxon_id", "s"))).alias("column")
+    blocks = pieces.groupBy("alignment_id", "first").agg(
+        F.array_sort(F.collect_list(F.struct("taxon_id", "piece"))).alias("_t")
     )
-    return (
-        columns.select("alignment_id", F.array_join(F.transform("column", lambda c: c["s"]), "").alias("pattern"))
-        .groupBy("alignment_id", "pattern")
-        .agg(F.count(F.lit(1)).alias("weight"))
+    joined = blocks.select(
+        "alignment_id",
+        F.size("_t").alias("n"),
+        F.array_join(F.transform("_t", lambda t: t["piece"]), "").alias("block"),
+    ).filter("block <> ''")
+    counted = joined.mapInArrow(
+        pattern_batches, "alignment_id string, patterns array<string>, weights array<bigint>"
+    )
+    rows = counted.select(
+        "alignment_id", F.inline_outer(F.arrays_zip(F.col("patterns").alias("pattern"), F.col("weights").alias("w")))
     )
+    return rows.groupBy("alignment_id", "pattern").agg(F.sum("w").alias("weight"))
