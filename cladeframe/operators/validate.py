@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.functions import sequences as S
 from cladeframe.operators import sites
+from cladeframe.sources.paths import alignment_of
 
 # Smallest and largest alignments, length of a PHYLIP name.
 MIN_TAXA, MAX_TAXA = 5, 1_000_000
@@ -96,6 +97,19 @@ def variable(sequences: DataFrame) -> DataFrame:
     return _found(none, "no_variable_sites", F.lit("0"))
 
 
+def sources(spark: SparkSession, path: str, sequences: DataFrame) -> DataFrame:
+    """Alignments with files below ``path`` from which no sequence, or no base, was read.
+
+    A path without files raises Spark's own error. Only names and sizes of the
+    files are looked at.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    ids = files.select(alignment_of(F.col("path")).alias("alignment_id"), "length")
+    ids = ids.groupBy("alignment_id").agg(F.sum("length").alias("bytes"))
+    none = ids.join(sequences.filter("seq <> ''").select("alignment_id").distinct(), "alignment_id", "left_anti")
+    return _found(none, "no_sequences", F.concat(F.col("bytes").cast("string"), F.lit(" bytes")))
+
+
 def validate(sequences: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """All rules on parsed sequences."""
     found = [
