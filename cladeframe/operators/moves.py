@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions import trees as T
 from cladeframe.functions.binding import pinned
-from cladeframe.operators.trees import reroot, with_merges, with_topology_key
+from cladeframe.operators.trees import with_merges, with_topology_key
 
 
 def nni_neighbours(trees: DataFrame, keep: list[str]) -> DataFrame:
@@ -82,24 +82,103 @@ def _regraft(tree: Column) -> Column:
     )
 
 
-def spr_neighbours(trees: DataFrame, keep: list[str], all_roots: bool = False) -> DataFrame:
+def spr_neighbours(trees: DataFrame, keep: list[str], full: bool = False) -> DataFrame:
     """Trees after every legal prune-and-regraft move: ``src, dest, parent``.
 
-    Moves from one root miss part of the unrooted neighbourhood; ``all_roots``
-    adds the moves of the tree rerooted at every other taxon, in which case the
-    same topology comes up several times and should be reduced by key.
+    Moves of subtrees away from the root miss part of the unrooted neighbourhood;
+    ``full`` adds the rest (see ``_other_side_moves``). A topology may come up
+    several times and should then be reduced by key.
     """
-    start = trees
-    if all_roots:
-        start = reroot(
-            trees.withColumn("_at", F.explode(F.sequence(F.lit(0), T.taxa(F.col("parent")) - 1))), F.col("_at")
-        ).drop("_at")
     tree = F.col("_old")
-    moved = spr_moves(start, keep).withColumn("_edits", _regraft(tree))
-    out = moved.withColumn("parent", pinned(T.rewire(tree, F.col("_edits"))))
-    if all_roots:
-        out = reroot(out.select(*keep, "src", "dest", "parent"), F.lit(0))
-    return out.select(*keep, "src", "dest", "parent")
+    moved = spr_moves(trees, keep).withColumn("_edits", _regraft(tree))
+    moved = moved.select(*keep, "_old", "src", "dest", "_edits")
+    if full:
+        moved = moved.unionByName(_other_side_moves(trees, keep)).unionByName(_root_branch_moves(trees, keep))
+    return moved.withColumn("parent", pinned(T.rewire(tree, F.col("_edits")))).select(*keep, "src", "dest", "parent")
+
+
+def _turn(path: Column, tree: Column, top: Column) -> Column:
+    """Edits that re-root the subtree at the end of ``path`` on the branch ``path`` starts with.
+
+    The second branch of the path becomes the top one, below ``top``; the others
+    turn over, and their old sisters move on two steps.
+    """
+    return F.concat(
+        F.array(T.edit(T.at(path, 1), top)),
+        F.transform(F.slice(path, F.lit(3), F.size(path)), lambda b, j: T.edit(b, T.at(path, j + 1))),
+        F.transform(
+            F.slice(path, F.lit(1), F.greatest(F.size(path) - 2, F.lit(0))),
+            lambda b, j: T.edit(T.sister(tree, b), T.at(path, j + 2)),
+        ),
+    )
+
+
+def _root_branch_moves(trees: DataFrame, keep: list[str]) -> DataFrame:
+    """Moves of a subtree onto the branch of the root taxon itself."""
+    tree = F.col("_old")
+    cut = _cut_points(trees, keep).withColumn("dest", T.root_of(tree))
+    above = T.at(tree, F.col("up"))
+    edits = F.concat(
+        F.array(
+            T.edit(F.col("src"), F.col("dest")),
+            T.edit(F.col("up"), F.col("dest")),
+            T.edit(F.col("sis"), F.when(above == F.col("dest"), F.col("up")).otherwise(above)),
+        ),
+        F.transform(T.children(tree, F.col("dest")), lambda b: T.edit(b, F.col("up"))),
+    )
+    return cut.withColumn("_edits", edits).select(*keep, "_old", "src", "dest", "_edits")
+
+
+def _other_side_moves(trees: DataFrame, keep: list[str]) -> DataFrame:
+    """Moves of the part of a tree that holds the root, and of the root's children.
+
+    On each branch ``dest`` that is not a child of the root: everything outside a
+    subtree around it (``src``) can be put there, which turns the subtree over in
+    place; the root taxon alone can be put there (``src`` is the root); and so can
+    the child of the root that ``dest`` is not below.
+    """
+    tree = F.col("_old")
+    ways = F.transform(F.sequence(F.lit(0), F.size("parent") - 1), lambda b: T.root_path(F.col("parent"), b))
+    rows = trees.withColumn("_paths", pinned(ways)).select(
+        *keep, F.col("parent").alias("_old"), F.posexplode_outer("_paths").alias("dest", "_path")
+    )
+    deep = rows.filter(F.size("_path") >= 3).withColumn("_last", F.size("_path") - 1)
+    cases = deep.withColumn(
+        "_j", F.explode_outer(F.concat(F.sequence(F.lit(2), F.col("_last")), F.array(F.lit(-1))))
+    )
+    root = T.at(F.col("_path"), F.col("_last"))
+    near = T.at(F.col("_path"), F.col("_last") - 1)  # child of the root above dest
+    far = T.sister(tree, near)
+    cases = cases.withColumn("_near", near).withColumn("_far", far).withColumn("_root", root)
+    cases = cases.withColumn(
+        "src",
+        F.when(F.col("_j") == -1, F.col("_far")).otherwise(T.at(F.col("_path"), F.greatest(F.col("_j"), F.lit(0)))),
+    )
+    below = F.slice("_path", F.lit(1), F.col("_j") + 1)
+    climb = F.slice("_path", F.lit(1), F.col("_last"))
+    taxon = F.concat(
+        F.array(
+            T.edit(F.col("dest"), F.col("_root")),
+            T.edit(T.at(climb, 1), F.col("_root")),
+            T.edit(F.col("_far"), F.col("_near")),
+        ),
+        F.transform(F.slice(climb, F.lit(3), F.size(climb)), lambda b, j: T.edit(b, T.at(F.col("_path"), j + 1))),
+    )
+    above = T.at(tree, F.col("dest"))
+    child = F.concat(
+        F.array(
+            T.edit(F.col("dest"), F.col("_near")),
+            T.edit(F.col("_far"), F.col("_near")),
+            T.edit(F.col("_near"), F.when(above == F.col("_near"), F.col("_root")).otherwise(above)),
+        ),
+        F.transform(T.children(tree, F.col("_near")), lambda b: T.edit(b, F.col("_root"))),
+    )
+    edits = (
+        F.when(F.col("_j") == -1, child)
+        .when(F.col("_j") == F.col("_last"), taxon)
+        .otherwise(_turn(below, tree, T.at(tree, F.col("src"))))
+    )
+    return cases.withColumn("_edits", edits).select(*keep, "_old", "src", "dest", "_edits")
 
 
 def tbr_neighbours(trees: DataFrame, keep: list[str]) -> DataFrame:
@@ -130,17 +209,9 @@ def tbr_neighbours(trees: DataFrame, keep: list[str]) -> DataFrame:
         ),
     )
     q = F.col("_path")
-    turn = F.when(
-        F.size(q) >= 3,
-        F.concat(
-            F.array(T.edit(T.at(q, 1), F.col("up"))),
-            F.transform(F.slice(q, F.lit(3), F.size(q)), lambda b, j: T.edit(b, T.at(q, j + 1))),
-            F.transform(
-                F.slice(q, F.lit(1), F.greatest(F.size(q) - 2, F.lit(0))),
-                lambda b, j: T.edit(T.sister(tree, b), T.at(q, j + 2)),
-            ),
-        ),
-    ).otherwise(F.array().cast("array<struct<b:int,p:int>>"))
+    turn = F.when(F.size(q) >= 3, _turn(q, tree, F.col("up"))).otherwise(
+        F.array().cast("array<struct<b:int,p:int>>")
+    )
     moved = turned.withColumn("_edits", F.concat(turn, _regraft(tree)))
     return moved.withColumn("parent", pinned(T.rewire(tree, F.col("_edits")))).select(
         *keep, "src", "dest", "leaf", "parent"

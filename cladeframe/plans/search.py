@@ -22,7 +22,7 @@ from cladeframe.session import materialise, spread
 
 NEIGHBOURHOODS = {
     "nni": lambda trees, keep: moves.nni_neighbours(trees, keep),
-    "spr": lambda trees, keep: moves.spr_neighbours(trees, keep, all_roots=True),
+    "spr": lambda trees, keep: moves.spr_neighbours(trees, keep, full=True),
 }
 
 
