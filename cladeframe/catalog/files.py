@@ -154,8 +154,19 @@ def trace_sink(spark, sf_dir):
     return spark.read.option("sep", "\t").option("header", True).schema(rows.schema).csv(path)
 
 
-@query("validate_source")
+@query(
+    "validate_source",
+    O.sql(
+        O.vector_alignments(K),
+        query="""SELECT alignment_id, 'no_sequences' AS rule FROM aln
+                 WHERE taxon_id = 0 AND substr(seq, 1, 1) = 'A'""",
+    ),
+)
 def validate_source(spark, sf_dir):
-    """All rules on alignments read from files, with the headers of those files."""
-    path = written(spark, sf_dir, "interleaved")
-    return validate.validate(A.read_alignments(spark, path, "phylip"), blocks.phylip_headers(spark, path))
+    """Alignments whose first base is ``A`` come as CLUSTAL files, which no FASTA record can be read from."""
+    path = scratch_path(spark, "mixed")
+    rows = small_alignments(spark, sf_dir)
+    odd = rows.filter("taxon_id = 0 AND substr(seq, 1, 1) = 'A'").select("alignment_id")
+    file_texts(rows.join(odd, "alignment_id", "left_semi"), "clustal").write.partitionBy("alignment_id").text(path)
+    fasta.write_fasta(rows.join(odd, "alignment_id", "left_anti"), path, mode="append")
+    return validate.sources(spark, path, A.read_alignments(spark, path, "fasta")).select("alignment_id", "rule")

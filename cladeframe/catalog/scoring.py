@@ -8,7 +8,7 @@ from cladeframe.catalog import oracle_views as O
 from cladeframe.catalog import views as V
 from cladeframe.catalog.registry import Registry
 from cladeframe.catalog.trees import joined
-from cladeframe.operators import scoring, sites, topology, trace
+from cladeframe.operators import scoring, sites, topology, trace, trees
 from cladeframe.operators.trees import with_topology_key
 
 registry = Registry()
@@ -99,6 +99,26 @@ def branch_changes(spark, sf_dir):
     return scoring.branch_changes(trees6(spark, sf_dir), patterns6(spark, sf_dir), ID)
 
 
+@query(
+    "branch_table",
+    O.sql(
+        PATTERNS, _TREES_ONLY, FITCH,
+        """changes AS (SELECT tree_id, branch, sum(c * weight) AS c FROM (
+               SELECT tree_id, weight, unnest([0, 6, 7, 8]) AS branch, unnest([c0, c6, c7, c8]) AS c FROM fitch)
+               GROUP BY tree_id, branch)""",
+        query="""SELECT b.tree_id, b.branch, b.parent, coalesce(min(k.branch), -1) AS left,
+                        coalesce(max(k.branch), -1) AS right, CAST(coalesce(any_value(c.c), 0) AS BIGINT) AS changes
+                 FROM branches b LEFT JOIN branches k ON k.tree_id = b.tree_id AND k.parent = b.branch
+                 LEFT JOIN changes c ON c.tree_id = b.tree_id AND c.branch = b.branch
+                 GROUP BY b.tree_id, b.branch, b.parent""",
+    ),
+)
+def branch_table(spark, sf_dir):
+    rows = trees.branch_table(trees6(spark, sf_dir), ID)
+    changes = scoring.branch_changes(trees6(spark, sf_dir), patterns6(spark, sf_dir), ID)
+    return rows.join(changes, ["tree_id", "branch"], "left").fillna(0, ["changes"])
+
+
 @query(
     "ancestral_states",
     O.sql(

@@ -12,10 +12,11 @@ from cladeframe.catalog.scoring import _STATE, _cost, _meet
 from cladeframe.catalog.trees import joined
 from cladeframe.operators import sites
 from cladeframe.plans import search
+from cladeframe.plans.enumerate import random_trees
 
 registry = Registry()
 query = registry.query
-N = 8
+N = 10
 
 
 def alignments(spark, sf_dir, n: int) -> DataFrame:
@@ -66,8 +67,6 @@ def stepwise_trees(spark, sf_dir):
 
 @query("hill_climb")
 def hill_climb(spark, sf_dir):
-    from cladeframe.plans.enumerate import random_trees
-
     runs = alignments(spark, sf_dir, N).withColumn("run_id", F.col("alignment_id").cast("bigint"))
     starts = random_trees(runs, seed=3).select("run_id", "alignment_id", "parent")
     best = search.hill_climb(starts, patterns(spark, sf_dir, N), "nni")

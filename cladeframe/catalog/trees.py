@@ -28,20 +28,6 @@ def names6() -> F.Column:
 TREES = O.trees6()
 
 
-@query(
-    "branch_table",
-    O.sql(
-        TREES,
-        query="""SELECT b.tree_id, b.branch, b.parent, coalesce(min(c.branch), -1) AS left,
-                        coalesce(max(c.branch), -1) AS right
-                 FROM branches b LEFT JOIN branches c ON c.tree_id = b.tree_id AND c.parent = b.branch
-                 GROUP BY 1, 2, 3""",
-    ),
-)
-def branch_table(spark, sf_dir):
-    return trees.branch_table(V.trees6(spark, sf_dir), ID)
-
-
 @query(
     "sister",
     O.sql(

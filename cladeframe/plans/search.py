@@ -49,10 +49,8 @@ def stepwise_trees(alignments: DataFrame, patterns: DataFrame, max_trees: int =
     for taxon in range(3, largest):
         grown = extend(spread(kept.filter(F.col("n") > taxon), "alignment_id", "parent"), F.lit(taxon))
         grown = grown.withColumn("tree_id", F.array_join(F.col("parent").cast("array<string>"), ","))
-        shortest = best_set(
-            materialise(tree_length(grown, patterns, ["tree_id"]), "stepwise-scored"), ["alignment_id"]
-        )
-        kept = materialise(cap_trees(shortest, ["alignment_id"], "tree_id", max_trees), "stepwise")
+        scored = materialise(tree_length(grown, patterns, ["tree_id"]), "stepwise")
+        kept = cap_trees(best_set(scored, ["alignment_id"]), ["alignment_id"], "tree_id", max_trees)
         finished = kept.filter(F.col("n") == taxon + 1)
         done = finished if done is None else done.unionByName(finished)
         kept = kept.select("alignment_id", "n", "parent")
@@ -75,26 +73,22 @@ def hill_climb(
     group, ids = ["run_id"], ["run_id", "key"]
     neighbours = NEIGHBOURHOODS[neighbourhood]
 
-    def scored(trees: DataFrame) -> DataFrame:
-        keyed = with_topology_key(trees.select("run_id", "alignment_id", "parent")).dropDuplicates(ids)
-        return keyed
+    def distinct(trees: DataFrame) -> DataFrame:
+        return with_topology_key(trees.select("run_id", "alignment_id", "parent")).dropDuplicates(ids)
 
-    first = materialise(scored(starts), "climb-new")
+    first = materialise(distinct(starts), "climb-new")
     seen = materialise(tree_length(first, patterns, ids), "climb")
     frontier = best_set(seen, group)
-    best = seen.groupBy(*group).agg(F.min("length").alias("best"))
     for _ in range(max_rounds):
         near = neighbours(spread(frontier.select("run_id", "alignment_id", "key", "parent"), *ids), ["run_id", "alignment_id"])
-        fresh = materialise(scored(near).join(seen.select(*ids), ids, "left_anti"), "climb-new")
+        fresh = materialise(distinct(near).join(seen.select(*ids), ids, "left_anti"), "climb-new")
         if fresh.isEmpty():
             break
         new = materialise(tree_length(fresh, patterns, ids), "climb")
-        seen = seen.unionByName(new)
         # the frontier is what is new and not longer than anything before
+        best = seen.groupBy(*group).agg(F.min("length").alias("best"))
         frontier = best_set(new, group).join(best, group).filter("length <= best").drop("best")
-        best = materialise(seen.groupBy(*group).agg(F.min("length").alias("best")), "climb-best")
-        if frontier.isEmpty():
-            break
+        seen = seen.unionByName(new)
     return best_set(seen, group).select("run_id", "alignment_id", "key", "parent", "length")
 
 

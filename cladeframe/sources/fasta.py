@@ -60,7 +60,7 @@ def fasta_record(name: Column, seq: Column) -> Column:
     return F.concat(F.lit(">"), name, F.lit("\n"), wrapped)
 
 
-def write_fasta(sequences: DataFrame, path: str) -> None:
+def write_fasta(sequences: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One folder ``alignment_id=x`` per alignment, records in taxon order.
 
     A large alignment is cut into several files whose names sort in taxon order.
@@ -70,6 +70,7 @@ def write_fasta(sequences: DataFrame, path: str) -> None:
         .repartitionByRange("alignment_id", "taxon_id")
         .sortWithinPartitions("alignment_id", "taxon_id")
         .select("alignment_id", "value")
-        .write.partitionBy("alignment_id")
+        .write.mode(mode)
+        .partitionBy("alignment_id")
         .text(path)
     )
