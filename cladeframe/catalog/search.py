@@ -69,7 +69,7 @@ def stepwise_trees(spark, sf_dir):
 def hill_climb(spark, sf_dir):
     runs = alignments(spark, sf_dir, N).withColumn("run_id", F.col("alignment_id").cast("bigint"))
     starts = random_trees(runs, seed=3).select("run_id", "alignment_id", "parent")
-    best = search.hill_climb(starts, patterns(spark, sf_dir, N), "nni")
+    best = search.hill_climb(starts, patterns(spark, sf_dir, N), "spr")
     return best.withColumn("parent", joined(F.col("parent")))
 
 

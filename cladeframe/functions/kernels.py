@@ -17,45 +17,50 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def score_pack(parent: np.ndarray, states: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Lengths of T trees (T x branches) on P patterns (taxa x P); absent branches are -2."""
+Merge = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def downpass(parent: np.ndarray, states: np.ndarray) -> Iterator[Merge]:
+    """Merges of T trees (T x branches) on P patterns (taxa x P), children before parents.
+
+    Yields the branch, state sets (T x P) and changes (T x P) of one merge of every
+    tree at a time; the last is the root's, whose changes include its own states.
+    Absent branches are -2.
+    """
     n_trees, n_branches = parent.shape
     n = (n_branches + 3) // 2
     rows = np.arange(n_trees)[:, None]
-    # children in pairs: sorting by parent puts them side by side (root's first)
-    order = np.argsort(np.where(parent == -1, -10, np.where(parent == -2, n_branches + 1, parent)), axis=1, kind="stable")
+    # sorting by parent puts sisters side by side, the root's own entry first
+    last = np.where(parent == -2, n_branches + 1, parent)
+    order = np.argsort(last, axis=1, kind="stable")
     present = int((parent[0] != -2).sum())
     pairs = order[:, 1:present].reshape(n_trees, -1, 2)
     parents = parent[rows[:, :, None], pairs][:, :, 0]
-    # depth of each merge gives an order with children before parents
     depth = np.zeros((n_trees, n_branches), dtype=np.int32)
-    up = np.where(parent < 0, 0, parent)
-    jump = np.broadcast_to(np.arange(n_branches), parent.shape).copy()
+    at = np.broadcast_to(np.arange(n_branches), parent.shape).copy()
     for _ in range(n_branches):
-        above = parent[rows, jump] >= 0
-        if not above.any():
+        above = parent[rows, at]
+        inner = above >= 0
+        if not inner.any():
             break
-        depth += above
-        jump = np.where(above, up[rows, jump], jump)
-    seq = np.argsort(-depth[rows, parents], axis=1, kind="stable")
+        depth += inner
+        at = np.where(inner, above, at)
+    sequence = np.argsort(-depth[rows, parents], axis=1, kind="stable")
     value = np.zeros((n_trees, n_branches, states.shape[1]), dtype=np.uint8)
     value[:, :n] = states[None, :n]
-    total = np.zeros(n_trees, dtype=np.int64)
     flat = np.arange(n_trees)
-    for k in range(seq.shape[1]):
-        s = seq[:, k]
+    for k in range(sequence.shape[1]):
+        s = sequence[:, k]
         node = parents[flat, s]
-        a = value[flat, pairs[flat, s, 0]]
-        b = value[flat, pairs[flat, s, 1]]
+        a, b = value[flat, pairs[flat, s, 0]], value[flat, pairs[flat, s, 1]]
         both = a & b
-        apart = both == 0
-        total += apart @ weight
-        merged = np.where(apart, a | b, both)
-        if k < seq.shape[1] - 1:
+        change = (both == 0).astype(np.uint8)
+        merged = np.where(change, a | b, both)
+        if k < sequence.shape[1] - 1:
             value[flat, node] = merged
         else:
-            total += ((merged & value[flat, node]) == 0) @ weight
-    return total
+            change += (merged & value[flat, node]) == 0
+        yield node, merged, change
 
 
 _NIBBLE = np.zeros(256, dtype=np.uint8)
@@ -65,29 +70,80 @@ for _i, _c in enumerate(b"0123456789ABCDEF"):
 _CELLS = 4_000_000  # cells of the working array held at once
 
 
-def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lengths, offsets = [], [0]
-        parents, raw, weights = batch.column("_parents"), batch.column("_bytes"), batch.column("_weights")
-        for i in range(batch.num_rows):
-            trees = parents[i].values
-            parent = trees.values.slice(trees.offsets[0].as_py(), trees.offsets[len(trees)].as_py() - trees.offsets[0].as_py())
-            parent = parent.to_numpy(zero_copy_only=False).reshape(len(trees), -1)
-            n = (parent.shape[1] + 3) // 2
-            states = _NIBBLE[np.frombuffer(raw[i].as_py(), dtype=np.uint8)].reshape(-1, n).T
-            weight = weights[i].values.to_numpy(zero_copy_only=False)
-            # a pattern all taxa agree on never needs a change
-            open_ = np.bitwise_and.reduce(states, axis=0) == 0
-            states, weight = np.ascontiguousarray(states[:, open_]), weight[open_]
-            step = max(1, _CELLS // max(1, parent.shape[1] * states.shape[1]))
-            for start in range(0, len(parent), step):
-                lengths.append(score_pack(parent[start : start + step], states, weight))
-            offsets.append(offsets[-1] + len(parent))
-        flat = np.concatenate(lengths) if lengths else np.zeros(0, dtype=np.int64)
-        partial = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("alignment_id"), batch.column("_rows"), partial], names=["alignment_id", "_rows", "_partial"]
-        )
+def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parent arrays, states and weights of each row, in slices that fit the working array."""
+    parents, raw, weights = batch.column("_parents"), batch.column("_bytes"), batch.column("_weights")
+    for i in range(batch.num_rows):
+        trees = parents[i].values
+        lo, hi = trees.offsets[0].as_py(), trees.offsets[len(trees)].as_py()
+        parent = trees.values.slice(lo, hi - lo).to_numpy(zero_copy_only=False).reshape(len(trees), -1)
+        n = (parent.shape[1] + 3) // 2
+        states = np.ascontiguousarray(_NIBBLE[np.frombuffer(raw[i].as_py(), dtype=np.uint8)].reshape(-1, n).T)
+        weight = weights[i].values.to_numpy(zero_copy_only=False)
+        step = max(1, _CELLS // max(1, parent.shape[1] * states.shape[1]))
+        for start in range(0, len(parent), step):
+            yield i, parent[start : start + step], states, weight
+
+
+def lengths_of(parent: np.ndarray, states: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """One number per tree: changes over all patterns."""
+    # a pattern all taxa agree on never needs a change
+    open_ = np.bitwise_and.reduce(states, axis=0) == 0
+    total = np.zeros((len(parent), 1), dtype=np.int64)
+    for _, _, change in downpass(parent, np.ascontiguousarray(states[:, open_])):
+        total[:, 0] += change @ weight[open_]
+    return total
+
+
+def site_changes_of(parent: np.ndarray, states: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Changes per tree and pattern."""
+    total = np.zeros((len(parent), states.shape[1]), dtype=np.int64)
+    for _, _, change in downpass(parent, states):
+        total += change
+    return total
+
+
+def branch_changes_of(parent: np.ndarray, states: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Changes per tree and branch over all patterns; -1 on branches without a merge."""
+    out = np.full(parent.shape, -1, dtype=np.int64)
+    for node, _, change in downpass(parent, states):
+        out[np.arange(len(parent)), node] = change @ weight
+    return out
+
+
+def inner_states_of(parent: np.ndarray, states: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """State sets per tree of every inner branch (in branch order) and pattern, flat."""
+    n, width = states.shape
+    out = np.zeros((len(parent), parent.shape[1] - n, width), dtype=np.int64)
+    for node, merged, _ in downpass(parent, states):
+        inner = np.flatnonzero(node >= n)
+        out[inner, node[inner] - n] = merged[inner]
+    return out.reshape(len(parent), -1)
+
+
+def scoring_batches(measure):
+    """Task function: rows of a tree pack and a pattern pack to one array of numbers per tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, inner, outer = [], [0], np.zeros(batch.num_rows, dtype=np.int64)
+            for i, parent, states, weight in _pairs(batch):
+                values = measure(parent, states, weight)
+                flat.append(values.ravel())
+                inner.extend(inner[-1] + values.shape[1] * np.arange(1, len(values) + 1))
+                outer[i] += len(values)
+            numbers = pa.array(np.concatenate(flat) if flat else np.zeros(0, dtype=np.int64), pa.int64())
+            per_tree = pa.ListArray.from_arrays(pa.array(np.array(inner), pa.int32()), numbers)
+            ends = np.concatenate([[0], np.cumsum(outer)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("alignment_id"), batch.column("_rows"), batch.column("_patterns"),
+                    batch.column("_weights"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), per_tree),
+                ],
+                names=["alignment_id", "_rows", "_patterns", "_weights", "_values"],
+            )
+
+    return run
 
 
 # --- cooling epochs: state = accepted * max_propose + proposed -----------------

@@ -22,6 +22,7 @@ MAX_STATES = 5
 _HEX = "0123456789ABCDEF"
 _LETTERS = "".join(STATE_OF)
 _DIGITS = "".join(_HEX[s] for s in STATE_OF.values())
+_OTHERS = "".join(c for c in ascii_uppercase + "0123456789" if c not in STATE_OF)
 MISSING_MASK = sum(1 << ACCEPTED.index(c) for c in MISSING)
 INFORMATIVE_MASK = ((1 << len(ACCEPTED)) - 1) & ~MISSING_MASK
 
@@ -70,20 +71,13 @@ def is_single_token(text: Column) -> Column:
 
 
 def hex_states(seq: Column) -> Column:
-    """Whole sequence to one hex digit per base; ``O`` is left as it is."""
-    return F.translate(seq, _LETTERS, _DIGITS)
+    """Whole sequence to one hex digit per base, ``!`` for letters and digits without a set."""
+    return F.translate(seq, _LETTERS + _OTHERS, _DIGITS + "!" * len(_OTHERS))
 
 
-def state_of(base: Column) -> Column:
-    """Nucleotide set 1..15 of one character, NULL when it has none."""
-    code = F.instr(F.lit("123456789ABCDEF"), hex_states(base))
-    return F.when((F.length(base) == 1) & F.instr(F.lit(_LETTERS), base).between(1, len(_LETTERS)), code)
-
-
-def letter_mask(base: Column) -> Column:
-    """One bit per accepted character, 0 for any other."""
-    at = F.instr(F.lit(ACCEPTED), base)
-    return F.when(at > 0, F.call_function("shiftleft", F.lit(1), at - 1)).otherwise(F.lit(0))
+def digit_state(digit: Column) -> Column:
+    """Hex digit to nucleotide set 1..15, NULL for anything else."""
+    return F.nullif(F.instr(F.lit("123456789ABCDEF"), digit), F.lit(0))
 
 
 def mask_letters(mask: Column) -> Column:

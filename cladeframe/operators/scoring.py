@@ -3,102 +3,27 @@
 ``trees(alignment_id, <ids>, parent)``, rooted at taxon 0, and
 ``patterns(alignment_id, pattern, weight)`` as made by ``sites.site_patterns``.
 
-Two ways: the fold operators give one row per (tree, pattern) with column
-expressions only. ``tree_length`` only needs sums, so it packs up to a fixed
-number of trees and of patterns of one alignment into rows, joins those, and
-scores each pair of packs with array arithmetic inside the task. Neither side is
-ever gathered whole: a long alignment becomes many pattern packs, a large table
-of trees many tree packs, and their partial sums are added by an aggregate.
+Trees and patterns of an alignment are put into packs of bounded size, packs are
+joined, and each pair is worked on with array arithmetic inside a task. Neither
+side is ever gathered whole: a long alignment becomes many pattern packs, a large
+table of trees many tree packs, and partial sums are added by an aggregate. Sums
+leave the task as sums, so nothing of size trees x patterns is made unless it is
+the result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T_
+from pyspark.sql import types as T
 
-from cladeframe.functions import trees as T
-from cladeframe.functions.binding import pinned
-from cladeframe.functions.kernels import score_batches
-from cladeframe.operators.trees import with_merges
+from cladeframe.functions import kernels as K
 from cladeframe.session import spread
 
 TREE_PACK = 32768  # integers of parent arrays in one pack
 PATTERN_PACK = 32768  # pattern bytes in one pack
 
 
-# --- one row per tree and pattern ---------------------------------------------
-
-
-def leaf_states(pattern: Column) -> Column:
-    """Hex pattern to an array of nucleotide sets."""
-    return F.transform(F.split(pattern, ""), lambda c: F.instr(F.lit("123456789ABCDEF"), c))
-
-
-def _meet(a: Column, b: Column) -> Column:
-    both = a.bitwiseAND(b)
-    return F.when(both != 0, both).otherwise(a.bitwiseOR(b))
-
-
-def _apart(a: Column, b: Column) -> Column:
-    return F.when(a.bitwiseAND(b) == 0, 1).otherwise(0)
-
-
-def downpass(trees: DataFrame, patterns: DataFrame, keep: list[str]) -> DataFrame:
-    """State sets and changes of every merge, per tree and pattern: ``plan, states, changes``.
-
-    ``states`` is by slot (taxa, then merges); ``changes`` is by merge, the last
-    one being the root's two steps: joining its children and then its own states.
-    """
-    planned = with_merges(trees, name="plan").select("alignment_id", *keep, "plan")
-    leaves = spread(patterns, "alignment_id", "pattern").withColumn("_leaves", pinned(leaf_states(F.col("pattern"))))
-    folded = leaves.join(planned, "alignment_id")
-
-    def step(acc: Column, m: Column) -> Column:
-        a, b = T.at(acc["s"], m["l"]), T.at(acc["s"], m["r"])
-        own = T.at(acc["s"], m["node"])
-        at_root = m["node"] < F.size("_leaves")
-        change = _apart(a, b) + F.when(at_root, _apart(_meet(a, b), own)).otherwise(0)
-        return F.struct(
-            F.concat(acc["s"], F.array(_meet(a, b))).alias("s"), F.concat(acc["ch"], F.array(change)).alias("ch")
-        )
-
-    start = F.struct(F.col("_leaves").alias("s"), F.array().cast("array<int>").alias("ch"))
-    folded = folded.withColumn("_fold", pinned(F.aggregate("plan", start, step)))
-    return folded.select(
-        "alignment_id", *keep, "pattern", "weight", "plan",
-        F.col("_fold")["s"].alias("states"), F.col("_fold")["ch"].alias("changes"),
-    )
-
-
-def fitch_site_length(trees: DataFrame, patterns: DataFrame, keep: list[str]) -> DataFrame:
-    """Changes of every pattern on every tree: ``pattern, weight, changes``."""
-    total = F.aggregate("changes", F.lit(0), lambda acc, c: acc + c)
-    return downpass(trees, patterns, keep).select("alignment_id", *keep, "pattern", "weight", total.alias("changes"))
-
-
-def branch_changes(trees: DataFrame, patterns: DataFrame, keep: list[str]) -> DataFrame:
-    """Changes on every inner branch and the root, over all sites: ``branch, changes``."""
-    nodes = F.transform("plan", lambda m: m["node"])
-    rows = downpass(trees, patterns, keep).select(
-        *keep, "weight", F.inline_outer(F.arrays_zip(nodes.alias("branch"), F.col("changes").alias("c")))
-    )
-    return rows.groupBy(*keep, "branch").agg(F.sum(F.col("c") * F.col("weight")).alias("changes"))
-
-
-def ancestral_states(trees: DataFrame, patterns: DataFrame, keep: list[str]) -> DataFrame:
-    """State set of every inner branch for every pattern: ``pattern, branch, state``."""
-    inner = F.slice("plan", F.lit(1), F.size("plan") - 1)
-    nodes = F.transform(inner, lambda m: m["node"])
-    sets = F.slice("states", F.length("pattern") + 1, F.size("plan") - 1)
-    return downpass(trees, patterns, keep).select(
-        "alignment_id", *keep, "pattern", F.inline_outer(F.arrays_zip(nodes.alias("branch"), sets.alias("state")))
-    )
-
-
-# --- sums over packs -------------------------------------------------------------
-
-
 def packed(df: DataFrame, group: str, units: Column, budget: int, ids: list[str]) -> DataFrame:
     """Assign each row to a pack of its group such that a pack holds about ``budget`` units.
 
@@ -110,53 +35,68 @@ def packed(df: DataFrame, group: str, units: Column, budget: int, ids: list[str]
 
 
 def pattern_packs(patterns: DataFrame) -> DataFrame:
-    """Patterns of an alignment in packs: ``alignment_id, _bytes, _weights``."""
+    """Patterns of an alignment in packs: ``alignment_id, _patterns, _weights``."""
     rows = packed(patterns, "alignment_id", F.length("pattern"), PATTERN_PACK, ["pattern"])
     packs = rows.groupBy("alignment_id", "_pack").agg(F.collect_list(F.struct("pattern", "weight")).alias("_p"))
     return packs.select(
         "alignment_id",
-        F.array_join(F.transform("_p", lambda p: p["pattern"]), "").cast("binary").alias("_bytes"),
+        F.transform("_p", lambda p: p["pattern"]).alias("_patterns"),
         F.transform("_p", lambda p: p["weight"]).alias("_weights"),
     )
 
 
-def tree_length(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> DataFrame:
-    """Add ``length``: changes over all sites. ``ids`` identify a tree inside its alignment.
-
-    Partial trees (branches with parent -2) are scored over the taxa they have;
-    all partial trees of one alignment must have the same taxa.
-    """
-    rest = [c for c in trees.columns if c not in ("alignment_id", "parent")]
-    packs = (
-        packed(trees, "alignment_id", F.size("parent"), TREE_PACK, ids)
+def tree_packs(trees: DataFrame, ids: list[str]) -> DataFrame:
+    """Trees of an alignment in packs: ``alignment_id, _rows`` (all other columns) ``, _parents``."""
+    rest = [c for c in trees.columns if c != "alignment_id"]
+    rows = packed(trees, "alignment_id", F.size("parent"), TREE_PACK, ids)
+    return (
+        spread(rows, "alignment_id", "_pack")
         .groupBy("alignment_id", "_pack")
-        .agg(F.collect_list(F.struct(F.struct(*rest).alias("row"), F.col("parent").alias("parent"))).alias("_t"))
-        .select(
-            "alignment_id",
-            F.transform("_t", lambda t: t["row"]).alias("_rows"),
-            F.transform("_t", lambda t: t["parent"]).alias("_parents"),
-        )
+        .agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+        .select("alignment_id", "_rows", F.transform("_rows", lambda r: r["parent"]).alias("_parents"))
+    )
+
+
+def _measured(trees: DataFrame, packs: DataFrame, ids: list[str], measure, keep_patterns: bool = False) -> DataFrame:
+    """One row per tree and pattern pack: ``alignment_id, r`` (the tree's row) ``, _patterns, _weights, v``."""
+    pairs = tree_packs(trees, ids).join(packs, "alignment_id")
+    patterns = F.col("_patterns") if keep_patterns else F.array().cast("array<string>")
+    pairs = pairs.select(
+        "alignment_id", "_rows", "_parents", F.array_join("_patterns", "").cast("binary").alias("_bytes"),
+        patterns.alias("_patterns"), "_weights",
     )
-    pairs = packs.join(pattern_packs(patterns), "alignment_id")
-    row_type = T_.StructType([f for f in trees.schema.fields if f.name in rest])
-    schema = T_.StructType(
+    row = T.StructType([f for f in trees.schema.fields if f.name != "alignment_id"])
+    schema = T.StructType(
         [
             trees.schema["alignment_id"],
-            T_.StructField("_rows", T_.ArrayType(T_.StructType([*row_type.fields, T_.StructField("parent", T_.ArrayType(T_.IntegerType()))]))),
-            T_.StructField("_partial", T_.ArrayType(T_.LongType())),
+            T.StructField("_rows", T.ArrayType(row)),
+            T.StructField("_patterns", T.ArrayType(T.StringType())),
+            T.StructField("_weights", T.ArrayType(T.LongType())),
+            T.StructField("_values", T.ArrayType(T.ArrayType(T.LongType()))),
         ]
     )
-    whole = pairs.withColumn(
-        "_rows",
-        F.zip_with("_rows", "_parents", lambda r, p: F.struct(*[r[c].alias(c) for c in rest], p.alias("parent"))),
-    )
-    scored = whole.mapInArrow(score_batches, schema)
-    parts = scored.select(
-        "alignment_id", F.inline_outer(F.arrays_zip(F.col("_rows").alias("r"), F.col("_partial").alias("c")))
+    out = pairs.mapInArrow(K.scoring_batches(measure), schema)
+    return out.select(
+        "alignment_id", "_patterns", "_weights",
+        F.inline_outer(F.arrays_zip(F.col("_rows").alias("r"), F.col("_values").alias("v"))),
     )
+
+
+def tree_length(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> DataFrame:
+    """Add ``length``: changes over all sites. ``ids`` identify a tree inside its alignment.
+
+    Partial trees (branches with parent -2) are scored over the taxa they have;
+    all partial trees of one alignment must have the same taxa.
+    """
+    return score_packs(trees, pattern_packs(patterns), ids)
+
+
+def score_packs(trees: DataFrame, packs: DataFrame, ids: list[str]) -> DataFrame:
+    """``tree_length`` on patterns that are packed already, as searches do once per search."""
+    parts = _measured(trees, packs, ids, K.lengths_of)
     return (
         parts.groupBy("alignment_id", *[F.col("r")[c].alias(c) for c in ids])
-        .agg(F.sum("c").alias("length"), F.first("r").alias("r"))
+        .agg(F.sum(F.col("v")[0]).alias("length"), F.first("r").alias("r"))
         .select(
             "alignment_id",
             *[F.col("r")[c].alias(c) for c in trees.columns if c != "alignment_id"],
@@ -165,6 +105,40 @@ def tree_length(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> DataFr
     )
 
 
+def fitch_site_length(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> DataFrame:
+    """Changes of every pattern on every tree: ``pattern, weight, changes``."""
+    rows = _measured(trees, pattern_packs(patterns), ids, K.site_changes_of, keep_patterns=True)
+    return rows.select(
+        "alignment_id",
+        *[F.col("r")[c].alias(c) for c in ids],
+        F.inline_outer(
+            F.arrays_zip(F.col("_patterns").alias("pattern"), F.col("_weights").alias("weight"), F.col("v").alias("changes"))
+        ),
+    )
+
+
+def branch_changes(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> DataFrame:
+    """Changes on every inner branch and the root, over all sites: ``branch, changes``."""
+    rows = _measured(trees, pattern_packs(patterns), ids, K.branch_changes_of)
+    parts = rows.select(*[F.col("r")[c].alias(c) for c in ids], F.posexplode_outer("v").alias("branch", "c"))
+    return parts.filter("c >= 0").groupBy(*ids, "branch").agg(F.sum("c").alias("changes"))
+
+
+def ancestral_states(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> DataFrame:
+    """State set of every inner branch for every pattern: ``pattern, branch, state``."""
+    rows = _measured(trees, pattern_packs(patterns), ids, K.inner_states_of, keep_patterns=True)
+    cells = rows.select(
+        "alignment_id", *[F.col("r")[c].alias(c) for c in ids], "_patterns", F.posexplode_outer("v").alias("at", "state")
+    )
+    width = F.size("_patterns")
+    return cells.select(
+        "alignment_id", *ids,
+        F.get("_patterns", F.col("at") % width).alias("pattern"),
+        (F.length(F.get("_patterns", F.lit(0))) + F.floor(F.col("at") / width)).cast("int").alias("branch"),
+        "state",
+    )
+
+
 def consistency_index(lengths: DataFrame, minimum: DataFrame) -> DataFrame:
     """Add consistency index (least possible / actual changes) and homoplasy index, 2 decimals."""
     ci = F.col("min_len") / F.col("length")

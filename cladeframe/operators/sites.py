@@ -22,10 +22,11 @@ BLOCK = 1 << 20  # characters of one block of columns
 
 def explode_sites(sequences: DataFrame) -> DataFrame:
     """One row per cell: ``alignment_id, taxon_id, site, base, state``."""
-    cells = sequences.select(
-        "alignment_id", "taxon_id", F.posexplode(F.split("seq", "")).alias("site", "base")
+    pairs = F.arrays_zip(F.split("seq", "").alias("base"), F.split(S.hex_states(F.col("seq")), "").alias("digit"))
+    cells = sequences.select("alignment_id", "taxon_id", F.posexplode_outer(pairs).alias("site", "c"))
+    return cells.select(
+        "alignment_id", "taxon_id", "site", F.col("c")["base"].alias("base"), S.digit_state(F.col("c")["digit"]).alias("state")
     )
-    return cells.withColumn("state", S.state_of(F.col("base")))
 
 
 def _pieces(sequences: DataFrame, width: int) -> DataFrame:

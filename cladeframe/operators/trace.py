@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.kernels import epoch_numbers, epoch_scan, epoch_tables, epoch_tables_composed
-from cladeframe.session import materialise
+from cladeframe.session import materialise, spread
 
 SEGMENT = 65536
 
@@ -271,7 +271,7 @@ def cooling_epochs(
     made per segment, chained over the segments of a run (in groups, level by
     level, when there are many), and then each segment numbers its own rows.
     """
-    rows = _segmented(trace.select("run_id", "iter", "accepted"), "iter", size)
+    rows = spread(_segmented(trace.select("run_id", "iter", "accepted"), "iter", size), "run_id", "_seg")
     limits = (max_accept, max_propose)
     last = trace.agg(F.max("iter")).first()[0] or 0
     schema = "run_id bigint, iter bigint, accepted int, epoch bigint"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions import sequences as S
 from cladeframe.operators import moves
-from cladeframe.operators.scoring import tree_length
+from cladeframe.operators.scoring import pattern_packs, score_packs, tree_length
 from cladeframe.operators.topology import best_set, cap_trees
 from cladeframe.operators.trace import EPS, GRAD_GEOM, metropolis_accept
 from cladeframe.operators.trees import with_topology_key
@@ -41,6 +41,7 @@ def stepwise_trees(alignments: DataFrame, patterns: DataFrame, max_trees: int =
     at most ``max_trees`` per alignment). The parent array names a partial tree:
     with a fixed order of taxa every topology comes about in one way only.
     """
+    packs = materialise(pattern_packs(patterns), "packs")
     largest = alignments.agg(F.max("n")).first()[0] or 0
     absent = F.array_repeat(F.lit(ABSENT), (2 * F.col("n") - 6).cast("int"))
     start = F.concat(F.array(F.lit(-1), F.lit(0), F.lit(0)), absent)
@@ -49,7 +50,7 @@ def stepwise_trees(alignments: DataFrame, patterns: DataFrame, max_trees: int =
     for taxon in range(3, largest):
         grown = extend(spread(kept.filter(F.col("n") > taxon), "alignment_id", "parent"), F.lit(taxon))
         grown = grown.withColumn("tree_id", F.array_join(F.col("parent").cast("array<string>"), ","))
-        scored = materialise(tree_length(grown, patterns, ["tree_id"]), "stepwise")
+        scored = materialise(score_packs(grown, packs, ["tree_id"]), "stepwise")
         kept = cap_trees(best_set(scored, ["alignment_id"]), ["alignment_id"], "tree_id", max_trees)
         finished = kept.filter(F.col("n") == taxon + 1)
         done = finished if done is None else done.unionByName(finished)
@@ -76,15 +77,16 @@ def hill_climb(
     def distinct(trees: DataFrame) -> DataFrame:
         return with_topology_key(trees.select("run_id", "alignment_id", "parent")).dropDuplicates(ids)
 
+    packs = materialise(pattern_packs(patterns), "packs")
     first = materialise(distinct(starts), "climb-new")
-    seen = materialise(tree_length(first, patterns, ids), "climb")
+    seen = materialise(score_packs(first, packs, ids), "climb")
     frontier = best_set(seen, group)
     for _ in range(max_rounds):
         near = neighbours(spread(frontier.select("run_id", "alignment_id", "key", "parent"), *ids), ["run_id", "alignment_id"])
         fresh = materialise(distinct(near).join(seen.select(*ids), ids, "left_anti"), "climb-new")
         if fresh.isEmpty():
             break
-        new = materialise(tree_length(fresh, patterns, ids), "climb")
+        new = materialise(score_packs(fresh, packs, ids), "climb")
         # the frontier is what is new and not longer than anything before
         best = seen.groupBy(*group).agg(F.min("length").alias("best"))
         frontier = best_set(new, group).join(best, group).filter("length <= best").drop("best")
@@ -114,8 +116,9 @@ def population_search(
         return S.uniform_draw(seed, *keys)
 
     start = random_trees(runs, seed).select("run_id", "alignment_id", "parent")
-    keyed = with_topology_key(start)
-    current = materialise(tree_length(keyed, patterns, ["run_id", "key"]), "anneal")
+    packs = materialise(pattern_packs(patterns), "packs")
+    minimum = materialise(minimum, "minimum")
+    current = materialise(score_packs(materialise(with_topology_key(start), "anneal-new"), packs, ["run_id", "key"]), "anneal")
     met = current
     t = t0
     for step in range(rounds):
@@ -133,7 +136,7 @@ def population_search(
         shares = trees.select(*keep, F.lit((1 - tbr) / 2).alias("p_nni"), F.lit((1 - tbr) / 2).alias("p_spr"))
         picked = moves.propose_moves(offers, keep, shares, proposals, round_draw).select(*keep, "slot", "parent")
         keyed = materialise(with_topology_key(picked), "anneal-new")
-        new = materialise(tree_length(keyed, patterns, ["run_id", "slot"]), "anneal")
+        new = materialise(score_packs(keyed, packs, ["run_id", "slot"]), "anneal")
         met = met.unionByName(new.drop("slot"))
         taken = (
             new.join(current.select("run_id", F.col("length").alias("_cur")), "run_id")

@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, app: str = "cladeframe") -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -67,5 +68,6 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     explicit number of partitions is left alone.
     """
     spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores))
     return df.repartition(parts, *columns)
