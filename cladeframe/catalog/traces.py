@@ -129,11 +129,12 @@ _HOT = f"({_TEMPERATURE} / {T0})"
     O.sql(
         _TRACE_ONCE, epochs_sql(R.MAX_ACCEPT, R.MAX_PROPOSE),
         f"""rows_ AS (SELECT run_id, iter, move, algorithm, cooling, epoch, {_HOT} AS hot
-                      FROM walk JOIN trace USING (run_id, iter) WHERE algorithm < 2),
+                      FROM walk JOIN trace USING (run_id, iter)),
             probs AS (SELECT *, CAST(floor(hot * 10) AS BIGINT) AS band,
-                  CASE WHEN algorithm = 0 THEN CASE WHEN iter % 2 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+                  CASE WHEN algorithm = 2 THEN NULL
+                       WHEN algorithm = 0 THEN CASE WHEN iter % 2 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
                        WHEN epoch = 0 OR cooling <> 'G' THEN 0.0::DOUBLE ELSE (1 - hot) / 2 END AS nni,
-                  CASE WHEN algorithm = 0 THEN 0.0::DOUBLE
+                  CASE WHEN algorithm = 2 THEN NULL WHEN algorithm = 0 THEN 0.0::DOUBLE
                        WHEN epoch = 0 OR cooling <> 'G' THEN 1.0::DOUBLE ELSE hot END AS tbr FROM rows_)""",
         recursive=True,
         query="""SELECT run_id, band, round(avg(nni), 9) AS expected_nni, round(avg(tbr), 9) AS expected_tbr,
@@ -143,7 +144,7 @@ _HOT = f"({_TEMPERATURE} / {T0})"
     ),
 )
 def move_probabilities(spark, sf_dir):
-    rows = with_temperature(spark, sf_dir).filter("algorithm < 2")
+    rows = with_temperature(spark, sf_dir)
     p = R.move_probabilities(
         F.col("algorithm"), F.col("iter") - 1, F.col("epoch"), F.col("cooling"), F.col("t"), F.lit(T0)
     )

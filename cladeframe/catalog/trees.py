@@ -276,10 +276,10 @@ _DRAW = """((({0} * 1103515245 + 7 * 12345 + 12345) % 2147483648) * 48271 % 2147
 )
 def propose_moves(spark, sf_dir):
     t = V.trees6(spark, sf_dir)
-    nni = moves.nni_neighbours(t, ID).withColumn("move_no", F.col("branch") * 100 + F.col("side"))
-    spr = moves.spr_neighbours(t, ID).withColumn("move_no", F.col("src") * 100 + F.col("dest"))
+    nni = moves.nni_edits(t, ID).withColumn("move_no", F.col("branch") * 100 + F.col("side"))
+    spr = moves.spr_edits(t, ID).withColumn("move_no", F.col("src") * 100 + F.col("dest"))
     shares = t.select("tree_id", F.lit(0.4).alias("p_nni"), F.lit(0.6).alias("p_spr"))
-    picked = moves.propose_moves({"NNI": nni, "SPR": spr}, ID, shares, 4, portable_draw)
+    picked = moves.propose_moves(t, {"NNI": nni, "SPR": spr}, ID, shares, 4, portable_draw)
     return picked.select("tree_id", "move", "move_no", "slot")
 
 

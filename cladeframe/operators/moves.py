@@ -7,6 +7,7 @@ taxon; ``keep`` names the columns that identify a tree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,29 +15,35 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions import trees as T
 from cladeframe.functions.binding import pinned
-from cladeframe.operators.trees import with_merges, with_topology_key
+from cladeframe.operators.trees import with_merges
 
 
-def nni_neighbours(trees: DataFrame, keep: list[str]) -> DataFrame:
-    """All nearest-neighbour interchanges: ``branch, side, parent``.
+def _applied(moved: DataFrame) -> DataFrame:
+    """Moves ``_old, _edits`` to neighbours: ``parent``."""
+    return moved.withColumn("parent", pinned(T.rewire(F.col("_old"), F.col("_edits")))).drop("_old", "_edits")
 
-    Across each inner branch its left (side 0) or right (side 1) child changes
-    places with its sister: 2(n-3) rows per tree.
-    """
+
+def nni_edits(trees: DataFrame, keep: list[str]) -> DataFrame:
+    """Nearest-neighbour interchanges ``branch, side``, with the tree as ``_old`` and ``_edits``."""
     tree = F.col("_old")
     rows = with_merges(trees).select(
         *keep, F.col("parent").alias("_old"), F.inline_outer(F.slice("_plan", F.lit(1), F.size("_plan") - 1)),
     ).withColumnRenamed("node", "branch")
     sides = rows.select(*keep, "_old", "branch", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
-    moved = (
-        sides.withColumn("_x", T.at(T.children(tree, F.col("branch")), F.col("side")))
-        .withColumn("_c", T.sister(tree, F.col("branch")))
-        .withColumn("_v", T.at(tree, F.col("branch")))
-        .withColumn("_edits", F.array(T.edit(F.col("_x"), F.col("_v")), T.edit(F.col("_c"), F.col("branch"))))
-    )
-    return moved.withColumn("parent", pinned(T.rewire(tree, F.col("_edits")))).select(
-        *keep, "branch", "side", "parent"
+    child = T.at(T.children(tree, F.col("branch")), F.col("side"))
+    swap = F.array(
+        T.edit(child, T.at(tree, F.col("branch"))), T.edit(T.sister(tree, F.col("branch")), F.col("branch"))
     )
+    return sides.withColumn("_edits", swap)
+
+
+def nni_neighbours(trees: DataFrame, keep: list[str]) -> DataFrame:
+    """All nearest-neighbour interchanges: ``branch, side, parent``.
+
+    Across each inner branch its left (side 0) or right (side 1) child changes
+    places with its sister: 2(n-3) rows per tree.
+    """
+    return _applied(nni_edits(trees, keep))
 
 
 def _cut_points(trees: DataFrame, keep: list[str]) -> DataFrame:
@@ -82,6 +89,15 @@ def _regraft(tree: Column) -> Column:
     )
 
 
+def spr_edits(trees: DataFrame, keep: list[str], full: bool = False) -> DataFrame:
+    """Prune-and-regraft moves ``src, dest``, with the tree as ``_old`` and ``_edits``."""
+    moved = spr_moves(trees, keep).withColumn("_edits", _regraft(F.col("_old")))
+    moved = moved.select(*keep, "_old", "src", "dest", "_edits")
+    if full:
+        moved = moved.unionByName(_other_side_moves(trees, keep)).unionByName(_root_branch_moves(trees, keep))
+    return moved
+
+
 def spr_neighbours(trees: DataFrame, keep: list[str], full: bool = False) -> DataFrame:
     """Trees after every legal prune-and-regraft move: ``src, dest, parent``.
 
@@ -89,12 +105,7 @@ def spr_neighbours(trees: DataFrame, keep: list[str], full: bool = False) -> Dat
     ``full`` adds the rest (see ``_other_side_moves``). A topology may come up
     several times and should then be reduced by key.
     """
-    tree = F.col("_old")
-    moved = spr_moves(trees, keep).withColumn("_edits", _regraft(tree))
-    moved = moved.select(*keep, "_old", "src", "dest", "_edits")
-    if full:
-        moved = moved.unionByName(_other_side_moves(trees, keep)).unionByName(_root_branch_moves(trees, keep))
-    return moved.withColumn("parent", pinned(T.rewire(tree, F.col("_edits")))).select(*keep, "src", "dest", "parent")
+    return _applied(spr_edits(trees, keep, full))
 
 
 def _turn(path: Column, tree: Column, top: Column) -> Column:
@@ -182,7 +193,12 @@ def _other_side_moves(trees: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def tbr_neighbours(trees: DataFrame, keep: list[str]) -> DataFrame:
-    """Prune-and-regraft with the moved subtree turned around: ``src, dest, leaf, parent``.
+    """Prune-and-regraft with the moved subtree turned around: ``src, dest, leaf, parent``."""
+    return _applied(tbr_edits(trees, keep))
+
+
+def tbr_edits(trees: DataFrame, keep: list[str]) -> DataFrame:
+    """Moves ``src, dest, leaf``, with the tree as ``_old`` and ``_edits``.
 
     A moved subtree of more than two taxa is re-rooted at each of its taxa that
     is not a child of the moved branch (``leaf``); smaller ones move as they are
@@ -213,30 +229,24 @@ def tbr_neighbours(trees: DataFrame, keep: list[str]) -> DataFrame:
         F.array().cast("array<struct<b:int,p:int>>")
     )
     moved = turned.withColumn("_edits", F.concat(turn, _regraft(tree)))
-    return moved.withColumn("parent", pinned(T.rewire(tree, F.col("_edits")))).select(
-        *keep, "src", "dest", "leaf", "parent"
-    )
-
-
-def distinct_neighbours(neighbours: DataFrame, group: list[str]) -> DataFrame:
-    """One row per topology and group, with its key."""
-    return with_topology_key(neighbours).dropDuplicates([*group, "key"])
+    return moved.select(*keep, "src", "dest", "leaf", "_old", "_edits")
 
 
 def propose_moves(
-    neighbourhoods: dict[str, DataFrame],
+    trees: DataFrame,
+    offers: dict[str, DataFrame],
     keep: list[str],
     shares: DataFrame,
     k: int,
-    draw,
+    draw: Callable[..., Column],
 ) -> DataFrame:
     """Pick ``k`` proposals per tree, the kind of each drawn by its probability.
 
-    ``neighbourhoods`` maps NNI, SPR, TBR to neighbour tables with the columns
-    ``keep, move_no, parent``; ``shares(keep, p_nni, p_spr)`` has one row per tree;
-    ``draw(columns...)`` gives a reproducible value in [0, 1). Slot j of a tree
-    takes the kind its draw falls on, then the first unused move of that kind in
-    the order of the moves' own draws.
+    ``offers`` maps NNI, SPR, TBR to tables with ``keep, move_no, _edits``;
+    ``shares(keep, p_nni, p_spr)`` has one row per tree; ``draw(columns...)`` gives
+    a reproducible value in [0, 1). Slot j of a tree takes the kind its draw falls
+    on, then the first unused move of that kind in the order of the moves' own
+    draws. Moves are picked by their edits alone and applied afterwards.
     """
     slots = shares.select(
         *keep, "p_nni", "p_spr", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot")
@@ -248,12 +258,15 @@ def propose_moves(
     wanted = slots.withColumn("move", kind).withColumn(
         "pick", F.row_number().over(Window.partitionBy(*keep, "move").orderBy("slot"))
     )
-    offers = reduce(
+    every = reduce(
         DataFrame.unionByName,
-        [n.select(*keep, "move_no", "parent").withColumn("move", F.lit(m)) for m, n in neighbourhoods.items()],
+        [n.select(*keep, "move_no", "_edits").withColumn("move", F.lit(m)) for m, n in offers.items()],
     )
     order = draw(*[F.col(c) for c in keep], F.col("move_no") + 1000)
-    ranked = offers.withColumn(
+    # no slot needs more than the first k, which Spark cuts down to before shuffling
+    ranked = every.withColumn(
         "pick", F.row_number().over(Window.partitionBy(*keep, "move").orderBy(order, "move_no"))
-    )
-    return ranked.join(wanted.select(*keep, "move", "pick", "slot"), [*keep, "move", "pick"]).drop("pick")
+    ).filter(F.col("pick") <= k)
+    picked = ranked.join(wanted.select(*keep, "move", "pick", "slot"), [*keep, "move", "pick"])
+    old = trees.select(*keep, F.col("parent").alias("_old"))
+    return _applied(picked.join(old, keep)).drop("pick")

@@ -155,13 +155,15 @@ def move_probabilities(algorithm: Column, iteration: Column, epoch: Column, cool
 
     Algorithm 0 alternates NNI (even) and SPR (odd, 0-based). Algorithm 1 only
     does TBR before the first cooling and under linear cooling, else TBR with T/t0.
+    Shares of other algorithms depend on their history and are NULL here.
     """
     hot = t / t0
     fresh = (epoch == 0) | (cooling != "G")
     tbr = F.when(algorithm == 0, 0.0).when(fresh, 1.0).otherwise(hot)
     nni = F.when(algorithm == 0, F.when(iteration % 2 == 0, 1.0).otherwise(0.0)).when(fresh, 0.0).otherwise((1 - hot) / 2)
     spr = F.when(algorithm == 0, F.when(iteration % 2 == 0, 0.0).otherwise(1.0)).when(fresh, 0.0).otherwise((1 - hot) / 2)
-    return F.struct(nni.alias("nni"), spr.alias("spr"), tbr.alias("tbr"))
+    known = algorithm < 2
+    return F.struct(*[F.when(known, p).alias(m) for m, p in (("nni", nni), ("spr", spr), ("tbr", tbr))])
 
 
 def pseudocount_moves(trace: DataFrame, credit: Column, size: int = SEGMENT) -> DataFrame:

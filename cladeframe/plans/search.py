@@ -125,16 +125,16 @@ def population_search(
         round_draw = lambda *keys, s=step: draw(F.lit(s), *keys)
         trees = spread(current.select(*keep, "parent"), "run_id")
         offers = {
-            "NNI": moves.nni_neighbours(trees, keep).withColumn("move_no", F.col("branch") * 2 + F.col("side")),
-            "SPR": moves.spr_neighbours(trees, keep).withColumn("move_no", F.col("src") * 100000 + F.col("dest")),
-            "TBR": moves.tbr_neighbours(trees, keep).withColumn(
+            "NNI": moves.nni_edits(trees, keep).withColumn("move_no", F.col("branch") * 2 + F.col("side")),
+            "SPR": moves.spr_edits(trees, keep).withColumn("move_no", F.col("src") * 100000 + F.col("dest")),
+            "TBR": moves.tbr_edits(trees, keep).withColumn(
                 "move_no", F.xxhash64("src", "dest", "leaf")
             ),
         }
         offers = {m: o.withColumn("move_no", F.col("move_no").cast("bigint")) for m, o in offers.items()}
         tbr = 1.0 if step == 0 else t / t0
         shares = trees.select(*keep, F.lit((1 - tbr) / 2).alias("p_nni"), F.lit((1 - tbr) / 2).alias("p_spr"))
-        picked = moves.propose_moves(offers, keep, shares, proposals, round_draw).select(*keep, "slot", "parent")
+        picked = moves.propose_moves(trees, offers, keep, shares, proposals, round_draw).select(*keep, "slot", "parent")
         keyed = materialise(with_topology_key(picked), "anneal-new")
         new = materialise(score_packs(keyed, packs, ["run_id", "slot"]), "anneal")
         met = met.unionByName(new.drop("slot"))
