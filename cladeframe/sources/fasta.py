@@ -14,10 +14,11 @@ LINE = 60
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``alignment_id, taxon_id, name, seq`` of all FASTA files below ``path``.
 
-    Large files are split across tasks. Taxa are numbered in file order: each
-    block of a file counts its own records, and the short table of counts gives
-    every block its first number. A header without sequence has an empty ``seq``.
-    Text before the first header of a file is not a record.
+    Large files are split across tasks. Taxa are numbered in file order without
+    moving the records: a short table of the records per block of a file gives
+    every block its first number, and a record adds its place in the block. A
+    header without sequence has an empty ``seq``. Text before the first header of a
+    file is not a record.
     """
     records = (
         spark.read.option("lineSep", "\n>")
@@ -29,28 +30,29 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
             F.monotonically_increasing_id().alias("at"),
         )
     )
-    inside = Window.partitionBy("path", "block").orderBy("at")
-    numbered = records.withColumn("rn", F.row_number().over(inside))
-    is_first = (F.col("block") == 0) & (F.col("rn") == 1)
-    numbered = numbered.withColumn("value", F.when(is_first, F.ltrim("value")).otherwise(F.concat(F.lit(">"), "value")))
-    headed = numbered.filter(F.col("value").startswith(">")).withColumn("alignment_id", alignment_of(F.col("path")))
+    # only the first record of a file still has its own header mark, or none at all
+    headed = F.ltrim("value").startswith(">")
+    junk = F.when((F.col("block") == 0) & ~F.min_by(headed, F.col("at")), 1).otherwise(0)
+    blocks = records.groupBy("path", "block").agg(
+        (F.min("at") + junk).alias("lo"), (F.count(F.lit(1)) - junk).alias("c")
+    )
     ordered = Window.partitionBy("alignment_id").orderBy("path", "block")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        headed.groupBy("alignment_id", "path", "block")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("rn").alias("lo"))
-        .withColumn("offset", F.coalesce(F.sum("c").over(before), F.lit(0)) - F.col("lo"))
-        .drop("c", "lo")
+        blocks.withColumn("alignment_id", alignment_of(F.col("path")))
+        .withColumn("offset", F.coalesce(F.sum("c").over(before), F.lit(0)))
+        .drop("c")
     )
-    first_break = F.locate("\n", F.col("value"))
-    body = F.when(first_break > 0, F.substring("value", first_break + 1, F.length("value"))).otherwise("")
-    seq = S.trim_chars(F.regexp_replace(body, "[ \r]*\n[ \r\n]*", ""))
-    name = F.substring(F.substring_index("value", "\n", 1), 2, 2**31 - 1)
-    return headed.join(offsets, ["alignment_id", "path", "block"]).select(
+    placed = records.join(offsets, ["path", "block"]).filter(F.col("at") >= F.col("lo"))
+    is_first = (F.col("block") == 0) & (F.col("at") == F.col("lo"))
+    text = F.when(is_first & headed, F.substring(F.ltrim("value"), 2, 2**31 - 1)).otherwise(F.col("value"))
+    placed = placed.withColumn("text", text).withColumn("cut", F.locate("\n", F.col("text")))
+    body = F.when(F.col("cut") > 0, F.substring("text", F.col("cut") + 1, F.length("text"))).otherwise("")
+    return placed.select(
         "alignment_id",
-        (F.col("offset") + F.col("rn")).cast("int").alias("taxon_id"),
-        S.trim_chars(name).alias("name"),
-        seq.alias("seq"),
+        (F.col("offset") + F.col("at") - F.col("lo")).cast("int").alias("taxon_id"),
+        S.trim_chars(F.substring_index("text", "\n", 1)).alias("name"),
+        S.trim_chars(F.regexp_replace(body, "[ \r]*\n[ \r\n]*", "")).alias("seq"),
     )
 
 

@@ -83,6 +83,16 @@ def test_fasta_split_over_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_text_before_the_first_header(spark, tmp_path):
+    H.put(tmp_path, "x", "notes\nmore notes\n" + H.FASTA)
+    H.put(tmp_path, "y", "\n \n" + H.FASTA)
+    rows = fasta.read_fasta(spark, str(tmp_path))
+    for name in ("x", "y"):
+        own = rows.filter(F.col("alignment_id") == name)
+        assert as_rows(own) == FIVE
+        assert sorted(r.taxon_id for r in own.collect()) == list(range(5))
+
+
 def test_fasta_round_trip(spark, small, tmp_path):
     path = str(tmp_path / "out")
     fasta.write_fasta(small, path)
