@@ -67,6 +67,11 @@ def spr_moves(trees: DataFrame, keep: list[str]) -> DataFrame:
     The destination is no branch of the moved subtree, nor the root, nor the
     parent or sister of the moved branch (which would give the same tree).
     """
+    return _graft_points(_cut_points(trees, keep), [*keep, "_old", "_paths", "src", "up", "sis"])
+
+
+def _graft_points(cut: DataFrame, columns: list[str]) -> DataFrame:
+    """Every legal ``dest`` for each cut point."""
     outside = F.filter(
         F.sequence(F.lit(0), F.size("_old") - 1),
         lambda b: (T.at(F.col("_old"), b) >= 0)
@@ -74,10 +79,8 @@ def spr_moves(trees: DataFrame, keep: list[str]) -> DataFrame:
         & (b != F.col("sis"))
         & ~F.array_contains(T.at(F.col("_paths"), b), F.col("src")),
     )
-    cut = _cut_points(trees, keep).withColumn("_dests", outside)
-    return cut.select(*keep, "_old", "_paths", "src", "up", "sis", F.explode_outer("_dests").alias("dest")).filter(
-        "dest IS NOT NULL"
-    )
+    dests = cut.withColumn("_dests", outside)
+    return dests.select(*columns, F.explode_outer("_dests").alias("dest")).filter("dest IS NOT NULL")
 
 
 def _regraft(tree: Column) -> Column:
@@ -209,26 +212,23 @@ def tbr_edits(trees: DataFrame, keep: list[str]) -> DataFrame:
         F.sequence(F.lit(0), T.taxa(tree) - 1),
         lambda i: (i != F.col("src")) & F.array_contains(T.at(F.col("_paths"), i), F.col("src")),
     )
-    moving = spr_moves(trees, keep).withColumn("_inside", inside)
-    leaves = F.when(
-        F.size("_inside") > 2, F.filter("_inside", lambda i: T.at(tree, i) != F.col("src"))
-    ).otherwise(F.array(F.lit(-1)))
-    turned = moving.withColumn("_leaves", leaves).select(
-        *keep, "_old", "_paths", "src", "dest", "up", "sis", F.explode_outer("_leaves").alias("leaf")
+    leaves = F.when(F.size("_inside") > 2, F.filter("_inside", lambda i: T.at(tree, i) != F.col("src"))).otherwise(
+        F.array(F.lit(-1))
     )
-    # way from the chosen taxon up to the moved branch
+    cut = _cut_points(trees, keep).withColumn("_inside", inside).withColumn("_leaves", leaves)
+    turned = cut.select(*keep, "_old", "_paths", "src", "up", "sis", F.explode_outer("_leaves").alias("leaf"))
+    # way from the chosen taxon up to the moved branch; the turn does not depend on where it goes
     way = T.at(F.col("_paths"), F.greatest(F.col("leaf"), F.lit(0)))
-    turned = turned.withColumn(
-        "_path",
-        F.when(F.col("leaf") >= 0, F.slice(way, F.lit(1), F.array_position(way, F.col("src")).cast("int"))).otherwise(
-            F.array().cast("array<int>")
-        ),
-    )
+    path = F.when(
+        F.col("leaf") >= 0, F.slice(way, F.lit(1), F.array_position(way, F.col("src")).cast("int"))
+    ).otherwise(F.array().cast("array<int>"))
     q = F.col("_path")
     turn = F.when(F.size(q) >= 3, _turn(q, tree, F.col("up"))).otherwise(
         F.array().cast("array<struct<b:int,p:int>>")
     )
-    moved = turned.withColumn("_edits", F.concat(turn, _regraft(tree)))
+    turned = turned.withColumn("_path", path).withColumn("_turn", pinned(turn))
+    moved = _graft_points(turned, [*keep, "_old", "src", "up", "sis", "leaf", "_turn"])
+    moved = moved.withColumn("_edits", F.concat("_turn", _regraft(tree)))
     return moved.select(*keep, "src", "dest", "leaf", "_old", "_edits")
 
 
