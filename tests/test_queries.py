@@ -5,7 +5,6 @@ import __spark_entry__ as entry
 from cladeframe.functions import sequences as S
 from cladeframe.operators import sites
 from cladeframe.plans import search
-from cladeframe.plans.enumerate import random_trees
 from pyspark.sql import functions as F
 from tests import helpers as H
 
