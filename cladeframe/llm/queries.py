@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.catalog.registry import Registry
-from cladeframe.llm import mixing, sharding, simhash
-from cladeframe.llm.common import table
+from cladeframe.llm import kneser_ney, mixing, packing, paragraph_sketch, sharding, simhash, url_cascade
+from cladeframe.llm.common import id_crc, table
 
 registry = Registry()
 
@@ -77,3 +78,44 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@registry.query("op2_kneser_ney")
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs.where(id_crc("doc_id") % 5 != 1), order=2)
+    scored = kneser_ney.score(docs, model)
+    return scored.withColumns({"held_out": id_crc("doc_id") % 5 == 1, "train_tokens": F.lit(model.n_tokens).cast("long")})
+
+
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def _url_sql() -> str:
+    fits = " UNION ALL ".join(
+        f"SELECT page_id, '{h}{p}' AS rule, '{v}' AS verdict FROM parts WHERE (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+        for v, h, p in RULES
+    )
+    return f"""WITH rest AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0
+        THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+    parts AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+    fits AS ({fits}),
+    best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM fits GROUP BY page_id)
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)"""
+
+
+@registry.query("op3_url_cascade", _url_sql())
+def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_cascade.judge(pages, url_cascade.rule_table(spark, RULES)).drop("url")
+
+
+@registry.query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@registry.query("op10_paragraph_sketch")
+def op10_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.compare_versions(table(spark, sf_dir, "documents"))
