@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import sys
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -27,38 +28,106 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Tokens a document starts with and ends with; no word holds blanks.
 START, END = b" start", b" end"
-#: Words whose numbers a task remembers; beyond it, it starts afresh.
-REMEMBERED = 500_000
+#: Words that a task remembers; beyond it, it passes on what it has and starts afresh.
+REMEMBERED = 300_000
 #: Tokens of training text for one bucket.
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 600_000
 #: Tokens that a task counts or scores at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
+#: Buckets of one order that a task reads to count the order below.
+READ = 8
 
 
 def token_hash(token: bytes) -> int:
     return xxhash.xxh64_intdigest(token)
 
 
-def gram_key(ids: list[np.ndarray]) -> np.ndarray:
+def unmix64(x: np.ndarray) -> np.ndarray:
+    """Inverse of mix64."""
+    x = x.copy()
+    for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9), (30, 1)):
+        done = shift
+        y = x ^ (x >> np.uint64(shift))
+        while 2 * done < 64:
+            y = x ^ (y >> np.uint64(shift))
+            done += shift
+        x = y * np.uint64(pow(factor, -1, 2**64))
+    return x
+
+
+def packs(n: int, n_distinct: int) -> bool:
+    """Whether the token numbers of an n-gram fit into its key, so that the key gives them back."""
+    return n <= 2 and n_distinct + 2 < 2**32
+
+
+def gram_key(ids: list[np.ndarray], n_distinct: int) -> np.ndarray:
     """64-bit key of n-grams, given as one array of token numbers for each place."""
+    if packs(len(ids), n_distinct):
+        h = ids[0].astype(np.uint64)
+        return mix64(h << np.uint64(32) | ids[1].astype(np.uint64) if len(ids) == 2 else h)
     h = np.zeros(len(ids[0]), np.uint64)
     for x in ids:
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + x.astype(np.uint64) + np.uint64(1))
     return h
 
 
+def gram_ids(key: np.ndarray, n: int) -> list[np.ndarray]:
+    """Token numbers from keys that hold them."""
+    h = unmix64(key)
+    if n == 1:
+        return [h.astype(np.int64)]
+    return [(h >> np.uint64(32)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+
+
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are ranges of the keys' upper half."""
     return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def summed(ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Equal n-grams added up, sorted by key."""
-    key = gram_key(ids)
-    order = np.argsort(key, kind="stable")
+def summed(key: np.ndarray, fixed: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Rows of equal key added up, sorted by key; ``fixed`` arrays depend on the key."""
+    order = np.argsort(key)
     key = key[order]
     at = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1) if len(key) else np.empty(0, np.int64)
-    return key[at], [x[order][at] for x in ids], [np.add.reduceat(c[order], at) if len(at) else c for c in counts]
+    return key[at], [x[order][at] for x in fixed], [np.add.reduceat(c[order], at) if len(at) else c for c in counts]
+
+
+def shrink(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of non-negative numbers as bytes, the first one sorted: steps of the first, then byte by byte, so that zeros lie together."""
+    n = len(arrays[0])
+    out = [np.uint64(n).tobytes()]
+    for i, a in enumerate(arrays):
+        a = a.astype(np.uint64)
+        if i == 0 and n:
+            a = np.append(a[:1], np.diff(a))
+        width = (int(a.max()).bit_length() + 7) // 8 if n else 0
+        out += [bytes([width]), a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return b"".join(out)
+
+
+def grow(data: bytes, k: int) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, np.uint64, 1)[0])
+    at, arrays = 8, []
+    for i in range(k):
+        width = data[at]
+        planes = np.frombuffer(data, np.uint8, n * width, at + 1).reshape(width, n)
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :width] = planes.T
+        a = a.view(np.uint64).ravel()
+        arrays.append(np.cumsum(a, dtype=np.uint64) if i == 0 else a.astype(np.int64))
+        at += 1 + n * width
+    return arrays
+
+
+DEALT = "bucket int, data binary"
+
+
+def dealt(buckets: int, key: np.ndarray, others: list[np.ndarray]) -> pa.RecordBatch:
+    """Sorted rows as one packed row for each bucket that has any."""
+    cuts = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    data = [shrink([x[cuts[b] : cuts[b + 1]] for x in (key, *others)]) for b in full]
+    return pa.record_batch([pa.array(full.astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "data"])
 
 
 def save(folder: str, name: str, bucket: int, arrays: dict[str, np.ndarray]) -> None:
@@ -188,21 +257,13 @@ def grams(ids: np.ndarray, lengths: np.ndarray, order: int) -> tuple[list[np.nda
     return [ids[at - order + 1 + j] for j in range(order)], at
 
 
-def _numbers(n: int) -> list[str]:
-    return [f"t{i}" for i in range(n)]
-
-
-def _batch(bucket: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-    arrays = [pa.array(bucket.astype(np.int32))] + [pa.array(x.astype(np.int64)) for x in [*ids, *counts]]
-    return pa.record_batch(arrays, names=["bucket", *_numbers(len(ids)), *[f"c{i}" for i in range(len(counts))]])
-
-
-def _write_buckets(rows: DataFrame, places: int, counts: int, write: Callable[[int, pa.Table], list[float]], n_out: int) -> np.ndarray:
-    """Hand every bucket to one call of ``write`` and add up the figures it returns."""
+def _write_buckets(rows: DataFrame, arrays: int, write: Callable[[int, list[np.ndarray]], list[float]], n_out: int) -> np.ndarray:
+    """Hand the arrays of every bucket to one call of ``write`` and add up the figures it returns."""
     schema = "bucket int, " + ", ".join(f"x{i} double" for i in range(n_out))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        out = write(key[0].as_py(), t)
+        parts = [grow(x, arrays) for x in t.column("data").to_pylist()]
+        out = write(key[0].as_py(), [np.concatenate(x) for x in zip(*parts)])
         return pa.table([pa.array([key[0].as_py()], pa.int32())] + [pa.array([float(x)]) for x in out], names=["bucket"] + [f"x{i}" for i in range(n_out)])
 
     figures = rows.groupBy("bucket").applyInArrow(run, schema)
@@ -210,14 +271,6 @@ def _write_buckets(rows: DataFrame, places: int, counts: int, write: Callable[[i
     return np.array([x or 0.0 for x in found])
 
 
-def _columns(t: pa.Table, places: int, counts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    return [t.column(f"t{i}").to_numpy() for i in range(places)], [t.column(f"c{i}").to_numpy() for i in range(counts)]
-
-
-def _schema(places: int, counts: int) -> str:
-    return ", ".join(["bucket int", *[f"{n} bigint" for n in _numbers(places)], *[f"c{i} bigint" for i in range(counts)]])
-
-
 def _fill_empty(spark: SparkSession, folder: str, name: str, buckets: int, kinds: dict[str, type]) -> None:
     """Buckets that got no rows get empty files. The driver looks at names only."""
     for b in range(buckets):
@@ -229,24 +282,27 @@ def _fill_empty(spark: SparkSession, folder: str, name: str, buckets: int, kinds
 def _vocabulary(docs: DataFrame, folder: str, buckets: int) -> None:
     """Files of token hashes and counts, sorted."""
 
+    def passed(tally: Counter) -> pa.RecordBatch:
+        h = mix64(np.fromiter(map(token_hash, tally), np.uint64, len(tally)))
+        key, _, (c,) = summed(h, [], [np.fromiter(tally.values(), np.int64, len(tally))])
+        return dealt(buckets, key, [c])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally: Counter = Counter()
         for _, tokens, _ in token_groups(batches, []):
-            tally: dict[bytes, int] = {}
-            get = tally.get
-            for w in tokens:
-                tally[w] = get(w, 0) + 1
-            h = mix64(np.fromiter(map(token_hash, tally), np.uint64, len(tally)))
-            yield _batch(bucket_of(h, buckets), [h.view(np.int64)], [np.fromiter(tally.values(), np.int64, len(tally))])
-
-    def write(bucket: int, t: pa.Table) -> list[float]:
-        (h,), (c,) = _columns(t, 1, 1)
-        key, back = np.unique(h.view(np.uint64), return_inverse=True)
-        n = np.zeros(len(key), np.int64)
-        np.add.at(n, back, c)
-        save(folder, "vocabulary", bucket, {"key": key, "count": n})
+            tally.update(tokens)
+            if len(tally) > REMEMBERED:
+                yield passed(tally)
+                tally.clear()
+        if tally:
+            yield passed(tally)
+
+    def write(bucket: int, arrays: list[np.ndarray]) -> list[float]:
+        key, _, (c,) = summed(arrays[0], [], arrays[1:])
+        save(folder, "vocabulary", bucket, {"key": key, "count": c})
         return [0.0]
 
-    _write_buckets(docs.select("text").mapInArrow(count, _schema(1, 1)), 1, 1, write, 1)
+    _write_buckets(docs.select("text").mapInArrow(count, DEALT), 2, write, 1)
     _fill_empty(docs.sparkSession, folder, "vocabulary", buckets, {"key": np.uint64, "count": np.int64})
 
 
@@ -261,66 +317,77 @@ def discounts_of(n1: float, n2: float, n3: float, n4: float) -> tuple[float, flo
     return tuple(float(min(max(d, 0.05), k - 0.05)) for d, k in zip((d1, d2, d3), (1, 2, 3)))
 
 
+def _fixed(model: Model, n: int) -> int:
+    """Arrays of token numbers kept beside the keys of n-grams."""
+    return 0 if packs(n, model.n_distinct) else n
+
+
 def _level(rows: DataFrame, model: Model, n: int) -> None:
     """Files of the n-grams of one order, and its discounts, from dealt rows."""
-    folder = model.folder
+    folder, fixed = model.folder, _fixed(model, n)
 
-    def write(bucket: int, t: pa.Table) -> list[float]:
-        ids, counts = _columns(t, n, 1)
-        key, ids, (c,) = summed(ids, counts)
-        save(folder, f"grams{n}", bucket, {"key": key, "count": c.astype(np.int64)} | {f"t{i}": x.astype(np.int64 if model.n_distinct > 2**31 - 4 else np.int32) for i, x in enumerate(ids)})
+    def write(bucket: int, arrays: list[np.ndarray]) -> list[float]:
+        key, ids, (c,) = summed(arrays[0], arrays[1 : 1 + fixed], arrays[1 + fixed :])
+        kept = {"key": key, "count": c.astype(np.uint32) if not len(c) or c.max() < 2**32 else c}
+        save(folder, f"grams{n}", bucket, kept | {f"t{i}": x for i, x in enumerate(ids)})
         return [(c == k).sum() for k in (1, 2, 3, 4)]
 
-    found = _write_buckets(rows, n, 1, write, 4)
-    small = np.int64 if model.n_distinct > 2**31 - 4 else np.int32
-    _fill_empty(rows.sparkSession, folder, f"grams{n}", model.buckets, {"key": np.uint64, "count": np.int64} | {f"t{i}": small for i in range(n)})
+    found = _write_buckets(rows, 2 + fixed, write, 4)
+    empty = {"key": np.uint64, "count": np.uint32} | {f"t{i}": np.int64 for i in range(fixed)}
+    _fill_empty(rows.sparkSession, folder, f"grams{n}", model.buckets, empty)
     model.discounts[n] = discounts_of(*found)
 
 
-def _read_level(spark: SparkSession, model: Model, n: int, emit: Callable[[list[np.ndarray], np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-    """Rows made from each bucket's files of one order, a task per bucket."""
-    folder, buckets = model.folder, model.buckets
+def _from_level(spark: SparkSession, model: Model, n: int, turn: Callable[[list[np.ndarray], np.ndarray], tuple[list[np.ndarray], list[np.ndarray]]]) -> DataFrame:
+    """Dealt rows made from the files of one order; ``turn`` gives shorter n-grams and their counts."""
+    folder, buckets, n_distinct, fixed = model.folder, model.buckets, model.n_distinct, _fixed(model, n)
+
+    def turned(bucket: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        key = np.asarray(mapped(folder, f"grams{n}", "key", bucket))
+        ids = [np.asarray(mapped(folder, f"grams{n}", f"t{i}", bucket)) for i in range(fixed)] or gram_ids(key, n)
+        lower, counts = turn(ids, np.asarray(mapped(folder, f"grams{n}", "count", bucket)).astype(np.int64))
+        return summed(gram_key(lower, n_distinct), lower if _fixed(model, n - 1) else [], counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for bucket in b.column(0).to_pylist():
-                ids = [mapped(folder, f"grams{n}", f"t{i}", bucket) for i in range(n)]
-                yield emit([np.asarray(x, np.int64) for x in ids], np.asarray(mapped(folder, f"grams{n}", "count", bucket)))
+            at = b.column(0).to_pylist()
+            for i in range(0, len(at), READ):
+                parts = [turned(k) for k in at[i : i + READ]]
+                key = np.concatenate([p[0] for p in parts])
+                joined = [[np.concatenate(x) for x in zip(*(p[j] for p in parts))] for j in (1, 2)]
+                key, lower, counts = summed(key, *joined)
+                yield dealt(buckets, key, [*lower, *counts])
 
-    return spark.range(0, buckets, 1, buckets).mapInArrow(run, schema)
+    return spark.range(0, buckets, 1, max(1, buckets // READ)).mapInArrow(run, DEALT)
 
 
 def _contexts(spark: SparkSession, model: Model, n: int) -> None:
     """Files of the contexts of one order: total count and the weight left for the order below."""
-    buckets, folder = model.buckets, model.folder
+    folder, fixed = model.folder, _fixed(model, n - 1)
     d1, d2, d3 = model.discounts[n]
 
-    def emit(ids: list[np.ndarray], c: np.ndarray) -> pa.RecordBatch:
-        parts = [c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)]
-        key, ids, parts = summed(ids[:-1], parts)
-        return _batch(bucket_of(key, buckets), ids, parts)
+    def turn(ids: list[np.ndarray], c: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        return ids[:-1], [c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)]
 
-    def write(bucket: int, t: pa.Table) -> list[float]:
-        ids, counts = _columns(t, n - 1, 4)
-        key, _, (total, n1, n2, n3) = summed(ids, counts)
+    def write(bucket: int, arrays: list[np.ndarray]) -> list[float]:
+        key, _, (total, n1, n2, n3) = summed(arrays[0], [], arrays[1 + fixed :])
         save(folder, f"contexts{n}", bucket, {"key": key, "total": total.astype(np.float64), "left": (d1 * n1 + d2 * n2 + d3 * n3) / total})
         return [0.0]
 
-    _write_buckets(_read_level(spark, model, n, emit, _schema(n - 1, 4)), n - 1, 4, write, 1)
-    _fill_empty(spark, folder, f"contexts{n}", buckets, {"key": np.uint64, "total": np.float64, "left": np.float64})
+    _write_buckets(_from_level(spark, model, n, turn), 5 + fixed, write, 1)
+    _fill_empty(spark, folder, f"contexts{n}", model.buckets, {"key": np.uint64, "total": np.float64, "left": np.float64})
 
 
 def _below(spark: SparkSession, model: Model, n: int) -> DataFrame:
     """Counts of the next lower order: how many different tokens come before, or plain counts after a document's start."""
-    start, buckets = model.start_id, model.buckets
+    start = model.start_id
 
-    def emit(ids: list[np.ndarray], c: np.ndarray) -> pa.RecordBatch:
-        # a gram that begins with a start mark has nothing before it; it stands for itself as often as it occurs
+    def turn(ids: list[np.ndarray], c: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        # an n-gram that begins with a start mark has nothing before it; it counts as often as it occurs
         plain = (ids[1] == start) & (n > 2)
-        key, lower, (m,) = summed(ids[1:], [np.where(plain, c, 1)])
-        return _batch(bucket_of(key, buckets), lower, [m])
+        return ids[1:], [np.where(plain, c, 1)]
 
-    return _read_level(spark, model, n, emit, _schema(n - 1, 1))
+    return _from_level(spark, model, n, turn)
 
 
 def train(docs: DataFrame, order: int = 2, folder: str | None = None, bucket_tokens: int = BUCKET_TOKENS) -> Model:
@@ -350,10 +417,10 @@ def train(docs: DataFrame, order: int = 2, folder: str | None = None, bucket_tok
         numbering = Numbering(model)
         for _, tokens, n in token_groups(batches, [START] * (order - 1)):
             ids, _ = grams(numbering.number(tokens), n, order)
-            key, ids, (c,) = summed(ids, [np.ones(len(ids[0]), np.int64)])
-            yield _batch(bucket_of(key, buckets), ids, [c])
+            key, ids, (c,) = summed(gram_key(ids, model.n_distinct), ids if _fixed(model, order) else [], [np.ones(len(ids[0]), np.int64)])
+            yield dealt(buckets, key, [*ids, c])
 
-    rows = docs.select("text").mapInArrow(count, _schema(order, 1))
+    rows = docs.select("text").mapInArrow(count, DEALT)
     for n in range(order, 1, -1):
         _level(rows, model, n)
         _contexts(spark, model, n)
@@ -415,12 +482,12 @@ class Scorer:
         p = np.full(len(at), 1.0 / (m.n_distinct + 1))
         for n in range(1, m.order + 1):
             gram = full[m.order - n :]
-            _, _, (c,) = self.grams[n].find(gram_key(gram))
+            _, _, (c,) = self.grams[n].find(gram_key(gram, m.n_distinct))
             if n == 1:
                 if m.total:
                     p = self.kept(1, c) / m.total + m.left * p
                 continue
-            seen, _, (total, left) = self.contexts[n].find(gram_key(gram[:-1]))
+            seen, _, (total, left) = self.contexts[n].find(gram_key(gram[:-1], m.n_distinct))
             p = np.where(seen, self.kept(n, c) / np.where(seen, total, 1) + left * p, p)
         return p, at
 
