@@ -9,7 +9,9 @@ again together, as long as that saves sequences.
 from __future__ import annotations
 
 import os
+import struct
 import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -27,15 +29,25 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CAPACITY = 2048
 #: Pieces that are packed together, on average.
 PART = 50_000
-#: Encoded words that a task remembers; beyond it, it starts afresh.
-REMEMBERED = 400_000
+#: Encoded words that a worker remembers; beyond it, it starts afresh.
+REMEMBERED = 800_000
+#: Bytes of text that are looked through for new words at once.
+GROUP_BYTES = 4 << 20
+#: Symbols that end a word's token wherever they meet a letter or digit.
+SYMBOLS = b".,;:!?*$%&#()+-=/|\"[]{}_~@^"
 END = b"\0\0\0\0"
 
 
+def worker_state() -> dict:
+    """A dictionary that lives as long as the Python worker, so that its next tasks find it again."""
+    return vars(sys.modules.setdefault("cladeframe_worker_state", types.ModuleType("cladeframe_worker_state")))
+
+
 class WordCache:
-    """Token ids of texts, little-endian 32-bit, each distinct word being encoded once.
+    """Token ids of texts, little-endian 32-bit, each distinct word being encoded once in a worker.
 
-    Words are runs between ASCII blanks; the tokenizer drops blanks and never joins characters across them.
+    Words are runs between ASCII blanks; the tokenizer drops blanks, ignores case and never joins characters across blanks, nor
+    symbols with a letter or digit beside them, so a word's outer symbols are encoded apart.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,21 +55,59 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts: dict[bytes, bytes] = {}
         self.ids: dict[bytes, bytes] = {}
 
-    def encode(self, text: bytes) -> bytes:
-        ws = text.split()
-        ids = self.ids
-        try:
-            return b"".join([ids[w] for w in ws])
-        except KeyError:
-            pass
-        if len(ids) > REMEMBERED:
-            ids.clear()
-        new = [w for w in dict.fromkeys(ws) if w not in ids]
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            ids[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([ids[w] for w in ws])
+    @classmethod
+    def of(cls, path: str) -> WordCache:
+        state = worker_state()
+        if path not in state:
+            state[path] = cls(path)
+        return state[path]
+
+    def cut(self, word: bytes) -> list[bytes]:
+        if b"<|" in word:  # may hold a special token, which is looked for before anything else
+            return [word]
+        low = word.lower()
+        tail = low.lstrip(SYMBOLS)
+        core = tail.rstrip(SYMBOLS)
+        text = core.decode("utf-8", "replace")
+        if not core or not (text[0].isalnum() and text[-1].isalnum()):
+            return [low]
+        return [x for x in (low[: len(low) - len(tail)], core, tail[len(core) :]) if x]
+
+    def learn(self, texts: list[bytes]) -> list[list[bytes]]:
+        """Encode what is new in the texts; gives their words."""
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+            self.parts.clear()
+        split = [t.split() for t in texts]
+        new = {w for ws in split for w in ws if w not in self.ids}
+        cuts = {w: self.cut(w) for w in new}
+        parts = [p for p in {p for c in cuts.values() for p in c} if p not in self.parts]
+        for at in range(0, len(parts), 10_000):
+            some = parts[at : at + 10_000]
+            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
+            for p, e in zip(some, found):
+                ids = e.ids
+                self.parts[p] = struct.pack(f"<{len(ids)}I", *ids)
+        known = self.parts
+        for w, c in cuts.items():
+            self.ids[w] = known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c])
+        return split
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text; texts are learned in groups of bounded size."""
+        group: list[bytes] = []
+        size = 0
+        for i, t in enumerate(texts):
+            group.append(t)
+            size += len(t)
+            if size > GROUP_BYTES or i == len(texts) - 1:
+                split, ids = self.learn(group), self.ids
+                for ws in split:
+                    yield b"".join([ids[w] for w in ws])
+                group, size = [], 0
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -71,11 +121,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids:
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(path)
+        cache = WordCache.of(path)
         for b in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(as_bytes(column_of(b, "text"))):
-                data = cache.encode(text) + END
+            for i, data in enumerate(cache.encode(as_bytes(column_of(b, "text")))):
+                data += END
                 for p, s in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[s : s + 4 * capacity]
                     at.append(i)
