@@ -9,7 +9,6 @@ again together, as long as that saves sequences.
 from __future__ import annotations
 
 import os
-import struct
 import sys
 import types
 import zlib
@@ -31,6 +30,8 @@ CAPACITY = 2048
 PART = 50_000
 #: Encoded words that a worker remembers; beyond it, it starts afresh.
 REMEMBERED = 800_000
+#: Words encoded at once.
+TOGETHER = 2000
 #: Bytes of text that are looked through for new words at once.
 GROUP_BYTES = 4 << 20
 #: Symbols that end a word's token wherever they meet a letter or digit.
@@ -55,6 +56,9 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized)]
+        #: A special token and its id, which part words that are encoded in one go; the library is faster on long texts.
+        self.mark = special[0] if special else None
         self.parts: dict[bytes, bytes] = {}
         self.ids: dict[bytes, bytes] = {}
 
@@ -82,20 +86,31 @@ class WordCache:
             self.ids.clear()
             self.parts.clear()
         split = [t.split() for t in texts]
-        new = {w for ws in split for w in ws if w not in self.ids}
+        new: set[bytes] = set()
+        for ws in split:
+            new.update(ws)
+        new -= self.ids.keys()
         cuts = {w: self.cut(w) for w in new}
         parts = [p for p in {p for c in cuts.values() for p in c} if p not in self.parts]
-        for at in range(0, len(parts), 10_000):
-            some = parts[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
-            for p, e in zip(some, found):
-                ids = e.ids
-                self.parts[p] = struct.pack(f"<{len(ids)}I", *ids)
+        for at in range(0, len(parts), TOGETHER):
+            some = parts[at : at + TOGETHER]
+            self.parts.update(zip(some, self.encode_words([p.decode("utf-8", "replace") for p in some])))
         known = self.parts
         for w, c in cuts.items():
             self.ids[w] = known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c])
         return split
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        if self.mark and not any(self.mark[1] in w for w in words):
+            found = self.tokenizer.encode_batch_fast([self.mark[1].join(words)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)).tolist()
+            if len(ends) == len(words):
+                data = ids.tobytes()
+                return [data[4 * a + 4 : 4 * b] for a, b in zip([-1, *ends], ends)]
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text; texts are learned in groups of bounded size."""
         group: list[bytes] = []
@@ -106,7 +121,7 @@ class WordCache:
             if size > GROUP_BYTES or i == len(texts) - 1:
                 split, ids = self.learn(group), self.ids
                 for ws in split:
-                    yield b"".join([ids[w] for w in ws])
+                    yield b"".join(map(ids.__getitem__, ws))
                 group, size = [], 0
 
 
