@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -101,3 +102,24 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
             last = blocks.pop()
             blocks[-1] = [p + q for p, q in zip(blocks[-1], last)]
     return np.array([p[0] / p[2] for p in blocks]), np.array([p[1] / p[2] for p in blocks])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut where the key changes, so that all rows of a key are in one batch; rows come sorted by key."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = column_of(b, key).to_numpy(zero_copy_only=False)
+        changes = np.flatnonzero(k[1:] != k[:-1])
+        if held and column_of(held[-1], key)[-1].as_py() != k[0]:
+            yield pa.concat_batches(held)
+            held = []
+        if len(changes):
+            cut = int(changes[-1]) + 1
+            yield pa.concat_batches([*held, b.slice(0, cut)])
+            held = []
+            b = b.slice(cut)
+        held.append(b)
+    if held:
+        yield pa.concat_batches(held)

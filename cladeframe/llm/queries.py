@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.catalog.registry import Registry
-from cladeframe.llm import kneser_ney, mixing, packing, paragraph_sketch, sharding, simhash, url_cascade
+from cladeframe.llm import (
+    kneser_ney, mixing, nn_descent, packing, paragraph_sketch, rff_quality, sharding, simhash, tfidf_knn, url_cascade,
+)
 from cladeframe.llm.common import id_crc, table
 
 registry = Registry()
@@ -119,3 +121,30 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("op10_paragraph_sketch")
 def op10_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_sketch.compare_versions(table(spark, sf_dir, "documents"))
+
+
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that may be learned from."""
+    return table(spark, sf_dir, "labels").where(id_crc("doc_id") % 5 != 0)
+
+
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(id_crc("doc_id") % 3 != 1)
+
+
+@registry.query("op6_tfidf_knn")
+def op6_tfidf_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = tfidf_knn.fit(docs, toxicity_labels(spark, sf_dir))
+    return tfidf_knn.score(docs, model).withColumn("held_out", id_crc("doc_id") % 5 == 0)
+
+
+@registry.query("op8_rff_quality")
+def op8_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = rff_quality.score_documents(table(spark, sf_dir, "documents"), quality_labels(spark, sf_dir))
+    return scored.withColumn("held_out", id_crc("doc_id") % 3 == 1)
+
+
+@registry.query("op4_nn_descent")
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
