@@ -258,11 +258,13 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
         met = look.withColumnRenamed("node", "other").join(nodes.select(F.col("node").alias("other"), F.col("half").alias("other_half")), "other")
         state = materialise(state.groupBy("query_id").cogroup(met.groupBy("asked")).applyInArrow(advance, STATE), "search-state")
         unopened = F.filter(F.arrays_zip("node", "opened"), lambda x: ~x["opened"])
-        waiting = state.select("query_id", "seen", F.transform(F.slice(unopened, 1, open_), lambda x: x["node"]).alias("next")).where(F.size("next") > 0)
+        waiting = state.select(F.col("query_id").alias("asked"), F.explode(F.transform(F.slice(unopened, 1, open_), lambda x: x["node"])).alias("node"))
         if not waiting.limit(1).count():
             break
-        look = waiting.select("query_id", "seen", F.explode("next").alias("node")).join(edges, "node")
-        look = look.select(F.col("query_id").alias("asked"), F.explode(F.array_except("near", "seen")).alias("node")).distinct()
+        look = waiting.join(edges, "node").select("asked", F.explode("near").alias("node")).distinct()
+        seen = state.select(F.col("query_id").alias("asked"), F.explode("seen").alias("node"))
+        # files of these tables are much smaller than their rows, so their size says nothing about a broadcast
+        look = look.join(seen.hint("merge"), ["asked", "node"], "left_anti")
     found = state.select("query_id", F.posexplode(F.arrays_zip("node", "score")).alias("place", "x"))
     return found.select("query_id", "place", "x.node", "x.score")
 
