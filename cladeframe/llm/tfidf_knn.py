@@ -27,14 +27,16 @@ from cladeframe.session import materialise
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Labelled texts at most that the examples are taken from, smallest id hashes first.
-SAMPLE = 16_384
+SAMPLE = 8_192
 #: Lengths of word beginnings that are terms of their own.
 PREFIXES = (4, 5, 6, 7)
 #: A term that occurs this often in a text is there as another term, too.
 TIMES = (2, 3)
-#: A term is kept if it is in this many positive examples at least and its chi-square is this large.
+#: A term is kept if it is in this many positive examples at least, and its chi-square is this large.
 LEAST_POSITIVE = 3
 LEAST_CHI2 = 30.0
+#: Texts with the term must be positive this many times as often as texts are.
+LEAST_LIFT = 3.0
 #: Terms at most, the most telling first.
 TERMS = 20_000
 NEIGHBOURS = 25
@@ -87,7 +89,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int =
     """
     known = labels.dropna(subset=["doc_id", label]).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.orderBy(id_hash("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     rows = rows.groupBy(F.xxhash64("text").alias("text_hash"), F.octet_length("text").alias("bytes")).agg(
         F.min(F.struct("doc_id", "text")).alias("first"), F.max("label").alias("label")
     )
@@ -114,7 +116,8 @@ def telling_terms(examples: DataFrame, n: int, positive: int) -> dict[str, int]:
     c, d = positive - F.col("a"), (n - positive) - F.col("b")
     apart = F.col("a") * d - F.col("b") * c
     chi2 = n * apart * apart / ((F.col("a") + F.col("b")) * (c + d) * float(max(1, positive)) * float(max(1, n - positive)))
-    kept = counts.where((F.col("a") >= LEAST_POSITIVE) & (apart > 0) & (c + d > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
+    lifted = F.col("a") * n >= LEAST_LIFT * positive * (F.col("a") + F.col("b"))
+    kept = counts.where((F.col("a") >= LEAST_POSITIVE) & lifted & (apart > 0) & (c + d > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
     rows = kept.orderBy(F.desc("chi2"), "term").limit(TERMS).select("term", "chi2").collect()
     strength = {r.term: r.chi2 for r in rows}
 
