@@ -29,7 +29,7 @@ def cell_of(key: Column, slots: int = SLOTS) -> Column:
 def edit_map(load: np.ndarray, shard_of: np.ndarray, shards: int) -> np.ndarray:
     """Edit a slot map until no move or swap between the fullest and the emptiest shard helps.
 
-    ``load`` is the size of each slot. Shards beyond the map's own start empty and only receive. The work is
+    ``load`` is the size of each slot. Shards beyond the map's own start empty, so growing moves about a fair share of the slots. The work is
     bounded by the number of slots, whatever the data.
     """
     shard_of = shard_of.copy()
