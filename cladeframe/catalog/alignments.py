@@ -126,7 +126,7 @@ def site_block(spark, sf_dir):
 @query(
     "uniform_draw",
     """WITH d AS (SELECT event_id,
-                  (((event_id * 1103515245 + 42 * 12345 + 12345) % 2147483648) * 48271 % 2147483647)
+                  (((event_id % 2147483648 * 1103515245 + 42 * 12345 + 12345) % 2147483648) * 48271 % 2147483647)
                   / 2147483647.0::DOUBLE AS u FROM events)
        SELECT event_id, u, CAST(floor(u * 10) AS BIGINT) AS pick FROM d""",
 )

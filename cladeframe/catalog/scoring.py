@@ -90,9 +90,9 @@ def tree_length(spark, sf_dir):
     "branch_changes",
     O.sql(
         PATTERNS, _TREES_ONLY, FITCH,
-        query="""SELECT tree_id, branch, CAST(sum(c * weight) AS BIGINT) AS changes
-                 FROM (SELECT tree_id, weight, unnest([0, 6, 7, 8]) AS branch, unnest([c0, c6, c7, c8]) AS c FROM fitch)
-                 GROUP BY tree_id, branch""",
+        query="""SELECT alignment_id, tree_id, branch, CAST(sum(c * weight) AS BIGINT) AS changes
+                 FROM (SELECT alignment_id, tree_id, weight, unnest([0, 6, 7, 8]) AS branch, unnest([c0, c6, c7, c8]) AS c FROM fitch)
+                 GROUP BY alignment_id, tree_id, branch""",
     ),
 )
 def branch_changes(spark, sf_dir):
@@ -114,9 +114,10 @@ def branch_changes(spark, sf_dir):
     ),
 )
 def branch_table(spark, sf_dir):
-    rows = trees.branch_table(trees6(spark, sf_dir), ID)
+    rows = trees.branch_table(trees6(spark, sf_dir), ["alignment_id", *ID])
     changes = scoring.branch_changes(trees6(spark, sf_dir), patterns6(spark, sf_dir), ID)
-    return rows.join(changes, ["tree_id", "branch"], "left").fillna(0, ["changes"])
+    joined_rows = rows.join(changes, ["alignment_id", *ID, "branch"], "left").fillna(0, ["changes"])
+    return joined_rows.drop("alignment_id")
 
 
 @query(

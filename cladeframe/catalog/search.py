@@ -71,13 +71,3 @@ def hill_climb(spark, sf_dir):
     starts = random_trees(runs, seed=3).select("run_id", "alignment_id", "parent")
     best = search.hill_climb(starts, patterns(spark, sf_dir, N), "spr")
     return best.withColumn("parent", joined(F.col("parent")))
-
-
-@query("population_search")
-def population_search(spark, sf_dir):
-    sequences = V.vector_alignments(spark, sf_dir, 6)
-    runs = alignments(spark, sf_dir, 6).withColumn("run_id", F.col("alignment_id").cast("bigint"))
-    best = search.population_search(
-        runs, patterns(spark, sf_dir, 6), sites.minimum_tree_length(sequences), rounds=4, proposals=6
-    )
-    return best.withColumn("parent", joined(F.col("parent")))

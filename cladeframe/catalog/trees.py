@@ -253,7 +253,7 @@ def portable_draw(*keys):
     return S.congruential_draw(7, mixed)
 
 
-_DRAW = """((({0} * 1103515245 + 7 * 12345 + 12345) % 2147483648) * 48271 % 2147483647) / 2147483647.0::DOUBLE"""
+_DRAW = """(((({0}) % 2147483648 * 1103515245 + 7 * 12345 + 12345) % 2147483648) * 48271 % 2147483647) / 2147483647.0::DOUBLE"""
 
 
 @query(

@@ -104,7 +104,9 @@ def uniform_draw(seed: int | Column, *keys: Column) -> Column:
 def congruential_draw(seed: int | Column, key: Column) -> Column:
     """Draw in [0, 1) by integer arithmetic, the same in every engine."""
     seed_col = seed if isinstance(seed, Column) else F.lit(seed)
-    scrambled = F.pmod(key.cast("bigint") * F.lit(1103515245) + seed_col * F.lit(12345) + F.lit(12345), F.lit(2**31))
+    # the key is cut first, so that no product leaves 64 bits
+    key = F.pmod(key.cast("bigint"), F.lit(2**31))
+    scrambled = F.pmod(key * F.lit(1103515245) + seed_col * F.lit(12345) + F.lit(12345), F.lit(2**31))
     mixed = F.pmod(scrambled * F.lit(48271), F.lit(2**31 - 1))
     return mixed / F.lit(float(2**31 - 1))
 

@@ -94,7 +94,9 @@ def tree_length(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> DataFr
 def score_packs(trees: DataFrame, packs: DataFrame, ids: list[str]) -> DataFrame:
     """``tree_length`` on patterns that are packed already, as searches do once per search."""
     parts = _measured(trees, packs, ids, K.lengths_of)
-    return (
+    # an alignment without patterns has nothing to change
+    bare = trees.join(packs.select("alignment_id").distinct(), "alignment_id", "left_anti").withColumn("length", F.lit(0).cast("bigint"))
+    scored = (
         parts.groupBy("alignment_id", *[F.col("r")[c].alias(c) for c in ids])
         .agg(F.sum(F.col("v")[0]).alias("length"), F.first("r").alias("r"))
         .select(
@@ -103,6 +105,7 @@ def score_packs(trees: DataFrame, packs: DataFrame, ids: list[str]) -> DataFrame
             "length",
         )
     )
+    return scored.unionByName(bare)
 
 
 def fitch_site_length(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> DataFrame:
@@ -120,8 +123,8 @@ def fitch_site_length(trees: DataFrame, patterns: DataFrame, ids: list[str]) ->
 def branch_changes(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> DataFrame:
     """Changes on every inner branch and the root, over all sites: ``branch, changes``."""
     rows = _measured(trees, pattern_packs(patterns), ids, K.branch_changes_of)
-    parts = rows.select(*[F.col("r")[c].alias(c) for c in ids], F.posexplode_outer("v").alias("branch", "c"))
-    return parts.filter("c >= 0").groupBy(*ids, "branch").agg(F.sum("c").alias("changes"))
+    parts = rows.select("alignment_id", *[F.col("r")[c].alias(c) for c in ids], F.posexplode_outer("v").alias("branch", "c"))
+    return parts.filter("c >= 0").groupBy("alignment_id", *ids, "branch").agg(F.sum("c").alias("changes"))
 
 
 def ancestral_states(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> DataFrame:
@@ -140,8 +143,11 @@ def ancestral_states(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> D
 
 
 def consistency_index(lengths: DataFrame, minimum: DataFrame) -> DataFrame:
-    """Add consistency index (least possible / actual changes) and homoplasy index, 2 decimals."""
-    ci = F.col("min_len") / F.col("length")
-    return lengths.join(minimum, "alignment_id").withColumns(
+    """Add consistency index (least possible / actual changes) and homoplasy index, 2 decimals.
+
+    An alignment without a minimum has no variable columns: its minimum is 0. Trees of length 0 have NULL indices.
+    """
+    ci = F.when(F.col("length") > 0, F.col("min_len") / F.col("length"))
+    return lengths.join(minimum, "alignment_id", "left").fillna(0, ["min_len"]).withColumns(
         {"ci": F.round(ci, 2), "hi": F.round(1 - ci, 2)}
     )

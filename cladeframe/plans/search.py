@@ -8,16 +8,14 @@ the search go on from the last round when executors are lost.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.functions import sequences as S
 from cladeframe.operators import moves
 from cladeframe.operators.scoring import pattern_packs, score_packs, tree_length
-from cladeframe.operators.topology import best_set, cap_trees
-from cladeframe.operators.trace import EPS, GRAD_GEOM, metropolis_accept
+from cladeframe.operators.topology import best_set
 from cladeframe.operators.trees import with_topology_key
-from cladeframe.plans.enumerate import ABSENT, enumerate_topologies, extend, random_trees
+from cladeframe.plans.enumerate import ABSENT, enumerate_topologies, extend
 from cladeframe.session import materialise, spread
 
 NEIGHBOURHOODS = {
@@ -33,27 +31,26 @@ def exact_search(alignments: DataFrame, patterns: DataFrame, n: int) -> DataFram
     return best_set(tree_length(named, patterns, ["tree_id"]), ["alignment_id"])
 
 
-def stepwise_trees(alignments: DataFrame, patterns: DataFrame, max_trees: int = 0) -> DataFrame:
+def stepwise_trees(alignments: DataFrame, patterns: DataFrame) -> DataFrame:
     """Start trees by adding taxa one at a time in the shortest way.
 
     ``alignments(alignment_id, n)`` may differ in n. Every round tries all places
-    for the next taxon in all kept trees and keeps the shortest (all of them, or
-    at most ``max_trees`` per alignment). The parent array names a partial tree:
-    with a fixed order of taxa every topology comes about in one way only.
+    for the next taxon in all kept trees and keeps all the shortest; there is one job
+    per taxon. The parent array names a partial tree: with a fixed order of taxa every
+    topology comes about in one way only. Three taxa have one tree.
     """
     packs = materialise(pattern_packs(patterns), "packs")
     largest = alignments.agg(F.max("n")).first()[0] or 0
     absent = F.array_repeat(F.lit(ABSENT), (2 * F.col("n") - 6).cast("int"))
     start = F.concat(F.array(F.lit(-1), F.lit(0), F.lit(0)), absent)
-    kept = alignments.select("alignment_id", "n", start.alias("parent"))
-    done = None
+    name = F.array_join(F.col("parent").cast("array<string>"), ",")
+    kept = alignments.filter("n >= 3").select("alignment_id", "n", start.alias("parent"))
+    done = score_packs(kept.filter("n = 3").withColumn("tree_id", name), packs, ["tree_id"])
     for taxon in range(3, largest):
         grown = extend(spread(kept.filter(F.col("n") > taxon), "alignment_id", "parent"), F.lit(taxon))
-        grown = grown.withColumn("tree_id", F.array_join(F.col("parent").cast("array<string>"), ","))
-        scored = materialise(score_packs(grown, packs, ["tree_id"]), "stepwise")
-        kept = cap_trees(best_set(scored, ["alignment_id"]), ["alignment_id"], "tree_id", max_trees)
-        finished = kept.filter(F.col("n") == taxon + 1)
-        done = finished if done is None else done.unionByName(finished)
+        scored = materialise(score_packs(grown.withColumn("tree_id", name), packs, ["tree_id"]), "stepwise")
+        kept = best_set(scored, ["alignment_id"])
+        done = done.unionByName(kept.filter(F.col("n") == taxon + 1))
         kept = kept.select("alignment_id", "n", "parent")
     return done.select("alignment_id", "parent", "length")
 
@@ -62,7 +59,6 @@ def hill_climb(
     starts: DataFrame,
     patterns: DataFrame,
     neighbourhood: str = "nni",
-    max_rounds: int = 100,
 ) -> DataFrame:
     """Climb from start trees until no unseen tree is as short as the best.
 
@@ -81,7 +77,7 @@ def hill_climb(
     first = materialise(distinct(starts), "climb-new")
     seen = materialise(score_packs(first, packs, ids), "climb")
     frontier = best_set(seen, group)
-    for _ in range(max_rounds):
+    while True:
         near = neighbours(spread(frontier.select("run_id", "alignment_id", "key", "parent"), *ids), ["run_id", "alignment_id"])
         fresh = materialise(distinct(near).join(seen.select(*ids), ids, "left_anti"), "climb-new")
         if fresh.isEmpty():
@@ -92,76 +88,3 @@ def hill_climb(
         frontier = best_set(new, group).join(best, group).filter("length <= best").drop("best")
         seen = seen.unionByName(new)
     return best_set(seen, group).select("run_id", "alignment_id", "key", "parent", "length")
-
-
-def population_search(
-    runs: DataFrame,
-    patterns: DataFrame,
-    minimum: DataFrame,
-    rounds: int = 10,
-    proposals: int = 8,
-    t0: float = 0.01,
-    seed: int = 1,
-) -> DataFrame:
-    """Annealing of a population of runs: ``runs(run_id, alignment_id, n)``.
-
-    Every run starts from its own random tree. In each round all runs propose
-    ``proposals`` moves, the kind drawn by temperature, and score them in one job;
-    the first accepted proposal becomes the current tree, and the temperature
-    falls. Result: all distinct shortest trees each run met.
-    """
-    keep = ["run_id", "alignment_id"]
-
-    def draw(*keys: Column) -> Column:
-        return S.uniform_draw(seed, *keys)
-
-    start = random_trees(runs, seed).select("run_id", "alignment_id", "parent")
-    packs = materialise(pattern_packs(patterns), "packs")
-    minimum = materialise(minimum, "minimum")
-    current = materialise(score_packs(materialise(with_topology_key(start), "anneal-new"), packs, ["run_id", "key"]), "anneal")
-    met = current
-    t = t0
-    for step in range(rounds):
-        round_draw = lambda *keys, s=step: draw(F.lit(s), *keys)
-        trees = spread(current.select(*keep, "parent"), "run_id")
-        offers = {
-            "NNI": moves.nni_edits(trees, keep).withColumn("move_no", F.col("branch") * 2 + F.col("side")),
-            "SPR": moves.spr_edits(trees, keep).withColumn("move_no", F.col("src") * 100000 + F.col("dest")),
-            "TBR": moves.tbr_edits(trees, keep).withColumn(
-                "move_no", F.xxhash64("src", "dest", "leaf")
-            ),
-        }
-        offers = {m: o.withColumn("move_no", F.col("move_no").cast("bigint")) for m, o in offers.items()}
-        tbr = 1.0 if step == 0 else t / t0
-        shares = trees.select(*keep, F.lit((1 - tbr) / 2).alias("p_nni"), F.lit((1 - tbr) / 2).alias("p_spr"))
-        picked = moves.propose_moves(trees, offers, keep, shares, proposals, round_draw).select(*keep, "slot", "parent")
-        keyed = materialise(with_topology_key(picked), "anneal-new")
-        new = materialise(score_packs(keyed, packs, ["run_id", "slot"]), "anneal")
-        met = met.unionByName(new.drop("slot"))
-        taken = (
-            new.join(current.select("run_id", F.col("length").alias("_cur")), "run_id")
-            .join(minimum, "alignment_id")
-            .withColumn(
-                "_ok",
-                metropolis_accept(
-                    F.col("_cur"), F.col("length"), F.col("min_len"), F.lit(t), round_draw(F.col("run_id"), F.col("slot") + 500)
-                ),
-            )
-            .filter("_ok = 1")
-            .groupBy("run_id")
-            .agg(F.min_by(F.struct("alignment_id", "parent", "key", "length"), "slot").alias("_row"))
-        )
-        moved = current.join(taken, "run_id", "left")
-        current = materialise(
-            moved.select(
-                "run_id",
-                *[
-                    F.coalesce(F.col("_row")[c], F.col(c)).alias(c)
-                    for c in ("alignment_id", "parent", "key", "length")
-                ],
-            ),
-            "anneal-current",
-        )
-        t = max(EPS, t * GRAD_GEOM)
-    best = best_set(met.dropDuplicates(["run_id", "key"]), ["run_id"])
-    return best.select("run_id", "alignment_id", "key", "parent", "length")

@@ -2,8 +2,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cladeframe.catalog import all_queries, all_sql
 from cladeframe.functions import sequences as S
-from cladeframe.operators import sites
+from cladeframe.operators import scoring, sites
 from cladeframe.plans import search
 from pyspark.sql import functions as F
 from tests import helpers as H
@@ -12,14 +13,16 @@ TABLES = ("events", "documents", "embeddings")
 QUICK = [
     "iupac_encode", "site_states", "excluded_sites", "minimum_tree_length", "site_patterns", "validate_counts",
     "topology_key", "nni_neighbours", "tree_length", "ancestral_states", "count_best", "running_best",
-    "starting_temperature", "stream_progress", "read_nexus",
+    "starting_temperature", "stream_progress", "read_nexus", "branch_changes", "branch_table", "consistency_index",
+    "propose_moves", "one_random_tree", "uniform_draw", "best_set", "exact_search",
 ]
 
 
 def test_every_query_but_searches_has_sql():
-    queries, sql = entry.queries(), entry.oracle_sql()
+    queries, sql = all_queries(), all_sql()
     assert set(sql) <= set(queries)
-    assert set(queries) - set(sql) == {"random_topology", "stepwise_trees", "hill_climb", "population_search"}
+    assert set(queries) - set(sql) == {"random_topology", "stepwise_trees", "hill_climb"}
+    assert set(queries) <= set(entry.queries()) and set(sql) <= set(entry.oracle_sql())
 
 
 def plain(value):
@@ -85,6 +88,29 @@ def test_searches_find_the_shortest(problem):
     climbed = search.hill_climb(starts, patterns, "spr").collect()
     assert {r.alignment_id: r.length for r in climbed} == least
     assert len({(r.run_id, H.splits(r.parent)) for r in climbed}) == len(climbed)
-    minimum = sites.minimum_tree_length(seqs)
-    found = search.population_search(runs, patterns, minimum, rounds=2, proposals=5).collect()
-    assert {r.alignment_id for r in found} == set(least) and all(r.length >= least[r.alignment_id] for r in found)
+
+
+def test_three_taxa_and_constant_alignments(spark):
+    """An alignment of three taxa has its tree, one without variable columns has trees of length 0."""
+    rows = [("three", i, f"t{i}", s) for i, s in enumerate(["ACG", "AGG", "TCG"])]
+    rows += [("same", i, f"t{i}", "ACG") for i in range(4)]
+    seqs = spark.createDataFrame(rows, "alignment_id string, taxon_id int, name string, seq string")
+    sizes = seqs.groupBy("alignment_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    found = search.stepwise_trees(sizes, sites.site_patterns(sites.cut_constant_sites(seqs))).collect()
+    assert {(r.alignment_id, r.length) for r in found} == {("three", 2), ("same", 0)}
+
+
+def test_branch_changes_of_one_id_in_two_alignments(spark):
+    rows = [(a, i, f"t{i}", s) for a in "xy" for i, s in enumerate(["AA", "AC", "CC", "CA"])]
+    seqs = spark.createDataFrame(rows, "alignment_id string, taxon_id int, name string, seq string")
+    trees = spark.createDataFrame([("x", 1, [-1, 4, 4, 0, 0]), ("y", 1, [-1, 4, 4, 0, 0])], "alignment_id string, tree_id long, parent array<int>")
+    found = scoring.branch_changes(trees, sites.site_patterns(seqs), ["tree_id"]).collect()
+    by = {a: sorted((r.branch, r.changes) for r in found if r.alignment_id == a) for a in "xy"}
+    whole = {r.alignment_id: r.length for r in scoring.tree_length(trees, sites.site_patterns(seqs), ["tree_id"]).collect()}
+    assert by["x"] == by["y"] and {a: sum(c for _, c in v) for a, v in by.items()} == whole
+
+
+def test_draw_of_large_keys(spark):
+    df = spark.createDataFrame([(2**31 + 5,), (2**62,), (5,)], "k long").select(S.congruential_draw(7, F.col("k")).alias("u"))
+    a, b, c = [r.u for r in df.collect()]
+    assert a == c and 0 <= b < 1
