@@ -27,7 +27,7 @@ from cladeframe.session import materialise
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Labelled texts at most that the examples are taken from, smallest id hashes first.
-SAMPLE = 8_192
+SAMPLE = 16_384
 #: Lengths of word beginnings that are terms of their own.
 PREFIXES = (4, 5, 6, 7)
 #: A term that occurs this often in a text is there as another term, too.
