@@ -362,29 +362,67 @@ def validate_variable(spark, sf_dir):
     return validate.variable(V.document_alignments(spark, sf_dir))
 
 
+_RULES = (
+    "validate_alphabet", "validate_unencodable", "validate_lengths", "validate_counts", "validate_limits",
+    "validate_short_name_line",
+)
+_RAW_VARIABLE = O.sql(
+    O.RAW,
+    query="""SELECT alignment_id, 'no_variable_sites' AS rule, '0' AS detail
+             FROM (SELECT alignment_id, site, count(DISTINCT substr(seq, site + 1, 1)) AS k
+                   FROM raw CROSS JOIN (SELECT unnest(range(64))::INTEGER AS site) s WHERE site < length(seq)
+                   GROUP BY alignment_id, site)
+             GROUP BY alignment_id HAVING max(k) = 1""",
+)
+
+
+@query(
+    "validate_all",
+    " UNION ALL ".join(
+        f"SELECT alignment_id, rule, detail FROM ({s})" for s in [*(registry.sql[r] for r in _RULES), _RAW_VARIABLE]
+    ),
+)
+def validate_all(spark, sf_dir):
+    lines = V.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("alignment_id"), F.posexplode(F.split("text", "\n")).alias("line", "text")
+    )
+    return validate.validate(V.raw_alignments(spark, sf_dir), headers(spark, sf_dir), lines)
+
+
 @query(
     "math_domain",
-    """WITH b AS (SELECT event_id, (value - 20) * (event_id % 60) AS x, (event_id % 9 - 4) * 0.5::DOUBLE AS y FROM events),
+    """WITH b AS (SELECT event_id, (value - 20) * (event_id % 60) AS x, (event_id % 9 - 4) * 62.5::DOUBLE AS y FROM events),
             f AS (SELECT *, CASE WHEN x > 709.782712893384 THEN 'overflow'
                                  WHEN x < -745.1332191019412 THEN 'underflow' END AS exp_flag,
                             CASE WHEN x <= 0 THEN 'domain' END AS log_flag,
                             CASE WHEN x = 0 AND y <= 0 THEN 'domain'
-                                 WHEN x < 0 AND y <> floor(y) THEN 'domain' END AS pow_flag FROM b)
+                                 WHEN x < 0 AND y <> floor(y) THEN 'domain'
+                                 WHEN x <> 0 AND y * ln(abs(x)) > 709.782712893384 THEN 'overflow'
+                                 WHEN x <> 0 AND y * ln(abs(x)) < -745.1332191019412 THEN 'underflow' END AS pow_flag FROM b),
+            g AS (SELECT *, CASE WHEN exp_flag IS NULL THEN exp(x) END AS exp_x,
+                            CASE WHEN pow_flag IS NULL THEN pow(x, y) END AS pow_xy FROM f)
        SELECT event_id, exp_flag, log_flag, pow_flag,
-              round(CASE WHEN exp_flag IS NULL THEN ln(exp(greatest(x, -700))) END, 6) + 0.0 AS ln_exp_x,
+              exp_x > 0 AND exp_x < 2.2250738585072014e-308 AS exp_subnormal,
+              round(CASE WHEN exp_x >= 2.2250738585072014e-308 THEN ln(exp_x) END, 6) + 0.0 AS ln_exp_x,
               round(CASE WHEN log_flag IS NULL THEN ln(x) END, 9) AS ln_x,
-              round(CASE WHEN pow_flag IS NULL THEN pow(x, y) END, 6) + 0.0 AS pow_xy FROM f""",
+              sign(pow_xy)::INTEGER AS pow_sign,
+              round(CASE WHEN abs(pow_xy) >= 2.2250738585072014e-308 THEN ln(abs(pow_xy)) END, 6) + 0.0 AS ln_pow_xy
+       FROM g""",
 )
 def math_domain(spark, sf_dir):
     rows = V.table(spark, sf_dir, "events").select(
         "event_id",
         ((F.col("value") - 20) * (F.col("event_id") % 60)).alias("x"),
-        ((F.col("event_id") % 9 - 4) * 0.5).alias("y"),
+        ((F.col("event_id") % 9 - 4) * 62.5).alias("y"),
     )
     out = validate.math_domain(rows, F.col("x"), F.col("y"))
+    # values span the whole range of a double, so logarithms are compared; subnormal values have few digits
+    e, p, normal = F.col("exp_x"), F.abs("pow_xy"), 2.2250738585072014e-308
     return out.select(
         "event_id", "exp_flag", "log_flag", "pow_flag",
-        (F.round(F.when(F.col("exp_flag").isNull(), F.ln(F.exp(F.greatest("x", F.lit(-700.0))))), 6) + 0.0).alias("ln_exp_x"),
+        ((e > 0) & (e < normal)).alias("exp_subnormal"),
+        (F.round(F.when(e >= normal, F.ln(e)), 6) + 0.0).alias("ln_exp_x"),
         F.round("ln_x", 9).alias("ln_x"),
-        (F.round("pow_xy", 6) + 0.0).alias("pow_xy"),
+        F.signum("pow_xy").cast("int").alias("pow_sign"),
+        (F.round(F.when(p >= normal, F.ln(p)), 6) + 0.0).alias("ln_pow_xy"),
     )

@@ -271,7 +271,7 @@ _DRAW = """(((({0}) % 2147483648 * 1103515245 + 7 * 12345 + 12345) % 2147483648)
                       FROM trees CROSS JOIN (SELECT unnest(range(4)) AS slot)),
             wanted AS (SELECT *, row_number() OVER (PARTITION BY tree_id, move ORDER BY slot) AS pick FROM slots)""",
         recursive=True,
-        query="SELECT tree_id, move, move_no, slot FROM rated JOIN wanted USING (tree_id, move, pick)",
+        query="SELECT tree_id, move, move_no, slot FROM wanted LEFT JOIN rated USING (tree_id, move, pick)",
     ),
 )
 def propose_moves(spark, sf_dir):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from string import ascii_uppercase, digits
 
 import numpy as np
 import pandas as pd
@@ -78,8 +79,13 @@ def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         lo, hi = trees.offsets[0].as_py(), trees.offsets[len(trees)].as_py()
         parent = trees.values.slice(lo, hi - lo).to_numpy(zero_copy_only=False).reshape(len(trees), -1)
         n = (parent.shape[1] + 3) // 2
-        states = np.ascontiguousarray(_NIBBLE[np.frombuffer(raw[i].as_py(), dtype=np.uint8)].reshape(-1, n).T)
         weight = weights[i].values.to_numpy(zero_copy_only=False)
+        found = _NIBBLE[np.frombuffer(raw[i].as_py(), dtype=np.uint8)]
+        if len(found) != n * len(weight):
+            raise ValueError(f"alignment {batch.column('alignment_id')[i]}: patterns and trees differ in their taxa")
+        if not found.all():
+            raise ValueError(f"alignment {batch.column('alignment_id')[i]}: a pattern has a cell without a nucleotide set")
+        states = np.ascontiguousarray(found.reshape(-1, n).T)
         step = max(1, _CELLS // max(1, parent.shape[1] * states.shape[1]))
         for start in range(0, len(parent), step):
             yield i, parent[start : start + step], states, weight
@@ -159,7 +165,7 @@ def _boundaries(accepted: np.ndarray, max_accept: int, max_propose: int) -> tupl
 
 
 def epoch_tables(pdf: pd.DataFrame, max_accept: int, max_propose: int) -> pd.DataFrame:
-    """One segment as a table from entry state to exit state and epochs ended."""
+    """One segment as a table from entry state to exit state and epochs ended; a first segment starts in state 0 only."""
     accepted = pdf.sort_values("iter")["accepted"].to_numpy(dtype=np.int64)
     rows = len(accepted)
     end, seen = _boundaries(accepted, max_accept, max_propose)
@@ -171,8 +177,8 @@ def epoch_tables(pdf: pd.DataFrame, max_accept: int, max_propose: int) -> pd.Dat
             stop[s] = stop[ends[s]]
             ended[s] = ended[ends[s]] + 1
     stop_a, ended_a = np.array(stop), np.array(ended)
-    a = np.repeat(np.arange(max_accept), max_propose)
-    p = np.tile(np.arange(max_propose), max_accept)
+    states = np.arange(max_accept * max_propose if pdf["_seg"].iloc[0] else 1)
+    a, p = np.divmod(states, max_propose)
     hits = np.concatenate([np.flatnonzero(accepted) + 1, np.full(max_accept, rows + max_propose)])
     first = np.minimum(hits[np.minimum(max_accept - a - 1, len(hits) - 1)], max_propose - p)
     inside = first <= rows
@@ -261,10 +267,13 @@ def mask_batches(batches: Iterator[pa.RecordBatch], accepted: str) -> Iterator[p
     """Bit mask of characters per column, combined over the rows of a batch.
 
     In: ``alignment_id, first, piece`` (``first`` is the site a piece starts at);
-    out: ``alignment_id, first, masks``.
+    out: ``alignment_id, first, masks``. Characters that are not accepted have bits, too:
+    one for each upper-case letter, one for all digits, one for everything else.
     """
-    bit = np.zeros(256, dtype=np.int32)
-    for i, c in enumerate(accepted.encode()):
+    others = [c for c in ascii_uppercase if c not in accepted]
+    bit = np.full(256, 1 << (len(accepted) + len(others) + 1), dtype=np.int32)
+    bit[list(digits.encode())] = 1 << (len(accepted) + len(others))
+    for i, c in enumerate(accepted.encode() + "".join(others).encode()):
         bit[c] = 1 << i
     for batch in batches:
         ids = batch.column("alignment_id").dictionary_encode()
@@ -312,6 +321,8 @@ def pattern_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         raw, offsets = _text(batch.column("block"))
         for i, n in enumerate(taxa):
             cells = raw[offsets[i] : offsets[i + 1]].reshape(n, -1)
+            if not _NIBBLE[cells].all():
+                raise ValueError(f"alignment {batch.column('alignment_id')[i]}: a character without a nucleotide set")
             columns = np.ascontiguousarray(cells.T).view(f"S{n}").ravel()
             distinct, counts = np.unique(columns, return_counts=True)
             patterns.append(distinct.astype(f"U{n}"))

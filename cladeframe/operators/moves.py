@@ -246,7 +246,9 @@ def propose_moves(
     ``shares(keep, p_nni, p_spr)`` has one row per tree; ``draw(columns...)`` gives
     a reproducible value in [0, 1). Slot j of a tree takes the kind its draw falls
     on, then the first unused move of that kind in the order of the moves' own
-    draws. Moves are picked by their edits alone and applied afterwards.
+    draws. A slot for which the tree has no unused move of its kind stays, with NULL
+    ``move_no`` and the tree unchanged. Moves are picked by their edits alone and
+    applied afterwards.
     """
     slots = shares.select(
         *keep, "p_nni", "p_spr", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot")
@@ -267,6 +269,8 @@ def propose_moves(
     ranked = every.withColumn(
         "pick", F.row_number().over(Window.partitionBy(*keep, "move").orderBy(order, "move_no"))
     ).filter(F.col("pick") <= k)
-    picked = ranked.join(wanted.select(*keep, "move", "pick", "slot"), [*keep, "move", "pick"])
+    picked = wanted.select(*keep, "move", "pick", "slot").join(ranked, [*keep, "move", "pick"], "left")
+    none = F.array().cast(ranked.schema["_edits"].dataType)
+    picked = picked.withColumn("_edits", F.coalesce("_edits", none))
     old = trees.select(*keep, F.col("parent").alias("_old"))
     return _applied(picked.join(old, keep)).drop("pick")

@@ -162,23 +162,27 @@ def site_patterns(sequences: DataFrame) -> DataFrame:
     A pattern is one hex digit (the nucleotide set) per taxon in taxon order.
     Blocks of columns, as text and about ``BLOCK`` characters in all, are brought
     together by (alignment, block), turned inside the task and counted there
-    before the counts of equal patterns are added up.
+    before the counts of equal patterns are added up. Sequences of unequal length and
+    characters without a nucleotide set are errors; ``validate.gate`` sorts them out.
     """
     dims = sequences.groupBy("alignment_id").agg(F.count(F.lit(1)).alias("_n"))
     width = F.least(F.greatest(F.floor(F.lit(BLOCK) / F.col("_n")), F.lit(1)), F.lit(PIECE)).cast("int")
     coded = sequences.withColumn("seq", S.hex_states(F.col("seq"))).join(dims, "alignment_id").withColumn("_w", width)
     starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.col("_w"))
-    cut = coded.select("alignment_id", "taxon_id", "seq", "_w", F.explode_outer(starts).alias("first"))
+    cut = coded.select("alignment_id", "taxon_id", "seq", "_w", "_n", F.explode_outer(starts).alias("first"))
     pieces = cut.select(
-        "alignment_id", "first", "taxon_id", F.substring("seq", F.col("first") + 1, F.col("_w")).alias("piece")
+        "alignment_id", "first", "taxon_id", "_n", F.substring("seq", F.col("first") + 1, F.col("_w")).alias("piece")
     )
     blocks = pieces.groupBy("alignment_id", "first").agg(
-        F.array_sort(F.collect_list(F.struct("taxon_id", "piece"))).alias("_t")
+        F.array_sort(F.collect_list(F.struct("taxon_id", "piece"))).alias("_t"),
+        F.max("_n").alias("_n"), F.min(F.length("piece")).alias("_lo"), F.max(F.length("piece")).alias("_hi"),
     )
+    even = (F.size("_t") == F.col("_n")) & (F.col("_lo") == F.col("_hi"))
+    uneven = F.raise_error(F.concat(F.lit("alignment "), "alignment_id", F.lit(": sequences of unequal length")))
     joined = blocks.select(
         "alignment_id",
         F.size("_t").alias("n"),
-        F.array_join(F.transform("_t", lambda t: t["piece"]), "").alias("block"),
+        F.when(even, F.array_join(F.transform("_t", lambda t: t["piece"]), "")).otherwise(uneven).alias("block"),
     ).filter("block <> ''")
     counted = joined.mapInArrow(
         pattern_batches, "alignment_id string, patterns array<string>, weights array<bigint>"

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.kernels import epoch_numbers, epoch_scan, epoch_tables, epoch_tables_composed
-from cladeframe.session import materialise, spread
+from cladeframe.session import spread
 
 SEGMENT = 65536
 
@@ -256,6 +256,7 @@ def running_max(df: DataFrame, value: Column, order: str, name: str, size: int =
 # --- cooling epochs ----------------------------------------------------------
 
 FAN = 256
+LEVELS = 2
 
 
 def cooling_epochs(
@@ -270,22 +271,19 @@ def cooling_epochs(
     or its proposals to ``max_propose``. That depends on all rows before, but the
     state between two rows is small (accepted, proposed), so a segment of rows
     acts as a table from entry state to exit state and epochs ended. Tables are
-    made per segment, chained over the segments of a run (in groups, level by
-    level, when there are many), and then each segment numbers its own rows.
+    made per segment, chained over the segments of a run in groups, level by
+    level, and then each segment numbers its own rows. The plan is the same at every
+    size; ``LEVELS`` levels of ``FAN`` keep groups small up to 10^12 rows a run, beyond
+    which the uppermost group grows by one table for each further 4 billion rows.
+    A first segment starts in a known state, so its table has one entry.
     """
     rows = spread(_segmented(trace.select("run_id", "iter", "accepted"), "iter", size), "run_id", "_seg")
     limits = (max_accept, max_propose)
-    last = trace.agg(F.max("iter")).first()[0] or 0
     schema = "run_id bigint, iter bigint, accepted int, epoch bigint"
-    if last < size:
-        whole = rows.groupBy("run_id", "_seg").applyInPandas(
-            lambda pdf: epoch_numbers(pdf.assign(entry=0, before=0), *limits), schema
-        )
-        return whole
     tables = rows.groupBy("run_id", "_seg").applyInPandas(
         lambda pdf: epoch_tables(pdf, *limits), "run_id bigint, _seg bigint, exits binary, ended binary"
     )
-    entries = _entry_states(materialise(tables, "epochs"), math.floor(last / size) + 1)
+    entries = _entry_states(tables, LEVELS)
     return (
         rows.join(entries, ["run_id", "_seg"])
         .groupBy("run_id", "_seg")
@@ -293,17 +291,17 @@ def cooling_epochs(
     )
 
 
-def _entry_states(tables: DataFrame, segments: int) -> DataFrame:
+def _entry_states(tables: DataFrame, levels: int) -> DataFrame:
     """State and epochs before each segment: ``run_id, _seg, entry, before``."""
     schema = "run_id bigint, _seg bigint, entry int, before bigint"
-    if segments <= FAN:
+    if levels == 0:
         start = tables.withColumn("entry0", F.lit(0)).withColumn("before0", F.lit(0).cast("bigint"))
         return start.groupBy("run_id").applyInPandas(epoch_scan, schema)
     grouped = tables.withColumn("_group", F.floor(F.col("_seg") / FAN))
     upper = grouped.groupBy("run_id", "_group").applyInPandas(
         epoch_tables_composed, "run_id bigint, _seg bigint, exits binary, ended binary"
     )
-    above = _entry_states(materialise(upper, "epochs"), math.ceil(segments / FAN)).select(
+    above = _entry_states(upper, levels - 1).select(
         "run_id", F.col("_seg").alias("_group"), F.col("entry").alias("entry0"), F.col("before").alias("before0")
     )
     return grouped.join(above, ["run_id", "_group"]).groupBy("run_id", "_group").applyInPandas(epoch_scan, schema)

@@ -24,54 +24,86 @@ def _found(df: DataFrame, rule: str, detail: Column) -> DataFrame:
     return df.select("alignment_id", F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
 
 
+def _broken(df: DataFrame, rules: list[tuple[str, Column, Column]]) -> DataFrame:
+    """One row per row of ``df`` and rule that it breaks, in one pass."""
+    found = [
+        F.when(broken, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail")))
+        for rule, broken, detail in rules
+    ]
+    rows = df.select("alignment_id", F.explode(F.filter(F.array(*found), lambda r: r.isNotNull())).alias("v"))
+    return rows.select("alignment_id", "v.rule", "v.detail")
+
+
+def row_rules(sequences: DataFrame) -> DataFrame:
+    """Rows with a character outside the accepted alphabet (the first one), or with ``O``, which has no nucleotide set."""
+    seq = F.col("seq")
+    return _broken(
+        sequences,
+        [
+            (
+                "illegal_character", seq.rlike(_ILLEGAL),
+                F.concat("name", F.lit(": "), F.regexp_extract(seq, _ILLEGAL, 0)),
+            ),
+            ("unencodable_base", seq.contains("O"), F.col("name")),
+        ],
+    )
+
+
+def alignment_rules(sequences: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """Rules on the sizes of an alignment, from one aggregate; ``headers(alignment_id, n, m)`` are what its file declares."""
+    per = sequences.groupBy("alignment_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.length("seq") == 0, 1)).alias("empty"),
+        F.min(F.length("seq")).alias("lo"), F.max(F.length("seq")).alias("hi"),
+    )
+    if headers is None:
+        declared = per.withColumns({"header_n": F.lit(None).cast("bigint"), "header_m": F.lit(None).cast("bigint")})
+    else:
+        sizes = headers.select("alignment_id", F.col("n").alias("header_n"), F.col("m").alias("header_m"))
+        declared = per.join(sizes, "alignment_id", "full")
+    n, lo, hi = F.col("n"), F.col("lo"), F.col("hi")
+    span = F.concat(lo.cast("string"), F.lit(".."), hi.cast("string"))
+    return _broken(
+        declared,
+        [
+            ("unequal_lengths", lo != hi, span),
+            ("length_differs_from_header", (lo != F.col("header_m")) | (hi != F.col("header_m")), span),
+            ("no_sequences", n.isNull(), F.lit("0")),
+            ("fewer_than_two_sequences", n < 2, n),
+            ("name_without_sequence", F.col("empty") > 0, F.col("empty")),
+            (
+                "count_differs_from_header", n != F.col("header_n"),
+                F.concat(n.cast("string"), F.lit(" of "), F.col("header_n").cast("string")),
+            ),
+            ("taxa_out_of_range", ~n.between(MIN_TAXA, MAX_TAXA), n),
+            ("sites_out_of_range", ~hi.between(MIN_SITES, MAX_SITES), hi),
+        ],
+    )
+
+
 def alphabet(sequences: DataFrame) -> DataFrame:
     """Rows with a character outside the accepted alphabet, with the first one."""
-    bad = sequences.filter(F.col("seq").rlike(_ILLEGAL))
-    return _found(
-        bad, "illegal_character", F.concat("name", F.lit(": "), F.regexp_extract("seq", _ILLEGAL, 0))
-    )
+    return row_rules(sequences).filter("rule = 'illegal_character'")
 
 
 def unencodable(sequences: DataFrame) -> DataFrame:
     """Rows with ``O``: accepted as text but without a nucleotide set."""
-    return _found(sequences.filter(F.col("seq").contains("O")), "unencodable_base", F.col("name"))
+    return row_rules(sequences).filter("rule = 'unencodable_base'")
 
 
 def lengths(sequences: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """Alignments whose sequences differ in length, or differ from the header's ``m``."""
-    per = sequences.groupBy("alignment_id").agg(
-        F.min(F.length("seq")).alias("lo"), F.max(F.length("seq")).alias("hi")
-    )
-    span = F.concat(F.col("lo").cast("string"), F.lit(".."), F.col("hi").cast("string"))
-    out = _found(per.filter("lo <> hi"), "unequal_lengths", span)
-    if headers is not None:
-        wrong = per.join(headers.select("alignment_id", F.col("m").alias("header_m")), "alignment_id")
-        wrong = wrong.filter("lo <> header_m OR hi <> header_m")
-        out = out.unionByName(_found(wrong, "length_differs_from_header", span))
-    return out
+    found = alignment_rules(sequences, headers)
+    return found.filter(F.col("rule").isin("unequal_lengths", "length_differs_from_header"))
 
 
 def counts(sequences: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """Alignments with one sequence or none, without a sequence for a name, or not of the header's ``n``."""
-    per = sequences.groupBy("alignment_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.length("seq") == 0, 1)).alias("empty")
-    )
-    out = _found(per.filter("n < 2"), "fewer_than_two_sequences", F.col("n")).unionByName(
-        _found(per.filter("empty > 0"), "name_without_sequence", F.col("empty"))
-    )
-    if headers is not None:
-        both = headers.select("alignment_id", F.col("n").alias("header_n")).join(per, "alignment_id", "left")
-        n = F.coalesce("n", F.lit(0))
-        out = out.unionByName(
-            _found(both.filter(n == 0), "no_sequences", F.lit("0"))
-        ).unionByName(
-            _found(
-                both.filter((n != 0) & (n != F.col("header_n"))),
-                "count_differs_from_header",
-                F.concat(n.cast("string"), F.lit(" of "), F.col("header_n").cast("string")),
-            )
+    found = alignment_rules(sequences, headers)
+    return found.filter(
+        F.col("rule").isin(
+            "no_sequences", "fewer_than_two_sequences", "name_without_sequence", "count_differs_from_header"
         )
-    return out
+    )
 
 
 def short_name_lines(lines: DataFrame) -> DataFrame:
@@ -82,12 +114,7 @@ def short_name_lines(lines: DataFrame) -> DataFrame:
 
 def limits(sequences: DataFrame) -> DataFrame:
     """Alignments with too few or too many taxa or columns."""
-    dims = sites.alignment_dims(sequences)
-    taxa = dims.filter(~F.col("n").between(MIN_TAXA, MAX_TAXA))
-    cols = dims.filter(~F.col("m").between(MIN_SITES, MAX_SITES))
-    return _found(taxa, "taxa_out_of_range", F.col("n")).unionByName(
-        _found(cols, "sites_out_of_range", F.col("m"))
-    )
+    return alignment_rules(sequences).filter(F.col("rule").isin("taxa_out_of_range", "sites_out_of_range"))
 
 
 def variable(sequences: DataFrame) -> DataFrame:
@@ -110,19 +137,25 @@ def sources(spark: SparkSession, path: str, sequences: DataFrame) -> DataFrame:
     return _found(none, "no_sequences", F.concat(F.col("bytes").cast("string"), F.lit(" bytes")))
 
 
-def validate(sequences: DataFrame, headers: DataFrame | None = None) -> DataFrame:
-    """All rules on parsed sequences."""
-    found = [
-        alphabet(sequences),
-        unencodable(sequences),
-        lengths(sequences, headers),
-        counts(sequences, headers),
-        limits(sequences),
-        variable(sequences),
-    ]
+def validate(
+    sequences: DataFrame, headers: DataFrame | None = None, name_lines: DataFrame | None = None
+) -> DataFrame:
+    """All rules on parsed sequences, and on the lines a PHYLIP taxon starts on where they are given."""
+    found = [row_rules(sequences), alignment_rules(sequences, headers), variable(sequences)]
+    if name_lines is not None:
+        found.append(short_name_lines(name_lines))
     return reduce(DataFrame.unionByName, found)
 
 
+def gate(sequences: DataFrame, violations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sequences of alignments that break no rule, and of those that do, with ``rules`` (distinct, sorted).
+
+    ``violations`` is what ``validate`` found; write it to a table first where both results are used.
+    """
+    broken = violations.groupBy("alignment_id").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+    return sequences.join(broken, "alignment_id", "left_anti"), sequences.join(broken, "alignment_id")
+
+
 # exp() of more overflows a double, of less underflows to zero.
 EXP_OVERFLOW = math.log(1.7976931348623157e308)
 EXP_UNDERFLOW = -745.13321910194122

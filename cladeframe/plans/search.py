@@ -18,9 +18,16 @@ from cladeframe.operators.trees import with_topology_key
 from cladeframe.plans.enumerate import ABSENT, enumerate_topologies, extend
 from cladeframe.session import materialise, spread
 
+def _tbr(trees: DataFrame, keep: list[str]) -> DataFrame:
+    """Prune-and-regraft, with and without turning the moved subtree."""
+    plain, turned = moves.spr_neighbours(trees, keep, full=True), moves.tbr_neighbours(trees, keep)
+    return plain.select(*keep, "parent").unionByName(turned.select(*keep, "parent"))
+
+
 NEIGHBOURHOODS = {
     "nni": lambda trees, keep: moves.nni_neighbours(trees, keep),
     "spr": lambda trees, keep: moves.spr_neighbours(trees, keep, full=True),
+    "tbr": _tbr,
 }
 
 
@@ -65,7 +72,7 @@ def hill_climb(
     ``starts(run_id, alignment_id, parent)``. Each round takes all trees of a run
     that were new and shortest in the round before, so plateaus are explored in
     full. Result: all distinct shortest trees met, ``run_id, alignment_id, key,
-    parent, length``.
+    parent, length``. ``neighbourhood`` is nni, spr or tbr, each holding the one before.
     """
     group, ids = ["run_id"], ["run_id", "key"]
     neighbours = NEIGHBOURHOODS[neighbourhood]

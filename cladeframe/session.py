@@ -65,9 +65,8 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Repartition compact rows that stand for much work over all cores.
 
     Adaptive coalescing goes by bytes and would put such rows into few tasks; an
-    explicit number of partitions is left alone.
+    explicit number of partitions is left alone. It is the session's
+    ``spark.sql.shuffle.partitions``, which is to grow with the data.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores))
-    return df.repartition(parts, *columns)
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from cladeframe.functions import sequences as S
 from cladeframe.operators.trees import with_newick
@@ -24,9 +27,16 @@ def read_alignments(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return READERS[fmt](spark, path).withColumn("seq", S.normalise(F.col("seq")))
 
 
-def write_trees(trees: DataFrame, names: Column, path: str) -> None:
-    """One bracketed unrooted tree per line."""
-    with_newick(trees, names).select(F.col("newick").alias("value")).write.text(path)
+def write_trees(trees: DataFrame, names: Column, path: str, ids: Sequence[str] = ()) -> None:
+    """One bracketed unrooted tree per line, after the columns ``ids`` (run, alignment, ...), tab separated."""
+    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in ids], "newick")
+    with_newick(trees, names).select(line.alias("value")).write.text(path)
+
+
+def taxon_names(sequences: DataFrame) -> DataFrame:
+    """Names of each alignment's taxa in order: ``alignment_id, names``, as ``write_trees`` takes them."""
+    rows = sequences.groupBy("alignment_id").agg(F.array_sort(F.collect_list(F.struct("taxon_id", "name"))).alias("t"))
+    return rows.select("alignment_id", F.transform("t", lambda t: t["name"]).alias("names"))
 
 
 def log_rows(summary: DataFrame, implementation: str, runtime: Column) -> DataFrame:
@@ -61,5 +71,14 @@ def trace_rows(trace: DataFrame) -> DataFrame:
     )
 
 
-def write_trace(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").option("sep", "\t").option("header", True).csv(path)
+def write_trace(rows: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """Append trace rows; ``by`` (such as ``run_id``) gives a folder for each value."""
+    rows.write.partitionBy(*by).mode("append").option("sep", "\t").option("header", True).csv(path)
+
+
+def stream_trace(rows: DataFrame, path: str, checkpoint: str, by: Sequence[str] = ()) -> StreamingQuery:
+    """``write_trace`` of a stream: all rows that are there, each once, also after a restart."""
+    sink = rows.writeStream.format("csv").option("sep", "\t").option("header", True)
+    if by:
+        sink = sink.partitionBy(*by)
+    return sink.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -48,14 +48,15 @@ def _rows(df: DataFrame, name, piece, step: Column, per_taxon: Column, n: Column
     """Put the pieces of each taxon together.
 
     ``data`` holds the lines. Taxon i starts at line ``i * per_taxon`` and goes on
-    every ``step`` lines, to the end or for ``per_taxon`` lines.
+    every ``step`` lines, to the end or for ``per_taxon`` lines. ``n`` is the number of
+    taxa the layout shows, which need not be the header's.
     """
     def sequence(i: Column) -> Column:
         last = F.when(F.col("_per") > 1, i * F.col("_per") + F.col("_per") - 1).otherwise(F.size("data") - 1)
         own = F.sequence(i * F.col("_per"), F.least(last, F.size("data") - 1), F.col("_step"))
         return F.array_join(F.transform(own, lambda j, k: piece(F.get(F.col("data"), j), k)), "")
 
-    sized = df.withColumn("_n", F.least(n, F.size("data"))).withColumn("_per", per_taxon).withColumn("_step", step)
+    sized = df.withColumn("_n", n).withColumn("_per", per_taxon).withColumn("_step", step)
     sized = sized.filter("_n > 0").withColumn(
         "taxa",
         pinned(
@@ -91,28 +92,51 @@ def _phylip(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_phylip(spark: SparkSession, path: str) -> DataFrame:
-    """PHYLIP files: names of exactly 10 characters, sequences without digits and blanks.
+def _phylip_layout(files: DataFrame) -> DataFrame:
+    """Add ``taxa_shown``, ``_per`` (lines of a taxon, one after another) and ``_step`` (from one line of a taxon to its next).
 
-    Interleaved when data goes on after a blank line; else sequential when the
-    number of data lines is a multiple of the number of taxa; else one line each.
+    The header's count only tells sequential files from those with one line each.
     """
-    files = _phylip(spark, path)
     interleaved = F.col("_layout").rlike("db+d")
     lines = F.size("data")
     sequential = ~interleaved & (F.col("n") > 0) & (lines > F.col("n")) & (F.pmod(lines, F.col("n")) == 0)
-    per = F.when(sequential, (lines / F.col("n")).cast("int")).otherwise(1)
-    step = F.when(sequential, 1).otherwise(F.greatest(F.col("n"), F.lit(1)))
+    first_block = F.length(F.regexp_extract("_layout", "^(d+)", 1))
+    taxa = F.when(sequential, F.col("n")).when(interleaved, first_block).otherwise(lines)
+    return files.withColumns(
+        {
+            "taxa_shown": taxa,
+            "_per": F.when(sequential, (lines / F.col("n")).cast("int")).otherwise(1),
+            "_step": F.when(sequential, 1).otherwise(F.greatest(taxa, F.lit(1))),
+        }
+    )
+
+
+def read_phylip(spark: SparkSession, path: str) -> DataFrame:
+    """PHYLIP files: names of exactly 10 characters, sequences without digits and blanks.
+
+    Interleaved when data goes on after a blank line, the first block giving the taxa;
+    else sequential when the number of data lines is a multiple of the header's number of
+    taxa; else one line each. Rows beyond the header's number are rows of their own,
+    for ``validate.counts`` to find.
+    """
     return _rows(
-        files,
+        _phylip_layout(_phylip(spark, path)),
         lambda s: S.trim_chars(F.substring(s, 1, NAME)),
         lambda s, k: S.strip_digits_blanks(F.when(k == 0, F.substring(s, NAME + 1, 2**31 - 1)).otherwise(s)),
-        step,
-        per,
-        F.col("n"),
+        F.col("_step"),
+        F.col("_per"),
+        F.col("taxa_shown"),
     )
 
 
+def phylip_name_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of PHYLIP files that a taxon starts on: ``alignment_id, line, text``."""
+    shown = _phylip_layout(_phylip(spark, path))
+    lines = shown.select("alignment_id", "taxa_shown", "_per", F.posexplode("data").alias("at", "text"))
+    starts = (F.col("at") < F.col("taxa_shown") * F.col("_per")) & (F.col("at") % F.col("_per") == 0)
+    return lines.filter(starts).select("alignment_id", F.floor(F.col("at") / F.col("_per")).alias("line"), "text")
+
+
 def phylip_headers(spark: SparkSession, path: str) -> DataFrame:
     """Declared sizes of PHYLIP files: ``alignment_id, n, m``."""
     return _phylip(spark, path).select("alignment_id", "n", "m")
@@ -137,15 +161,20 @@ def _nexus(spark: SparkSession, path: str) -> DataFrame:
 def read_nexus(spark: SparkSession, path: str) -> DataFrame:
     """NEXUS files: lines between ``matrix`` and ``;``, the last token being sequence.
 
-    After one line per taxon further lines go on with the first taxon.
+    After one line per taxon further lines go on with the first taxon, where the
+    number of lines is a multiple of the header's number of taxa. Otherwise each line
+    is a row of its own, for ``validate.counts`` to find.
     """
+    declared, lines = F.coalesce("n", F.lit(0)), F.size("data")
+    whole = F.when(declared > 0, F.pmod(lines, F.greatest(declared, F.lit(1))) == 0)
+    taxa = F.when(whole, F.least(declared, lines)).when(declared > 0, lines).otherwise(0)
     return _rows(
         _nexus(spark, path),
         S.leading_tokens,
         lambda s, _: S.last_token(s),
-        F.greatest(F.col("n"), F.lit(1)),
+        F.greatest(taxa, F.lit(1)),
         F.lit(1),
-        F.coalesce("n", F.lit(0)),
+        taxa,
     )
 
 

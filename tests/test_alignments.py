@@ -21,41 +21,90 @@ def as_rows(df):
     return [(r.name, r.seq) for r in df.orderBy("taxon_id").collect()]
 
 
-FIVE = [("Name_1", "ACCTG"), ("Name_2", "TGTGG"), ("Name_3", "TGAGG"), ("Name_4", "ATCAG"), ("Name_5", "CCCTT")]
+FIVE = H.FIVE
 
 
 def test_formats_agree(spark, tmp_path):
     H.put(tmp_path / "f", "x", H.FASTA)
-    H.put(tmp_path / "n", "x", H.NEXUS)
-    H.put(tmp_path / "c", "x", H.CLUSTAL)
+    H.put(tmp_path / "n", "x", H.nexus(FIVE, 5, 8))
+    H.put(tmp_path / "c", "x", H.clustal(FIVE, 5))
     H.put(tmp_path / "p", "x", H.SMALL["five"][0])
-    assert as_rows(A.read_alignments(spark, str(tmp_path / "f"), "fasta")) == FIVE
-    assert as_rows(A.read_alignments(spark, str(tmp_path / "n"), "nexus")) == FIVE
-    assert as_rows(A.read_alignments(spark, str(tmp_path / "p"), "phylip")) == FIVE
-    assert as_rows(A.read_alignments(spark, str(tmp_path / "c"), "clustal")) == [(n, s + s) for n, s in FIVE]
+    for fmt, folder in (("fasta", "f"), ("nexus", "n"), ("phylip", "p"), ("clustal", "c")):
+        assert as_rows(A.read_alignments(spark, str(tmp_path / folder), fmt)) == FIVE, fmt
 
 
 def test_phylip_layouts(spark, tmp_path):
-    H.put(tmp_path, "interleaved", H.INTERLEAVED)
-    H.put(tmp_path, "sequential", H.SEQUENTIAL)
+    H.put(tmp_path, "interleaved", H.phylip(H.LONG, 20, interleaved=True))
+    H.put(tmp_path, "sequential", H.phylip(H.LONG, 20))
+    H.put(tmp_path, "simple", H.phylip(H.LONG))
     rows = A.read_alignments(spark, str(tmp_path), "phylip")
-    inter = as_rows(rows.filter("alignment_id = 'interleaved'"))
-    assert inter == as_rows(rows.filter("alignment_id = 'sequential'"))
-    assert inter[0] == ("Turkey", "AAGCTNGGGCATTTCAGGGTGAGCCCGGGCAATACAGGGTAT")
-    assert [n for n, _ in inter] == ["Turkey", "Salmo gair", "H. Sapiens", "Chimp", "Gorilla"]
+    for layout in ("interleaved", "sequential", "simple"):
+        assert as_rows(rows.filter(F.col("alignment_id") == layout)) == H.LONG, layout
     heads = {(r.n, r.m) for r in blocks.phylip_headers(spark, str(tmp_path)).collect()}
-    assert heads == {(5, 42)}
+    assert heads == {(5, 47)}
+    starts = blocks.phylip_name_lines(spark, str(tmp_path)).collect()
+    assert {(r.alignment_id, r.line, r.text[:10]) for r in starts} == {
+        (layout, i, n) for layout in ("interleaved", "sequential", "simple") for i, (n, _) in enumerate(H.LONG)
+    }
 
 
 def test_nexus_header_in_either_order(spark, tmp_path):
-    H.put(tmp_path, "x", H.NEXUS.replace("ntax=5 nchar=5", "nchar=5 ntax=5"))
-    assert [(r.n, r.m) for r in blocks.nexus_headers(spark, str(tmp_path)).collect()] == [(5, 5)]
+    H.put(tmp_path, "x", H.nexus(FIVE, 5, 8).replace("ntax=5 nchar=8", "nchar=8 ntax=5"))
+    assert [(r.n, r.m) for r in blocks.nexus_headers(spark, str(tmp_path)).collect()] == [(5, 8)]
     assert as_rows(blocks.read_nexus(spark, str(tmp_path))) == FIVE
 
 
-def test_wrong_format_gives_no_sequences(spark, tmp_path):
-    text = "Name_1 ACCTG\nName_2\tTGTGG\nName_3\tTGAGG\nName_4 ATCAG\nName_5 CCCTT\n"
+@pytest.mark.parametrize("fmt", ["phylip", "nexus"])
+@pytest.mark.parametrize("declared", [4, 6])
+def test_rows_that_the_header_does_not_declare(spark, tmp_path, fmt, declared):
+    text = H.phylip(FIVE).replace(" 5 8", f" {declared} 8") if fmt == "phylip" else H.nexus(FIVE, declared, 8)
     H.put(tmp_path, "x", text)
+    rows = A.read_alignments(spark, str(tmp_path), fmt)
+    assert as_rows(rows) == FIVE
+    heads = {"phylip": blocks.phylip_headers, "nexus": blocks.nexus_headers}[fmt](spark, str(tmp_path))
+    found = [(r.rule, r.detail) for r in validate.validate(rows, heads).collect()]
+    assert found == [("count_differs_from_header", f"5 of {declared}")]
+
+
+def test_surplus_row_of_a_later_block_is_not_hidden(spark, tmp_path):
+    H.put(tmp_path, "x", H.phylip(H.LONG, 20, interleaved=True) + "ACGTACG\n")
+    rows = A.read_alignments(spark, str(tmp_path), "phylip")
+    assert "unequal_lengths" in {r.rule for r in validate.validate(rows).collect()}
+
+
+def test_short_name_line(spark, tmp_path):
+    H.put(tmp_path, "x", " 5 1\n" + "".join(f"Sequence_{i}{c}\n" for i, c in enumerate("ACGT")) + "Short A\n")
+    lines = blocks.phylip_name_lines(spark, str(tmp_path))
+    found = validate.validate(A.read_alignments(spark, str(tmp_path), "phylip"), None, lines).collect()
+    assert ("short_name_line", "4") in {(r.rule, r.detail) for r in found}
+
+
+def test_gate(spark):
+    good = frame(spark, [s for _, s in FIVE], "good")
+    bad = frame(spark, ["ACG", "ACT", "AC", "AEG", "AOG"], "bad")
+    rows = good.unionByName(bad)
+    clean, refused = validate.gate(rows, validate.validate(rows))
+    assert sorted(map(tuple, clean.select(good.columns).collect())) == sorted(map(tuple, good.collect()))
+    assert {(r.alignment_id, r.taxon_id, tuple(r.rules)) for r in refused.collect()} == {
+        ("bad", i, ("illegal_character", "unencodable_base", "unequal_lengths")) for i in range(5)
+    }
+
+
+def test_patterns_refuse_what_has_no_columns(spark):
+    for seqs, message in (
+        (["AAA", "CC", "GGGG"], "unequal length"), (["AO", "CC", "GG"], "nucleotide set"), (["A.", "C1", "G1"], "nucleotide set"),
+    ):
+        with pytest.raises(Exception, match=message):
+            sites.site_patterns(frame(spark, seqs)).collect()
+
+
+def test_illegal_characters_make_a_column_variable(spark):
+    rows = frame(spark, ["EAEZ1", "AAEA2", "AAEA3", "AAEQ4"])
+    assert {r.site for r in sites.variable_sites(rows).collect()} == {0, 3}
+
+
+def test_wrong_format_gives_no_sequences(spark, tmp_path):
+    H.put(tmp_path, "x", "".join(f"{n}{' ' if i % 2 else chr(9)}{s}\n" for i, (n, s) in enumerate(FIVE)))
     for fmt in ("fasta", "phylip", "nexus", "clustal"):
         rows = A.read_alignments(spark, str(tmp_path), fmt)
         assert rows.count() == 0, fmt

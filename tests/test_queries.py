@@ -4,8 +4,9 @@ import pytest
 import __spark_entry__ as entry
 from cladeframe.catalog import all_queries, all_sql
 from cladeframe.functions import sequences as S
-from cladeframe.operators import scoring, sites
+from cladeframe.operators import moves, scoring, sites
 from cladeframe.plans import search
+from cladeframe.sources import alignments as A
 from pyspark.sql import functions as F
 from tests import helpers as H
 
@@ -14,7 +15,8 @@ QUICK = [
     "iupac_encode", "site_states", "excluded_sites", "minimum_tree_length", "site_patterns", "validate_counts",
     "topology_key", "nni_neighbours", "tree_length", "ancestral_states", "count_best", "running_best",
     "starting_temperature", "stream_progress", "read_nexus", "branch_changes", "branch_table", "consistency_index",
-    "propose_moves", "one_random_tree", "uniform_draw", "best_set", "exact_search",
+    "propose_moves", "one_random_tree", "validate_all", "math_domain", "cooling_epochs", "validate_lengths", "validate_limits",
+    "validate_alphabet", "read_phylip", "write_trees", "uniform_draw", "best_set", "exact_search",
 ]
 
 
@@ -85,9 +87,10 @@ def test_searches_find_the_shortest(problem):
     steps = search.stepwise_trees(sizes, patterns)
     assert all(H.is_tree(r.parent) for r in steps.collect())
     starts = steps.join(runs, "alignment_id").select("run_id", "alignment_id", "parent")
-    climbed = search.hill_climb(starts, patterns, "spr").collect()
-    assert {r.alignment_id: r.length for r in climbed} == least
-    assert len({(r.run_id, H.splits(r.parent)) for r in climbed}) == len(climbed)
+    for neighbourhood in ("spr", "tbr"):
+        climbed = search.hill_climb(starts, patterns, neighbourhood).collect()
+        assert {r.alignment_id: r.length for r in climbed} == least
+        assert len({(r.run_id, H.splits(r.parent)) for r in climbed}) == len(climbed)
 
 
 def test_three_taxa_and_constant_alignments(spark):
@@ -114,3 +117,40 @@ def test_draw_of_large_keys(spark):
     df = spark.createDataFrame([(2**31 + 5,), (2**62,), (5,)], "k long").select(S.congruential_draw(7, F.col("k")).alias("u"))
     a, b, c = [r.u for r in df.collect()]
     assert a == c and 0 <= b < 1
+
+
+def test_trees_and_patterns_must_have_the_same_taxa(spark):
+    seqs = spark.createDataFrame([("x", i, f"t{i}", s) for i, s in enumerate(["AA", "AC", "CC", "CA", "GA", "GC"])],
+                                 "alignment_id string, taxon_id int, name string, seq string")
+    trees = spark.createDataFrame([("x", 1, H.topologies(5)[0])], "alignment_id string, tree_id long, parent array<int>")
+    for measure in (scoring.tree_length, scoring.fitch_site_length):
+        with pytest.raises(Exception, match="differ in their taxa"):
+            measure(trees, sites.site_patterns(seqs), ["tree_id"]).collect()
+
+
+def test_slots_without_a_move_stay(spark):
+    tree = spark.createDataFrame([(1, H.topologies(5)[3])], "tree_id long, parent array<int>")
+    nni = moves.nni_edits(tree, ["tree_id"]).withColumn("move_no", F.col("branch") * 100 + F.col("side"))
+    shares = tree.select("tree_id", F.lit(1.0).alias("p_nni"), F.lit(0.0).alias("p_spr"))
+    draw = lambda *keys: S.uniform_draw(5, *keys)
+    found = moves.propose_moves(tree, {"NNI": nni}, ["tree_id"], shares, 8, draw).collect()
+    assert sorted(r.slot for r in found) == list(range(8)) and {r.move for r in found} == {"NNI"}
+    none = [r for r in found if r.move_no is None]
+    assert len(none) == 4 and all(r.parent == H.topologies(5)[3] for r in none)
+
+
+def test_trees_and_traces_are_written_by_run(spark, tmp_path):
+    trees = spark.createDataFrame([(7, "x", H.topologies(4)[0]), (8, "x", H.topologies(4)[1])], "run_id long, alignment_id string, parent array<int>")
+    seqs = spark.createDataFrame([("x", i, c, "A") for i, c in enumerate("abcd")], "alignment_id string, taxon_id int, name string, seq string")
+    named = trees.join(A.taxon_names(seqs), "alignment_id")
+    A.write_trees(named, F.col("names"), str(tmp_path / "trees"), ["run_id", "alignment_id"])
+    lines = [r.value.split("\t") for r in spark.read.text(str(tmp_path / "trees")).collect()]
+    assert sorted(x[:2] for x in lines) == [["7", "x"], ["8", "x"]] and all(c in x[2] for x in lines for c in "abcd")
+    rows = spark.createDataFrame([(r, i, r * i) for r in (1, 2) for i in range(3)], "run_id long, Iteration long, Length long")
+    A.write_trace(rows, str(tmp_path / "trace"), ["run_id"])
+    rows.write.parquet(str(tmp_path / "rows"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "rows"))
+    A.stream_trace(stream, str(tmp_path / "live"), str(tmp_path / "state"), ["run_id"]).awaitTermination()
+    for place in ("trace", "live"):
+        back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / place))
+        assert sorted((int(r.run_id), int(r.Iteration), int(r.Length)) for r in back.collect()) == sorted(map(tuple, rows.collect()))
