@@ -94,16 +94,14 @@ _STATE_CASES = " ".join(f"WHEN '{c}' THEN {s}" for c, s in S.STATE_OF.items())
 @query(
     "iupac_encode",
     O.sql(
-        O.DOC_CELLS,
-        query=f"""SELECT alignment_id, site, CAST(sum(state) AS BIGINT) AS state_sum, bit_and(state) AS shared, count(*) AS n
-                  FROM (SELECT alignment_id, site, CASE base {_STATE_CASES} END AS state FROM cells)
-                  GROUP BY alignment_id, site""",
+        O.DOC,
+        query="""SELECT alignment_id, taxon_id,
+                         translate(seq, 'ACGTUYRWSKMBDHVNX?-', '12488A596C3EDB7FFFF') AS states FROM doc""",
     ),
 )
 def iupac_encode(spark, sf_dir):
-    cells = sites.explode_sites(V.document_alignments(spark, sf_dir))
-    return cells.groupBy("alignment_id", "site").agg(
-        F.sum("state").alias("state_sum"), F.bit_and("state").alias("shared"), F.count(F.lit(1)).alias("n")
+    return V.document_alignments(spark, sf_dir).select(
+        "alignment_id", "taxon_id", S.hex_states(F.col("seq")).alias("states")
     )
 
 

@@ -13,6 +13,7 @@ from string import ascii_uppercase, digits
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -309,6 +310,31 @@ def mask_batches(batches: Iterator[pa.RecordBatch], accepted: str) -> Iterator[p
         )
 
 
+def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sequences without the columns that ``keep`` (a flag per column) leaves out; shorter rows use the flags they reach.
+
+    In: ``alignment_id, taxon_id, name, seq, keep, original_m, m``; out: the same without ``keep``.
+    """
+    for batch in batches:
+        seq, keep = batch.column("seq"), batch.column("keep")
+        raw, offsets = _text(seq)
+        starts = keep.offsets.to_numpy()[:-1].astype(np.int64)
+        length = np.diff(offsets)
+        at = np.arange(offsets[0], offsets[-1]) + np.repeat(starts - offsets[:-1], length)
+        kept = keep.values.to_numpy(zero_copy_only=False)[at].astype(bool)
+        ends = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])[offsets - offsets[0]]
+        data = raw[offsets[0] : offsets[-1]][kept]
+        if len(data) and data.max() > 127:
+            texts = [data[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(ends[:-1], ends[1:])]
+            cut = pa.array(texts, pa.string())
+        else:
+            buffers = pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())
+            cut = pa.LargeStringArray.from_buffers(len(seq), *buffers).cast(pa.string())
+        columns = [batch.column(c) for c in ("alignment_id", "taxon_id", "name")]
+        columns += [pc.if_else(seq.is_null(), pa.scalar(None, pa.string()), cut), batch.column("original_m"), batch.column("m")]
+        yield pa.RecordBatch.from_arrays(columns, names=["alignment_id", "taxon_id", "name", "seq", "original_m", "m"])
+
+
 def pattern_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Turn blocks of an alignment (taxa after each other) into distinct columns with counts.
 

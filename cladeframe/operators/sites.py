@@ -10,11 +10,11 @@ are needed as a whole, blocks of text move instead.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions import sequences as S
-from cladeframe.functions.kernels import mask_batches, pattern_batches
+from cladeframe.functions.kernels import cut_batches, mask_batches, pattern_batches
 
 PIECE = 4096  # sites of one piece of a long sequence
 BLOCK = 1 << 20  # characters of one block of columns
@@ -31,13 +31,18 @@ def explode_sites(sequences: DataFrame) -> DataFrame:
 
 def _pieces(sequences: DataFrame, width: int) -> DataFrame:
     """Sequences cut every ``width`` sites: ``first`` (site) and ``piece``; most are one piece."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(width))
-    cut = sequences.select("alignment_id", "taxon_id", "seq", F.explode_outer(starts).alias("first"))
-    return cut.select(
-        "alignment_id", "taxon_id", "first", F.substring("seq", F.col("first") + 1, F.lit(width)).alias("piece")
+    return sequences.select("alignment_id", "taxon_id", F.posexplode(_cut(F.lit(width))).alias("at", "piece")).select(
+        "alignment_id", "taxon_id", (F.col("at") * width).alias("first"), "piece"
     )
 
 
+def _cut(width: Column) -> Column:
+    """Pieces of ``seq``, in one walk over a long sequence (a substring by position would walk from the start each time)."""
+    seq = F.col("seq")
+    long = F.regexp_extract_all(seq, F.concat(F.lit("(?s).{1,"), width.cast("string"), F.lit("}")), F.lit(0))
+    return F.when(F.length(seq) > width, long).otherwise(F.array(seq))
+
+
 def site_masks(sequences: DataFrame) -> DataFrame:
     """``alignment_id, site, mask``: one bit per character that occurs in the column."""
     accepted = S.ACCEPTED
@@ -90,11 +95,10 @@ def kept_columns(sequences: DataFrame) -> DataFrame:
 
 def cut_constant_sites(sequences: DataFrame) -> DataFrame:
     """Sequences without their constant columns, with ``original_m`` and ``m``."""
-    joined = sequences.join(kept_columns(sequences), "alignment_id")
-    kept = F.filter(F.split("seq", ""), lambda _, i: F.get(F.col("keep"), i))
-    return joined.select(
-        "alignment_id", "taxon_id", "name", F.array_join(kept, "").alias("seq"), "original_m", "m"
+    rows = sequences.join(kept_columns(sequences), "alignment_id").select(
+        "alignment_id", "taxon_id", "name", "seq", "keep", "original_m", "m"
     )
+    return rows.mapInArrow(cut_batches, rows.drop("keep").schema)
 
 
 def excluded_sites(sequences: DataFrame, per_line: int = 8) -> DataFrame:
@@ -168,11 +172,8 @@ def site_patterns(sequences: DataFrame) -> DataFrame:
     dims = sequences.groupBy("alignment_id").agg(F.count(F.lit(1)).alias("_n"))
     width = F.least(F.greatest(F.floor(F.lit(BLOCK) / F.col("_n")), F.lit(1)), F.lit(PIECE)).cast("int")
     coded = sequences.withColumn("seq", S.hex_states(F.col("seq"))).join(dims, "alignment_id").withColumn("_w", width)
-    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.col("_w"))
-    cut = coded.select("alignment_id", "taxon_id", "seq", "_w", "_n", F.explode_outer(starts).alias("first"))
-    pieces = cut.select(
-        "alignment_id", "first", "taxon_id", "_n", F.substring("seq", F.col("first") + 1, F.col("_w")).alias("piece")
-    )
+    cut = coded.select("alignment_id", "taxon_id", "_w", "_n", F.posexplode(_cut(F.col("_w"))).alias("at", "piece"))
+    pieces = cut.select("alignment_id", (F.col("at") * F.col("_w")).alias("first"), "taxon_id", "_n", "piece")
     blocks = pieces.groupBy("alignment_id", "first").agg(
         F.array_sort(F.collect_list(F.struct("taxon_id", "piece"))).alias("_t"),
         F.max("_n").alias("_n"), F.min(F.length("piece")).alias("_lo"), F.max(F.length("piece")).alias("_hi"),

@@ -98,6 +98,13 @@ def test_patterns_refuse_what_has_no_columns(spark):
             sites.site_patterns(frame(spark, seqs)).collect()
 
 
+def test_cut_of_ragged_and_missing_rows(spark):
+    seqs = ["ACGTA", "ACC", None, "", "TCGTé"]
+    got = {r.taxon_id: r.seq for r in sites.cut_constant_sites(frame(spark, seqs)).collect()}
+    # columns 0, 2 and 4 differ; the last letter has two bytes, of which the second is a column of its own
+    assert got[0] == "AGA" and got[1] == "AC" and got[2] is None and got[3] == "" and got[4].startswith("TG")
+
+
 def test_illegal_characters_make_a_column_variable(spark):
     rows = frame(spark, ["EAEZ1", "AAEA2", "AAEA3", "AAEQ4"])
     assert {r.site for r in sites.variable_sites(rows).collect()} == {0, 3}

@@ -15,7 +15,7 @@ QUICK = [
     "iupac_encode", "site_states", "excluded_sites", "minimum_tree_length", "site_patterns", "validate_counts",
     "topology_key", "nni_neighbours", "tree_length", "ancestral_states", "count_best", "running_best",
     "starting_temperature", "stream_progress", "read_nexus", "branch_changes", "branch_table", "consistency_index",
-    "propose_moves", "one_random_tree", "validate_all", "math_domain", "cooling_epochs", "validate_lengths", "validate_limits",
+    "propose_moves", "one_random_tree", "validate_all", "math_domain", "cut_constant_sites", "variable_sites", "cooling_epochs", "validate_lengths", "validate_limits",
     "validate_alphabet", "read_phylip", "write_trees", "uniform_draw", "best_set", "exact_search",
 ]
 
