@@ -280,15 +280,15 @@ def cooling_epochs(
     rows = spread(_segmented(trace.select("run_id", "iter", "accepted"), "iter", size), "run_id", "_seg")
     limits = (max_accept, max_propose)
     schema = "run_id bigint, iter bigint, accepted int, epoch bigint"
-    tables = rows.groupBy("run_id", "_seg").applyInPandas(
+    first, later = rows.filter("_seg = 0"), rows.filter("_seg > 0")
+    # a run of one segment needs no tables, and a first segment has few rows to look its run up with
+    chained = first.join(later.select("run_id").distinct(), "run_id", "left_semi").unionByName(later)
+    tables = chained.groupBy("run_id", "_seg").applyInPandas(
         lambda pdf: epoch_tables(pdf, *limits), "run_id bigint, _seg bigint, exits binary, ended binary"
     )
-    entries = _entry_states(tables, LEVELS)
-    return (
-        rows.join(entries, ["run_id", "_seg"])
-        .groupBy("run_id", "_seg")
-        .applyInPandas(lambda pdf: epoch_numbers(pdf, *limits), schema)
-    )
+    known = first.withColumns({"entry": F.lit(0), "before": F.lit(0).cast("bigint")})
+    entered = known.unionByName(later.join(_entry_states(tables, LEVELS), ["run_id", "_seg"]))
+    return entered.groupBy("run_id", "_seg").applyInPandas(lambda pdf: epoch_numbers(pdf, *limits), schema)
 
 
 def _entry_states(tables: DataFrame, levels: int) -> DataFrame:
