@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -42,9 +43,27 @@ def same(a: DataFrame, b: DataFrame, *names: str) -> Column:
     return cond
 
 
-def as_bytes(column: pa.Array) -> list[bytes]:
-    """Values of a text column as UTF-8; NULL gives the empty text."""
-    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+def as_bytes(column: pa.Array, step: int = 64) -> Iterator[bytes]:
+    """Values of a text column as UTF-8, copied a few at a time; NULL gives the empty text."""
+    for at in range(0, len(column), step):
+        for x in column.slice(at, step).cast(pa.large_binary()).to_pylist():
+            yield x or b""
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(task: Task) -> Task:
+    """A task that gives freed memory back to the system at its end; workers are kept, and what they keep adds up over jobs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return run
 
 
 def words(text: bytes) -> list[bytes]:

@@ -12,7 +12,8 @@ import os
 import sys
 import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import as_bytes, column_of
+from cladeframe.llm.common import as_bytes, column_of, tidy
 from cladeframe.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,8 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CAPACITY = 2048
 #: Pieces that are packed together, on average.
 PART = 50_000
-#: Encoded words that a worker remembers; beyond it, it starts afresh.
-REMEMBERED = 800_000
+#: Encoded words and parts of words that a worker remembers; beyond it, it starts afresh.
+REMEMBERED = 1_000_000
 #: Words encoded at once.
 TOGETHER = 2000
 #: Bytes of text that are looked through for new words at once.
@@ -59,7 +60,7 @@ class WordCache:
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized)]
         #: A special token and its id, which part words that are encoded in one go; the library is faster on long texts.
         self.mark = special[0] if special else None
-        self.parts: dict[bytes, bytes] = {}
+        #: Ids of words and of their parts; a part is a word that isn't cut.
         self.ids: dict[bytes, bytes] = {}
 
     @classmethod
@@ -70,6 +71,8 @@ class WordCache:
         return state[path]
 
     def cut(self, word: bytes) -> list[bytes]:
+        if word.isalpha():  # ASCII letters only
+            return [word.lower()]
         if b"<|" in word:  # may hold a special token, which is looked for before anything else
             return [word]
         low = word.lower()
@@ -84,20 +87,20 @@ class WordCache:
         """Encode what is new in the texts; gives their words."""
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
-            self.parts.clear()
         split = [t.split() for t in texts]
         new: set[bytes] = set()
         for ws in split:
             new.update(ws)
         new -= self.ids.keys()
         cuts = {w: self.cut(w) for w in new}
-        parts = [p for p in {p for c in cuts.values() for p in c} if p not in self.parts]
+        parts = list({p for c in cuts.values() for p in c} - self.ids.keys())
         for at in range(0, len(parts), TOGETHER):
             some = parts[at : at + TOGETHER]
-            self.parts.update(zip(some, self.encode_words([p.decode("utf-8", "replace") for p in some])))
-        known = self.parts
+            self.ids.update(zip(some, self.encode_words([p.decode("utf-8", "replace") for p in some])))
+        known = self.ids
         for w, c in cuts.items():
-            self.ids[w] = known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c])
+            if w not in known:
+                known[w] = known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c])
         return split
 
     def encode_words(self, words: list[str]) -> list[bytes]:
@@ -111,14 +114,15 @@ class WordCache:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """Ids of each text; texts are learned in groups of bounded size."""
         group: list[bytes] = []
         size = 0
-        for i, t in enumerate(texts):
-            group.append(t)
-            size += len(t)
-            if size > GROUP_BYTES or i == len(texts) - 1:
+        for t in chain(texts, [None]):
+            if t is not None:
+                group.append(t)
+                size += len(t)
+            if size > GROUP_BYTES or (t is None and group):
                 split, ids = self.learn(group), self.ids
                 for ws in split:
                     yield b"".join(map(ids.__getitem__, ws))
@@ -156,7 +160,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids:
                 out.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.record_batch(out, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:

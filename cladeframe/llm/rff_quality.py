@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import as_bytes, column_of, id_hash, isotonic
+from cladeframe.llm.common import as_bytes, column_of, id_hash, isotonic, tidy
 from cladeframe.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -108,7 +108,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             x = [statistics(t) for t in as_bytes(column_of(b, "text"))]
             yield pa.record_batch([column_of(b, "doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, x array<double>")
 
 
 @dataclass
@@ -245,4 +245,4 @@ def reject(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
             x = np.array([statistics(t) for t in as_bytes(column_of(b, "text"))]).reshape(-1, N_STATISTICS)
             yield b.filter(pa.array(at.value.score(x) >= 0.5, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cladeframe.llm.common import as_bytes, column_of, components, words
+from cladeframe.llm.common import as_bytes, column_of, components, tidy, words
 from cladeframe.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -200,7 +200,7 @@ def links(distinct: DataFrame, max_diff: int = MAX_DIFF, run: int = RUN) -> Data
     sides = meet.withColumn("run", F.explode(F.array_distinct(F.array("run_a", "run_b"))))
     hot = hot.join(sides, ["bucket", "run"]).select("bucket", "run_a", "run_b", "fp")
     buckets = small.unionByName(hot).repartition("bucket", "run_a", "run_b").sortWithinPartitions("bucket", "run_a", "run_b")
-    return buckets.mapInArrow(lambda it: _join_buckets(it, max_diff), "a bigint, b bigint").distinct()
+    return buckets.mapInArrow(tidy(lambda it: _join_buckets(it, max_diff)), "a bigint, b bigint").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import as_bytes, column_of, id_hash, isotonic, words
+from cladeframe.llm.common import as_bytes, column_of, id_hash, isotonic, tidy, words
 from cladeframe.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -111,7 +111,7 @@ def telling_terms(examples: DataFrame, n: int, positive: int) -> dict[str, int]:
             names = list(held[0].keys() | held[1].keys())
             yield pa.record_batch([pa.array(names, pa.string()), pa.array([held[0][t] for t in names], pa.int64()), pa.array([held[1][t] for t in names], pa.int64())], names=["term", "without", "with"])
 
-    counts = examples.select("label", "text").mapInArrow(run, "term string, without bigint, with bigint")
+    counts = examples.select("label", "text").mapInArrow(tidy(run), "term string, without bigint, with bigint")
     counts = counts.groupBy("term").agg(F.sum("with").cast("double").alias("a"), F.sum("without").cast("double").alias("b"))
     c, d = positive - F.col("a"), (n - positive) - F.col("b")
     apart = F.col("a") * d - F.col("b") * c
@@ -142,7 +142,7 @@ def term_vectors(docs: DataFrame, number: dict[str, int]) -> DataFrame:
             lists = [pa.array([[x[i] for x in f] for f in found], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.record_batch([column_of(b, "doc_id"), *lists], names=["doc_id", "terms", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, terms array<int>, counts array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, terms array<int>, counts array<int>")
 
 
 @dataclass
@@ -299,7 +299,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pa.record_batch(out, names=["doc_id", "score", "predicted", "evidence"])
 
     schema = f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id: bigint, cosine: double, label: int>>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def reject(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -316,4 +316,4 @@ def reject(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 keep.append(m.score([x[0] for x in c], [x[1] for x in c])[0] < 0.5)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
