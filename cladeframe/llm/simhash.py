@@ -189,14 +189,20 @@ def links(distinct: DataFrame, max_diff: int = MAX_DIFF, run: int = RUN) -> Data
     for s in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
     hot = hot.select("bucket", "fp", rank.bitwiseXOR(F.lit(-(2**63)).cast("long")).alias("rank"))
-    hot = hot.withColumn("run", F.floor((F.row_number().over(W.partitionBy("bucket").orderBy("rank")) - 1) / run))
-    hot = materialise(hot.select("bucket", "run", "fp"), "large-bucket-runs")
-    shared = hot.groupBy("bucket", "run").agg(F.bit_and("fp").alias("all_set"), F.bit_or("fp").alias("some_set"))
-    x, y = shared.alias("x"), shared.alias("y")
-    apart = F.expr("bit_count((x.all_set & ~y.some_set) | (y.all_set & ~x.some_set))")
-    meet = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.run") <= F.col("y.run")) & (apart <= max_diff)).select(
-        F.col("x.bucket").alias("bucket"), F.col("x.run").alias("run_a"), F.col("y.run").alias("run_b")
-    )
+    # ranges, not buckets, go to tasks; ids of different ranges are far apart, so no run reaches over the end of its range
+    hot = hot.repartitionByRange("bucket", "rank").sortWithinPartitions("bucket", "rank")
+    hot = hot.withColumn("at", F.monotonically_increasing_id()).select("bucket", F.expr(f"at div {run}").alias("run"), "fp")
+    hot = materialise(hot, "large-bucket-runs")
+    bits = F.bit_and("fp").alias("all_set"), F.bit_or("fp").alias("some_set")
+    low = hot.groupBy("bucket", "run").agg(*bits).withColumn("above", F.expr(f"run div {FAN}"))
+    low = materialise(low, "shared-bits")
+    top = low.groupBy("bucket", "above").agg(F.bit_and("all_set").alias("all_set"), F.bit_or("some_set").alias("some_set"))
+    near = F.expr(f"bit_count((x.all_set & ~y.some_set) | (y.all_set & ~x.some_set)) <= {max_diff}")
+    met = top.alias("x").join(top.alias("y"), F.expr("x.bucket = y.bucket and x.above <= y.above") & near)
+    met = met.select("x.bucket", F.col("x.above").alias("above_a"), F.col("y.above").alias("above_b")).alias("m")
+    meet = met.join(low.alias("x"), F.expr("x.bucket = m.bucket and x.above = m.above_a"))
+    meet = meet.join(low.alias("y"), F.expr("y.bucket = m.bucket and y.above = m.above_b and x.run <= y.run") & near)
+    meet = meet.select("m.bucket", F.col("x.run").alias("run_a"), F.col("y.run").alias("run_b"))
     sides = meet.withColumn("run", F.explode(F.array_distinct(F.array("run_a", "run_b"))))
     hot = hot.join(sides, ["bucket", "run"]).select("bucket", "run_a", "run_b", "fp")
     buckets = small.unionByName(hot).repartition("bucket", "run_a", "run_b").sortWithinPartitions("bucket", "run_a", "run_b")
