@@ -272,6 +272,16 @@ def test_toxicity(spark, odd, empty):
     assert {r.score for r in tfidf_knn.score(odd, tfidf_knn.fit(odd, labels.limit(0))).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("share", [40, 60])
+def test_toxicity_where_toxic_texts_are_common(spark, share):
+    texts = [(i, f"plain words number {i} " + ("with dreadful insult" if i % 100 < share else "of this tale"), "en", "a", 30) for i in range(300)]
+    docs = spark.createDataFrame(texts, SCHEMA)
+    labels = labels_of(spark, [(i, 1, int(i % 100 < share)) for i in range(300) if i % 3])
+    model = tfidf_knn.fit(docs, labels)
+    assert all(r.predicted == int(r.doc_id % 100 < share) for r in tfidf_knn.score(docs, model).collect())
+    assert {r.doc_id for r in tfidf_knn.reject(docs, model).collect()} == {i for i in range(300) if i % 100 >= share}
+
+
 def test_quality(spark, odd, empty):
     good = [(i, f"This is a plain sentence about the number {i}, and it goes on for a while.", "en", "a", 30) for i in range(150)]
     bad = [(i, f"BUY!! NOW!! {i}!! BUY!! NOW!! BUY!!", "en", "a", 30) for i in range(150, 200)]
