@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples in TF-IDF space, found exactly with a block-max inverted index.
 
-Terms are words and beginnings of words, and such that occur several times. From a bounded sample of labelled texts, those terms are kept that stand
-with the label more often than chance; document frequencies come from all documents. The examples' vectors form an inverted
-index in blocks, each with the largest weight of each term. A text looks at blocks in the order of what they could
-score at most, and stops when no block left can change its nearest examples. Examples vote by cosine; votes are calibrated by
-an isotonic fit of what each example gets from the others.
+Terms are words and beginnings of words, and such that occur several times. A bounded sample of labelled texts are the examples;
+all their terms are in the index, with document frequencies from all documents and norms over whole texts. Examples lie in
+blocks, each with the largest weight of each frequent term. A text adds up its rare terms by postings, looks at blocks in the order
+of what they could score at most, and stops when no block left can change its nearest examples. Examples vote by cosine;
+votes are calibrated by an isotonic fit of what each example gets from the others.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import as_bytes, column_of, id_hash, isotonic, tidy, words
+from cladeframe.llm.common import as_bytes, column_of, id_hash, isotonic, mix64, tidy, words
 from cladeframe.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,13 +34,18 @@ SAMPLE = 16_384
 PREFIXES = (4, 5, 6, 7)
 #: A term that occurs this often in a text is there as another term, too.
 TIMES = (2, 3)
-#: A term is kept if it is in this many positive examples at least, and its chi-square is this large.
-LEAST_POSITIVE = 3
-LEAST_CHI2 = 30.0
-#: Terms at most, the most telling first.
-TERMS = 20_000
 NEIGHBOURS = 25
 BLOCK = 64
+#: A term in this share of the examples is frequent; so many terms at most are.
+FREQUENT = 1 / 64
+MOST_FREQUENT = 1024
+#: Texts that are searched together.
+TOGETHER = 128
+#: Examples, and terms, that the driver takes at once.
+PART = 512
+STEP = 1_000_000
+#: Blocks that a text opens before it drops others by their bounds.
+FIRST = 4
 #: Distinct words whose terms a task remembers; beyond it, it starts afresh.
 REMEMBERED = 300_000
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -52,32 +59,47 @@ def terms_of(word: bytes) -> list[str]:
     return ["=" + w] + [w[:n] for n in PREFIXES if len(w) >= n]
 
 
-def repeated(counts: dict[str, int]) -> dict[str, int]:
-    """Terms and their counts, with the terms for repetition added."""
-    more = {f"{t}#{k}": 1 for t, n in counts.items() for k in TIMES if n >= k}
-    return counts | more
-
-
 class TermCounter:
-    """Counts of known terms in texts."""
-
-    def __init__(self, number: dict[str, int]) -> None:
-        self.number = number
-        self.plain = {t.partition("#")[0] for t in number}
-        self.known: dict[bytes, tuple[str, ...]] = {}
-
-    def count(self, text: bytes) -> dict[int, int]:
-        found: Counter = Counter()
-        known, plain = self.known, self.plain
-        for w, n in Counter(words(text)).items():
-            t = known.get(w)
-            if t is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                t = known[w] = tuple({x for x in terms_of(w) if x in plain})
-            for x in t:
-                found[x] += n
-        return {self.number[t]: n for t, n in repeated(found).items() if t in self.number} if found else {}
+    """Terms of texts as 64-bit hashes, and how often they occur."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        # 0 is no term
+        self.hashes = np.zeros((1024, 1 + len(PREFIXES)), np.uint64)
+
+    def rows(self, found: list[bytes]) -> np.ndarray:
+        known = self.known
+        try:
+            return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        except KeyError:
+            pass
+        if len(known) > REMEMBERED:
+            known.clear()
+            self.hashes = np.zeros((1024, self.hashes.shape[1]), np.uint64)
+        new = [w for w in found if w not in known]
+        while len(known) + len(new) > len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        for w in new:
+            at = known[w] = len(known)
+            for k, t in enumerate(terms_of(w)):
+                self.hashes[at, k] = xxhash.xxh64_intdigest(t)
+        return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+
+    def count(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct terms and their counts, in no special order."""
+        tally = Counter(words(text))
+        at = self.rows(list(tally))
+        h = self.hashes[at]
+        n = np.repeat(np.fromiter(tally.values(), np.int64, len(tally)), h.shape[1])
+        h = h.ravel()
+        n = n[h != 0]
+        h = h[h != 0]
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        at = np.append(0, np.flatnonzero(h[1:] != h[:-1]) + 1) if len(h) else np.empty(0, np.int64)
+        h, n = h[at], np.add.reduceat(n, at) if len(at) else n
+        often = [np.empty(0, np.uint64)] + [mix64(h[n >= k] + np.uint64(k)) for k in TIMES]
+        return np.concatenate([h, *often]), np.append(n, np.ones(sum(map(len, often)), np.int64))
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> DataFrame:
@@ -94,182 +116,307 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int =
     return rows.select("first.doc_id", "label", "first.text")
 
 
-def telling_terms(examples: DataFrame, n: int, positive: int) -> dict[str, int]:
-    """Numbers of the terms that go with the label, from counts of examples that hold them."""
+def weight_of(counts: np.ndarray) -> np.ndarray:
+    """Weight of terms by their counts in a text, before idf."""
+    return 1 + np.log(counts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, y in zip(as_bytes(column_of(b, "text")), column_of(b, "label").to_pylist()):
-                counts: Counter = Counter()
-                for w, k in Counter(words(text)).items():
-                    for t in terms_of(w):
-                        counts[t] += k
-                held[int(y > 0)].update(repeated(counts).keys())
-            names = list(held[0].keys() | held[1].keys())
-            yield pa.record_batch([pa.array(names, pa.string()), pa.array([held[0][t] for t in names], pa.int64()), pa.array([held[1][t] for t in names], pa.int64())], names=["term", "without", "with"])
-
-    counts = examples.select("label", "text").mapInArrow(tidy(run), "term string, without bigint, with bigint")
-    counts = counts.groupBy("term").agg(F.sum("with").cast("double").alias("a"), F.sum("without").cast("double").alias("b"))
-    c, d = positive - F.col("a"), (n - positive) - F.col("b")
-    apart = F.col("a") * d - F.col("b") * c
-    chi2 = n * apart * apart / ((F.col("a") + F.col("b")) * (c + d) * float(max(1, positive)) * float(max(1, n - positive)))
-    kept = counts.where((F.col("a") >= LEAST_POSITIVE) & (apart > 0) & (c + d > 0)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    rows = kept.orderBy(F.desc("chi2"), "term").limit(TERMS).select("term", "chi2").collect()
-    strength = {r.term: r.chi2 for r in rows}
-
-    def told_by_shorter(term: str) -> bool:
-        """A shorter beginning that tells as much says all that the term would say."""
-        plain, mark, times = term.partition("#")
-        word = plain.removeprefix("=")
-        return any(strength.get(word[:n] + mark + times, 0) >= strength[term] for n in PREFIXES if n < len(plain))
-
-    return {t: i for i, t in enumerate(t for t in strength if not told_by_shorter(t))}
-
-
-def term_vectors(docs: DataFrame, number: dict[str, int]) -> DataFrame:
-    """``doc_id, terms, counts`` of every document: its known terms in rising order."""
-    at = docs.sparkSession.sparkContext.broadcast(number)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+
+def numbers_of(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of term hashes in the sorted vocabulary; -1 for others."""
+    if not len(vocabulary):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == h, at, -1)
+
+
+def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those that hold each term of the vocabulary."""
+    at = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(at.value)
+        counter, held, total = TermCounter(), np.zeros(len(at.value) + 1, np.int64), 0
         for b in batches:
-            found = [sorted(counter.count(t).items()) for t in as_bytes(column_of(b, "text"))]
-            lists = [pa.array([[x[i] for x in f] for f in found], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.record_batch([column_of(b, "doc_id"), *lists], names=["doc_id", "terms", "counts"])
+            for text in as_bytes(column_of(b, "text")):
+                held[numbers_of(at.value, counter.count(text)[0])] += 1
+                total += 1
+        # the last one, which terms of no example share, carries the number of documents
+        held[-1] = total
+        there = np.flatnonzero(held)
+        for i in range(0, len(there), 100_000):
+            t = there[i : i + 100_000]
+            yield pa.record_batch([pa.array(t.astype(np.int32)), pa.array(held[t])], names=["term", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, terms array<int>, counts array<int>")
+    found = docs.select("text").mapInArrow(tidy(run), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1, np.int64)
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
+    return int(df[-1]), df[:-1]
 
 
 @dataclass
 class Index:
-    """Examples by term: postings in the order of examples, cut into blocks."""
+    """Examples by term: frequent terms as a matrix with the largest weight in each block, all others as postings."""
 
     idf: np.ndarray
     ids: np.ndarray
     label: np.ndarray
-    #: For each term the range of its rows in the block table.
-    first: np.ndarray
-    #: For each term and block: block, largest weight, range of postings.
-    block: np.ndarray
+    #: Column of each frequent term, -1 for others.
+    column: np.ndarray
+    #: Weights of examples by frequent term; the largest ones of each block.
+    dense: np.ndarray
     most: np.ndarray
-    start: np.ndarray
+    #: For each term the range of its postings (none for frequent terms).
+    first: np.ndarray
     example: np.ndarray
     weight: np.ndarray
 
-    def vector(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, terms: list[int], counts: list[int], others: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and their weights in a text of norm 1; ``others``: squared weights of terms that no example has."""
         t = np.array(terms, np.int64)
-        w = (1 + np.log(np.array(counts, np.float64))) * self.idf[t]
-        return t, w / np.sqrt((w * w).sum())
+        w = weight_of(np.array(counts, np.float64)) * self.idf[t]
+        return t, w / np.sqrt((w * w).sum() + others)
 
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (ties: the earlier example), only such with a cosine above 0."""
-        n = len(self.ids)
-        rows = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in terms])
-        factor = np.repeat(w, self.first[terms + 1] - self.first[terms])
-        most = np.zeros(-(-n // BLOCK))
-        np.add.at(most, self.block[rows], factor * self.most[rows])
-        order = np.argsort(-most, kind="stable")
-        order = order[most[order] > 0]
-        best, score = np.empty(0, np.int64), np.empty(0)
-        done = 0
-        # blocks are opened in growing groups; rounding is kept out of the bound
-        step = 2
-        while done < len(order) and (len(score) < k or most[order[done]] * (1 + 1e-9) >= score[-1]):
-            opened = np.zeros(len(most), bool)
-            opened[order[done : done + step]] = True
-            done += step
-            step *= 2
-            r = np.flatnonzero(opened[self.block[rows]])
-            lo, hi = self.start[rows[r]], self.start[rows[r] + 1]
-            size = hi - lo
-            at = np.repeat(lo - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-            total = np.zeros(n)
-            np.add.at(total, self.example[at], np.repeat(factor[r], size) * self.weight[at])
-            if without >= 0:
-                total[without] = 0
-            new = np.flatnonzero(total)
-            best, score = np.append(best, new), np.append(score, total[new])
-            top = np.lexsort((best, -np.round(score, 12)))[:k]
-            best, score = best[top], score[top]
-        return best, np.minimum(score, 1.0)
-
-    def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        return float((cosine * self.label[near]).sum() / cosine.sum())
+        return self.search([(terms, w)], k)[0]
+
+    def search(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of several texts at once; ``without`` names one example for each that is left out."""
+        n, blocks = len(self.ids), len(self.most)
+        rare = np.zeros((len(texts), blocks * BLOCK), np.float32)
+        dense = np.zeros((len(texts), self.dense.shape[1]), np.float32)
+        for row, (t, w) in enumerate(texts):
+            c = self.column[t]
+            dense[row, c[c >= 0]] = w[c >= 0]
+            t, w = t[c < 0], w[c < 0].astype(np.float32)
+            lo, hi = self.first[t], self.first[t + 1]
+            cuts = list(map(slice, lo.tolist(), hi.tolist()))
+            if cuts:
+                weight = np.concatenate([self.weight[x] for x in cuts])
+                weight *= np.repeat(w, hi - lo)
+                rare[row, :n] = np.bincount(np.concatenate([self.example[x] for x in cuts]), weight, n)
+        if without is not None:
+            rare[np.arange(len(texts)), without] = -np.inf
+        rare[:, n:] = -np.inf
+        # rounding is kept out of the bound
+        bound = (rare.reshape(len(texts), blocks, BLOCK).max(axis=2) + dense @ self.most.T) * np.float32(1 + 1e-5) + np.float32(1e-6)
+        total = np.full_like(rare, -np.inf)
+        least = np.zeros((len(texts), 1), np.float32)
+        opened = np.zeros(bound.shape, bool)
+        # first the blocks that promise most, then all that could still change the nearest
+        first = np.argpartition(-bound, min(FIRST, blocks) - 1, axis=1)[:, :FIRST]
+        for now in (first, None):
+            todo = bound >= least
+            if now is not None:
+                np.put_along_axis(opened, now, True, axis=1)
+                todo &= opened
+            else:
+                todo &= ~opened
+            for b in np.flatnonzero(todo.any(axis=0)):
+                rows, part = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                total[rows, part] = rare[rows, part] + dense[rows] @ self.dense[part].T
+            if now is not None and now.shape[1] * BLOCK > k:
+                seen = np.take_along_axis(total.reshape(len(texts), blocks, BLOCK), now[:, :, None], axis=1).reshape(len(texts), -1)
+                least = np.maximum(np.partition(seen, seen.shape[1] - k, axis=1)[:, -k, None], 0)
+        if blocks > k:
+            # k blocks hold an example each that scores as much as the k-th best block
+            tops = total.reshape(len(texts), blocks, BLOCK).max(axis=2)
+            least = np.maximum(least, np.partition(tops, blocks - k, axis=1)[:, -k, None])
+        out = []
+        for row in range(len(texts)):
+            there = np.flatnonzero(total[row] >= max(least[row, 0] - 1e-6, 1e-9))
+            score = total[row, there].astype(np.float64)
+            top = np.lexsort((there, -np.round(score, 6)))[:k]
+            out.append((there[top], np.minimum(score[top], 1.0)))
+        return out
+
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Vote of the nearest examples (NaN if there are none), the examples and their cosines."""
+        out = []
+        for i in range(0, len(texts), TOGETHER):
+            for near, cosine in self.search(texts[i : i + TOGETHER], NEIGHBOURS, None if without is None else without[i : i + TOGETHER]):
+                out.append((float((cosine * self.label[near]).sum() / cosine.sum()) if len(near) else np.nan, near, cosine))
+        return out
+
+    def examples(self, lo: int, hi: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Terms and weights of the examples from ``lo`` up to ``hi``."""
+        at = np.flatnonzero((self.example >= lo) & (self.example < hi))
+        term = np.searchsorted(self.first, at, side="right") - 1
+        frequent = np.flatnonzero(self.column >= 0)
+        out = []
+        for i in range(lo, hi):
+            here = self.example[at] == i
+            full = self.dense[i, self.column[frequent]]
+            out.append((np.append(frequent[full > 0], term[here]), np.append(full[full > 0], self.weight[at[here]]).astype(np.float64)))
+        return out
+
+
+def index_of(ids: np.ndarray, label: np.ndarray, size: np.ndarray, t: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> Index:
+    """Index of examples from the number of their terms, and all terms and counts in the order of examples."""
+    n = len(ids)
+    held = np.zeros(len(idf), np.int64)
+    for i in range(0, len(t), STEP):
+        held += np.bincount(t[i : i + STEP], minlength=len(idf))
+    frequent = np.argsort(-held, kind="stable")[:MOST_FREQUENT]
+    frequent = frequent[held[frequent] >= max(1, FREQUENT * n)]
+    column = np.full(len(idf), -1, np.int32)
+    column[frequent] = np.arange(len(frequent))
+    held[frequent] = 0
+    first = np.append(0, np.cumsum(held))
+    example, weight = np.empty(first[-1], np.int32), np.empty(first[-1], np.float32)
+    blocks = -(-n // BLOCK)
+    dense = np.zeros((blocks * BLOCK, len(frequent)), np.float32)
+    bounds, free = np.append(0, np.cumsum(size)), first[:-1].copy()
+    for lo in range(0, n, PART):
+        part = slice(bounds[lo], bounds[min(lo + PART, n)])
+        e, terms = np.repeat(np.arange(len(size[lo : lo + PART])), size[lo : lo + PART]), t[part]
+        w = weight_of(counts[part].astype(np.float64)) * idf[terms]
+        w /= np.sqrt(np.bincount(e, weights=w * w))[e]
+        c = column[terms]
+        dense[lo + e[c >= 0], c[c >= 0]] = w[c >= 0]
+        e, terms, w = e[c < 0], terms[c < 0], w[c < 0]
+        order = np.argsort(terms, kind="stable")
+        distinct, at, many = np.unique(terms[order], return_index=True, return_counts=True)
+        place = np.repeat(free[distinct] - at, many) + np.arange(len(order))
+        example[place], weight[place] = lo + e[order], w[order]
+        free[distinct] += many
+    most = dense.reshape(blocks, BLOCK, len(frequent)).max(axis=1) if blocks else dense
+    return Index(idf, ids, label.astype(np.float64), column, dense, most, first, example, weight)
 
 
 def build_index(examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray) -> Index:
-    """Index of (id, label, terms, counts); the list is bounded by the sample."""
-    rows = [(i, t, (1 + np.log(c)) * idf[t]) for i, (_, _, terms, counts) in enumerate(examples) for t, c in zip(terms, counts)]
-    e = np.array([r[0] for r in rows], np.int64)
-    t = np.array([r[1] for r in rows], np.int64)
-    w = np.array([r[2] for r in rows], np.float64)
-    norm = np.sqrt(np.bincount(e, weights=w * w, minlength=len(examples)))
-    w = w / norm[e] if len(e) else w
-    order = np.lexsort((e, t))
-    e, t, w = e[order], t[order], w[order]
-    key = t * (len(examples) // BLOCK + 1) + e // BLOCK
-    cut = np.append(0, np.flatnonzero(np.diff(key)) + 1) if len(key) else np.empty(0, np.int64)
-    most = np.maximum.reduceat(w, cut) if len(cut) else w
-    first = np.searchsorted(t[cut], np.arange(len(idf) + 1))
-    ids, label = np.array([x[0] for x in examples], np.int64), np.array([x[1] for x in examples], np.float64)
-    return Index(idf, ids, label, first, e[cut] // BLOCK, most, np.append(cut, len(e)), e, w)
+    """Index of (id, label, terms, counts)."""
+    size = np.array([len(x[2]) for x in examples], np.int64)
+    t, c = (np.array([y for x in examples for y in x[i]], np.int64) for i in (2, 3))
+    return index_of(np.array([x[0] for x in examples], np.int64), np.array([x[1] for x in examples]), size, t, c, idf)
 
 
 @dataclass
 class ToxicityModel:
-    number: dict[str, int]
+    vocabulary: np.ndarray
     index: Index
+    #: idf of a term that no example has; it counts as one of a single document.
+    other: float
     #: Score of a text that shares no term with any example.
     plain: float
     #: Votes and the scores they stand for.
-    votes: np.ndarray
+    known_votes: np.ndarray
     scores: np.ndarray
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
-        """Calibrated score, and the nearest examples with their cosines."""
-        if not len(terms) or not len(self.index.ids):
-            return self.plain, np.empty(0, np.int64), np.empty(0)
-        near, cosine = self.index.nearest(*self.index.vector(terms, counts), NEIGHBOURS)
-        if not len(near):
-            return self.plain, near, cosine
-        return float(np.interp(self.index.vote(near, cosine), self.votes, self.scores)), near, cosine
+    def score(self, texts: Iterator[bytes], counter: TermCounter) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Calibrated scores, and the nearest examples with their cosines."""
+        held = []
+        for text in texts:
+            held.append(self.vector(text, counter))
+            if len(held) == TOGETHER:
+                yield from self.judged(held)
+                held = []
+        yield from self.judged(held)
+
+    def vector(self, text: bytes, counter: TermCounter) -> tuple[np.ndarray, np.ndarray]:
+        h, n = counter.count(text)
+        at = numbers_of(self.vocabulary, h)
+        others = (weight_of(n[at < 0]) * self.other) ** 2
+        return self.index.vector(at[at >= 0], n[at >= 0], others.sum()) if len(h) else (at, n.astype(np.float64))
+
+    def judged(self, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        if not len(self.index.ids):
+            yield from ((self.plain, np.empty(0, np.int64), np.empty(0)) for _ in held)
+            return
+        for vote, near, cosine in self.index.votes(held):
+            yield float(np.interp(vote, self.known_votes, self.scores)) if len(near) else self.plain, near, cosine
+
+
+def example_terms(examples: DataFrame) -> DataFrame:
+    """``doc_id, label, terms, counts`` of examples; hashes of terms and their counts as packed bytes."""
+    kind = examples.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = TermCounter()
+        for b in batches:
+            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+                found = [counter.count(t) for t in as_bytes(column_of(part, "text"))]
+                packed = [pa.array([x.astype(kind).tobytes() for x in xs], pa.binary()) for xs, kind in zip(zip(*found), ("<u8", "<u4"))]
+                yield pa.record_batch([column_of(part, "doc_id"), column_of(part, "label").cast(pa.int32()), *packed], names=["doc_id", "label", "terms", "counts"])
+
+    return examples.select("doc_id", "label", "text").mapInArrow(tidy(run), f"doc_id {kind}, label int, terms binary, counts binary")
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> Iterator[np.ndarray]:
+    """Numbers that lie packed in a column of bytes, some rows at a time."""
+    yield np.empty(0, kind)
+    for i in range(0, len(column), PART):
+        yield np.frombuffer(b"".join(column.slice(i, PART).to_pylist()), kind)
+
+
+def vocabulary_of(hashed: DataFrame) -> np.ndarray:
+    """All term hashes of the examples, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.empty(0, np.uint64)
+        for b in batches:
+            found = np.unique(np.concatenate([found, *unpacked(column_of(b, "terms"), np.uint64)]))
+        yield pa.record_batch([pa.array([found.tobytes()], pa.binary())], names=["terms"])
+
+    found = np.empty(0, np.uint64)
+    for h in unpacked(hashed.select("terms").mapInArrow(tidy(run), "terms binary").toArrow()["terms"], np.uint64):
+        found = np.unique(np.append(found, h))
+    return found
+
+
+def numbered(hashed: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """The examples with places in the vocabulary instead of hashes."""
+    at = hashed.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.searchsorted(at.value, np.frombuffer(x, np.uint64)).astype(np.int32).tobytes() for x in column_of(b, "terms").to_pylist()]
+            yield pa.record_batch([column_of(b, "doc_id"), column_of(b, "label"), pa.array(found, pa.binary()), column_of(b, "counts")], names=["doc_id", "label", "terms", "counts"])
+
+    return hashed.mapInArrow(tidy(run), hashed.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """Fit on ``labels`` (``doc_id`` and the label column); document frequencies count all of ``docs``.
 
-    Without labelled texts every score is 0; without telling terms it is the share of positive examples.
+    Without labelled texts every score is 0; texts without a term of any example get the share of positive ones among such examples.
     """
     spark = docs.sparkSession
-    examples = materialise(labelled_texts(docs, labels, label, sample), "examples")
-    n, positive = examples.agg(F.count(F.lit(1)), F.sum((F.col("label") > 0).cast("int"))).first()
-    number = telling_terms(examples, n, positive or 0) if n else {}
-    everything = term_vectors(docs, number)
-    held = everything.select(F.explode("terms").alias("term")).groupBy("term").count().collect() if number else []
-    total = docs.count() if number else 0
-    df = np.zeros(len(number))
-    for r in held:
-        df[r.term] = r["count"]
+    hashed = materialise(example_terms(materialise(labelled_texts(docs, labels, label, sample), "examples")), "example-terms")
+    vocabulary = vocabulary_of(hashed)
+    rows = numbered(hashed, vocabulary).orderBy("doc_id", "terms").toArrow()
+    positive = rows["label"].to_numpy() > 0
+    size = pc.binary_length(rows["terms"]).to_numpy().astype(np.int64) // 4
+    full = np.flatnonzero(size)
+    ids = rows["doc_id"].to_numpy()[full]
+    t, counts = np.empty(size.sum(), np.int32), np.empty(size.sum(), np.uint32)
+    for name, out in (("terms", t), ("counts", counts)):
+        at = 0
+        for x in unpacked(rows[name], out.dtype):
+            out[at : at + len(x)] = x
+            at += len(x)
+    del rows
+    total, df = frequencies(docs, vocabulary) if len(full) else (0, np.zeros(0))
     idf = np.log((1 + total) / (1 + df)) + 1
-    vectors = term_vectors(examples, number).join(examples.select("doc_id", "label"), "doc_id")
-    rows = vectors.select("doc_id", "label", "terms", "counts").orderBy("doc_id").collect()
-    full = [(r.doc_id, int(r.label > 0), r.terms, r.counts) for r in rows if r.terms]
-    empty = [int(r.label > 0) for r in rows if not r.terms]
-    index = build_index(full, idf)
-    plain = (sum(empty) + 0.5) / (len(empty) + 1) if empty else (positive or 0) / max(1, n or 0)
-    votes, truth = [], []
-    for i, (_, y, terms, counts) in enumerate(full):
-        near, cosine = index.nearest(*index.vector(terms, counts), NEIGHBOURS, without=i)
-        if len(near):
-            votes.append(index.vote(near, cosine))
-            truth.append(y)
-    if votes:
-        x, y = isotonic(np.array(votes), np.array(truth, float), np.ones(len(votes)))
-    else:
-        x, y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-    return ToxicityModel(number, index, min(max(plain, 0.0), 1.0), x, y)
+    index = index_of(ids, positive[full], size[full], t, counts, idf)
+    del t, counts
+    empty = positive[size == 0]
+    plain = (empty.sum() + 0.5) / (len(empty) + 1) if len(empty) else positive.sum() / max(1, len(positive))
+    at = spark.sparkContext.broadcast(index)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in column_of(b, "id").to_pylist():
+                here = np.arange(lo * TOGETHER, min((lo + 1) * TOGETHER, len(at.value.ids)))
+                found = [x[0] for x in at.value.votes(at.value.examples(here[0], here[-1] + 1), without=here)]
+                yield pa.record_batch([pa.array(here), pa.array(found, pa.float64())], names=["example", "vote"])
+
+    groups = -(-len(full) // TOGETHER)
+    found = spark.range(0, groups, 1, max(1, min(groups, 16))).mapInArrow(tidy(left_out), "example bigint, vote double").toArrow()
+    at.destroy()
+    votes, truth = found["vote"].to_numpy(), positive[full][found["example"].to_numpy()].astype(float)
+    votes, truth = votes[~np.isnan(votes)], truth[~np.isnan(votes)]
+    x, y = isotonic(votes, truth, np.ones(len(votes))) if len(votes) else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    return ToxicityModel(vocabulary, index, float(np.log((1 + total) / 2) + 1), float(min(max(plain, 0.0), 1.0)), x, y)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -283,12 +430,10 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = at.value
-        counter = TermCounter(m.number)
+        counter = TermCounter()
         for b in batches:
             scores, found = [], []
-            for text in as_bytes(column_of(b, "text")):
-                c = sorted(counter.count(text).items())
-                s, near, cosine = m.score([x[0] for x in c], [x[1] for x in c])
+            for s, near, cosine in m.score(as_bytes(column_of(b, "text")), counter):
                 scores.append(s)
                 found.append([{"doc_id": int(m.index.ids[i]), "cosine": float(v), "label": int(m.index.label[i])} for i, v in zip(near[:3], cosine)])
             s = np.array(scores)
@@ -305,12 +450,9 @@ def reject(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = at.value
-        counter = TermCounter(m.number)
+        counter = TermCounter()
         for b in batches:
-            keep = []
-            for text in as_bytes(column_of(b, "text")):
-                c = sorted(counter.count(text).items())
-                keep.append(m.score([x[0] for x in c], [x[1] for x in c])[0] < 0.5)
+            keep = [s < 0.5 for s, _, _ in m.score(as_bytes(column_of(b, "text")), counter)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)

@@ -282,6 +282,33 @@ def test_toxicity_where_toxic_texts_are_common(spark, share):
     assert {r.doc_id for r in tfidf_knn.reject(docs, model).collect()} == {i for i in range(300) if i % 100 >= share}
 
 
+def test_toxicity_is_by_cosine_of_whole_texts(spark, sf_dir, docs, texts):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id % 3 > 0")
+    rows = tfidf_knn.score(docs, tfidf_knn.fit(docs, labels)).collect()
+
+    def terms(text):
+        plain = Counter(t for w in text.encode().lower().split() for t in tfidf_knn.terms_of(w))
+        return plain | Counter({(t, k): 1 for t, n in plain.items() for k in (2, 3) if n >= k})
+
+    tf = {i: terms(t) for i, t in texts.items()}
+    first = {}
+    for r in sorted(labels.collect(), key=lambda r: r.doc_id):
+        first.setdefault(texts[r.doc_id], r.doc_id)
+    examples = sorted(i for i in first.values() if tf[i])
+    df = Counter(t for c in tf.values() for t in c)
+    held = {t for i in examples for t in tf[i]}
+    idf = {t: math.log((1 + len(tf)) / (1 + (df[t] if t in held else 1))) + 1 for t in df}
+    vector = {i: {t: (1 + math.log(n)) * idf[t] for t, n in c.items()} for i, c in tf.items()}
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vector.items()}
+    for r in rows:
+        v = vector[r.doc_id]
+        cosine = {i: sum(x * v[t] for t, x in vector[i].items() if t in v) / norm[i] / norm[r.doc_id] for i in examples} if v else {}
+        want = sorted((c for c in cosine.values() if c > 1e-6), reverse=True)[:3]
+        assert [e.cosine for e in r.evidence] == pytest.approx(want, abs=1e-5)
+        assert [cosine[e.doc_id] for e in r.evidence] == pytest.approx(want, abs=1e-5)
+        assert r.doc_id not in examples or r.evidence[0].cosine == pytest.approx(1, abs=1e-5)
+
+
 def test_quality(spark, odd, empty):
     good = [(i, f"This is a plain sentence about the number {i}, and it goes on for a while.", "en", "a", 30) for i in range(150)]
     bad = [(i, f"BUY!! NOW!! {i}!! BUY!! NOW!! BUY!!", "en", "a", 30) for i in range(150, 200)]
