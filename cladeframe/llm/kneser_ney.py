@@ -57,14 +57,21 @@ def unmix64(x: np.ndarray) -> np.ndarray:
 
 def packs(n: int, n_distinct: int) -> bool:
     """Whether the token numbers of an n-gram fit into its key, so that the key gives them back."""
-    return n <= 2 and n_distinct + 2 < 2**32
+    return n <= 3 and n_distinct + 2 < 2 ** bits_of(n)
+
+
+def bits_of(n: int) -> int:
+    """Bits of a token number in the key of an n-gram."""
+    return 64 // max(n, 2)
 
 
 def gram_key(ids: list[np.ndarray], n_distinct: int) -> np.ndarray:
     """64-bit key of n-grams, given as one array of token numbers for each place."""
     if packs(len(ids), n_distinct):
         h = ids[0].astype(np.uint64)
-        return mix64(h << np.uint64(32) | ids[1].astype(np.uint64) if len(ids) == 2 else h)
+        for x in ids[1:]:
+            h = h << np.uint64(bits_of(len(ids))) | x.astype(np.uint64)
+        return mix64(h)
     h = np.zeros(len(ids[0]), np.uint64)
     for x in ids:
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + x.astype(np.uint64) + np.uint64(1))
@@ -73,10 +80,8 @@ def gram_key(ids: list[np.ndarray], n_distinct: int) -> np.ndarray:
 
 def gram_ids(key: np.ndarray, n: int) -> list[np.ndarray]:
     """Token numbers from keys that hold them."""
-    h = unmix64(key)
-    if n == 1:
-        return [h.astype(np.int64)]
-    return [(h >> np.uint64(32)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    h, bits = unmix64(key), bits_of(n)
+    return [(h >> np.uint64(bits * (n - 1 - i)) & np.uint64(2**bits - 1)).astype(np.int64) for i in range(n)]
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -329,7 +334,7 @@ def _level(rows: DataFrame, model: Model, n: int) -> None:
     def write(bucket: int, arrays: list[np.ndarray]) -> list[float]:
         key, ids, (c,) = summed(arrays[0], arrays[1 : 1 + fixed], arrays[1 + fixed :])
         kept = {"key": key, "count": c.astype(np.uint32) if not len(c) or c.max() < 2**32 else c}
-        save(folder, f"grams{n}", bucket, kept | {f"t{i}": x for i, x in enumerate(ids)})
+        save(folder, f"grams{n}", bucket, kept | {f"t{i}": x.astype(np.uint32) if model.n_distinct + 2 < 2**32 else x for i, x in enumerate(ids)})
         return [(c == k).sum() for k in (1, 2, 3, 4)]
 
     found = _write_buckets(rows, 2 + fixed, write, 4)
@@ -344,7 +349,7 @@ def _from_level(spark: SparkSession, model: Model, n: int, turn: Callable[[list[
 
     def turned(bucket: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         key = np.asarray(mapped(folder, f"grams{n}", "key", bucket))
-        ids = [np.asarray(mapped(folder, f"grams{n}", f"t{i}", bucket)) for i in range(fixed)] or gram_ids(key, n)
+        ids = [np.asarray(mapped(folder, f"grams{n}", f"t{i}", bucket)).astype(np.int64) for i in range(fixed)] or gram_ids(key, n)
         lower, counts = turn(ids, np.asarray(mapped(folder, f"grams{n}", "count", bucket)).astype(np.int64))
         return summed(gram_key(lower, n_distinct), lower if _fixed(model, n - 1) else [], counts)
 

@@ -82,14 +82,23 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@registry.query("op2_kneser_ney")
-def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored_by_order(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = kneser_ney.train(docs.where(id_crc("doc_id") % 5 != 1), order=2)
+    model = kneser_ney.train(docs.where(id_crc("doc_id") % 5 != 1), order=order)
     scored = kneser_ney.score(docs, model)
     return scored.withColumns({"held_out": id_crc("doc_id") % 5 == 1, "train_tokens": F.lit(model.n_tokens).cast("long")})
 
 
+@registry.query("op2_kneser_ney")
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored_by_order(spark, sf_dir, 2)
+
+
+@registry.query("op2_kneser_ney_order3")
+def op2_kneser_ney_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored_by_order(spark, sf_dir, 3)
+
+
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 

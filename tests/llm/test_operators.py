@@ -189,6 +189,45 @@ def test_kneser_ney(spark, sf_dir, texts, odd, empty):
     assert all(r.score == 0 for r in none)
 
 
+def test_kneser_ney_of_order_3(spark, sf_dir, texts):
+    rows = {r.doc_id: r for r in registry.queries["op2_kneser_ney_order3"](spark, sf_dir).collect()}
+    split = lambda t: ["<s>", "<s>", *(w.decode() for w in t.encode().lower().split()), "</s>"]
+    train = [split(t) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    v = len({w for t in train for w in t[2:]})
+    count = {3: Counter(g for t in train for g in zip(t, t[1:], t[2:])), 2: Counter(), 1: Counter()}
+    for g, c in count[3].items():
+        # after a document's start nothing different can come before
+        count[2][g[1:]] += c if g[1] == "<s>" else 1
+    for g in count[2]:
+        count[1][g[1:]] += 1
+    total, left = Counter(), defaultdict(float)
+    d = {n: kneser_ney.discounts_of(*[sum(1 for x in c.values() if x == k) for k in (1, 2, 3, 4)]) for n, c in count.items()}
+    for n, counts in count.items():
+        for g, c in counts.items():
+            total[n, g[:-1]] += c
+            left[n, g[:-1]] += d[n][min(c, 3) - 1]
+
+    def p(g):
+        n = len(g)
+        low = p(g[1:]) if n > 1 else 1 / (v + 1)
+        c, of = count[n][g], total[n, g[:-1]]
+        return ((c - d[n][min(c, 3) - 1] if c else 0) + left[n, g[:-1]] * low) / of if of else low
+
+    for i, t in texts.items():
+        ws = split(t)
+        assert rows[i].n_tokens == len(ws) - 2
+        assert rows[i].score == pytest.approx(sum(math.log10(p(g)) for g in zip(ws, ws[1:], ws[2:])))
+
+
+def test_three_token_numbers_share_a_key(spark, odd):
+    ids = [np.arange(9), np.arange(9)[::-1], np.full(9, 2**21 - 3)]
+    assert [x.tolist() for x in kneser_ney.gram_ids(kneser_ney.gram_key(ids, 2**21 - 3), 3)] == [x.tolist() for x in ids]
+    assert kneser_ney.packs(3, 2**21 - 3) and not kneser_ney.packs(3, 2**21 - 2)
+    # longer ones keep their numbers beside the key
+    four = kneser_ney.score(odd, kneser_ney.train(odd, order=4)).collect()
+    assert len(four) == len(ODD) and all(-1e9 < r.score < 0 for r in four)
+
+
 def test_packed_arrays_come_back():
     key = np.sort(np.random.default_rng(0).integers(0, 2**63, 500).astype(np.uint64))
     back = kneser_ney.grow(kneser_ney.shrink([key, np.arange(500)]), 2)
