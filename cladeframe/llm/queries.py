@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.catalog.registry import Registry
 from cladeframe.llm import (
-    kneser_ney, mixing, nn_descent, packing, paragraph_sketch, rff_quality, sharding, simhash, tfidf_knn, url_cascade,
+    filter_audit, kneser_ney, mixing, nn_descent, packing, paragraph_sketch, rff_quality, sharding, simhash, tfidf_knn, url_cascade,
 )
 from cladeframe.llm.common import id_crc, table
 
@@ -157,3 +157,39 @@ def op8_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query("op4_nn_descent")
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def _audit_sql() -> str:
+    """Every step of every order by its definition, from counts of failure sets."""
+    bits = " + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(filter_audit.NAMES))
+    place = [f"(CASE WHEN strpos(filter_order, '{c}') < step THEN {1 << i} ELSE 0 END)" for i, c in enumerate(filter_audit.NAMES)]
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+    words AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM texts),
+    flags AS (SELECT doc_id, part, len(w) < 100 AS A, 100 * len(list_distinct(w)) < 80 * len(w) AS B,
+        100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS C, regexp_matches(t, '[#$%&*|]') AS D,
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS E FROM words),
+    marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    sets AS (SELECT part, {bits} AS fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+        FROM flags LEFT JOIN marks USING (doc_id) GROUP BY part, fails),
+    f AS (SELECT unnest(string_split('A,B,C,D,E', ',')) AS c),
+    orders AS (SELECT a.c || b.c || d.c || e.c || g.c AS filter_order FROM f a, f b, f d, f e, f g
+        WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+    steps AS (SELECT filter_order, step, {" + ".join(place)} AS before,
+        (1 << (strpos('ABCDE', substr(filter_order, step, 1)) - 1)::INT) AS own
+        FROM orders, (SELECT unnest(range(1, 6))::INT AS step)),
+    counted AS (SELECT part, filter_order, step, own,
+        sum(n) FILTER (fails & (before | own) = 0) AS kept, sum(n) FILTER (fails & before = 0 AND fails & own > 0) AS removed,
+        sum(n) FILTER (fails & before > 0 AND fails & own > 0) AS redundant, sum(n) FILTER (fails = own) AS unique_fails,
+        sum(good) FILTER (fails & before = 0 AND fails & own > 0) AS good_lost,
+        sum(toxic) FILTER (fails & before = 0 AND fails & own > 0) AS toxic_lost
+        FROM sets, steps GROUP BY part, filter_order, step, own)
+    SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+        coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+        coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+        coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley FROM counted"""
+
+
+@registry.query("op12_filter_audit", _audit_sql())
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = filter_audit.document_failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(sets)

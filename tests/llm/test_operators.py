@@ -50,7 +50,7 @@ def texts(docs):
 @pytest.mark.parametrize("name", sorted(registry.sql))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.execute(registry.sql[name])
     columns = [c[0] for c in want.description]
