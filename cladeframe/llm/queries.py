@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.catalog.registry import Registry
 from cladeframe.llm import (
-    filter_audit, kneser_ney, mixing, nn_descent, packing, paragraph_sketch, rff_quality, sharding, simhash, tfidf_knn, url_cascade,
+    filter_audit, kneser_ney, mixing, nn_descent, packing, paragraph_sketch, phrases, rff_quality, sharding, simhash, tfidf_knn, url_cascade,
 )
 from cladeframe.llm.common import id_crc, table
 
@@ -193,3 +193,31 @@ def _audit_sql() -> str:
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = filter_audit.document_failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return filter_audit.audit(sets)
+
+
+#: All n-grams of pieces by sorting and grouping; scores in 128-bit integers.
+PHRASES_SQL = """WITH low AS (SELECT coalesce(lang, 'und') AS lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM low),
+    words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+    grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM
+        (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (SELECT unnest([1, 2, 3]) AS m))),
+    f AS (SELECT lang, m, phrase, count(*) AS c FROM grams GROUP BY ALL),
+    total AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+    cand AS (SELECT lang, m, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND c >= 10),
+    cuts AS (SELECT cand.*, k, array_to_string(w[1:k], ' ') AS p1, array_to_string(w[k + 1:], ' ') AS p2
+        FROM cand, (SELECT unnest([1, 2]) AS k) WHERE k < m),
+    scored AS (SELECT cuts.lang, cuts.m, cuts.phrase, a, k, x.c AS l, y.c AS r,
+        (1000000::HUGEINT * a * a // (x.c::HUGEINT * y.c))::BIGINT AS score
+        FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = p1 JOIN f y ON y.lang = cuts.lang AND y.phrase = p2),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    longer AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM cand WHERE m = 3
+        UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM cand WHERE m = 3) GROUP BY ALL),
+    kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS rank, phrase, a, l, r, n, score
+    FROM kept JOIN total USING (lang) QUALIFY rank <= 2000"""
+
+
+@registry.query("op13_phrases", PHRASES_SQL)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
