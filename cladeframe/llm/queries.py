@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from cladeframe.catalog.registry import Registry
 from cladeframe.llm import (
-    filter_audit, kneser_ney, mixing, nn_descent, packing, paragraph_sketch, phrases, rff_quality, sharding, simhash, tfidf_knn, url_cascade,
+    filter_audit, kneser_ney, mixing, nn_descent, packing, paragraph_sketch, phrases, rff_quality, sharding, simhash, tfidf_knn, url_cascade, warc,
 )
 from cladeframe.llm.common import id_crc, table
+from cladeframe.session import scratch_path
 
 registry = Registry()
 
@@ -221,3 +222,17 @@ PHRASES_SQL = """WITH low AS (SELECT coalesce(lang, 'und') AS lang,
 @registry.query("op13_phrases", PHRASES_SQL)
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+    last AS (SELECT *, CASE WHEN strlen(t) >= 1000 THEN max(page_id) OVER (PARTITION BY t) END AS newest FROM p)
+    SELECT page_id, strlen(t)::BIGINT AS payload_bytes, sha1(t) AS payload_digest,
+        CASE WHEN newest IS NOT NULL AND page_id IS DISTINCT FROM newest THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN newest IS NOT NULL AND page_id IS DISTINCT FROM newest THEN newest END AS refers_to FROM last"""
+
+
+@registry.query("op11_warc", WARC_SQL)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(warc.page_records(table(spark, sf_dir, "pages")), path)
+    return warc.read_pages(spark, path).drop("uri", "payload")
