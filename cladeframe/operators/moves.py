@@ -1,8 +1,12 @@
 """Tree rearrangements as tables: one row per neighbour of each tree.
 
-Legal moves are found inside the row of the tree and exploded; the move is then
-applied to the parent array. Nothing is shuffled. Trees must be rooted at a
-taxon; ``keep`` names the columns that identify a tree.
+Work is dealt out by tree and range of moved branches, so many small trees and one
+large one both keep all cores busy; the shuffle moves the trees, not their neighbours.
+Inside a task moves are array arithmetic on many trees at once (``functions.rearrange``).
+Trees must be rooted at a taxon; ``keep`` names the columns that identify a tree.
+
+Proposals need single moves only: those are found by expressions in the row of the
+tree (``*_edits``) and applied after they were picked.
 """
 
 from __future__ import annotations
@@ -12,10 +16,27 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as types
 
+from cladeframe.functions import rearrange as R
 from cladeframe.functions import trees as T
 from cladeframe.functions.binding import pinned
 from cladeframe.operators.trees import with_merges
+from cladeframe.session import spread
+
+
+def _moved(trees: DataFrame, keep: list[str], kind: str, columns: list[str], with_trees: bool = True) -> DataFrame:
+    """All moves of a kind: ``keep``, the ``columns`` that name the move and the new ``parent``."""
+    size = F.size("parent")
+    step = F.greatest(F.floor(F.lit(R.CELLS) / (size.cast("double") * size)), F.lit(1)).cast("int")
+    ranges = trees.select(*keep, "parent", size.alias("_size"), step.alias("_step")).select(
+        *keep, "parent", "_size", "_step", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_size") - 1, F.lit(0)), "_step")).alias("lo")
+    )
+    rows = ranges.select(*keep, "parent", "lo", F.least(F.col("lo") + F.col("_step"), F.col("_size")).alias("hi"))
+    fields = [trees.schema[c] for c in keep] + [types.StructField(c, types.IntegerType()) for c in columns]
+    if with_trees:
+        fields.append(types.StructField("parent", types.ArrayType(types.IntegerType())))
+    return spread(rows, *keep, "lo").mapInArrow(R.move_batches(kind, keep, with_trees), types.StructType(fields))
 
 
 def _applied(moved: DataFrame) -> DataFrame:
@@ -43,7 +64,7 @@ def nni_neighbours(trees: DataFrame, keep: list[str]) -> DataFrame:
     Across each inner branch its left (side 0) or right (side 1) child changes
     places with its sister: 2(n-3) rows per tree.
     """
-    return _applied(nni_edits(trees, keep))
+    return _moved(trees, keep, "nni", ["branch", "side"])
 
 
 def _cut_points(trees: DataFrame, keep: list[str]) -> DataFrame:
@@ -62,12 +83,12 @@ def _cut_points(trees: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def spr_moves(trees: DataFrame, keep: list[str]) -> DataFrame:
-    """Legal prune-and-regraft moves ``src, dest``, with the tree as ``_old``.
+    """Legal prune-and-regraft moves ``src, dest``.
 
     The destination is no branch of the moved subtree, nor the root, nor the
     parent or sister of the moved branch (which would give the same tree).
     """
-    return _graft_points(_cut_points(trees, keep), [*keep, "_old", "_paths", "src", "up", "sis"])
+    return _moved(trees, keep, "spr", ["src", "dest"], with_trees=False)
 
 
 def _graft_points(cut: DataFrame, columns: list[str]) -> DataFrame:
@@ -92,144 +113,30 @@ def _regraft(tree: Column) -> Column:
     )
 
 
-def spr_edits(trees: DataFrame, keep: list[str], full: bool = False) -> DataFrame:
+def spr_edits(trees: DataFrame, keep: list[str]) -> DataFrame:
     """Prune-and-regraft moves ``src, dest``, with the tree as ``_old`` and ``_edits``."""
-    moved = spr_moves(trees, keep).withColumn("_edits", _regraft(F.col("_old")))
-    moved = moved.select(*keep, "_old", "src", "dest", "_edits")
-    if full:
-        moved = moved.unionByName(_other_side_moves(trees, keep)).unionByName(_root_branch_moves(trees, keep))
-    return moved
+    moved = _graft_points(_cut_points(trees, keep), [*keep, "_old", "_paths", "src", "up", "sis"])
+    return moved.withColumn("_edits", _regraft(F.col("_old"))).select(*keep, "_old", "src", "dest", "_edits")
 
 
 def spr_neighbours(trees: DataFrame, keep: list[str], full: bool = False) -> DataFrame:
     """Trees after every legal prune-and-regraft move: ``src, dest, parent``.
 
     Moves of subtrees away from the root miss part of the unrooted neighbourhood;
-    ``full`` adds the rest (see ``_other_side_moves``). A topology may come up
-    several times and should then be reduced by key.
-    """
-    return _applied(spr_edits(trees, keep, full))
-
-
-def _turn(path: Column, tree: Column, top: Column) -> Column:
-    """Edits that re-root the subtree at the end of ``path`` on the branch ``path`` starts with.
-
-    The second branch of the path becomes the top one, below ``top``; the others
-    turn over, and their old sisters move on two steps.
+    ``full`` adds the rest: moves onto the root taxon's branch, of the root's children and of
+    the part that holds the root. A topology may come up several times and should then be reduced by key.
     """
-    return F.concat(
-        F.array(T.edit(T.at(path, 1), top)),
-        F.transform(F.slice(path, F.lit(3), F.size(path)), lambda b, j: T.edit(b, T.at(path, j + 1))),
-        F.transform(
-            F.slice(path, F.lit(1), F.greatest(F.size(path) - 2, F.lit(0))),
-            lambda b, j: T.edit(T.sister(tree, b), T.at(path, j + 2)),
-        ),
-    )
-
-
-def _root_branch_moves(trees: DataFrame, keep: list[str]) -> DataFrame:
-    """Moves of a subtree onto the branch of the root taxon itself."""
-    tree = F.col("_old")
-    cut = _cut_points(trees, keep).withColumn("dest", T.root_of(tree))
-    above = T.at(tree, F.col("up"))
-    edits = F.concat(
-        F.array(
-            T.edit(F.col("src"), F.col("dest")),
-            T.edit(F.col("up"), F.col("dest")),
-            T.edit(F.col("sis"), F.when(above == F.col("dest"), F.col("up")).otherwise(above)),
-        ),
-        F.transform(T.children(tree, F.col("dest")), lambda b: T.edit(b, F.col("up"))),
-    )
-    return cut.withColumn("_edits", edits).select(*keep, "_old", "src", "dest", "_edits")
-
-
-def _other_side_moves(trees: DataFrame, keep: list[str]) -> DataFrame:
-    """Moves of the part of a tree that holds the root, and of the root's children.
-
-    On each branch ``dest`` that is not a child of the root: everything outside a
-    subtree around it (``src``) can be put there, which turns the subtree over in
-    place; the root taxon alone can be put there (``src`` is the root); and so can
-    the child of the root that ``dest`` is not below.
-    """
-    tree = F.col("_old")
-    ways = F.transform(F.sequence(F.lit(0), F.size("parent") - 1), lambda b: T.root_path(F.col("parent"), b))
-    rows = trees.withColumn("_paths", pinned(ways)).select(
-        *keep, F.col("parent").alias("_old"), F.posexplode_outer("_paths").alias("dest", "_path")
-    )
-    deep = rows.filter(F.size("_path") >= 3).withColumn("_last", F.size("_path") - 1)
-    cases = deep.withColumn(
-        "_j", F.explode_outer(F.concat(F.sequence(F.lit(2), F.col("_last")), F.array(F.lit(-1))))
-    )
-    root = T.at(F.col("_path"), F.col("_last"))
-    near = T.at(F.col("_path"), F.col("_last") - 1)  # child of the root above dest
-    far = T.sister(tree, near)
-    cases = cases.withColumn("_near", near).withColumn("_far", far).withColumn("_root", root)
-    cases = cases.withColumn(
-        "src",
-        F.when(F.col("_j") == -1, F.col("_far")).otherwise(T.at(F.col("_path"), F.greatest(F.col("_j"), F.lit(0)))),
-    )
-    below = F.slice("_path", F.lit(1), F.col("_j") + 1)
-    climb = F.slice("_path", F.lit(1), F.col("_last"))
-    taxon = F.concat(
-        F.array(
-            T.edit(F.col("dest"), F.col("_root")),
-            T.edit(T.at(climb, 1), F.col("_root")),
-            T.edit(F.col("_far"), F.col("_near")),
-        ),
-        F.transform(F.slice(climb, F.lit(3), F.size(climb)), lambda b, j: T.edit(b, T.at(F.col("_path"), j + 1))),
-    )
-    above = T.at(tree, F.col("dest"))
-    child = F.concat(
-        F.array(
-            T.edit(F.col("dest"), F.col("_near")),
-            T.edit(F.col("_far"), F.col("_near")),
-            T.edit(F.col("_near"), F.when(above == F.col("_near"), F.col("_root")).otherwise(above)),
-        ),
-        F.transform(T.children(tree, F.col("_near")), lambda b: T.edit(b, F.col("_root"))),
-    )
-    edits = (
-        F.when(F.col("_j") == -1, child)
-        .when(F.col("_j") == F.col("_last"), taxon)
-        .otherwise(_turn(below, tree, T.at(tree, F.col("src"))))
-    )
-    return cases.withColumn("_edits", edits).select(*keep, "_old", "src", "dest", "_edits")
+    return _moved(trees, keep, "spr_full" if full else "spr", ["src", "dest"])
 
 
 def tbr_neighbours(trees: DataFrame, keep: list[str]) -> DataFrame:
-    """Prune-and-regraft with the moved subtree turned around: ``src, dest, leaf, parent``."""
-    return _applied(tbr_edits(trees, keep))
-
-
-def tbr_edits(trees: DataFrame, keep: list[str]) -> DataFrame:
-    """Moves ``src, dest, leaf``, with the tree as ``_old`` and ``_edits``.
+    """Prune-and-regraft with the moved subtree turned around: ``src, dest, leaf, parent``.
 
     A moved subtree of more than two taxa is re-rooted at each of its taxa that
     is not a child of the moved branch (``leaf``); smaller ones move as they are
     (``leaf`` -1).
     """
-    tree = F.col("_old")
-    inside = F.filter(
-        F.sequence(F.lit(0), T.taxa(tree) - 1),
-        lambda i: (i != F.col("src")) & F.array_contains(T.at(F.col("_paths"), i), F.col("src")),
-    )
-    leaves = F.when(F.size("_inside") > 2, F.filter("_inside", lambda i: T.at(tree, i) != F.col("src"))).otherwise(
-        F.array(F.lit(-1))
-    )
-    cut = _cut_points(trees, keep).withColumn("_inside", inside).withColumn("_leaves", leaves)
-    turned = cut.select(*keep, "_old", "_paths", "src", "up", "sis", F.explode_outer("_leaves").alias("leaf"))
-    # way from the chosen taxon up to the moved branch; the turn does not depend on where it goes
-    way = T.at(F.col("_paths"), F.greatest(F.col("leaf"), F.lit(0)))
-    path = F.when(
-        F.col("leaf") >= 0, F.slice(way, F.lit(1), F.array_position(way, F.col("src")).cast("int"))
-    ).otherwise(F.array().cast("array<int>"))
-    q = F.col("_path")
-    turn = F.when(F.size(q) >= 3, _turn(q, tree, F.col("up"))).otherwise(
-        F.array().cast("array<struct<b:int,p:int>>")
-    )
-    turned = turned.withColumn("_path", path).withColumn("_turn", pinned(turn))
-    moved = _graft_points(turned, [*keep, "_old", "src", "up", "sis", "leaf", "_turn"])
-    moved = moved.withColumn("_edits", F.concat("_turn", _regraft(tree)))
-    return moved.select(*keep, "src", "dest", "leaf", "_old", "_edits")
+    return _moved(trees, keep, "tbr", ["src", "dest", "leaf"])
 
 
 def propose_moves(

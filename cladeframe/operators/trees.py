@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions import trees as T
 from cladeframe.functions.binding import pinned
+from cladeframe.functions.rearrange import split_keys
 
 
 def with_merges(trees: DataFrame, parent: str = "parent", name: str = "_plan") -> DataFrame:
@@ -37,12 +38,15 @@ def with_clades(trees: DataFrame, parent: str = "parent", name: str = "clades")
 
 
 def with_topology_key(
-    trees: DataFrame, parent: str = "parent", name: str = "key", algorithm: str = "sha2"
+    trees: DataFrame, parent: str = "parent", name: str = "key", algorithm: str = "splits"
 ) -> DataFrame:
-    """Add the key that two trees share exactly when they have the same splits.
+    """Add the key that two trees on the same taxa share exactly when they have the same splits.
 
-    Trees must be rooted at taxon 0; see ``reroot`` for others.
+    ``splits`` is a 128-bit sum of hashed splits, linear in the size of the tree; ``md5`` and ``sha2`` are digests of the
+    canonical text of all clades, which other engines can work out as well. Trees must be rooted at taxon 0; see ``reroot`` for others.
     """
+    if algorithm == "splits":
+        return trees.withColumn(name, F.arrow_udf(split_keys, "string")(F.col(parent)))
     text = T.canonical_text(F.col("_sorted"))
     digest = F.md5(text) if algorithm == "md5" else F.sha2(text, 256)
     return (
