@@ -9,7 +9,6 @@ from cladeframe.catalog import views as V
 from cladeframe.catalog.registry import Registry
 from cladeframe.catalog.trees import joined
 from cladeframe.operators import scoring, sites, topology, trace, trees
-from cladeframe.operators.trees import with_topology_key
 
 registry = Registry()
 query = registry.query
@@ -169,7 +168,7 @@ def best_set(spark, sf_dir):
     ),
 )
 def count_best(spark, sf_dir):
-    return topology.count_best(with_topology_key(scored6(spark, sf_dir)), ["alignment_id"])
+    return topology.count_best(scored6(spark, sf_dir), ["alignment_id"])
 
 
 @query(

@@ -72,8 +72,8 @@ for _i, _c in enumerate(b"0123456789ABCDEF"):
 _CELLS = 4_000_000  # cells of the working array held at once
 
 
-def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Parent arrays, states and weights of each row, in slices that fit the working array."""
+def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, first tree, parent arrays, states and weights of each row, in slices that fit the working array."""
     parents, raw, weights = batch.column("_parents"), batch.column("_bytes"), batch.column("_weights")
     for i in range(batch.num_rows):
         trees = parents[i].values
@@ -89,7 +89,7 @@ def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         states = np.ascontiguousarray(found.reshape(-1, n).T)
         step = max(1, _CELLS // max(1, parent.shape[1] * states.shape[1]))
         for start in range(0, len(parent), step):
-            yield i, parent[start : start + step], states, weight
+            yield i, start, parent[start : start + step], states, weight
 
 
 def lengths_of(parent: np.ndarray, states: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -128,31 +128,95 @@ def inner_states_of(parent: np.ndarray, states: np.ndarray, weight: np.ndarray)
     return out.reshape(len(parent), -1)
 
 
-def scoring_batches(measure):
-    """Task function: rows of a tree pack and a pattern pack to one array of numbers per tree."""
+def scoring_batches(measure, passed: list[str]):
+    """Task function: a pack of trees and a block of patterns to one array of numbers per tree.
+
+    Out: the ``passed`` columns, ``_first`` (the first tree of a slice of the pack) and ``_values``. A batch is closed before
+    its numbers pass what a slice may hold, so offsets stay small.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, inner, outer = [], [0], np.zeros(batch.num_rows, dtype=np.int64)
-            for i, parent, states, weight in _pairs(batch):
-                values = measure(parent, states, weight)
-                flat.append(values.ravel())
-                inner.extend(inner[-1] + values.shape[1] * np.arange(1, len(values) + 1))
-                outer[i] += len(values)
-            numbers = pa.array(np.concatenate(flat) if flat else np.zeros(0, dtype=np.int64), pa.int64())
-            per_tree = pa.ListArray.from_arrays(pa.array(np.array(inner), pa.int32()), numbers)
-            ends = np.concatenate([[0], np.cumsum(outer)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("alignment_id"), batch.column("_rows"), batch.column("_patterns"),
-                    batch.column("_weights"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), per_tree),
-                ],
-                names=["alignment_id", "_rows", "_patterns", "_weights", "_values"],
-            )
+            rows, first, found = [], [], []
+
+            def closed() -> pa.RecordBatch:
+                numbers = np.concatenate([v.ravel() for v in found])
+                inner = np.concatenate([[0], np.cumsum(np.concatenate([np.full(len(v), v.shape[1]) for v in found]))])
+                outer = np.concatenate([[0], np.cumsum([len(v) for v in found])])
+                per_tree = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(numbers, pa.int64()))
+                values = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), per_tree)
+                at = pa.array(rows)
+                return pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(at) for c in passed), pa.array(first, pa.int32()), values], names=[*passed, "_first", "_values"]
+                )
+
+            size = 0
+            for i, start, parent, states, weight in _pairs(batch):
+                rows.append(i)
+                first.append(start)
+                found.append(measure(parent, states, weight))
+                size += found[-1].size
+                if size >= _CELLS:
+                    yield closed()
+                    rows, first, found, size = [], [], [], 0
+            if rows:
+                yield closed()
 
     return run
 
 
+def pack_batches(batches: Iterator[pa.RecordBatch], group: str, budget: int, final: bool) -> Iterator[pa.RecordBatch]:
+    """Put rows of a group together in packs of about ``budget`` units, as they come.
+
+    In: ``group, _units, _row`` (a struct); with ``final`` rows are packs already, and ``_row`` is a list of structs. Out: ``group``, ``_units`` of the
+    pack and ``_rows``. What a task holds open is bounded: beyond that, all open packs are closed.
+    """
+    open_: dict = {}
+    total = 0
+
+    def closed(names: list) -> pa.RecordBatch:
+        units = [open_[k][1] for k in names]
+        parts = [pa.concat_arrays(open_.pop(k)[0]) for k in names]
+        ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(parts))
+        return pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(units, pa.int64()), lists], names=[group, "_units", "_rows"])
+
+    kind = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(group)
+        kind = keys.type
+        coded = keys.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        units = batch.column("_units").to_numpy(zero_copy_only=False)
+        rows = batch.column("_rows" if final else "_row")
+        order = np.argsort(code, kind="stable")
+        bounds = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0, [True]]))
+        full = []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            name = coded.dictionary[int(code[order[lo]])].as_py()
+            # cut where the units pass a further multiple of the budget
+            own = order[lo:hi]
+            cuts = np.flatnonzero(np.diff((np.cumsum(units[own]) - 1) // budget) > 0) + 1
+            for part in np.split(own, cuts):
+                taken = rows.take(pa.array(part))
+                held = open_.setdefault(name, [[], 0])
+                held[0].append(taken.flatten() if final else taken)
+                more = int(units[part].sum())
+                held[1] += more
+                total += more
+                if held[1] >= budget:
+                    total -= held[1]
+                    full.append(closed([name]))
+        yield from full
+        if total > 64 * budget:
+            yield closed(list(open_))
+            total = 0
+    if open_:
+        yield closed(list(open_))
+
+
 # --- cooling epochs: state = accepted * max_propose + proposed -----------------
 
 

@@ -3,12 +3,14 @@
 ``trees(alignment_id, <ids>, parent)``, rooted at taxon 0, and
 ``patterns(alignment_id, pattern, weight)`` as made by ``sites.site_patterns``.
 
-Trees and patterns of an alignment are put into packs of bounded size, packs are
-joined, and each pair is worked on with array arithmetic inside a task. Neither
-side is ever gathered whole: a long alignment becomes many pattern packs, a large
-table of trees many tree packs, and partial sums are added by an aggregate. Sums
-leave the task as sums, so nothing of size trees x patterns is made unless it is
-the result.
+Trees become packs and patterns blocks of bounded size, first inside the tasks that have
+them, then once more where an alignment's packs are small. Both are written to the
+shared folder, so trees and patterns are worked out once, and a short table of the
+packs and blocks of each alignment says how much work it is. Packs meet blocks on a grid
+(alignment, part of its packs, part of its blocks): an alignment with much work has many
+cells, on which the smaller side is repeated, so that one alignment keeps all tasks busy.
+Only a tree's place in its pack and its numbers leave the task; sums are put to the trees
+afterwards.
 """
 
 from __future__ import annotations
@@ -18,121 +20,166 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cladeframe.functions import kernels as K
-from cladeframe.session import spread
+from cladeframe.session import materialise
 
 TREE_PACK = 32768  # integers of parent arrays in one pack
-PATTERN_PACK = 32768  # pattern bytes in one pack
+PATTERN_PACK = 32768  # pattern bytes in one block
+SALTS = 16  # parts of a group that is looked up in a table of groups
 
 
-def packed(df: DataFrame, group: str, units: Column, budget: int, ids: list[str]) -> DataFrame:
-    """Assign each row to a pack of its group such that a pack holds about ``budget`` units.
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    The number of packs follows from the size of the group, the pack from a hash
-    of the row's identity, so a re-run task assigns the same packs.
+
+def packed(df: DataFrame, units: Column, budget: int, label: str) -> DataFrame:
+    """Rows of an alignment in packs of about ``budget`` units: ``alignment_id, _units, _rows, _pack``, written to the shared folder.
+
+    Tasks pack what they have. Packs that are full are dealt out by number, the others meet by alignment, where there are at most as many as tasks before.
     """
-    sizes = df.groupBy(group).agg(F.ceil(F.sum(units) / F.lit(budget)).alias("_packs"))
-    return df.join(sizes, group).withColumn("_pack", F.pmod(F.xxhash64(*ids), F.col("_packs"))).drop("_packs")
+    rest = [c for c in df.columns if c != "alignment_id"]
+    rows = df.select("alignment_id", units.cast("bigint").alias("_units"), F.struct(*rest).alias("_row"))
+    schema = T.StructType(
+        [df.schema["alignment_id"], T.StructField("_units", T.LongType()), T.StructField("_rows", T.ArrayType(rows.schema["_row"].dataType))]
+    )
+    parts = rows.mapInArrow(lambda b: K.pack_batches(b, "alignment_id", budget, False), schema)
+    full = F.col("_units") >= budget // 2
+    dealt = parts.withColumn("_deal", F.when(full, F.spark_partition_id() * F.lit(1 << 32) + F.monotonically_increasing_id() % (1 << 32)).otherwise(-1))
+    met = dealt.repartition(_tasks(df), "alignment_id", "_deal").drop("_deal")
+    packs = met.mapInArrow(lambda b: K.pack_batches(b, "alignment_id", budget, True), schema)
+    return materialise(packs.withColumn("_pack", F.monotonically_increasing_id()), label)
 
 
 def pattern_packs(patterns: DataFrame) -> DataFrame:
-    """Patterns of an alignment in packs: ``alignment_id, _patterns, _weights``."""
-    rows = packed(patterns, "alignment_id", F.length("pattern"), PATTERN_PACK, ["pattern"])
-    packs = rows.groupBy("alignment_id", "_pack").agg(F.collect_list(F.struct("pattern", "weight")).alias("_p"))
-    return packs.select(
+    """Patterns of an alignment in blocks: ``alignment_id, _block, _patterns, _weights``."""
+    blocks = packed(patterns.select("alignment_id", "pattern", "weight"), F.length("pattern"), PATTERN_PACK, "blocks")
+    return blocks.select(
         "alignment_id",
-        F.transform("_p", lambda p: p["pattern"]).alias("_patterns"),
-        F.transform("_p", lambda p: p["weight"]).alias("_weights"),
+        F.col("_pack").alias("_block"),
+        F.transform("_rows", lambda p: p["pattern"]).alias("_patterns"),
+        F.transform("_rows", lambda p: p["weight"]).alias("_weights"),
     )
 
 
-def tree_packs(trees: DataFrame, ids: list[str]) -> DataFrame:
-    """Trees of an alignment in packs: ``alignment_id, _rows`` (all other columns) ``, _parents``."""
-    rest = [c for c in trees.columns if c != "alignment_id"]
-    rows = packed(trees, "alignment_id", F.size("parent"), TREE_PACK, ids)
-    return (
-        spread(rows, "alignment_id", "_pack")
-        .groupBy("alignment_id", "_pack")
-        .agg(F.collect_list(F.struct(*rest)).alias("_rows"))
-        .select("alignment_id", "_rows", F.transform("_rows", lambda r: r["parent"]).alias("_parents"))
+def _work(packs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Packs, blocks and pairs of each alignment."""
+    a = packs.groupBy("alignment_id").agg(F.count(F.lit(1)).alias("_packs"))
+    b = blocks.groupBy("alignment_id").agg(F.count(F.lit(1)).alias("_blocks"))
+    return a.join(b, "alignment_id").withColumn("_pairs", F.col("_packs") * F.col("_blocks"))
+
+
+def grid(packs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every pack with every block of its alignment, dealt over the session's number of shuffle partitions.
+
+    An alignment with more than its share of all pairs (a quarter of a task's) is put on several cells, about one for each share. There are
+    at most four such alignments a task, so their table is sent to all tasks.
+    """
+    tasks = _tasks(packs)
+    work = _work(packs, blocks)
+    total, most = work.agg(F.sum("_pairs"), F.max("_pairs")).first()
+    share = max(1, (total or 0) // (4 * tasks))
+    one = F.lit(1).cast("bigint")
+    if (most or 0) > share:
+        cells = F.ceil(F.col("_pairs") / share)
+        across = F.least(F.col("_packs"), cells)
+        shape = work.where(F.col("_pairs") > share).select(
+            "alignment_id", across.alias("_s"), F.least(F.col("_blocks"), F.ceil(cells / across)).alias("_r")
+        )
+        shape = F.broadcast(shape)
+        packs, blocks = (
+            df.join(shape, "alignment_id", "left").withColumns({"_s": F.coalesce("_s", one), "_r": F.coalesce("_r", one)}) for df in (packs, blocks)
+        )
+    else:
+        packs, blocks = (df.withColumns({"_s": one, "_r": one}) for df in (packs, blocks))
+    left = packs.withColumns(
+        {"_x": F.pmod(F.xxhash64("_pack"), F.col("_s")), "_y": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_r") - 1))}
     )
+    right = blocks.withColumns(
+        {"_y": F.pmod(F.xxhash64("_block"), F.col("_r")), "_x": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_s") - 1))}
+    )
+    cell = ["alignment_id", "_x", "_y"]
+    # an explicit number of partitions is not put together again by bytes: few bytes are much work here
+    return left.drop("_s", "_r").repartition(tasks, *cell).join(right.drop("_s", "_r").repartition(tasks, *cell), cell)
+
+
+def tree_packs(trees: DataFrame) -> DataFrame:
+    """Trees of an alignment in packs: ``alignment_id, _pack, _rows`` (all other columns)."""
+    return packed(trees, F.size("parent"), TREE_PACK, "packs").drop("_units")
 
 
-def _measured(trees: DataFrame, packs: DataFrame, ids: list[str], measure, keep_patterns: bool = False) -> DataFrame:
-    """One row per tree and pattern pack: ``alignment_id, r`` (the tree's row) ``, _patterns, _weights, v``."""
-    pairs = tree_packs(trees, ids).join(packs, "alignment_id")
-    patterns = F.col("_patterns") if keep_patterns else F.array().cast("array<string>")
+def _measured(packs: DataFrame, blocks: DataFrame, measure, ids: list[str] = (), keep_patterns: bool = False) -> DataFrame:
+    """One row per tree, block and slice: ``alignment_id, _pack, _at`` (place of the tree), ``_ids, _patterns, _weights, v``."""
+    lean = packs.select(
+        "alignment_id", "_pack", F.transform("_rows", lambda r: r["parent"]).alias("_parents"),
+        F.transform("_rows", lambda r: F.struct(*[r[c].alias(c) for c in ids], F.lit(0).alias("_none"))).alias("_ids"),
+    )
+    if not ids:
+        lean = lean.withColumn("_ids", F.array().cast(lean.schema["_ids"].dataType))
+    pairs = grid(lean, blocks)
     pairs = pairs.select(
-        "alignment_id", "_rows", "_parents", F.array_join("_patterns", "").cast("binary").alias("_bytes"),
-        patterns.alias("_patterns"), "_weights",
+        "alignment_id", "_pack", "_ids", "_parents", F.array_join("_patterns", "").cast("binary").alias("_bytes"),
+        (F.col("_patterns") if keep_patterns else F.array().cast("array<string>")).alias("_patterns"), "_weights",
     )
-    row = T.StructType([f for f in trees.schema.fields if f.name != "alignment_id"])
+    passed = ["alignment_id", "_pack", "_ids", *(["_patterns", "_weights"] if keep_patterns else [])]
     schema = T.StructType(
         [
-            trees.schema["alignment_id"],
-            T.StructField("_rows", T.ArrayType(row)),
-            T.StructField("_patterns", T.ArrayType(T.StringType())),
-            T.StructField("_weights", T.ArrayType(T.LongType())),
+            *[pairs.schema[c] for c in passed],
+            T.StructField("_first", T.IntegerType()),
             T.StructField("_values", T.ArrayType(T.ArrayType(T.LongType()))),
         ]
     )
-    out = pairs.mapInArrow(K.scoring_batches(measure), schema)
-    return out.select(
-        "alignment_id", "_patterns", "_weights",
-        F.inline_outer(F.arrays_zip(F.col("_rows").alias("r"), F.col("_values").alias("v"))),
-    )
+    out = pairs.mapInArrow(K.scoring_batches(measure, passed), schema)
+    return out.select(*passed, "_first", F.posexplode("_values").alias("_i", "v")).withColumn("_at", F.col("_first") + F.col("_i")).drop("_first", "_i")
+
+
+def _named(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """Put the ids of its tree to each row."""
+    own = F.get("_ids", F.col("_at"))
+    return rows.withColumns({c: own[c] for c in ids}).drop("_ids", "_at", "_pack")
 
 
 def tree_length(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> DataFrame:
-    """Add ``length``: changes over all sites. ``ids`` identify a tree inside its alignment.
+    """Add ``length``: changes over all sites. ``ids`` name a tree inside its alignment.
 
     Partial trees (branches with parent -2) are scored over the taxa they have;
-    all partial trees of one alignment must have the same taxa.
+    all partial trees of one alignment must have the same taxa. Trees and lengths are written to the shared folder: nothing is scored
+    again, however often the result is read. An alignment without patterns has nothing to change.
     """
-    return score_packs(trees, pattern_packs(patterns), ids)
-
-
-def score_packs(trees: DataFrame, packs: DataFrame, ids: list[str]) -> DataFrame:
-    """``tree_length`` on patterns that are packed already, as searches do once per search."""
-    parts = _measured(trees, packs, ids, K.lengths_of)
-    # an alignment without patterns has nothing to change
-    bare = trees.join(packs.select("alignment_id").distinct(), "alignment_id", "left_anti").withColumn("length", F.lit(0).cast("bigint"))
-    scored = (
-        parts.groupBy("alignment_id", *[F.col("r")[c].alias(c) for c in ids])
-        .agg(F.sum(F.col("v")[0]).alias("length"), F.first("r").alias("r"))
-        .select(
-            "alignment_id",
-            *[F.col("r")[c].alias(c) for c in trees.columns if c != "alignment_id"],
-            "length",
-        )
+    return score_packs(trees, pattern_packs(patterns))
+
+
+def score_packs(trees: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``tree_length`` on patterns that are in blocks already, as searches do once per search."""
+    packs = tree_packs(trees)
+    parts = _measured(packs, blocks, K.lengths_of)
+    sums = materialise(parts.groupBy("_pack", "_at").agg(F.sum(F.col("v")[0]).alias("length")), "lengths")
+    rows = packs.select("alignment_id", "_pack", F.posexplode("_rows").alias("_at", "r"))
+    scored = rows.join(sums, ["_pack", "_at"], "left")
+    return scored.select(
+        *[F.col("r")[c].alias(c) if c != "alignment_id" else F.col(c) for c in trees.columns], F.coalesce("length", F.lit(0).cast("bigint")).alias("length")
     )
-    return scored.unionByName(bare)
 
 
 def fitch_site_length(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> DataFrame:
     """Changes of every pattern on every tree: ``pattern, weight, changes``."""
-    rows = _measured(trees, pattern_packs(patterns), ids, K.site_changes_of, keep_patterns=True)
+    rows = _named(_measured(tree_packs(trees), pattern_packs(patterns), K.site_changes_of, ids, keep_patterns=True), ids)
     return rows.select(
         "alignment_id",
-        *[F.col("r")[c].alias(c) for c in ids],
-        F.inline_outer(
-            F.arrays_zip(F.col("_patterns").alias("pattern"), F.col("_weights").alias("weight"), F.col("v").alias("changes"))
-        ),
+        *ids,
+        F.inline(F.arrays_zip(F.col("_patterns").alias("pattern"), F.col("_weights").alias("weight"), F.col("v").alias("changes"))),
     )
 
 
 def branch_changes(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> DataFrame:
     """Changes on every inner branch and the root, over all sites: ``branch, changes``."""
-    rows = _measured(trees, pattern_packs(patterns), ids, K.branch_changes_of)
-    parts = rows.select("alignment_id", *[F.col("r")[c].alias(c) for c in ids], F.posexplode_outer("v").alias("branch", "c"))
+    rows = _named(_measured(tree_packs(trees), pattern_packs(patterns), K.branch_changes_of, ids), ids)
+    parts = rows.select("alignment_id", *ids, F.posexplode("v").alias("branch", "c"))
     return parts.filter("c >= 0").groupBy("alignment_id", *ids, "branch").agg(F.sum("c").alias("changes"))
 
 
 def ancestral_states(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> DataFrame:
     """State set of every inner branch for every pattern: ``pattern, branch, state``."""
-    rows = _measured(trees, pattern_packs(patterns), ids, K.inner_states_of, keep_patterns=True)
-    cells = rows.select(
-        "alignment_id", *[F.col("r")[c].alias(c) for c in ids], "_patterns", F.posexplode_outer("v").alias("at", "state")
-    )
+    rows = _named(_measured(tree_packs(trees), pattern_packs(patterns), K.inner_states_of, ids, keep_patterns=True), ids)
+    cells = rows.select("alignment_id", *ids, "_patterns", F.posexplode("v").alias("at", "state"))
     width = F.size("_patterns")
     return cells.select(
         "alignment_id", *ids,

@@ -9,6 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cladeframe.operators.trees import with_topology_key
+
+SALTS = 16  # parts of a large group that looks up one value
 
 
 def topology_classes(trees: DataFrame, group: list[str], order: str) -> DataFrame:
@@ -27,19 +32,36 @@ def push_new(offered: DataFrame, known: DataFrame, group: list[str], order: str)
     return first.join(known.select(*group, "key").distinct(), [*group, "key"], "left_anti")
 
 
+def with_group_value(rows: DataFrame, values: DataFrame, group: list[str]) -> DataFrame:
+    """Join ``values``, one row per group, to the rows of each group.
+
+    Where Spark doesn't send ``values`` to all tasks, the rows of a large group are dealt to ``SALTS`` parts, each with its own
+    copy of the group's row.
+    """
+    own = [c for c in rows.columns if c not in group and not isinstance(rows.schema[c].dataType, T.MapType)]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*(own or group)), F.lit(SALTS)))
+    copies = values.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return salted.join(copies, [*group, "_salt"]).drop("_salt")
+
+
 def best_set(scored: DataFrame, group: list[str]) -> DataFrame:
-    """All trees of least ``length`` in their set."""
+    """All trees of least ``length`` in their set.
+
+    ``scored`` is read twice, once for its lengths only; ``scoring.tree_length`` has written them, so nothing is scored again.
+    """
     least = scored.groupBy(*group).agg(F.min("length").alias("_least"))
-    return scored.join(least, group).filter(F.col("length") == F.col("_least")).drop("_least")
+    return with_group_value(scored, least, group).filter(F.col("length") == F.col("_least")).select(*scored.columns)
 
 
 def count_best(scored: DataFrame, group: list[str]) -> DataFrame:
-    """Least length and number of distinct topologies that reach it."""
-    per_topology = scored.groupBy(*group, "key").agg(F.min("length").alias("length"))
-    per_length = per_topology.groupBy(*group, "length").agg(F.count(F.lit(1)).alias("n"))
-    return per_length.groupBy(*group).agg(
-        F.min("length").alias("length"), F.min_by("n", "length").alias("topologies")
-    )
+    """Least length and number of distinct topologies that reach it.
+
+    Only the shortest trees get a key, unless ``scored`` has one.
+    """
+    best = best_set(scored, group)
+    keyed = best if "key" in scored.columns else with_topology_key(best)
+    per_topology = keyed.groupBy(*group, "key").agg(F.min("length").alias("length"))
+    return per_topology.groupBy(*group).agg(F.min("length").alias("length"), F.count(F.lit(1)).alias("topologies"))
 
 
 def cap_trees(trees: DataFrame, group: list[str], order: str, limit: int, bucket: int = 4096) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.operators import moves
-from cladeframe.operators.scoring import pattern_packs, score_packs, tree_length
+from cladeframe.operators.scoring import pattern_packs, score_packs
 from cladeframe.operators.topology import best_set
 from cladeframe.operators.trees import with_topology_key
 from cladeframe.plans.enumerate import ABSENT, enumerate_topologies, extend
@@ -34,8 +34,7 @@ NEIGHBOURHOODS = {
 def exact_search(alignments: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
     """All shortest trees of each alignment of n taxa (n up to 9), by trying every topology."""
     every = enumerate_topologies(spread(alignments.select("alignment_id"), "alignment_id"), n)
-    named = every.withColumn("tree_id", F.array_join(F.col("parent").cast("array<string>"), ","))
-    return best_set(tree_length(named, patterns, ["tree_id"]), ["alignment_id"])
+    return best_set(score_packs(every, pattern_packs(patterns)), ["alignment_id"])
 
 
 def stepwise_trees(alignments: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -46,16 +45,15 @@ def stepwise_trees(alignments: DataFrame, patterns: DataFrame) -> DataFrame:
     per taxon. The parent array names a partial tree: with a fixed order of taxa every
     topology comes about in one way only. Three taxa have one tree.
     """
-    packs = materialise(pattern_packs(patterns), "packs")
+    packs = pattern_packs(patterns)
     largest = alignments.agg(F.max("n")).first()[0] or 0
     absent = F.array_repeat(F.lit(ABSENT), (2 * F.col("n") - 6).cast("int"))
     start = F.concat(F.array(F.lit(-1), F.lit(0), F.lit(0)), absent)
-    name = F.array_join(F.col("parent").cast("array<string>"), ",")
     kept = alignments.filter("n >= 3").select("alignment_id", "n", start.alias("parent"))
-    done = score_packs(kept.filter("n = 3").withColumn("tree_id", name), packs, ["tree_id"])
+    done = score_packs(kept.filter("n = 3"), packs)
     for taxon in range(3, largest):
         grown = extend(spread(kept.filter(F.col("n") > taxon), "alignment_id", "parent"), F.lit(taxon))
-        scored = materialise(score_packs(grown.withColumn("tree_id", name), packs, ["tree_id"]), "stepwise")
+        scored = score_packs(grown, packs)
         kept = best_set(scored, ["alignment_id"])
         done = done.unionByName(kept.filter(F.col("n") == taxon + 1))
         kept = kept.select("alignment_id", "n", "parent")
@@ -80,16 +78,16 @@ def hill_climb(
     def distinct(trees: DataFrame) -> DataFrame:
         return with_topology_key(trees.select("run_id", "alignment_id", "parent")).dropDuplicates(ids)
 
-    packs = materialise(pattern_packs(patterns), "packs")
+    packs = pattern_packs(patterns)
     first = materialise(distinct(starts), "climb-new")
-    seen = materialise(score_packs(first, packs, ids), "climb")
+    seen = materialise(score_packs(first, packs), "climb")
     frontier = best_set(seen, group)
     while True:
         near = neighbours(spread(frontier.select("run_id", "alignment_id", "key", "parent"), *ids), ["run_id", "alignment_id"])
         fresh = materialise(distinct(near).join(seen.select(*ids), ids, "left_anti"), "climb-new")
         if fresh.isEmpty():
             break
-        new = materialise(score_packs(fresh, packs, ids), "climb")
+        new = materialise(score_packs(fresh, packs), "climb")
         # the frontier is what is new and not longer than anything before
         best = seen.groupBy(*group).agg(F.min("length").alias("best"))
         frontier = best_set(new, group).join(best, group).filter("length <= best").drop("best")
