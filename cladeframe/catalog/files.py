@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +93,18 @@ def read_clustal(spark, sf_dir):
     return blocks.read_clustal(spark, written(spark, sf_dir, "clustal"))
 
 
-@query("read_alignments", _ALN)
+@query(
+    "read_alignments",
+    O.sql(
+        O.vector_alignments(K),
+        query="""SELECT * FROM aln, (SELECT unnest(['fasta', 'phylip', 'interleaved', 'nexus', 'clustal']) AS format)""",
+    ),
+)
 def read_alignments(spark, sf_dir):
-    return A.read_alignments(spark, written(spark, sf_dir, "interleaved"), "phylip")
+    """The same alignments by way of every format."""
+    readers = {"fasta": "fasta", "phylip": "phylip", "interleaved": "phylip", "nexus": "nexus", "clustal": "clustal"}
+    rows = [A.read_alignments(spark, written(spark, sf_dir, f), r).withColumn("format", F.lit(f)) for f, r in readers.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query(

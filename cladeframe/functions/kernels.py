@@ -429,3 +429,48 @@ def pattern_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             ],
             names=["alignment_id", "patterns", "weights"],
         )
+
+
+# --- lines of files -----------------------------------------------------------
+
+
+def line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the lines of each block of a file, in the order they come.
+
+    In: ``path, block, value, full, keep, ...``; out: ``i`` (number among all lines of the block), ``k`` (full lines before it) and the
+    other columns of the lines to keep. After each block comes a row with NULL ``value`` and the block's totals.
+    """
+    now, lines, full = None, 0, 0
+    extra: list[str] = []
+
+    def end() -> pa.RecordBatch:
+        columns = [[now[0]], [now[1]], [lines], [full], [None], [False], *[[False]] * len(extra)]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.bool_()] * (1 + len(extra))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["path", "block", "i", "k", "value", "full", *extra])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        extra = [c for c in batch.schema.names if c not in ("path", "block", "value", "full", "keep")]
+        paths = batch.column("path").dictionary_encode()
+        code = paths.indices.to_numpy(zero_copy_only=False)
+        block = batch.column("block").to_numpy(zero_copy_only=False)
+        change = np.flatnonzero((np.diff(code) != 0) | (np.diff(block) != 0)) + 1
+        for lo, hi in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+            here = (paths.dictionary[int(code[lo])].as_py(), int(block[lo]))
+            if here != now:
+                if now is not None:
+                    yield end()
+                now, lines, full = here, 0, 0
+            part = batch.slice(lo, hi - lo)
+            is_full = part.column("full").to_numpy(zero_copy_only=False).astype(bool)
+            kept = np.flatnonzero(part.column("keep").to_numpy(zero_copy_only=False).astype(bool))
+            before = full + np.concatenate([[0], np.cumsum(is_full)])
+            at = pa.array(kept)
+            columns = [part.column(c).take(at) for c in ("path", "block")]
+            columns += [pa.array(lines + kept, pa.int64()), pa.array(before[kept], pa.int64())]
+            columns += [part.column(c).take(at) for c in ("value", "full", *extra)]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "block", "i", "k", "value", "full", *extra])
+            lines, full = lines + hi - lo, int(before[-1])
+    if now is not None:
+        yield end()

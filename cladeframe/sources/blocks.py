@@ -1,18 +1,20 @@
 """PHYLIP, NEXUS and CLUSTAL files.
 
-These formats need the whole file to tell their layout, so a file is one row and
-its lines an array; everything else is array work inside that row, without a
-shuffle. Any number of files is read at once. The layout of a file is read off a
-text with one character per line.
+A file of any size is read by as many tasks as it has blocks. Every line gets its number in its
+block and the number of sequence lines before it; a short table with one row per block
+turns these into numbers in the file. What a file's layout depends on (header, first
+data line, gaps between data lines, number of lines) are minima, maxima and counts over its lines, so no task
+sees a whole file. The lines of a taxon then meet by (file, taxon).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions import sequences as S
-from cladeframe.functions.binding import pinned
+from cladeframe.functions.kernels import line_batches
+from cladeframe.session import materialise
 from cladeframe.sources.paths import alignment_of
 
 # Length of a PHYLIP name, and the characters a line of PHYLIP data ends in.
@@ -21,93 +23,104 @@ DATA_END = "ABCDEFGHIKLMNPQRSTVWXYZabcdefghiklmnpqrstvwxyz*?-"
 COUNTS = r"^[+-]?\d+\s+[+-]?\d+"
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: ``alignment_id, lines``."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(
-        alignment_of(F.col("_metadata.file_path")).alias("alignment_id"),
-        F.transform(F.split("value", "\n"), lambda s: F.rtrim(F.translate(s, "\r", " "))).alias("raw"),
-        F.transform(F.split("value", "\n"), lambda s: S.trim_chars(s)).alias("lines"),
-    )
-
-
-def _first(array: Column, test) -> Column:
-    """1-based position of the first element that passes, 0 if none does."""
-    return F.array_position(F.transform(array, test), F.lit(True)).cast("int")
-
-
-def _after(array: Column, position: Column) -> Column:
-    return F.slice(array, position + 1, F.greatest(F.size(array) - position, F.lit(0)))
+class _Lines:
+    """Lines of files, numbered: ``path, no, rank, value`` and flags.
 
+    ``no`` counts all lines of a file, ``rank`` the full ones before a line; only full lines and those with a flag are kept, in a table in the
+    shared folder. ``blocks`` has a row per block of a file, on which values of files travel to their lines.
+    """
 
-def _flags(array: Column, flag) -> Column:
-    return F.array_join(F.transform(array, flag), "")
-
+    def __init__(self, spark: SparkSession, path: str, text: Column, full: Column, flags: dict[str, Column]):
+        raw = spark.read.option("lineSep", "\n").text(path)
+        lines = raw.select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), text.alias("value")
+        ).withColumns({"full": full, **flags})
+        keep = F.col("full")
+        for name in flags:
+            keep |= F.col(name)
+        schema = "path string, block bigint, i bigint, k bigint, value string, full boolean" + "".join(f", {f} boolean" for f in flags)
+        self.table = materialise(lines.withColumn("keep", keep).mapInArrow(line_batches, schema), "lines")
+        before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        ends = self.table.where("value IS NULL").select("path", "block", "i", "k")
+        self.blocks = ends.select(
+            "path", "block", F.coalesce(F.sum("i").over(before), F.lit(0)).alias("line0"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("full0")
+        )
+
+    def know(self, files: DataFrame, how: str = "inner") -> None:
+        """Give every line the values of its file from now on; ``inner`` leaves other files out."""
+        self.blocks = self.blocks.join(files, "path", how)
+
+    def rows(self) -> DataFrame:
+        placed = self.table.where("value IS NOT NULL").join(self.blocks, ["path", "block"])
+        return placed.withColumns({"no": F.col("line0") + F.col("i"), "rank": F.col("full0") + F.col("k")}).drop("line0", "full0", "i", "k", "block")
+
+    def first(self, flag: Column, *values: Column) -> DataFrame:
+        """The first line of each file that passes: ``path`` and ``s``, a struct of its ``no``, ``rank`` and ``value``."""
+        return self.rows().where(flag).groupBy("path").agg(F.min(F.struct("no", "rank", "value")).alias("s"))
+
+
+def _plain() -> Column:
+    return F.rtrim(F.translate("value", "\r", " "))
+
+
+def _gap() -> Column:
+    """Lines that are no data between the first data line and this one."""
+    return (F.col("no") - F.col("rank")) - (F.col("first_no") - F.col("first_rank"))
+
+
+def _taxa(data: DataFrame, taxon: Column, piece_no: Column, name, piece) -> DataFrame:
+    """Put the lines of each taxon together; ``name(line)`` is read off its first one, ``piece(line, k)`` off its k-th."""
+    lines = data.select("path", taxon.cast("int").alias("taxon_id"), piece_no.cast("int").alias("k"), "value")
+    parts = lines.select(
+        "path", "taxon_id", "k", F.when(F.col("k") == 0, name(F.col("value"))).alias("name"), piece(F.col("value"), F.col("k")).alias("piece")
+    )
+    rows = parts.groupBy("path", "taxon_id").agg(F.max("name").alias("name"), F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("p"))
+    return rows.select(
+        alignment_of(F.col("path")).alias("alignment_id"), "taxon_id", "name", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("seq")
+    )
 
-def _rows(df: DataFrame, name, piece, step: Column, per_taxon: Column, n: Column) -> DataFrame:
-    """Put the pieces of each taxon together.
 
-    ``data`` holds the lines. Taxon i starts at line ``i * per_taxon`` and goes on
-    every ``step`` lines, to the end or for ``per_taxon`` lines. ``n`` is the number of
-    taxa the layout shows, which need not be the header's.
-    """
-    def sequence(i: Column) -> Column:
-        last = F.when(F.col("_per") > 1, i * F.col("_per") + F.col("_per") - 1).otherwise(F.size("data") - 1)
-        own = F.sequence(i * F.col("_per"), F.least(last, F.size("data") - 1), F.col("_step"))
-        return F.array_join(F.transform(own, lambda j, k: piece(F.get(F.col("data"), j), k)), "")
-
-    sized = df.withColumn("_n", n).withColumn("_per", per_taxon).withColumn("_step", step)
-    sized = sized.filter("_n > 0").withColumn(
-        "taxa",
-        pinned(
-            F.transform(
-                F.sequence(F.lit(0), F.col("_n") - 1),
-                lambda i: F.struct(
-                    i.alias("taxon_id"),
-                    name(F.get(F.col("data"), i * F.col("_per"))).alias("name"),
-                    sequence(i).alias("seq"),
-                ),
-            )
-        ),
+def _phylip(spark: SparkSession, path: str) -> tuple[_Lines, DataFrame]:
+    """Lines that know their file's ``n, m``, first data line and layout; and ``path, n, m`` of each file with a header."""
+    value = F.col("value")
+    lines = _Lines(
+        spark, path, S.trim_chars(value), value != "",
+        {"counts": value.rlike(COUNTS), "ends": (value != "") & (F.instr(F.lit(DATA_END), F.right(value, F.lit(1))) > 0)},
     )
-    return sized.select("alignment_id", F.inline_outer("taxa"))
-
-
-def _phylip(spark: SparkSession, path: str) -> DataFrame:
-    """Header numbers, data lines and layout of each file."""
-    files = _files(spark, path).drop("raw")
-    files = files.withColumn("_head", _first(F.col("lines"), lambda s: s.rlike(COUNTS))).filter("_head > 0")
-    head = F.get("lines", F.col("_head") - 1)
-    files = (
-        files.withColumn("n", F.regexp_extract(head, r"^[+-]?(\d+)", 1).cast("int"))
-        .withColumn("m", F.regexp_extract(head, r"^[+-]?\d+\s+[+-]?(\d+)", 1).cast("int"))
-        .withColumn("_rest", _after(F.col("lines"), F.col("_head")))
+    number = r"[+-]?(\d+)"
+    heads = lines.first(F.col("counts")).select(
+        "path", F.col("s.no").alias("head_no"),
+        F.regexp_extract("s.value", "^" + number, 1).cast("int").alias("n"),
+        F.regexp_extract("s.value", r"^[+-]?\d+\s+" + number, 1).cast("int").alias("m"),
     )
-    start = _first(F.col("_rest"), lambda s: (s != "") & (F.instr(F.lit(DATA_END), F.right(s, F.lit(1))) > 0))
-    files = files.withColumn("_start", start).withColumn(
-        "_rest", F.when(F.col("_start") > 0, _after(F.col("_rest"), F.col("_start") - 1)).otherwise(F.array().cast("array<string>"))
+    lines.know(heads)
+    lines.know(
+        lines.first(F.col("ends") & (F.col("no") > F.col("head_no"))).select(
+            "path", F.col("s.no").alias("first_no"), F.col("s.rank").alias("first_rank")
+        )
     )
-    return files.withColumn("_layout", _flags(F.col("_rest"), lambda s: F.when(s == "", "b").otherwise("d"))).select(
-        "alignment_id", "n", "m", F.filter("_rest", lambda s: s != "").alias("data"), "_layout"
+    data = lines.rows().where("full AND no >= first_no")
+    shape = data.groupBy("path").agg(
+        F.count(F.lit(1)).alias("lines"), (F.max(_gap()) > 0).alias("interleaved"), F.count(F.when(_gap() == 0, 1)).alias("first_block")
     )
+    lines.know(shape)
+    return lines, heads.select("path", "n", "m")
 
 
-def _phylip_layout(files: DataFrame) -> DataFrame:
-    """Add ``taxa_shown``, ``_per`` (lines of a taxon, one after another) and ``_step`` (from one line of a taxon to its next).
+def _phylip_data(spark: SparkSession, path: str) -> DataFrame:
+    """Data lines with ``taxon`` and ``k``, the number of the line in its taxon.
 
     The header's count only tells sequential files from those with one line each.
     """
-    interleaved = F.col("_layout").rlike("db+d")
-    lines = F.size("data")
-    sequential = ~interleaved & (F.col("n") > 0) & (lines > F.col("n")) & (F.pmod(lines, F.col("n")) == 0)
-    first_block = F.length(F.regexp_extract("_layout", "^(d+)", 1))
-    taxa = F.when(sequential, F.col("n")).when(interleaved, first_block).otherwise(lines)
-    return files.withColumns(
-        {
-            "taxa_shown": taxa,
-            "_per": F.when(sequential, (lines / F.col("n")).cast("int")).otherwise(1),
-            "_step": F.when(sequential, 1).otherwise(F.greatest(taxa, F.lit(1))),
-        }
+    lines, _ = _phylip(spark, path)
+    sequential = ~F.col("interleaved") & (F.col("n") > 0) & (F.col("lines") > F.col("n")) & (F.pmod("lines", F.greatest("n", F.lit(1))) == 0)
+    j = F.col("rank") - F.col("first_rank")
+    per = F.floor(F.col("lines") / F.greatest("n", F.lit(1)))
+    shown = F.when(F.col("interleaved"), F.col("first_block")).otherwise(F.col("lines"))
+    return (
+        lines.rows().where("full AND no >= first_no")
+        .withColumn("taxon", F.when(sequential, F.floor(j / per)).otherwise(j % shown))
+        .withColumn("k", F.when(sequential, j % per).otherwise(F.floor(j / shown)))
     )
 
 
@@ -119,43 +132,40 @@ def read_phylip(spark: SparkSession, path: str) -> DataFrame:
     taxa; else one line each. Rows beyond the header's number are rows of their own,
     for ``validate.counts`` to find.
     """
-    return _rows(
-        _phylip_layout(_phylip(spark, path)),
+    return _taxa(
+        _phylip_data(spark, path), F.col("taxon"), F.col("k"),
         lambda s: S.trim_chars(F.substring(s, 1, NAME)),
         lambda s, k: S.strip_digits_blanks(F.when(k == 0, F.substring(s, NAME + 1, 2**31 - 1)).otherwise(s)),
-        F.col("_step"),
-        F.col("_per"),
-        F.col("taxa_shown"),
     )
 
 
 def phylip_name_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of PHYLIP files that a taxon starts on: ``alignment_id, line, text``."""
-    shown = _phylip_layout(_phylip(spark, path))
-    lines = shown.select("alignment_id", "taxa_shown", "_per", F.posexplode("data").alias("at", "text"))
-    starts = (F.col("at") < F.col("taxa_shown") * F.col("_per")) & (F.col("at") % F.col("_per") == 0)
-    return lines.filter(starts).select("alignment_id", F.floor(F.col("at") / F.col("_per")).alias("line"), "text")
+    starts = _phylip_data(spark, path).where("k = 0")
+    return starts.select(alignment_of(F.col("path")).alias("alignment_id"), F.col("taxon").cast("bigint").alias("line"), F.col("value").alias("text"))
 
 
 def phylip_headers(spark: SparkSession, path: str) -> DataFrame:
     """Declared sizes of PHYLIP files: ``alignment_id, n, m``."""
-    return _phylip(spark, path).select("alignment_id", "n", "m")
-
-
-def _nexus(spark: SparkSession, path: str) -> DataFrame:
-    files = _files(spark, path).drop("raw")
-    dims = F.get("lines", _first(F.col("lines"), lambda s: s.contains("dimensions")) - 1)
-    files = (
-        files.withColumn("_dims", dims)
-        .withColumn("n", F.regexp_extract("_dims", r"ntax\s*=\s*(\d+)", 1).try_cast("int"))
-        .withColumn("m", F.regexp_extract("_dims", r"nchar\s*=\s*(\d+)", 1).try_cast("int"))
-        .withColumn("_at", _first(F.col("lines"), lambda s: s.contains("matrix")))
-        .filter("_at > 0")
-        .withColumn("_rest", _after(F.col("lines"), F.col("_at")))
-        .withColumn("_end", _first(F.col("_rest"), lambda s: s.contains(";")))
+    return _phylip(spark, path)[1].select(alignment_of(F.col("path")).alias("alignment_id"), "n", "m")
+
+
+def _nexus(spark: SparkSession, path: str) -> tuple[_Lines, DataFrame]:
+    """Lines that know their file's ``n, m`` and where its matrix is; and ``path, n, m`` of each file with a matrix."""
+    value = F.col("value")
+    lines = _Lines(
+        spark, path, S.trim_chars(value), value != "",
+        {"dims": value.contains("dimensions"), "matrix": value.contains("matrix"), "stop": value.contains(";")},
+    )
+    sizes = lines.first(F.col("dims")).select(
+        "path",
+        F.regexp_extract("s.value", r"ntax\s*=\s*(\d+)", 1).try_cast("int").alias("n"),
+        F.regexp_extract("s.value", r"nchar\s*=\s*(\d+)", 1).try_cast("int").alias("m"),
     )
-    body = F.when(F.col("_end") > 0, F.slice("_rest", F.lit(1), F.col("_end") - 1)).otherwise(F.col("_rest"))
-    return files.select("alignment_id", "n", "m", F.filter(body, lambda s: s != "").alias("data"))
+    heads = lines.first(F.col("matrix")).select("path", F.col("s.no").alias("head_no")).join(sizes, "path", "left")
+    lines.know(heads)
+    lines.know(lines.first(F.col("stop") & (F.col("no") > F.col("head_no"))).select("path", F.col("s.no").alias("end_no")), "left")
+    return lines, heads.select("path", "n", "m")
 
 
 def read_nexus(spark: SparkSession, path: str) -> DataFrame:
@@ -165,22 +175,20 @@ def read_nexus(spark: SparkSession, path: str) -> DataFrame:
     number of lines is a multiple of the header's number of taxa. Otherwise each line
     is a row of its own, for ``validate.counts`` to find.
     """
-    declared, lines = F.coalesce("n", F.lit(0)), F.size("data")
-    whole = F.when(declared > 0, F.pmod(lines, F.greatest(declared, F.lit(1))) == 0)
-    taxa = F.when(whole, F.least(declared, lines)).when(declared > 0, lines).otherwise(0)
-    return _rows(
-        _nexus(spark, path),
-        S.leading_tokens,
-        lambda s, _: S.last_token(s),
-        F.greatest(taxa, F.lit(1)),
-        F.lit(1),
-        taxa,
-    )
+    lines, _ = _nexus(spark, path)
+    body = F.col("full") & (F.col("no") > F.col("head_no")) & (F.col("end_no").isNull() | (F.col("no") < F.col("end_no")))
+    lines.know(lines.rows().where(body).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.min("rank").alias("first_rank")))
+    declared = F.coalesce("n", F.lit(0))
+    whole = F.pmod("lines", F.greatest(declared, F.lit(1))) == 0
+    taxa = F.when(whole, F.least(declared, F.col("lines"))).otherwise(F.col("lines"))
+    j = F.col("rank") - F.col("first_rank")
+    data = lines.rows().where(body & (declared > 0))
+    return _taxa(data, j % taxa, F.floor(j / taxa), S.leading_tokens, lambda s, _: S.last_token(s))
 
 
 def nexus_headers(spark: SparkSession, path: str) -> DataFrame:
     """Declared sizes of NEXUS files, in whichever order they are given: ``alignment_id, n, m``."""
-    return _nexus(spark, path).select("alignment_id", "n", "m")
+    return _nexus(spark, path)[1].select(alignment_of(F.col("path")).alias("alignment_id"), "n", "m")
 
 
 def read_clustal(spark: SparkSession, path: str) -> DataFrame:
@@ -189,22 +197,13 @@ def read_clustal(spark: SparkSession, path: str) -> DataFrame:
     Lines that start with a blank or have a single token (conservation marks) are
     no sequence lines. The first block gives the number of taxa.
     """
-    files = _files(spark, path)
-    files = files.withColumn("_head", _first(F.col("raw"), lambda s: s.contains("CLUSTAL"))).filter("_head > 0")
-    files = files.withColumn("_rest", _after(F.col("raw"), F.col("_head")))
-
-    def is_sequence(s: Column) -> Column:
-        return ~s.startswith(" ") & (F.size(S.tokens(s)) > 1)
-
-    files = files.withColumn("_layout", _flags(F.col("_rest"), lambda s: F.when(is_sequence(s), "s").otherwise("x")))
-    files = files.withColumn("data", F.filter("_rest", is_sequence)).withColumn(
-        "n", F.length(F.regexp_extract("_layout", "^x*(s+)", 1))
-    )
-    return _rows(
-        files,
-        S.leading_tokens,
-        lambda s, _: S.last_token(s),
-        F.greatest(F.col("n"), F.lit(1)),
-        F.lit(1),
-        F.col("n"),
+    value = F.col("value")
+    lines = _Lines(
+        spark, path, _plain(), ~value.startswith(" ") & (F.size(S.tokens(value)) > 1), {"head": value.contains("CLUSTAL")}
     )
+    lines.know(lines.first(F.col("head")).select("path", F.col("s.no").alias("head_no")))
+    data = F.col("full") & (F.col("no") > F.col("head_no"))
+    lines.know(lines.first(data).select("path", F.col("s.no").alias("first_no"), F.col("s.rank").alias("first_rank")))
+    lines.know(lines.rows().where(data).groupBy("path").agg(F.count(F.when(_gap() == 0, 1)).alias("n")))
+    j = F.col("rank") - F.col("first_rank")
+    return _taxa(lines.rows().where(data), j % F.col("n"), F.floor(j / F.col("n")), S.leading_tokens, lambda s, _: S.last_token(s))
