@@ -328,11 +328,10 @@ def _text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def mask_batches(batches: Iterator[pa.RecordBatch], accepted: str) -> Iterator[pa.RecordBatch]:
-    """Bit mask of characters per column, combined over the rows of a batch.
+def mask_batches(batches: Iterator[pa.RecordBatch], accepted: str, width: int) -> Iterator[pa.RecordBatch]:
+    """Bit mask of characters per column, combined over the rows of a batch, in blocks of ``width`` columns.
 
-    In: ``alignment_id, first, piece`` (``first`` is the site a piece starts at);
-    out: ``alignment_id, first, masks``. Characters that are not accepted have bits, too:
+    In: ``alignment_id, seq``; out: ``alignment_id, first`` (the site a block starts at), ``masks``. Characters that are not accepted have bits, too:
     one for each upper-case letter, one for all digits, one for everything else.
     """
     others = [c for c in ascii_uppercase if c not in accepted]
@@ -343,24 +342,21 @@ def mask_batches(batches: Iterator[pa.RecordBatch], accepted: str) -> Iterator[p
     for batch in batches:
         ids = batch.column("alignment_id").dictionary_encode()
         code = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        first = batch.column("first").to_numpy(zero_copy_only=False)
-        raw, offsets = _text(batch.column("piece"))
+        raw, offsets = _text(batch.column("seq"))
         length = np.diff(offsets)
-        order = np.lexsort((first, code, length))
+        order = np.lexsort((code, length))
         out_code, out_first, flat, sizes = [], [], [], []
-        # rows of one length form a matrix; its rows are grouped by alignment and start
+        # rows of one length form a matrix; its rows are grouped by alignment
         cuts = np.flatnonzero(np.diff(length[order])) + 1
         for rows in np.split(order, cuts) if len(order) else []:
-            width = int(length[rows[0]])
-            if width == 0:
-                continue
-            masks = bit[raw[offsets[rows][:, None] + np.arange(width)]]
-            change = (np.diff(code[rows]) != 0) | (np.diff(first[rows]) != 0)
-            starts = np.concatenate([[0], np.flatnonzero(change) + 1])
-            flat.append(np.bitwise_or.reduceat(masks, starts, axis=0).ravel())
-            out_code.append(code[rows[starts]])
-            out_first.append(first[rows[starts]])
-            sizes.append(np.full(len(starts), width))
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(code[rows])) + 1])
+            for first in range(0, int(length[rows[0]]), width):
+                here = min(width, int(length[rows[0]]) - first)
+                masks = bit[raw[offsets[rows][:, None] + np.arange(first, first + here)]]
+                flat.append(np.bitwise_or.reduceat(masks, starts, axis=0).ravel())
+                out_code.append(code[rows[starts]])
+                out_first.append(np.full(len(starts), first))
+                sizes.append(np.full(len(starts), here))
         if not flat:
             continue
         ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
@@ -374,14 +370,67 @@ def mask_batches(batches: Iterator[pa.RecordBatch], accepted: str) -> Iterator[p
         )
 
 
-def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sequences without the columns that ``keep`` (a flag per column) leaves out; shorter rows use the flags they reach.
+def merged_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Masks of a block put together; rows come sorted by ``alignment_id, first``. A block is as long as its longest row."""
+    now, held = None, None
+    ids: list = []
+    firsts: list[int] = []
+    found: list[np.ndarray] = []
+
+    def closed() -> pa.RecordBatch:
+        ends = np.concatenate([[0], np.cumsum([len(m) for m in found])]).astype(np.int32)
+        masks = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(firsts, pa.int32()), masks], names=["alignment_id", "first", "masks"])
+
+    for batch in batches:
+        masks = batch.column("masks")
+        values, offsets = masks.values.to_numpy(zero_copy_only=False), masks.offsets.to_numpy()
+        for i, here in enumerate(zip(batch.column("alignment_id").to_pylist(), batch.column("first").to_pylist())):
+            own = values[offsets[i] : offsets[i + 1]]
+            if here == now:
+                if len(own) > len(held):
+                    own, held = held, own.copy()
+                held[: len(own)] |= own
+                found[-1] = held
+                continue
+            if len(ids) >= 1024:
+                yield closed()
+                ids, firsts, found = [], [], []
+            now, held = here, own.copy()
+            ids.append(here[0])
+            firsts.append(here[1])
+            found.append(held)
+    if ids:
+        yield closed()
+
+
+def piece_batches(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """Sequences cut every ``_w`` bytes: ``keep``, ``first`` and ``piece``. An empty or NULL sequence is one such piece.
 
-    In: ``alignment_id, taxon_id, name, seq, keep, original_m, m``; out: the same without ``keep``.
+    The text isn't copied: pieces only have more offsets into it.
     """
     for batch in batches:
-        seq, keep = batch.column("seq"), batch.column("keep")
-        raw, offsets = _text(seq)
+        raw, offsets = _text(batch.column("seq"))
+        length = np.diff(offsets)
+        width = batch.column("_w").to_numpy(zero_copy_only=False).astype(np.int64)
+        many = np.maximum(1, -(-length // width))
+        row = np.repeat(np.arange(len(length)), many)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        first = nth * width[row]
+        lo = offsets[row] + first
+        hi = np.minimum(lo + width[row], offsets[row + 1])
+        ends = np.concatenate([lo[:1], hi]) if len(lo) else np.zeros(1, np.int64)
+        pieces = pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(raw)).cast(pa.string())
+        at = pa.array(row)
+        pieces = pc.if_else(batch.column("seq").is_null().take(at), pa.scalar(None, pa.string()), pieces)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), pa.array(first, pa.int32()), pieces], names=[*keep, "first", "piece"])
+
+
+def cut_batches(batches: Iterator[pa.RecordBatch], passed: list[str]) -> Iterator[pa.RecordBatch]:
+    """Pieces without the columns that ``keep`` (a flag per column of the block) leaves out; shorter rows use the flags they reach."""
+    for batch in batches:
+        piece, keep = batch.column("piece"), batch.column("keep")
+        raw, offsets = _text(piece)
         starts = keep.offsets.to_numpy()[:-1].astype(np.int64)
         length = np.diff(offsets)
         at = np.arange(offsets[0], offsets[-1]) + np.repeat(starts - offsets[:-1], length)
@@ -393,10 +442,9 @@ def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = pa.array(texts, pa.string())
         else:
             buffers = pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())
-            cut = pa.LargeStringArray.from_buffers(len(seq), *buffers).cast(pa.string())
-        columns = [batch.column(c) for c in ("alignment_id", "taxon_id", "name")]
-        columns += [pc.if_else(seq.is_null(), pa.scalar(None, pa.string()), cut), batch.column("original_m"), batch.column("m")]
-        yield pa.RecordBatch.from_arrays(columns, names=["alignment_id", "taxon_id", "name", "seq", "original_m", "m"])
+            cut = pa.LargeStringArray.from_buffers(len(piece), *buffers).cast(pa.string())
+        cut = pc.if_else(piece.is_null(), pa.scalar(None, pa.string()), cut)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), cut], names=[*passed, "piece"])
 
 
 def pattern_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

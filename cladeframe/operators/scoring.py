@@ -24,7 +24,6 @@ from cladeframe.session import materialise
 
 TREE_PACK = 32768  # integers of parent arrays in one pack
 PATTERN_PACK = 32768  # pattern bytes in one block
-SALTS = 16  # parts of a group that is looked up in a table of groups
 
 
 def _tasks(df: DataFrame) -> int:

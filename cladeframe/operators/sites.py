@@ -10,11 +10,13 @@ are needed as a whole, blocks of text move instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cladeframe.functions import sequences as S
-from cladeframe.functions.kernels import cut_batches, mask_batches, pattern_batches
+from cladeframe.functions.kernels import cut_batches, mask_batches, merged_masks, pattern_batches, piece_batches
+from cladeframe.operators.groups import with_group_value
 
 PIECE = 4096  # sites of one piece of a long sequence
 BLOCK = 1 << 20  # characters of one block of columns
@@ -29,32 +31,27 @@ def explode_sites(sequences: DataFrame) -> DataFrame:
     )
 
 
-def _pieces(sequences: DataFrame, width: int) -> DataFrame:
-    """Sequences cut every ``width`` sites: ``first`` (site) and ``piece``; most are one piece."""
-    return sequences.select("alignment_id", "taxon_id", F.posexplode(_cut(F.lit(width))).alias("at", "piece")).select(
-        "alignment_id", "taxon_id", (F.col("at") * width).alias("first"), "piece"
-    )
+def _pieces(sequences: DataFrame, width: Column, keep: list[str]) -> DataFrame:
+    """Sequences cut every ``width`` sites: ``keep``, ``first`` (site) and ``piece``; most are one piece."""
+    rows = sequences.select(*keep, "seq", width.cast("int").alias("_w"))
+    fields = [sequences.schema[c] for c in keep] + [T.StructField("first", T.IntegerType()), T.StructField("piece", T.StringType())]
+    return rows.mapInArrow(lambda batches: piece_batches(batches, keep), T.StructType(fields))
 
 
-def _cut(width: Column) -> Column:
-    """Pieces of ``seq``, in one walk over a long sequence (a substring by position would walk from the start each time)."""
-    seq = F.col("seq")
-    long = F.regexp_extract_all(seq, F.concat(F.lit("(?s).{1,"), width.cast("string"), F.lit("}")), F.lit(0))
-    return F.when(F.length(seq) > width, long).otherwise(F.array(seq))
+def site_blocks(sequences: DataFrame) -> DataFrame:
+    """Masks of ``PIECE`` columns at a time: ``alignment_id, first, masks``, one row per block, however long the alignment."""
+    accepted, width = S.ACCEPTED, PIECE
+    schema = "alignment_id string, first int, masks array<int>"
+    partial = sequences.select("alignment_id", "seq").mapInArrow(lambda batches: mask_batches(batches, accepted, width), schema)
+    tasks = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = partial.repartition(tasks, "alignment_id", "first").sortWithinPartitions("alignment_id", "first")
+    return dealt.mapInArrow(merged_masks, schema)
 
 
 def site_masks(sequences: DataFrame) -> DataFrame:
     """``alignment_id, site, mask``: one bit per character that occurs in the column."""
-    accepted = S.ACCEPTED
-    partial = (
-        _pieces(sequences, PIECE)
-        .select("alignment_id", "first", "piece")
-        .mapInArrow(
-            lambda batches: mask_batches(batches, accepted), "alignment_id string, first int, masks array<int>"
-        )
-    )
-    cells = partial.select("alignment_id", "first", F.posexplode_outer("masks").alias("i", "m"))
-    return cells.groupBy("alignment_id", (F.col("first") + F.col("i")).alias("site")).agg(F.bit_or("m").alias("mask"))
+    cells = site_blocks(sequences).select("alignment_id", "first", F.posexplode("masks").alias("i", "mask"))
+    return cells.select("alignment_id", (F.col("first") + F.col("i")).alias("site"), "mask")
 
 
 def site_states(sequences: DataFrame) -> DataFrame:
@@ -78,53 +75,53 @@ def variable_sites(sequences: DataFrame) -> DataFrame:
 
 
 def kept_columns(sequences: DataFrame) -> DataFrame:
-    """One row per alignment: ``keep`` (a flag per column), ``original_m`` and ``m``.
+    """One row per block of columns: ``keep`` (a flag per column), ``cut_before`` (columns cut in earlier blocks), ``original_m`` and ``m``.
 
-    The array is as long as one sequence, whatever the number of taxa.
+    An alignment of any length is rows of at most ``PIECE`` flags; sums over its blocks are over one short row each.
     """
-    flags = site_masks(sequences).groupBy("alignment_id").agg(
-        F.array_sort(F.collect_list(F.struct("site", (F.bit_count("mask") > 1).alias("k")))).alias("cols")
-    )
-    return flags.select(
-        "alignment_id",
-        F.transform("cols", lambda c: c["k"]).alias("keep"),
-        F.size("cols").alias("original_m"),
-        F.size(F.filter("cols", lambda c: c["k"])).alias("m"),
+    flags = site_blocks(sequences).select("alignment_id", "first", F.transform("masks", lambda m: F.bit_count(m) > 1).alias("keep"))
+    counted = flags.withColumns({"_c": F.size("keep"), "_k": F.size(F.filter("keep", lambda k: k))})
+    whole = Window.partitionBy("alignment_id")
+    before = whole.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.select(
+        "alignment_id", "first", "keep",
+        F.coalesce(F.sum(F.col("_c") - F.col("_k")).over(before), F.lit(0)).alias("cut_before"),
+        F.sum("_c").over(whole).cast("int").alias("original_m"),
+        F.sum("_k").over(whole).cast("int").alias("m"),
     )
 
 
 def cut_constant_sites(sequences: DataFrame) -> DataFrame:
-    """Sequences without their constant columns, with ``original_m`` and ``m``."""
-    rows = sequences.join(kept_columns(sequences), "alignment_id").select(
-        "alignment_id", "taxon_id", "name", "seq", "keep", "original_m", "m"
+    """Sequences without their constant columns, with ``original_m`` and ``m``.
+
+    ``alignment_id, taxon_id, name`` name a row. Pieces meet the flags of their block and are put together again afterwards.
+    """
+    # the name travels with the first piece only
+    rows = _pieces(sequences, F.lit(PIECE), ["alignment_id", "taxon_id", "name"])
+    rows = rows.join(kept_columns(sequences).drop("cut_before"), ["alignment_id", "first"])
+    passed = ["alignment_id", "taxon_id", "name", "first", "original_m", "m"]
+    cut = rows.mapInArrow(lambda batches: cut_batches(batches, passed), T.StructType([*[rows.schema[c] for c in passed], rows.schema["piece"]]))
+    whole = cut.groupBy("alignment_id", "taxon_id", "name").agg(
+        F.array_sort(F.collect_list(F.struct("first", "piece"))).alias("p"), F.max("original_m").alias("original_m"), F.max("m").alias("m")
     )
-    return rows.mapInArrow(cut_batches, rows.drop("keep").schema)
+    missing = F.get("p", F.lit(0))["piece"].isNull()
+    seq = F.when(~missing, F.array_join(F.transform("p", lambda x: x["piece"]), ""))
+    return whole.select("alignment_id", "taxon_id", "name", seq.alias("seq"), "original_m", "m")
 
 
 def excluded_sites(sequences: DataFrame, per_line: int = 8) -> DataFrame:
-    """1-based numbers of the cut columns, eight to a line: ``line, columns, n_excluded``."""
-    cut = (
-        kept_columns(sequences)
-        .withColumn(
-            "cut",
-            F.filter(
-                F.transform("keep", lambda k, i: F.when(~k, i + 1)),
-                lambda i: i.isNotNull(),
-            ),
-        )
-        .withColumn("n_excluded", F.size("cut"))
-        .filter("n_excluded > 0")
-    )
-    lines = cut.select(
-        "alignment_id",
-        "cut",
-        "n_excluded",
-        F.explode(F.sequence(F.lit(0), F.floor((F.col("n_excluded") - 1) / per_line).cast("int"))).alias("line"),
-    )
-    numbers = F.slice("cut", F.col("line") * per_line + 1, F.lit(per_line))
-    return lines.select(
-        "alignment_id", "line", F.array_join(numbers.cast("array<string>"), "\t").alias("columns"), "n_excluded"
+    """1-based numbers of the cut columns, eight to a line: ``line, columns, n_excluded``.
+
+    A column's line follows from its place among the cut ones: those of earlier blocks and those before it in its own.
+    """
+    blocks = kept_columns(sequences).withColumn("n_excluded", F.col("original_m") - F.col("m"))
+    here = F.filter(F.transform("keep", lambda k, i: F.when(~k, F.col("first") + i + 1)), lambda i: i.isNotNull())
+    cut = blocks.select("alignment_id", "n_excluded", "cut_before", F.posexplode(here).alias("i", "site"))
+    line = F.floor((F.col("cut_before") + F.col("i")) / per_line).cast("int")
+    lines = cut.groupBy("alignment_id", line.alias("line")).agg(
+        F.array_sort(F.collect_list("site")).alias("sites"), F.max("n_excluded").alias("n_excluded")
     )
+    return lines.select("alignment_id", "line", F.array_join(F.col("sites").cast("array<string>"), "\t").alias("columns"), "n_excluded")
 
 
 def minimum_tree_length(sequences: DataFrame) -> DataFrame:
@@ -170,10 +167,9 @@ def site_patterns(sequences: DataFrame) -> DataFrame:
     characters without a nucleotide set are errors; ``validate.gate`` sorts them out.
     """
     dims = sequences.groupBy("alignment_id").agg(F.count(F.lit(1)).alias("_n"))
-    width = F.least(F.greatest(F.floor(F.lit(BLOCK) / F.col("_n")), F.lit(1)), F.lit(PIECE)).cast("int")
-    coded = sequences.withColumn("seq", S.hex_states(F.col("seq"))).join(dims, "alignment_id").withColumn("_w", width)
-    cut = coded.select("alignment_id", "taxon_id", "_w", "_n", F.posexplode(_cut(F.col("_w"))).alias("at", "piece"))
-    pieces = cut.select("alignment_id", (F.col("at") * F.col("_w")).alias("first"), "taxon_id", "_n", "piece")
+    width = F.least(F.greatest(F.floor(F.lit(BLOCK) / F.col("_n")), F.lit(1)), F.lit(PIECE))
+    coded = sequences.select("alignment_id", "taxon_id", S.hex_states(F.col("seq")).alias("seq"))
+    pieces = _pieces(with_group_value(coded, dims, ["alignment_id"]), width, ["alignment_id", "taxon_id", "_n"])
     blocks = pieces.groupBy("alignment_id", "first").agg(
         F.array_sort(F.collect_list(F.struct("taxon_id", "piece"))).alias("_t"),
         F.max("_n").alias("_n"), F.min(F.length("piece")).alias("_lo"), F.max(F.length("piece")).alias("_hi"),
