@@ -9,8 +9,9 @@ from cladeframe.catalog import oracle_views as O
 from cladeframe.catalog import views as V
 from cladeframe.catalog.registry import Registry
 from cladeframe.operators.topology import best_set
+from cladeframe.session import scratch_path
 from cladeframe.streaming import best, progress
-from cladeframe.streaming.sinks import drain
+from cladeframe.streaming.sinks import drain, newest, upsert
 
 registry = Registry()
 query = registry.query
@@ -28,21 +29,22 @@ def event_stream(spark, sf_dir) -> DataFrame:
         query="""SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M:%S') AS window_start, run_id,
                         count(*) AS moves, min(length) AS best_length,
                         round(sum(accepted) / count(*), 9) AS accept_ratio
-                 FROM trace GROUP BY time_bucket(INTERVAL '10 minutes', ts), run_id
-                 HAVING time_bucket(INTERVAL '10 minutes', ts) + INTERVAL '10 minutes'
-                        <= (SELECT max(ts) - INTERVAL '1 hour' FROM trace)""",
+                 FROM trace GROUP BY time_bucket(INTERVAL '10 minutes', ts), run_id""",
     ),
 )
 def stream_progress(spark, sf_dir):
-    """Windows the watermark has closed; those of the last hour are still open."""
+    """Every window of every run, by a stream that writes the windows each batch changed."""
     trace = event_stream(spark, sf_dir).select(
         F.col("user_id").alias("run_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         (100 + F.floor("value") % 50).cast("bigint").alias("length"),
         ((F.col("event_id") * 7919 + 13) % 1000 < 300).cast("int").alias("accepted"),
     )
-    out = drain(progress.progress(trace), "progress")
-    return out.select(
+    path = scratch_path(spark, "progress")
+    rows = progress.progress(trace)
+    upsert(rows, path, scratch_path(spark, "progress-state")).awaitTermination()
+    schema = "window_start timestamp, run_id bigint, moves bigint, best_length bigint, accept_ratio double"
+    return newest(spark, path, schema, ["window_start", "run_id"]).select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "run_id", "moves", "best_length", F.round("accept_ratio", 9).alias("accept_ratio"),
     )
@@ -57,12 +59,6 @@ def stream_progress(spark, sf_dir):
     ),
 )
 def stream_best(spark, sf_dir):
-    scored = V.scored_trees_of(event_stream(spark, sf_dir))
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
-    spark.conf.set(store, best.STORE)
-    try:
-        entered = drain(best.best_trees(scored, parts=8), "best")
-    finally:
-        spark.conf.set(store, before)
-    return best_set(entered, ["run_id"])
+    scored = V.scored_trees_of(event_stream(best.stream_session(spark), sf_dir))
+    path = drain(best.best_trees(scored, parts=8), "best")
+    return best_set(spark.read.schema("run_id bigint, key string, length bigint").parquet(path), ["run_id"])

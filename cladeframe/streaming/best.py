@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,34 +16,39 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep state in RocksDB; options of the given session stay as they are."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    return session
+
+
 class BestTrees(StatefulProcessor):
-    """State of one part of a run: its least length and the topologies that have it.
+    """State of one part of a run: its least length and the topologies that have it, as one value.
 
-    A topology is emitted when it enters the state. A strictly shorter tree
-    empties the state first. What remains does not depend on arrival order.
+    It is read once a batch and written once where it changed, however many trees come. A topology is emitted when it enters the state. A
+    strictly shorter tree empties the state first. What remains does not depend on arrival order.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("best", "length bigint")
-        self.keys = handle.getMapState("keys", "key string", "length bigint")
+        self.state = handle.getValueState("state", "length bigint, keys array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = self.best.get()[0] if self.best.exists() else None
+        best, keys = self.state.get() if self.state.exists() else (None, [])
+        known, fresh = set(keys), {}
         for part in rows:
             least = int(part["length"].min())
             if best is not None and least > best:
                 continue
             if best is None or least < best:
-                best = least
-                self.best.update((best,))
-                self.keys.clear()
-            fresh = []
-            for tree in part.loc[part["length"] == best, "key"].unique():
-                if not self.keys.containsKey((tree,)):
-                    self.keys.updateValue((tree,), (best,))
-                    fresh.append(tree)
-            if fresh:
-                yield pd.DataFrame({"run_id": key[0], "key": fresh, "length": best})
+                best, known, fresh = least, set(), {}
+            for tree in part.loc[part["length"] == best, "key"]:
+                if tree not in known:
+                    fresh[tree] = None
+        new = list(fresh)
+        if new:
+            self.state.update((best, sorted(known) + new))
+            yield pd.DataFrame({"run_id": key[0], "key": new, "length": best})
 
     def close(self) -> None:
         pass
@@ -55,7 +60,7 @@ def best_trees(scored: DataFrame, parts: int = 64) -> DataFrame:
     ``scored(run_id, key, length)``. Runs are cut into ``parts`` by topology, so a
     busy run is spread over many tasks and no topology is kept twice. Rows that
     were overtaken later stay in the output: reduce it with ``topology.best_set``.
-    Needs the RocksDB state store (``STORE``).
+    Needs the RocksDB state store (``stream_session``).
     """
     return (
         scored.select("run_id", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"), "key", "length")

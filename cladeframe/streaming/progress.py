@@ -10,7 +10,7 @@ def progress(trace: DataFrame, window: str = "10 minutes", delay: str = "1 hour"
     """Moves, best length and acceptance per run and tumbling window.
 
     ``trace(run_id, ts, length, accepted)``; rows later than ``delay`` are dropped
-    by the watermark. Partial aggregates run before the shuffle, so a busy run
+    by the watermark. Write the stream with ``sinks.upsert``, whose table has every window, those that are still open, too. Partial aggregates run before the shuffle, so a busy run
     sends one row per task and window. Works on batch tables as well.
     """
     return (
