@@ -72,13 +72,18 @@ for _i, _c in enumerate(b"0123456789ABCDEF"):
 _CELLS = 4_000_000  # cells of the working array held at once
 
 
-def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def listed_parents(packs: pa.Array, i: int) -> np.ndarray:
+    """Trees of a pack that has them as lists."""
+    trees = packs[i].values
+    lo, hi = trees.offsets[0].as_py(), trees.offsets[len(trees)].as_py()
+    return trees.values.slice(lo, hi - lo).to_numpy(zero_copy_only=False).reshape(len(trees), -1)
+
+
+def _pairs(batch: pa.RecordBatch, parents_of) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Row, first tree, parent arrays, states and weights of each row, in slices that fit the working array."""
-    parents, raw, weights = batch.column("_parents"), batch.column("_bytes"), batch.column("_weights")
+    packs, raw, weights = batch.column("_parents"), batch.column("_bytes"), batch.column("_weights")
     for i in range(batch.num_rows):
-        trees = parents[i].values
-        lo, hi = trees.offsets[0].as_py(), trees.offsets[len(trees)].as_py()
-        parent = trees.values.slice(lo, hi - lo).to_numpy(zero_copy_only=False).reshape(len(trees), -1)
+        parent = parents_of(packs, i)
         n = (parent.shape[1] + 3) // 2
         weight = weights[i].values.to_numpy(zero_copy_only=False)
         found = _NIBBLE[np.frombuffer(raw[i].as_py(), dtype=np.uint8)]
@@ -128,7 +133,7 @@ def inner_states_of(parent: np.ndarray, states: np.ndarray, weight: np.ndarray)
     return out.reshape(len(parent), -1)
 
 
-def scoring_batches(measure, passed: list[str]):
+def scoring_batches(measure, passed: list[str], parents_of=listed_parents):
     """Task function: a pack of trees and a block of patterns to one array of numbers per tree.
 
     Out: the ``passed`` columns, ``_first`` (the first tree of a slice of the pack) and ``_values``. A batch is closed before
@@ -151,7 +156,7 @@ def scoring_batches(measure, passed: list[str]):
                 )
 
             size = 0
-            for i, start, parent, states, weight in _pairs(batch):
+            for i, start, parent, states, weight in _pairs(batch, parents_of):
                 rows.append(i)
                 first.append(start)
                 found.append(measure(parent, states, weight))

@@ -8,7 +8,7 @@ large tree is the work of many tasks.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CELLS = 1 << 22  # cells of (tree, moved branch, other branch) looked at together
 OUT_CELLS = 1 << 20  # numbers of one batch of neighbours
 
-Rows = tuple[np.ndarray, dict[str, np.ndarray], Callable[[slice], np.ndarray]]
+Rows = tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 class Trees:
@@ -88,20 +88,101 @@ def turn(trees: Trees, out: np.ndarray, t: np.ndarray, start: np.ndarray, end: n
         rows, a, b = rows[going], b[going], c[going]
 
 
+# --- single moves: (trees, tree of each row, three numbers of each row) to parents ---
+
+
+def interchanged(trees: Trees, t: np.ndarray, branch: np.ndarray, side: np.ndarray, _) -> np.ndarray:
+    """The left (side 0) or right (side 1) child of an inner branch changes places with its sister."""
+    out, row = trees.parent[t], np.arange(len(t))
+    out[row, trees.kids[t, branch, side]] = trees.parent[t, branch]
+    out[row, trees.sister[t, branch]] = branch
+    return out
+
+
+def regrafted(trees: Trees, t: np.ndarray, src: np.ndarray, dest: np.ndarray, _) -> np.ndarray:
+    """Close the gap, then split the destination branch."""
+    out, row = trees.parent[t], np.arange(len(t))
+    up = trees.parent[t, src]
+    out[row, trees.sister[t, src]] = trees.parent[t, up]
+    out[row, up] = trees.parent[t, dest]
+    out[row, dest] = up
+    return out
+
+
+def turned(trees: Trees, t: np.ndarray, src: np.ndarray, dest: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """A subtree moves, re-rooted at ``leaf``."""
+    out = regrafted(trees, t, src, dest, leaf)
+    turn(trees, out, t, leaf, src, trees.parent[t, src])
+    return out
+
+
+def onto_root(trees: Trees, t: np.ndarray, src: np.ndarray, dest: np.ndarray, _) -> np.ndarray:
+    """A subtree moves onto the branch of the root taxon itself."""
+    parent, r = trees.parent, trees.root[t]
+    out, row = parent[t], np.arange(len(t))
+    up = parent[t, src]
+    above = parent[t, up]
+    out[row[:, None], trees.kids[t, r]] = up[:, None]
+    out[row, trees.sister[t, src]] = np.where(above == r, up, above)
+    out[row, up] = r
+    out[row, src] = r
+    return out
+
+
+def outside(trees: Trees, t: np.ndarray, src: np.ndarray, dest: np.ndarray, _) -> np.ndarray:
+    """Everything outside the subtree ``src`` moves onto ``dest`` in it, which turns the subtree over in place."""
+    out = trees.parent[t]
+    turn(trees, out, t, dest, src, trees.parent[t, src])
+    return out
+
+
+def near_root(trees: Trees, t: np.ndarray, branch: np.ndarray) -> np.ndarray:
+    """The child of the root above a branch."""
+    at = branch
+    while (lower := trees.depth[t, at] > 1).any():
+        at = np.where(lower, trees.parent[t, at], at)
+    return at
+
+
+def root_taxon(trees: Trees, t: np.ndarray, src: np.ndarray, dest: np.ndarray, _) -> np.ndarray:
+    """The root taxon alone moves onto ``dest``."""
+    parent, r, near = trees.parent, trees.root[t], near_root(trees, t, dest)
+    out, row = parent[t], np.arange(len(t))
+    b = parent[t, dest]
+    out[row, b] = r
+    out[row, trees.sister[t, near]] = near
+    out[row, dest] = r
+    c = parent[t, b]
+    while len(row):
+        going = c != r[row]
+        row, b, c = row[going], b[going], c[going]
+        out[row, c] = b
+        b, c = c, parent[t[row], c]
+    return out
+
+
+def far_child(trees: Trees, t: np.ndarray, src: np.ndarray, dest: np.ndarray, _) -> np.ndarray:
+    """The child of the root that ``dest`` is not below moves onto it."""
+    r, near = trees.root[t], near_root(trees, t, dest)
+    out, row = trees.parent[t], np.arange(len(t))
+    above = trees.parent[t, dest]
+    out[row[:, None], trees.kids[t, near]] = r[:, None]
+    out[row, near] = np.where(above == near, r, above)
+    out[row, src] = near
+    out[row, dest] = near
+    return out
+
+
+MOVES = (interchanged, regrafted, turned, onto_root, outside, root_taxon, far_child)
+
+# --- all moves of a kind: number of the move function, tree and three numbers of each row ---
+
+
 def interchanges(trees: Trees, lo: int, hi: int) -> Iterator[Rows]:
-    """Across each inner branch its left (side 0) or right (side 1) child changes places with its sister."""
+    """``interchanged`` for each inner branch and side."""
     branch = np.arange(max(lo, trees.n), max(hi, trees.n))
     t, k, side = (x.ravel() for x in np.indices((len(trees.parent), len(branch), 2)))
-    branch = branch[k]
-
-    def build(s: slice) -> np.ndarray:
-        i, u = t[s], branch[s]
-        out, row = trees.parent[i], np.arange(len(i))
-        out[row, trees.kids[i, u, side[s]]] = trees.parent[i, u]
-        out[row, trees.sister[i, u]] = u
-        return out
-
-    yield t, {"branch": branch, "side": side}, build
+    yield 0, t, branch[k], side, side
 
 
 def movable(trees: Trees, lo: int, hi: int) -> np.ndarray:
@@ -122,107 +203,30 @@ def graft_points(trees: Trees, lo: int, hi: int) -> np.ndarray:
     )
 
 
-def regraft(trees: Trees, out: np.ndarray, t: np.ndarray, src: np.ndarray, dest: np.ndarray) -> None:
-    """Close the gap, then split the destination branch."""
-    row = np.arange(len(t))
-    up = trees.parent[t, src]
-    out[row, trees.sister[t, src]] = trees.parent[t, up]
-    out[row, up] = trees.parent[t, dest]
-    out[row, dest] = up
-
-
 def regrafts(trees: Trees, lo: int, hi: int) -> Iterator[Rows]:
     """Every subtree ``src`` on every branch ``dest`` outside of it."""
     t, src, dest = np.nonzero(graft_points(trees, lo, hi))
-    src = src + lo
-
-    def build(s: slice) -> np.ndarray:
-        out = trees.parent[t[s]]
-        regraft(trees, out, t[s], src[s], dest[s])
-        return out
-
-    yield t, {"src": src, "dest": dest}, build
+    yield 1, t, src + lo, dest, dest
 
 
 def all_regrafts(trees: Trees, lo: int, hi: int) -> Iterator[Rows]:
     """``regrafts`` and the moves that need another root: onto the root's own branch, of the root's children, of the part with the root."""
     yield from regrafts(trees, lo, hi)
-    parent, root = trees.parent, trees.root
-
     t, src = np.nonzero(movable(trees, lo, hi))
-    src = src + lo
-
-    def onto_root(s: slice) -> np.ndarray:
-        i, x = t[s], src[s]
-        out, row, r = parent[i], np.arange(len(i)), root[i]
-        up = parent[i, x]
-        above = parent[i, up]
-        out[row[:, None], trees.kids[i, r]] = up[:, None]
-        out[row, trees.sister[i, x]] = np.where(above == r, up, above)
-        out[row, up] = r
-        out[row, x] = r
-        return out
-
-    yield t, {"src": src, "dest": root[t]}, onto_root
+    yield 3, t, src + lo, trees.root[t], src
 
     # everything else goes around a branch ``dest`` that is no child of the root
-    d_t, dest = np.nonzero(trees.depth[:, lo:hi] >= 2)
+    t, dest = np.nonzero(trees.depth[:, lo:hi] >= 2)
     dest = dest + lo
-    near = dest.copy()
-    while (far_up := trees.depth[d_t, near] > 1).any():
-        near = np.where(far_up, parent[d_t, near], near)
-    far = trees.sister[d_t, near]
-
     # the part outside a subtree around ``dest``: all branches two or more above it but the root
-    o_t, o_dest, o_src = [], [], []
-    at, rows = dest, np.arange(len(dest))
-    at = parent[d_t, at]
+    rows, at = np.arange(len(dest)), trees.parent[t, dest]
     while len(rows):
-        at = parent[d_t[rows], at]
-        keep = trees.depth[d_t[rows], at] > 0
-        rows, at = rows[keep], at[keep]
-        o_t.append(d_t[rows])
-        o_dest.append(dest[rows])
-        o_src.append(at)
-    if o_t:
-        i_t, i_dest, i_src = (np.concatenate(x) for x in (o_t, o_dest, o_src))
-
-        def outside(s: slice) -> np.ndarray:
-            i, x = i_t[s], i_src[s]
-            out = parent[i]
-            turn(trees, out, i, i_dest[s], x, parent[i, x])
-            return out
-
-        yield i_t, {"src": i_src, "dest": i_dest}, outside
-
-    def root_taxon(s: slice) -> np.ndarray:
-        i, r = d_t[s], root[d_t[s]]
-        out, row = parent[i], np.arange(len(i))
-        b = parent[i, dest[s]]
-        out[row, b] = r
-        out[row, far[s]] = near[s]
-        out[row, dest[s]] = r
-        c = parent[i, b]
-        while len(row):
-            going = c != r[row]
-            row, b, c = row[going], b[going], c[going]
-            out[row, c] = b
-            b, c = c, parent[i[row], c]
-        return out
-
-    yield d_t, {"src": root[d_t], "dest": dest}, root_taxon
-
-    def far_child(s: slice) -> np.ndarray:
-        i, r, u = d_t[s], root[d_t[s]], near[s]
-        out, row = parent[i], np.arange(len(i))
-        above = parent[i, dest[s]]
-        out[row[:, None], trees.kids[i, u]] = r[:, None]
-        out[row, u] = np.where(above == u, r, above)
-        out[row, far[s]] = u
-        out[row, dest[s]] = u
-        return out
-
-    yield d_t, {"src": far, "dest": dest}, far_child
+        at = trees.parent[t[rows], at]
+        inner = trees.depth[t[rows], at] > 0
+        rows, at = rows[inner], at[inner]
+        yield 4, t[rows], at, dest[rows], dest[rows]
+    yield 5, t, trees.root[t], dest, dest
+    yield 6, t, trees.sister[t, near_root(trees, t, dest)], dest, dest
 
 
 def turned_regrafts(trees: Trees, lo: int, hi: int) -> Iterator[Rows]:
@@ -240,25 +244,21 @@ def turned_regrafts(trees: Trees, lo: int, hi: int) -> Iterator[Rows]:
     points = graft_points(trees, lo, hi)
     counts = points.sum(axis=2)
     # the turned subtrees one after another, each with all its destinations
-    p_t, p_at, p_dest = np.nonzero(points)
+    p_dest = np.nonzero(points)[2]
     starts = np.concatenate([[0], np.cumsum(counts.ravel())])[:-1].reshape(counts.shape)
     many = counts[v_t, v_at]
     which = np.repeat(np.arange(len(v_t)), many)
     place = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-    dest = p_dest[starts[v_t, v_at][which] + place]
-    t, moved, leaf = v_t[which], v_at[which] + lo, leaf[which]
+    yield 2, v_t[which], v_at[which] + lo, p_dest[starts[v_t, v_at][which] + place], leaf[which]
 
-    def build(s: slice) -> np.ndarray:
-        i, x = t[s], moved[s]
-        out = trees.parent[i]
-        regraft(trees, out, i, x, dest[s])
-        turn(trees, out, i, leaf[s], x, trees.parent[i, x])
-        return out
 
-    yield t, {"src": moved, "dest": dest, "leaf": leaf}, build
+def all_turned(trees: Trees, lo: int, hi: int) -> Iterator[Rows]:
+    """Moves with and without turning the subtree."""
+    yield from all_regrafts(trees, lo, hi)
+    yield from turned_regrafts(trees, lo, hi)
 
 
-KINDS = {"nni": interchanges, "spr": regrafts, "spr_full": all_regrafts, "tbr": turned_regrafts}
+KINDS = {"nni": interchanges, "spr": regrafts, "spr_full": all_regrafts, "tbr": turned_regrafts, "tbr_full": all_turned}
 
 
 def matrices(parents: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -271,8 +271,12 @@ def matrices(parents: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, values[offsets[rows][:, None] + np.arange(b)]
 
 
-def move_batches(kind: str, keep: list[str], with_trees: bool = True):
-    """Task function: rows ``keep, parent, lo, hi`` to their neighbours by moves of the branches ``lo`` to ``hi - 1``."""
+def move_batches(kind: str, keep: list[str], columns: list[str], result: str):
+    """Task function: rows ``keep, parent, lo, hi`` to moves of the branches ``lo`` to ``hi - 1``.
+
+    Out: ``keep``, the ``columns`` that name a move, and as ``result`` says ``parent`` (the new tree), ``key`` (its split key, after ``code``, the
+    number of the move function) or nothing.
+    """
     moves = KINDS[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,23 +292,65 @@ def move_batches(kind: str, keep: list[str], with_trees: bool = True):
                     step = max(1, CELLS // (b * (hi - lo)))
                     for at in range(0, len(same), step):
                         part = same[at : at + step]
-                        for t, columns, build in moves(Trees(parent[part]), lo, hi):
-                            size = max(1, OUT_CELLS // (b if with_trees else 8))
+                        trees = Trees(parent[part])
+                        for code, t, *numbers in moves(trees, lo, hi):
+                            size = max(1, OUT_CELLS // (b if result else 8))
                             for s in range(0, len(t), size):
                                 cut = slice(s, s + size)
                                 origin = pa.array(rows[part[t[cut]]])
-                                out = [c.take(origin) for c in kept] + [pa.array(c[cut], pa.int32()) for c in columns.values()]
+                                out = [c.take(origin) for c in kept] + [pa.array(x[cut], pa.int32()) for x in numbers[: len(columns)]]
                                 names = [*keep, *columns]
-                                if with_trees:
-                                    flat = build(cut)
-                                    ends = pa.array(np.arange(len(flat) + 1) * b, pa.int32())
-                                    out.append(pa.ListArray.from_arrays(ends, pa.array(flat.ravel(), pa.int32())))
-                                    names.append("parent")
+                                if result:
+                                    flat = MOVES[code](trees, t[cut], *(x[cut] for x in numbers))
+                                    if result == "key":
+                                        out.append(pa.array(np.full(len(flat), code), pa.int32()))
+                                        out.append(pa.array(keys_of(flat), pa.string()))
+                                        names += ["code", "key"]
+                                    else:
+                                        out.append(listed(flat))
+                                        names.append("parent")
                                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     return run
 
 
+def listed(flat: np.ndarray) -> pa.Array:
+    """Rows of a matrix as a list column."""
+    ends = pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(flat.ravel(), pa.int32()))
+
+
+def moved_trees(parent: np.ndarray, t: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Parents after the moves (rows of ``code`` and its three numbers) of the trees ``t``."""
+    trees, out = Trees(parent), np.empty((len(t), parent.shape[1]), parent.dtype)
+    for code in np.unique(moves[:, 0]):
+        rows = np.flatnonzero(moves[:, 0] == code)
+        out[rows] = MOVES[code](trees, t[rows], *moves[rows, 1:].T)
+    return out
+
+
+def applied_batches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows with ``parent`` and a move (``code, a, b, c``): the ``names`` columns and the tree after the move."""
+    for batch in batches:
+        moves = np.stack([batch.column(c).to_numpy() for c in ("code", "a", "b", "c")], axis=1)
+        for rows, parent in matrices(batch.column("parent")):
+            at = pa.array(rows)
+            new = listed(moved_trees(parent, np.arange(len(rows)), moves[rows]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), new], names=[*names, "parent"])
+
+
+def grouped_parents(packs: pa.Array, i: int) -> np.ndarray:
+    """Trees of a pack of groups ``parent, moves``: each group's moves of its tree, one after another."""
+    groups = packs[i].values
+    trees, moves = groups.field("parent"), groups.field("moves")
+    offsets, own = trees.offsets.to_numpy(), moves.offsets.to_numpy()
+    b = int(offsets[1] - offsets[0])
+    parent = trees.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].reshape(-1, b)
+    inner = moves.values.slice(int(own[0]), int(own[-1] - own[0]))
+    numbers = np.stack([inner.field(c).to_numpy(zero_copy_only=False) for c in ("code", "a", "b", "c")], axis=1)
+    return moved_trees(parent, np.repeat(np.arange(len(groups)), np.diff(own)), numbers)
+
+
 # --- keys --------------------------------------------------------------------------
 
 
@@ -315,6 +361,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def keys_of(parent: np.ndarray) -> list[str]:
+    """Split keys of the rows of a matrix, see ``split_keys``."""
+    trees, halves = Trees(parent), []
+    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        value = np.zeros(parent.shape, np.uint64)
+        value[:, : trees.n] = mixed(np.arange(1, trees.n + 1, dtype=np.uint64) * np.uint64(seed))
+        total = np.full(len(parent), parent.shape[1], np.uint64)
+        for node, a, c in trees.upward():
+            both = value[trees.all, a] ^ value[trees.all, c]
+            # the root's own merge is no split
+            total += np.where(parent[trees.all, node] >= 0, mixed(both ^ np.uint64(seed)), np.uint64(0))
+            value[trees.all, node] = both
+        halves.append(total.tolist())
+    return [f"{x:016x}{y:016x}" for x, y in zip(*halves)]
+
+
 def split_keys(parents: pa.Array) -> pa.Array:
     """128 bits that two trees on the same taxa share exactly when they have the same splits, as 32 hex digits.
 
@@ -323,18 +385,5 @@ def split_keys(parents: pa.Array) -> pa.Array:
     """
     out = np.empty(len(parents), dtype="U32")
     for rows, parent in matrices(parents):
-        trees = Trees(parent)
-        b = parent.shape[1]
-        halves = []
-        for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            value = np.zeros(parent.shape, np.uint64)
-            value[:, : trees.n] = mixed(np.arange(1, trees.n + 1, dtype=np.uint64) * np.uint64(seed))
-            total = np.full(len(parent), b, np.uint64)
-            for node, a, c in trees.upward():
-                both = value[trees.all, a] ^ value[trees.all, c]
-                # the root's own merge is no split
-                total += np.where(parent[trees.all, node] >= 0, mixed(both ^ np.uint64(seed)), np.uint64(0))
-                value[trees.all, node] = both
-            halves.append(total)
-        out[rows] = [f"{x:016x}{y:016x}" for x, y in zip(halves[0].tolist(), halves[1].tolist())]
+        out[rows] = keys_of(parent)
     return pa.array(out.tolist(), pa.string())

@@ -25,8 +25,8 @@ from cladeframe.operators.trees import with_merges
 from cladeframe.session import spread
 
 
-def _moved(trees: DataFrame, keep: list[str], kind: str, columns: list[str], with_trees: bool = True) -> DataFrame:
-    """All moves of a kind: ``keep``, the ``columns`` that name the move and the new ``parent``."""
+def _moved(trees: DataFrame, keep: list[str], kind: str, columns: list[str], result: str = "parent") -> DataFrame:
+    """All moves of a kind: ``keep``, the ``columns`` that name the move and the ``result``."""
     size = F.size("parent")
     step = F.greatest(F.floor(F.lit(R.CELLS) / (size.cast("double") * size)), F.lit(1)).cast("int")
     ranges = trees.select(*keep, "parent", size.alias("_size"), step.alias("_step")).select(
@@ -34,9 +34,22 @@ def _moved(trees: DataFrame, keep: list[str], kind: str, columns: list[str], wit
     )
     rows = ranges.select(*keep, "parent", "lo", F.least(F.col("lo") + F.col("_step"), F.col("_size")).alias("hi"))
     fields = [trees.schema[c] for c in keep] + [types.StructField(c, types.IntegerType()) for c in columns]
-    if with_trees:
-        fields.append(types.StructField("parent", types.ArrayType(types.IntegerType())))
-    return spread(rows, *keep, "lo").mapInArrow(R.move_batches(kind, keep, with_trees), types.StructType(fields))
+    fields += {
+        "": [], "parent": [types.StructField("parent", types.ArrayType(types.IntegerType()))],
+        "key": [types.StructField("code", types.IntegerType()), types.StructField("key", types.StringType())],
+    }[result]
+    return spread(rows, *keep, "lo").mapInArrow(R.move_batches(kind, keep, columns, result), types.StructType(fields))
+
+
+def keyed_moves(trees: DataFrame, keep: list[str], kind: str) -> DataFrame:
+    """All moves of a kind as ``code, a, b, c`` with the ``key`` of the tree they give; the trees themselves don't leave the task."""
+    return _moved(trees, keep, kind, ["a", "b", "c"], "key")
+
+
+def moved(rows: DataFrame) -> DataFrame:
+    """Trees after one move each: ``parent`` is replaced, ``code, a, b, c`` go."""
+    names = [c for c in rows.columns if c not in ("parent", "code", "a", "b", "c")]
+    return rows.mapInArrow(lambda b: R.applied_batches(b, names), types.StructType([*[rows.schema[c] for c in names], rows.schema["parent"]]))
 
 
 def _applied(moved: DataFrame) -> DataFrame:
@@ -88,7 +101,7 @@ def spr_moves(trees: DataFrame, keep: list[str]) -> DataFrame:
     The destination is no branch of the moved subtree, nor the root, nor the
     parent or sister of the moved branch (which would give the same tree).
     """
-    return _moved(trees, keep, "spr", ["src", "dest"], with_trees=False)
+    return _moved(trees, keep, "spr", ["src", "dest"], "")
 
 
 def _graft_points(cut: DataFrame, columns: list[str]) -> DataFrame:

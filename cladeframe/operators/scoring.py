@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cladeframe.functions import kernels as K
+from cladeframe.functions import rearrange as R
 from cladeframe.session import materialise
 
 TREE_PACK = 32768  # integers of parent arrays in one pack
@@ -105,10 +106,18 @@ def tree_packs(trees: DataFrame) -> DataFrame:
     return packed(trees, F.size("parent"), TREE_PACK, "packs").drop("_units")
 
 
-def _measured(packs: DataFrame, blocks: DataFrame, measure, ids: list[str] = (), keep_patterns: bool = False) -> DataFrame:
-    """One row per tree, block and slice: ``alignment_id, _pack, _at`` (place of the tree), ``_ids, _patterns, _weights, v``."""
+def _measured(
+    packs: DataFrame, blocks: DataFrame, measure, ids: list[str] = (), keep_patterns: bool = False, moves: bool = False
+) -> DataFrame:
+    """One row per tree, block and slice: ``alignment_id, _pack, _at`` (place of the tree), ``_ids, _patterns, _weights, v``.
+
+    With ``moves`` a pack holds trees with moves of each, and the task makes the trees it measures.
+    """
+    own = F.transform("_rows", lambda r: F.struct(r["parent"].alias("parent"), F.transform(
+        r["moves"], lambda m: F.struct(*[m[c].alias(c) for c in ("code", "a", "b", "c")])).alias("moves"))) if moves else F.transform(
+        "_rows", lambda r: r["parent"])
     lean = packs.select(
-        "alignment_id", "_pack", F.transform("_rows", lambda r: r["parent"]).alias("_parents"),
+        "alignment_id", "_pack", own.alias("_parents"),
         F.transform("_rows", lambda r: F.struct(*[r[c].alias(c) for c in ids], F.lit(0).alias("_none"))).alias("_ids"),
     )
     if not ids:
@@ -126,7 +135,7 @@ def _measured(packs: DataFrame, blocks: DataFrame, measure, ids: list[str] = (),
             T.StructField("_values", T.ArrayType(T.ArrayType(T.LongType()))),
         ]
     )
-    out = pairs.mapInArrow(K.scoring_batches(measure, passed), schema)
+    out = pairs.mapInArrow(K.scoring_batches(measure, passed, R.grouped_parents if moves else K.listed_parents), schema)
     return out.select(*passed, "_first", F.posexplode("_values").alias("_i", "v")).withColumn("_at", F.col("_first") + F.col("_i")).drop("_first", "_i")
 
 
@@ -158,6 +167,22 @@ def score_packs(trees: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
+def score_moves(groups: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Lengths of trees that are given as moves: ``groups(alignment_id, <ids>, parent, moves)``, ``moves`` being structs ``code, a, b, c, ...``.
+
+    One row per move: ``alignment_id``, the ids, the fields of the move and ``length``. The new trees exist in the scoring task only; what is
+    written is the old tree once for each group, the moves and the lengths.
+    """
+    ids = [c for c in groups.columns if c not in ("alignment_id", "parent", "moves")]
+    packs = packed(groups, F.size("parent") * F.size("moves"), TREE_PACK, "moves").drop("_units")
+    parts = _measured(packs, blocks, K.lengths_of, moves=True)
+    sums = materialise(parts.groupBy("_pack", "_at").agg(F.sum(F.col("v")[0]).alias("length")), "lengths")
+    flat = F.flatten(F.transform("_rows", lambda r: F.transform(r["moves"], lambda m: F.struct(*[r[c].alias(c) for c in ids], m.alias("m")))))
+    rows = packs.select("alignment_id", "_pack", F.posexplode(flat).alias("_at", "r"))
+    scored = rows.join(sums, ["_pack", "_at"], "left")
+    return scored.select("alignment_id", *[F.col("r")[c].alias(c) for c in ids], "r.m.*", F.coalesce("length", F.lit(0).cast("bigint")).alias("length"))
+
+
 def fitch_site_length(trees: DataFrame, patterns: DataFrame, ids: list[str]) -> DataFrame:
     """Changes of every pattern on every tree: ``pattern, weight, changes``."""
     rows = _named(_measured(tree_packs(trees), pattern_packs(patterns), K.site_changes_of, ids, keep_patterns=True), ids)

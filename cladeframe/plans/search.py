@@ -11,24 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.operators import moves
-from cladeframe.operators.scoring import pattern_packs, score_packs
+from cladeframe.operators.groups import with_group_value
+from cladeframe.operators.moves import keyed_moves, moved
+from cladeframe.operators.scoring import pattern_packs, score_moves, score_packs
 from cladeframe.operators.topology import best_set
 from cladeframe.operators.trees import with_topology_key
 from cladeframe.plans.enumerate import ABSENT, enumerate_topologies, extend
 from cladeframe.session import materialise, spread
 
-def _tbr(trees: DataFrame, keep: list[str]) -> DataFrame:
-    """Prune-and-regraft, with and without turning the moved subtree."""
-    plain, turned = moves.spr_neighbours(trees, keep, full=True), moves.tbr_neighbours(trees, keep)
-    return plain.select(*keep, "parent").unionByName(turned.select(*keep, "parent"))
-
-
-NEIGHBOURHOODS = {
-    "nni": lambda trees, keep: moves.nni_neighbours(trees, keep),
-    "spr": lambda trees, keep: moves.spr_neighbours(trees, keep, full=True),
-    "tbr": _tbr,
-}
+#: Kernels of the neighbourhoods, each holding the one before.
+NEIGHBOURHOODS = {"nni": "nni", "spr": "spr_full", "tbr": "tbr_full"}
+#: Moves that are scored as one row of a pack, about; a tree with more is several rows.
+GROUP = 512
 
 
 def exact_search(alignments: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
@@ -70,26 +64,39 @@ def hill_climb(
     ``starts(run_id, alignment_id, parent)``. Each round takes all trees of a run
     that were new and shortest in the round before, so plateaus are explored in
     full. Result: all distinct shortest trees met, ``run_id, alignment_id, key,
-    parent, length``. ``neighbourhood`` is nni, spr or tbr, each holding the one before.
+    parent, length``. ``neighbourhood`` is nni, spr or tbr.
+
+    A candidate is a tree of the frontier and a move, with the key of the tree it gives; that tree only exists in the tasks that work
+    out its key and its length. A round writes keys, moves and lengths, and whole trees for the next frontier only. Keys met before
+    are a table of their own that each round adds to.
     """
     group, ids = ["run_id"], ["run_id", "key"]
-    neighbours = NEIGHBOURHOODS[neighbourhood]
-
-    def distinct(trees: DataFrame) -> DataFrame:
-        return with_topology_key(trees.select("run_id", "alignment_id", "parent")).dropDuplicates(ids)
-
-    packs = pattern_packs(patterns)
-    first = materialise(distinct(starts), "climb-new")
-    seen = materialise(score_packs(first, packs), "climb")
-    frontier = best_set(seen, group)
+    kind = NEIGHBOURHOODS[neighbourhood]
+    blocks = pattern_packs(patterns)
+    first = materialise(with_topology_key(starts.select("run_id", "alignment_id", "parent")), "climb-new").dropDuplicates(ids)
+    frontier = materialise(best_set(score_packs(first, blocks), group), "climb")
+    met, seen = frontier, materialise(first.select(*ids), "climb-keys")
+    best = frontier.groupBy(*group).agg(F.min("length").alias("best"))
     while True:
-        near = neighbours(spread(frontier.select("run_id", "alignment_id", "key", "parent"), *ids), ["run_id", "alignment_id"])
-        fresh = materialise(distinct(near).join(seen.select(*ids), ids, "left_anti"), "climb-new")
+        origin = frontier.select("run_id", "alignment_id", F.col("key").alias("origin"), "parent")
+        near = keyed_moves(origin, ["run_id", "alignment_id", "origin"], kind)
+        move = F.struct("origin", "code", "a", "b", "c")
+        fresh = near.groupBy(*ids).agg(F.min(move).alias("m")).join(seen, ids, "left_anti").select(*ids, "m.*")
+        fresh = materialise(fresh, "climb-new")
         if fresh.isEmpty():
             break
-        new = materialise(score_packs(fresh, packs), "climb")
+        # moves of one tree in rows of bounded size
+        rows = fresh.join(origin.select("run_id", "origin", "alignment_id", F.size("parent").alias("_b")), ["run_id", "origin"])
+        part = F.pmod(F.xxhash64("key"), F.ceil(F.col("_b").cast("bigint") * F.col("_b") / GROUP))
+        groups = rows.groupBy("run_id", "alignment_id", "origin", part.alias("_part")).agg(
+            F.collect_list(F.struct("code", "a", "b", "c", "key")).alias("moves")
+        )
+        groups = groups.join(origin.select("run_id", "origin", "parent"), ["run_id", "origin"]).drop("_part")
+        scored = score_moves(groups, blocks)
         # the frontier is what is new and not longer than anything before
-        best = seen.groupBy(*group).agg(F.min("length").alias("best"))
-        frontier = best_set(new, group).join(best, group).filter("length <= best").drop("best")
-        seen = seen.unionByName(new)
-    return best_set(seen, group).select("run_id", "alignment_id", "key", "parent", "length")
+        short = with_group_value(best_set(scored, group), best, group).where("length <= best").drop("best")
+        frontier = materialise(moved(short.join(origin.select("run_id", "origin", "parent"), ["run_id", "origin"]).drop("origin")), "climb")
+        seen = seen.unionByName(fresh.select(*ids))
+        met = met.unionByName(frontier.select(*met.columns))
+        best = met.groupBy(*group).agg(F.min("length").alias("best"))
+    return best_set(met, group).select("run_id", "alignment_id", "key", "parent", "length")
