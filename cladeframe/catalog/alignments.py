@@ -126,12 +126,13 @@ def site_block(spark, sf_dir):
     """WITH d AS (SELECT event_id,
                   (((event_id % 2147483648 * 1103515245 + 42 * 12345 + 12345) % 2147483648) * 48271 % 2147483647)
                   / 2147483647.0::DOUBLE AS u FROM events)
-       SELECT event_id, u, CAST(floor(u * 10) AS BIGINT) AS pick FROM d""",
+       SELECT event_id, u, CAST(floor(u * 10) AS BIGINT) AS pick,
+              ('0x' || substr(md5('42:' || event_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS hashed FROM d""",
 )
 def uniform_draw(spark, sf_dir):
     u = S.congruential_draw(42, F.col("event_id"))
     return V.table(spark, sf_dir, "events").select(
-        "event_id", u.alias("u"), S.integer_draw(u, 9).alias("pick")
+        "event_id", u.alias("u"), S.integer_draw(u, 9).alias("pick"), S.uniform_draw(42, F.col("event_id")).alias("hashed")
     )
 
 

@@ -10,6 +10,7 @@ from cladeframe.catalog.registry import Registry
 from cladeframe.functions import sequences as S
 from cladeframe.functions import trees as T
 from cladeframe.operators import moves, topology, trees
+from cladeframe.operators.groups import with_group_value
 from cladeframe.plans import enumerate as enum
 
 registry = Registry()
@@ -283,26 +284,78 @@ def propose_moves(spark, sf_dir):
     return picked.select("tree_id", "move", "move_no", "slot")
 
 
-@query("random_topology")
+def _inserted(parent: str, taxon: int, dest: str, n: int) -> str:
+    """SQL of a parent list with one more taxon on branch ``dest`` (0: the root taxon's)."""
+    inner = n + taxon - 3
+    return f"""list_transform({parent}, lambda p, i: CASE WHEN i - 1 = {taxon} THEN (CASE WHEN {dest} = 0 THEN 0 ELSE {inner} END)
+        WHEN i - 1 = {inner} THEN (CASE WHEN {dest} = 0 THEN 0 ELSE {parent}[{dest} + 1] END)
+        WHEN {dest} = 0 AND p = 0 THEN {inner} WHEN {dest} <> 0 AND i - 1 = {dest} THEN {inner} ELSE p END)"""
+
+
+def _md5_draw(seed: int, *keys: str) -> str:
+    text = " || ':' || ".join([f"'{seed}'", *(f"({k})::VARCHAR" for k in keys)])
+    return f"(('0x' || substr(md5({text}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+_THREE = "[-1, 0, 0, -2, -2, -2, -2, -2, -2]"
+
+
+def _random_sql(seed: int) -> list[str]:
+    """Six taxa put in one by one, each on a drawn branch of those there; then labels in drawn order."""
+    parts = [f"s2 AS (SELECT gid AS run_id, {_THREE} AS parent FROM grid GROUP BY gid)"]
+    for taxon in (3, 4, 5):
+        number = f"floor({_md5_draw(seed, 'run_id', str(taxon))} * {2 * taxon - 3})::INT"
+        parts.append(f"d{taxon} AS (SELECT run_id, parent, {number} AS r FROM s{taxon - 1})")
+        parts.append(f"e{taxon} AS (SELECT run_id, parent, CASE WHEN r < {taxon} THEN r ELSE 6 + r - {taxon} END AS dest FROM d{taxon})")
+        parts.append(f"s{taxon} AS (SELECT run_id, {_inserted('parent', taxon, 'dest', 6)} AS parent FROM e{taxon})")
+    parts.append(
+        f"""drawn AS (SELECT run_id, i AS label, row_number() OVER (PARTITION BY run_id ORDER BY {_md5_draw(seed, 'run_id', 'i + 1000000')}, i) AS place
+            FROM s5, (SELECT unnest(range(1, 6)) AS i))"""
+    )
+    parts.append(
+        """cells AS (SELECT run_id, unnest(range(9)) AS place, unnest(parent) AS p FROM s5),
+        named AS (SELECT c.run_id, coalesce(label, c.place) AS branch, p FROM cells c LEFT JOIN drawn USING (run_id, place))"""
+    )
+    return parts
+
+
+@query(
+    "random_topology",
+    O.sql(
+        O.vectors(6), *_random_sql(11),
+        query="SELECT run_id, string_agg(p::VARCHAR, ',' ORDER BY branch) AS parent FROM named GROUP BY run_id",
+    ),
+)
 def random_topology(spark, sf_dir):
     runs = V.vector_groups(spark, sf_dir, 6).select(F.col("gid").alias("run_id"), F.lit(6).alias("n"))
     t = enum.random_trees(runs, seed=11)
     return t.select("run_id", joined(F.col("parent")).alias("parent"))
 
 
+def _every_sql() -> list[str]:
+    """All trees of six taxa of every group: each taxon on each branch that is there."""
+    parts = [f"t2 AS (SELECT gid::VARCHAR AS alignment_id, {_THREE} AS parent FROM grid GROUP BY gid)"]
+    for taxon in (3, 4, 5):
+        parts.append(
+            f"""u{taxon} AS (SELECT alignment_id, parent, unnest(list_filter(range(9), lambda b: parent[b + 1] <> -2))::INT AS dest FROM t{taxon - 1}),
+            t{taxon} AS (SELECT alignment_id, {_inserted('parent', taxon, 'dest', 6)} AS parent FROM u{taxon})"""
+        )
+    return parts
+
+
 @query(
     "enumerate_topologies",
     O.sql(
-        O.vectors(6),
-        query="""SELECT gid::VARCHAR AS alignment_id, 105 AS trees, 105 AS topologies FROM grid GROUP BY gid""",
+        O.vectors(6), *_every_sql(),
+        query="""SELECT alignment_id, array_to_string(parent, ',') AS parent, 105 AS topologies FROM t5""",
     ),
 )
 def enumerate_topologies(spark, sf_dir):
+    """Every tree, and how many different topologies its group has by key."""
     runs = V.vector_groups(spark, sf_dir, 6).select(F.col("gid").cast("string").alias("alignment_id"))
     t = trees.with_topology_key(enum.enumerate_topologies(runs, 6))
-    return t.groupBy("alignment_id").agg(
-        F.count(F.lit(1)).alias("trees"), F.count_distinct("key").alias("topologies")
-    )
+    count = t.groupBy("alignment_id").agg(F.count_distinct("key").cast("int").alias("topologies"))
+    return with_group_value(t, count, ["alignment_id"]).select("alignment_id", joined(F.col("parent")).alias("parent"), "topologies")
 
 
 @query(
