@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples in TF-IDF space, found exactly with a block-max inverted index.
 
 Terms are words and beginnings of words, and such that occur several times. A bounded sample of labelled texts are the examples;
-all their terms are in the index, with document frequencies from all documents and norms over whole texts. Examples lie in
-blocks, each with the largest weight of each frequent term. A text adds up its rare terms by postings, looks at blocks in the order
-of what they could score at most, and stops when no block left can change its nearest examples. Examples vote by cosine;
+all their terms are in the index, with document frequencies from all documents and norms over whole texts. Like examples lie in the same
+block, and each term has its largest weight in every block that holds it. A text first adds up what each block could score at most, then opens blocks in
+that order, reading only the opened blocks' postings, and stops when no block left can change its nearest examples. Examples vote by cosine;
 votes are calibrated by an isotonic fit of what each example gets from the others.
 """
 
@@ -12,19 +12,20 @@ from __future__ import annotations
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from dataclasses import fields as dataclass_fields
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.llm.common import as_bytes, column_of, id_hash, isotonic, mix64, tidy, words
-from cladeframe.session import materialise
+from cladeframe.session import materialise, spread
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,17 +36,21 @@ PREFIXES = (4, 5, 6, 7)
 #: A term that occurs this often in a text is there as another term, too.
 TIMES = (2, 3)
 NEIGHBOURS = 25
-BLOCK = 64
+#: Examples of a block; a place in it is one byte.
+BLOCK = 256
+#: Blocks that a text opens first, the most promising ones, before it drops others by their bounds.
+FIRST = 4
 #: A term in this share of the examples is frequent; so many terms at most are.
 FREQUENT = 1 / 64
 MOST_FREQUENT = 1024
 #: Texts that are searched together.
 TOGETHER = 128
-#: Examples, and terms, that the driver takes at once.
-PART = 512
-STEP = 1_000_000
-#: Blocks that a text opens before it drops others by their bounds.
-FIRST = 4
+#: What scores in single precision are off by, at most.
+ROUNDING = 1e-5
+#: Groups of like examples, the dimensions they are found in, and the rounds of it.
+GROUPS = 32
+DIMENSIONS = 256
+ROUNDS = 6
 #: Distinct words whose terms a task remembers; beyond it, it starts afresh.
 REMEMBERED = 300_000
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -60,12 +65,20 @@ def terms_of(word: bytes) -> list[str]:
 
 
 class TermCounter:
-    """Terms of texts as 64-bit hashes, and how often they occur."""
+    """Terms of texts as 64-bit hashes, and how often they occur; with a sorted vocabulary, also their places in it (-1: not there).
+
+    A word's terms are looked up once, however often it comes.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, vocabulary: np.ndarray | None = None) -> None:
+        self.vocabulary = vocabulary
         self.known: dict[bytes, int] = {}
+        self.grow(1024)
+
+    def grow(self, size: int) -> None:
         # 0 is no term
-        self.hashes = np.zeros((1024, 1 + len(PREFIXES)), np.uint64)
+        self.hashes = np.zeros((size, 1 + len(PREFIXES)), np.uint64)
+        self.places = np.full((size, 1 + len(PREFIXES), 1 + len(TIMES)), -1, np.int32)
 
     def rows(self, found: list[bytes]) -> np.ndarray:
         known = self.known
@@ -75,31 +88,46 @@ class TermCounter:
             pass
         if len(known) > REMEMBERED:
             known.clear()
-            self.hashes = np.zeros((1024, self.hashes.shape[1]), np.uint64)
+            self.grow(1024)
         new = [w for w in found if w not in known]
-        while len(known) + len(new) > len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        size = len(self.hashes)
+        while len(known) + len(new) > size:
+            size *= 2
+        if size > len(self.hashes):
+            hashes, places, full = self.hashes, self.places, len(self.hashes)
+            self.grow(size)
+            self.hashes[:full], self.places[:full] = hashes, places
+        lo = len(known)
         for w in new:
             at = known[w] = len(known)
             for k, t in enumerate(terms_of(w)):
                 self.hashes[at, k] = xxhash.xxh64_intdigest(t)
+        if self.vocabulary is not None:
+            h = self.hashes[lo : len(known)]
+            every = [h] + [mix64((h + np.uint64(k)).ravel()).reshape(h.shape) for k in TIMES]
+            for k, x in enumerate(every):
+                self.places[lo : len(known), :, k] = np.where(h != 0, numbers_of(self.vocabulary, x), -1)
         return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
-    def count(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct terms and their counts, in no special order."""
+    def count(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the distinct terms, in no special order, their counts and places."""
         tally = Counter(words(text))
         at = self.rows(list(tally))
-        h = self.hashes[at]
-        n = np.repeat(np.fromiter(tally.values(), np.int64, len(tally)), h.shape[1])
-        h = h.ravel()
-        n = n[h != 0]
-        h = h[h != 0]
+        h = self.hashes[at].ravel()
+        n = np.repeat(np.fromiter(tally.values(), np.int64, len(tally)), self.hashes.shape[1])
+        places = self.places[at].reshape(len(h), 1 + len(TIMES))
         order = np.argsort(h)
-        h, n = h[order], n[order]
-        at = np.append(0, np.flatnonzero(h[1:] != h[:-1]) + 1) if len(h) else np.empty(0, np.int64)
-        h, n = h[at], np.add.reduceat(n, at) if len(at) else n
-        often = [np.empty(0, np.uint64)] + [mix64(h[n >= k] + np.uint64(k)) for k in TIMES]
-        return np.concatenate([h, *often]), np.append(n, np.ones(sum(map(len, often)), np.int64))
+        order = order[np.searchsorted(h[order], 1) :]
+        h = h[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+        n = np.add.reduceat(n[order], first) if len(first) else n[:0]
+        h, places = h[first], places[order[first]]
+        often = [n >= k for k in TIMES]
+        return (
+            np.concatenate([h, *(mix64(h[m] + np.uint64(k)) for k, m in zip(TIMES, often))]),
+            np.append(n, np.ones(sum(int(m.sum()) for m in often), np.int64)),
+            np.concatenate([places[:, 0], *(places[m, k + 1] for k, m in enumerate(often))]),
+        )
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> DataFrame:
@@ -129,15 +157,14 @@ def numbers_of(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == h, at, -1)
 
 
-def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
+def frequencies(docs: DataFrame, vocabulary: Broadcast, size: int) -> tuple[int, np.ndarray]:
     """Number of documents, and of those that hold each term of the vocabulary."""
-    at = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, held, total = TermCounter(), np.zeros(len(at.value) + 1, np.int64), 0
+        counter, held, total = TermCounter(vocabulary.value), np.zeros(size + 1, np.int64), 0
         for b in batches:
             for text in as_bytes(column_of(b, "text")):
-                held[numbers_of(at.value, counter.count(text)[0])] += 1
+                held[counter.count(text)[2]] += 1
                 total += 1
         # the last one, which terms of no example share, carries the number of documents
         held[-1] = total
@@ -147,153 +174,246 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarra
             yield pa.record_batch([pa.array(t.astype(np.int32)), pa.array(held[t])], names=["term", "n"])
 
     found = docs.select("text").mapInArrow(tidy(run), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(vocabulary) + 1, np.int64)
+    df = np.zeros(size + 1, np.int64)
     df[found["term"].to_numpy()] = found["n"].to_numpy()
     return int(df[-1]), df[:-1]
 
 
+def spans(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at ``lo`` and have ``size``."""
+    before = np.cumsum(size) - size
+    return np.repeat(lo - before, size) + np.arange(int(size.sum()))
+
+
 @dataclass
 class Index:
-    """Examples by term: frequent terms as a matrix with the largest weight in each block, all others as postings."""
+    """Examples by term and block. Arrays only, so that it travels without this module.
+
+    A pair is a term and a block that holds it; pairs lie by term. Postings lie in the order of pairs.
+    """
 
     idf: np.ndarray
+    #: Of each example in the order of ids: id and label.
     ids: np.ndarray
     label: np.ndarray
-    #: Column of each frequent term, -1 for others.
+    #: Of each place (block x slot): the example (-1: none) and 1 / its norm.
+    example: np.ndarray
+    scale: np.ndarray
+    #: Of each term: where its pairs and its postings begin.
+    first_pair: np.ndarray
+    first_post: np.ndarray
+    #: Of each pair: block, number of postings, largest weight (rounded up).
+    block: np.ndarray
+    size: np.ndarray
+    most: np.ndarray
+    #: Of each posting: slot in the block, and which of ``weights`` its count has.
+    slot: np.ndarray
+    code: np.ndarray
+    #: Weights by code; the first one, 0, is that of no count.
+    weights: np.ndarray
+    #: Column of each frequent term, -1 for others; and codes of all places and columns. Frequent terms have no pairs.
     column: np.ndarray
-    #: Weights of examples by frequent term; the largest ones of each block.
     dense: np.ndarray
-    most: np.ndarray
-    #: For each term the range of its postings (none for frequent terms).
-    first: np.ndarray
-    example: np.ndarray
-    weight: np.ndarray
 
-    def vector(self, terms: list[int], counts: list[int], others: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, terms: np.ndarray, counts: np.ndarray, others: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Terms and their weights in a text of norm 1; ``others``: squared weights of terms that no example has."""
-        t = np.array(terms, np.int64)
-        w = weight_of(np.array(counts, np.float64)) * self.idf[t]
+        t = np.asarray(terms, np.int64)
+        w = weight_of(np.asarray(counts, np.float64)) * self.idf[t]
         return t, w / np.sqrt((w * w).sum() + others)
 
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (ties: the earlier example), only such with a cosine above 0."""
-        return self.search([(terms, w)], k)[0]
 
-    def search(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` of several texts at once; ``without`` names one example for each that is left out."""
-        n, blocks = len(self.ids), len(self.most)
-        rare = np.zeros((len(texts), blocks * BLOCK), np.float32)
-        dense = np.zeros((len(texts), self.dense.shape[1]), np.float32)
+class Search:
+    """An index made ready in a task: weights of frequent terms in single precision, and their largest ones in each block."""
+
+    def __init__(self, index: Index):
+        self.index = index
+        self.blocks = len(index.example) // BLOCK
+        frequent = index.dense.shape[1]
+        self.dense = (index.weights.astype(np.float32)[index.dense] * index.scale[:, None].astype(np.float32)).reshape(self.blocks, BLOCK, frequent)
+        self.most = self.dense.max(axis=1) if self.blocks else np.zeros((0, frequent), np.float32)
+        self.scale = index.scale.reshape(self.blocks, BLOCK)
+        self.example = index.example.reshape(self.blocks, BLOCK)
+        self.pairs = np.diff(index.first_pair)
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each text the k examples of largest cosine (ties in six digits: the earlier example), only such with a cosine above 0; and how many blocks were opened.
+
+        ``without`` names an example for each text that is left out.
+        """
+        x = self.index
+        wide = np.zeros((len(texts), self.most.shape[1]))
+        rare = []
+        bound = np.zeros((len(texts), self.blocks))
         for row, (t, w) in enumerate(texts):
-            c = self.column[t]
-            dense[row, c[c >= 0]] = w[c >= 0]
-            t, w = t[c < 0], w[c < 0].astype(np.float32)
-            lo, hi = self.first[t], self.first[t + 1]
-            cuts = list(map(slice, lo.tolist(), hi.tolist()))
-            if cuts:
-                weight = np.concatenate([self.weight[x] for x in cuts])
-                weight *= np.repeat(w, hi - lo)
-                rare[row, :n] = np.bincount(np.concatenate([self.example[x] for x in cuts]), weight, n)
-        if without is not None:
-            rare[np.arange(len(texts)), without] = -np.inf
-        rare[:, n:] = -np.inf
-        # rounding is kept out of the bound
-        bound = (rare.reshape(len(texts), blocks, BLOCK).max(axis=2) + dense @ self.most.T) * np.float32(1 + 1e-5) + np.float32(1e-6)
-        total = np.full_like(rare, -np.inf)
-        least = np.zeros((len(texts), 1), np.float32)
-        opened = np.zeros(bound.shape, bool)
-        # first the blocks that promise most, then all that could still change the nearest
-        first = np.argpartition(-bound, min(FIRST, blocks) - 1, axis=1)[:, :FIRST]
-        for now in (first, None):
-            todo = bound >= least
-            if now is not None:
-                np.put_along_axis(opened, now, True, axis=1)
-                todo &= opened
-            else:
-                todo &= ~opened
+            c = x.column[t]
+            wide[row, c[c >= 0]] = (w * x.idf[t])[c >= 0]
+            t, w = t[c < 0], w[c < 0]
+            many = self.pairs[t].astype(np.int64)
+            pair = spans(x.first_pair[t].astype(np.int64), many)
+            block, size = x.block[pair], x.size[pair].astype(np.int64)
+            bound[row] = np.bincount(block, x.most[pair] * np.repeat(w, many), self.blocks)
+            # postings of a term follow each other, block by block
+            ends = np.cumsum(size)
+            begin = np.cumsum(many) - many
+            before = (ends - size)[np.minimum(begin, max(0, len(size) - 1))] if len(size) else begin
+            rare.append((block, size, np.repeat(x.first_post[t] - before, many) + ends - size, np.repeat(w * x.idf[t], many)))
+        narrow = wide.astype(np.float32)
+        bound = (bound + narrow @ self.most.T) * (1 + ROUNDING) + ROUNDING
+        total = np.full((len(texts), self.blocks, BLOCK), -np.inf)
+        single = np.zeros((len(texts), self.blocks, BLOCK), np.float32)
+        least = np.full(len(texts), 1e-9)
+        done = np.zeros(bound.shape, bool)
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        for now in (first, ~first):
+            todo = now & (bound >= least[:, None])
+            done |= todo
+            for row in np.flatnonzero(todo.any(axis=1)):
+                block, size, start, part = rare[row]
+                here = np.flatnonzero(todo[row, block])
+                sizes = size[here]
+                post = spans(start[here], sizes)
+                key = np.repeat(block[here].astype(np.int64) * BLOCK, sizes) + x.slot[post]
+                score = np.bincount(key, x.weights[x.code[post]] * np.repeat(part[here], sizes), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+                total[row, todo[row]] = (score * self.scale)[todo[row]]
             for b in np.flatnonzero(todo.any(axis=0)):
-                rows, part = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-                total[rows, part] = rare[rows, part] + dense[rows] @ self.dense[part].T
-            if now is not None and now.shape[1] * BLOCK > k:
-                seen = np.take_along_axis(total.reshape(len(texts), blocks, BLOCK), now[:, :, None], axis=1).reshape(len(texts), -1)
-                least = np.maximum(np.partition(seen, seen.shape[1] - k, axis=1)[:, -k, None], 0)
-        if blocks > k:
-            # k blocks hold an example each that scores as much as the k-th best block
-            tops = total.reshape(len(texts), blocks, BLOCK).max(axis=2)
-            least = np.maximum(least, np.partition(tops, blocks - k, axis=1)[:, -k, None])
+                rows = np.flatnonzero(todo[:, b])
+                single[rows, b] = narrow[rows] @ self.dense[b].T
+            rough = (total + single).reshape(len(texts), -1)
+            wanted = k + (without is not None)
+            if rough.shape[1] >= wanted:
+                kth = np.partition(rough, rough.shape[1] - wanted, axis=1)[:, -wanted]
+                least = np.maximum(least, kth - 2 * ROUNDING)
         out = []
         for row in range(len(texts)):
-            there = np.flatnonzero(total[row] >= max(least[row, 0] - 1e-6, 1e-9))
-            score = total[row, there].astype(np.float64)
-            top = np.lexsort((there, -np.round(score, 6)))[:k]
-            out.append((there[top], np.minimum(score[top], 1.0)))
+            at = np.flatnonzero(rough[row] >= least[row] - ROUNDING)
+            who = x.example[at]
+            at = at[(who >= 0) & (who != (without[row] if without is not None else -1))]
+            # those that may be among the nearest once more, in double precision
+            score = total[row].ravel()[at] + (x.weights[x.dense[at]] @ wide[row]) * x.scale[at]
+            at, score = at[score > 1e-9], score[score > 1e-9]
+            who = x.example[at]
+            top = np.lexsort((who, -np.round(score, 6)))[:k]
+            out.append((who[top], np.minimum(score[top], 1.0), int(done[row].sum())))
         return out
 
-    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         """Vote of the nearest examples (NaN if there are none), the examples and their cosines."""
-        out = []
-        for i in range(0, len(texts), TOGETHER):
-            for near, cosine in self.search(texts[i : i + TOGETHER], NEIGHBOURS, None if without is None else without[i : i + TOGETHER]):
-                out.append((float((cosine * self.label[near]).sum() / cosine.sum()) if len(near) else np.nan, near, cosine))
-        return out
-
-    def examples(self, lo: int, hi: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Terms and weights of the examples from ``lo`` up to ``hi``."""
-        at = np.flatnonzero((self.example >= lo) & (self.example < hi))
-        term = np.searchsorted(self.first, at, side="right") - 1
-        frequent = np.flatnonzero(self.column >= 0)
-        out = []
-        for i in range(lo, hi):
-            here = self.example[at] == i
-            full = self.dense[i, self.column[frequent]]
-            out.append((np.append(frequent[full > 0], term[here]), np.append(full[full > 0], self.weight[at[here]]).astype(np.float64)))
-        return out
-
-
-def index_of(ids: np.ndarray, label: np.ndarray, size: np.ndarray, t: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> Index:
-    """Index of examples from the number of their terms, and all terms and counts in the order of examples."""
+        for near, cosine, _ in self.nearest(texts, NEIGHBOURS, without):
+            yield (float((cosine * self.index.label[near]).sum() / cosine.sum()) if len(near) else np.nan), near, cosine
+
+
+def like_first(sketch: np.ndarray) -> np.ndarray:
+    """An order of rows in which like ones are near each other: by the group whose centre is nearest, after a few rounds of moving centres."""
+    x = sketch / np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-12)
+    if len(x) <= BLOCK:
+        return np.arange(len(x))
+    centres = x[np.linspace(0, len(x) - 1, min(GROUPS, len(x))).astype(int)]
+    for _ in range(ROUNDS):
+        group = np.argmax(x @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, group, x)
+        centres = np.where(np.any(sums, axis=1, keepdims=True), sums, centres)
+        centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    # groups that are like each other lie side by side, too
+    ring = np.argsort(np.linalg.svd(centres - centres.mean(axis=0), full_matrices=False)[0][:, 0], kind="stable")
+    rank = np.empty(len(ring), np.int64)
+    rank[ring] = np.arange(len(ring))
+    group = np.argmax(x @ centres.T, axis=1)
+    return np.lexsort((-(x * centres[group]).sum(axis=1), rank[group]))
+
+
+def index_of(ids: np.ndarray, label: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray) -> Index:
+    """Index of examples from their terms and counts; the examples come in the order of their ids."""
     n = len(ids)
+    values = np.unique(np.concatenate([np.ones(1, np.int64), *(np.unique(c) for c in counts)]))
+    code_bits = int(len(values)).bit_length()
+    small = np.uint8 if code_bits <= 8 else np.uint32
     held = np.zeros(len(idf), np.int64)
-    for i in range(0, len(t), STEP):
-        held += np.bincount(t[i : i + STEP], minlength=len(idf))
+    for t in terms:
+        held[t] += 1
     frequent = np.argsort(-held, kind="stable")[:MOST_FREQUENT]
     frequent = frequent[held[frequent] >= max(1, FREQUENT * n)]
     column = np.full(len(idf), -1, np.int32)
     column[frequent] = np.arange(len(frequent))
-    held[frequent] = 0
-    first = np.append(0, np.cumsum(held))
-    example, weight = np.empty(first[-1], np.int32), np.empty(first[-1], np.float32)
+    norm = np.ones(n)
+    sketch = np.zeros((n, DIMENSIONS), np.float32)
+    side = mix64(np.arange(len(idf), dtype=np.uint64))
+    sign, at = (side >> np.uint64(63)).astype(np.float64) * 2 - 1, (side % np.uint64(DIMENSIONS)).astype(np.int64)
+    for i, (t, c) in enumerate(zip(terms, counts)):
+        w = weight_of(c.astype(np.float64)) * idf[t]
+        norm[i] = np.sqrt((w * w).sum()) or 1.0
+        sketch[i] = np.bincount(at[t], w * sign[t], DIMENSIONS)
+    order = like_first(sketch)
+    del sketch
     blocks = -(-n // BLOCK)
-    dense = np.zeros((blocks * BLOCK, len(frequent)), np.float32)
-    bounds, free = np.append(0, np.cumsum(size)), first[:-1].copy()
-    for lo in range(0, n, PART):
-        part = slice(bounds[lo], bounds[min(lo + PART, n)])
-        e, terms = np.repeat(np.arange(len(size[lo : lo + PART])), size[lo : lo + PART]), t[part]
-        w = weight_of(counts[part].astype(np.float64)) * idf[terms]
-        w /= np.sqrt(np.bincount(e, weights=w * w))[e]
-        c = column[terms]
-        dense[lo + e[c >= 0], c[c >= 0]] = w[c >= 0]
-        e, terms, w = e[c < 0], terms[c < 0], w[c < 0]
-        order = np.argsort(terms, kind="stable")
-        distinct, at, many = np.unique(terms[order], return_index=True, return_counts=True)
-        place = np.repeat(free[distinct] - at, many) + np.arange(len(order))
-        example[place], weight[place] = lo + e[order], w[order]
-        free[distinct] += many
-    most = dense.reshape(blocks, BLOCK, len(frequent)).max(axis=1) if blocks else dense
-    return Index(idf, ids, label.astype(np.float64), column, dense, most, first, example, weight)
+    example = np.full(blocks * BLOCK, -1, np.int64)
+    example[:n] = order
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    scale = np.zeros(blocks * BLOCK)
+    scale[:n] = 1 / norm[order]
+    # term, place and count in one number, sorted in place
+    place_bits = max(8, int(max(1, blocks * BLOCK - 1)).bit_length())
+    keys = np.empty(int(held[column < 0].sum()), np.int64)
+    dense = np.zeros((blocks * BLOCK, len(frequent)), small)
+    at = 0
+    for i, (t, c) in enumerate(zip(terms, counts)):
+        c, own = np.searchsorted(values, c) + 1, column[t]
+        dense[place[i], own[own >= 0]] = c[own >= 0]
+        t, c = t[own < 0].astype(np.int64), c[own < 0]
+        keys[at : at + len(t)] = (t << (place_bits + code_bits)) | (place[i] << code_bits) | c
+        at += len(t)
+        terms[i] = counts[i] = None
+    keys.sort()
+    code = (keys & ((1 << code_bits) - 1)).astype(small)
+    keys >>= code_bits
+    slot = (keys & (BLOCK - 1)).astype(np.uint8)
+    weights = np.append(0.0, weight_of(values.astype(np.float64)))
+    largest = np.empty(len(keys), np.float32)
+    for lo in range(0, len(keys), 1 << 20):
+        part = slice(lo, lo + (1 << 20))
+        largest[part] = weights[code[part]] * scale[keys[part] & ((1 << place_bits) - 1)]
+    keys >>= 8
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    pair = keys[starts]
+    del keys
+    term, block = pair >> (place_bits - 8), (pair & ((1 << (place_bits - 8)) - 1))
+    size = np.diff(np.append(starts, len(slot)))
+    most = (np.maximum.reduceat(largest, starts) if len(starts) else largest) * idf[term] * (1 + 1e-5)
+    # half precision, rounded up
+    half = most.astype(np.float16)
+    half = np.where(half < most, np.nextafter(half, np.float16(np.inf)), half)
+    ends = np.searchsorted(term, np.arange(len(idf) + 1))
+    first_post = np.append(starts, len(slot))[ends]
+    return Index(
+        idf, ids, label.astype(np.float64), example, scale, ends.astype(np.int32), first_post[:-1].astype(np.int32), block.astype(np.uint16),
+        size.astype(np.uint16), half, slot, code, weights, column, dense,
+    )
 
 
 def build_index(examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray) -> Index:
     """Index of (id, label, terms, counts)."""
-    size = np.array([len(x[2]) for x in examples], np.int64)
-    t, c = (np.array([y for x in examples for y in x[i]], np.int64) for i in (2, 3))
-    return index_of(np.array([x[0] for x in examples], np.int64), np.array([x[1] for x in examples]), size, t, c, idf)
+    t, c = ([np.array(x[i], np.int64) for x in examples] for i in (2, 3))
+    return index_of(np.array([x[0] for x in examples], np.int64), np.array([x[1] for x in examples]), t, c, idf)
+
+
+def vector_of(index: Index, other: float, text: bytes, counter: TermCounter) -> tuple[np.ndarray, np.ndarray] | None:
+    """Terms of the index and their weights in a text, whose norm is over all its terms; None for a text without any term."""
+    _, n, at = counter.count(text)
+    if not len(n):
+        return None
+    others = (weight_of(n[at < 0].astype(np.float64)) * other) ** 2
+    return index.vector(at[at >= 0], n[at >= 0], float(others.sum()))
 
 
 @dataclass
 class ToxicityModel:
-    vocabulary: np.ndarray
-    index: Index
+    """What is sent to tasks (``sent``: the vocabulary and the fields of the index) and the few numbers that make scores of votes."""
+
+    sent: Broadcast
+    #: Number of examples.
+    size: int
     #: idf of a term that no example has; it counts as one of a single document.
     other: float
     #: Score of a text that shares no term with any example.
@@ -302,77 +422,61 @@ class ToxicityModel:
     known_votes: np.ndarray
     scores: np.ndarray
 
-    def score(self, texts: Iterator[bytes], counter: TermCounter) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        """Calibrated scores, and the nearest examples with their cosines."""
-        held = []
-        for text in texts:
-            held.append(self.vector(text, counter))
-            if len(held) == TOGETHER:
-                yield from self.judged(held)
-                held = []
-        yield from self.judged(held)
-
-    def vector(self, text: bytes, counter: TermCounter) -> tuple[np.ndarray, np.ndarray]:
-        h, n = counter.count(text)
-        at = numbers_of(self.vocabulary, h)
-        others = (weight_of(n[at < 0]) * self.other) ** 2
-        return self.index.vector(at[at >= 0], n[at >= 0], others.sum()) if len(h) else (at, n.astype(np.float64))
-
-    def judged(self, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-        if not len(self.index.ids):
-            yield from ((self.plain, np.empty(0, np.int64), np.empty(0)) for _ in held)
-            return
-        for vote, near, cosine in self.index.votes(held):
-            yield float(np.interp(vote, self.known_votes, self.scores)) if len(near) else self.plain, near, cosine
-
-
-def example_terms(examples: DataFrame) -> DataFrame:
-    """``doc_id, label, terms, counts`` of examples; hashes of terms and their counts as packed bytes."""
-    kind = examples.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter()
-        for b in batches:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                found = [counter.count(t) for t in as_bytes(column_of(part, "text"))]
-                packed = [pa.array([x.astype(kind).tobytes() for x in xs], pa.binary()) for xs, kind in zip(zip(*found), ("<u8", "<u4"))]
-                yield pa.record_batch([column_of(part, "doc_id"), column_of(part, "label").cast(pa.int32()), *packed], names=["doc_id", "label", "terms", "counts"])
+def judge(model: tuple) -> Callable[[Iterator[bytes]], Iterator[tuple[float, np.ndarray, np.ndarray]]]:
+    """A function for one task that gives texts their calibrated scores, and the nearest examples with their cosines."""
+    sent, size, other, plain, votes, scores = model
+    vocabulary, *fields = sent.value
+    index, counter = Index(*fields), TermCounter(vocabulary)
+    search = Search(index)
 
-    return examples.select("doc_id", "label", "text").mapInArrow(tidy(run), f"doc_id {kind}, label int, terms binary, counts binary")
+    def judged(texts: Iterator[bytes]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        while some := [vector_of(index, other, text, counter) if size else None for text in islice(texts, TOGETHER)]:
+            found = search.votes([v for v in some if v is not None])
+            for v in some:
+                vote, near, cosine = next(found) if v is not None else (np.nan, np.empty(0, np.int64), np.empty(0))
+                yield float(np.interp(vote, votes, scores)) if len(near) else plain, near, cosine
 
+    return judged
 
-def unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> Iterator[np.ndarray]:
-    """Numbers that lie packed in a column of bytes, some rows at a time."""
-    yield np.empty(0, kind)
-    for i in range(0, len(column), PART):
-        yield np.frombuffer(b"".join(column.slice(i, PART).to_pylist()), kind)
 
-
-def vocabulary_of(hashed: DataFrame) -> np.ndarray:
+def vocabulary_of(examples: DataFrame) -> np.ndarray:
     """All term hashes of the examples, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.empty(0, np.uint64)
+        counter, found, held, size = TermCounter(), np.empty(0, np.uint64), [], 0
         for b in batches:
-            found = np.unique(np.concatenate([found, *unpacked(column_of(b, "terms"), np.uint64)]))
+            for text in as_bytes(column_of(b, "text")):
+                held.append(counter.count(text)[0])
+                size += len(held[-1])
+                if size > len(found) + (1 << 20):
+                    found, held, size = np.unique(np.concatenate([found, *held])), [], 0
+        found = np.unique(np.concatenate([found, *held]))
         yield pa.record_batch([pa.array([found.tobytes()], pa.binary())], names=["terms"])
 
     found = np.empty(0, np.uint64)
-    for h in unpacked(hashed.select("terms").mapInArrow(tidy(run), "terms binary").toArrow()["terms"], np.uint64):
-        found = np.unique(np.append(found, h))
+    for row in examples.select("text").mapInArrow(tidy(run), "terms binary").toArrow()["terms"]:
+        found = np.unique(np.append(found, np.frombuffer(row.as_buffer(), np.uint64)))
     return found
 
 
-def numbered(hashed: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """The examples with places in the vocabulary instead of hashes."""
-    at = hashed.sparkSession.sparkContext.broadcast(vocabulary)
+def example_terms(examples: DataFrame, vocabulary: Broadcast) -> DataFrame:
+    """``doc_id, label, terms, counts`` of examples, packed: places in the vocabulary, and counts as a byte each with the large ones after them."""
+    kind = examples.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = TermCounter(vocabulary.value)
         for b in batches:
-            found = [np.searchsorted(at.value, np.frombuffer(x, np.uint64)).astype(np.int32).tobytes() for x in column_of(b, "terms").to_pylist()]
-            yield pa.record_batch([column_of(b, "doc_id"), column_of(b, "label"), pa.array(found, pa.binary()), column_of(b, "counts")], names=["doc_id", "label", "terms", "counts"])
+            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+                terms, counts = [], []
+                for text in as_bytes(column_of(part, "text")):
+                    _, n, at = counter.count(text)
+                    terms.append(at.tobytes())
+                    counts.append(np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].tobytes())
+                packed = [pa.array(x, pa.binary()) for x in (terms, counts)]
+                yield pa.record_batch([column_of(part, "doc_id"), column_of(part, "label").cast(pa.int32()), *packed], names=["doc_id", "label", "terms", "counts"])
 
-    return hashed.mapInArrow(tidy(run), hashed.schema)
+    return examples.select("doc_id", "label", "text").mapInArrow(tidy(run), f"doc_id {kind}, label int, terms binary, counts binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
@@ -380,62 +484,76 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
     Without labelled texts every score is 0; texts without a term of any example get the share of positive ones among such examples.
     """
-    spark = docs.sparkSession
-    hashed = materialise(example_terms(materialise(labelled_texts(docs, labels, label, sample), "examples")), "example-terms")
-    vocabulary = vocabulary_of(hashed)
-    rows = numbered(hashed, vocabulary).orderBy("doc_id", "terms").toArrow()
+    context = docs.sparkSession.sparkContext
+    examples = materialise(labelled_texts(docs, labels, label, sample), "examples")
+    vocabulary = vocabulary_of(examples)
+    at = context.broadcast(vocabulary)
+    rows = example_terms(examples, at).toArrow().sort_by("doc_id")
     positive = rows["label"].to_numpy() > 0
-    size = pc.binary_length(rows["terms"]).to_numpy().astype(np.int64) // 4
-    full = np.flatnonzero(size)
+    terms = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["terms"]]
+    full = np.flatnonzero([len(t) for t in terms])
+    counts = []
+    for x, t in zip(rows["counts"], terms):
+        n = np.frombuffer(x.as_buffer(), np.uint8, len(t)).astype(np.int64)
+        n[n == 255] = np.frombuffer(x.as_buffer(), np.int64, -1, len(t)) if (n == 255).any() else 0
+        counts.append(n.astype(np.uint32))
     ids = rows["doc_id"].to_numpy()[full]
-    t, counts = np.empty(size.sum(), np.int32), np.empty(size.sum(), np.uint32)
-    for name, out in (("terms", t), ("counts", counts)):
-        at = 0
-        for x in unpacked(rows[name], out.dtype):
-            out[at : at + len(x)] = x
-            at += len(x)
-    del rows
-    total, df = frequencies(docs, vocabulary) if len(full) else (0, np.zeros(0))
+    total, df = frequencies(docs, at, len(vocabulary)) if len(full) else (0, np.zeros(0))
+    at.destroy()
     idf = np.log((1 + total) / (1 + df)) + 1
-    index = index_of(ids, positive[full], size[full], t, counts, idf)
-    del t, counts
-    empty = positive[size == 0]
+    empty = positive[np.setdiff1d(np.arange(len(terms)), full)]
     plain = (empty.sum() + 0.5) / (len(empty) + 1) if len(empty) else positive.sum() / max(1, len(positive))
-    at = spark.sparkContext.broadcast(index)
+    index = index_of(ids, positive[full], [terms[i] for i in full], [counts[i] for i in full], idf)
+    del rows, terms, counts
+    sent = context.broadcast((vocabulary, *(getattr(index, f.name) for f in dataclass_fields(index))))
+    other, size = float(np.log((1 + total) / 2) + 1), len(full)
+    del index
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in column_of(b, "id").to_pylist():
-                here = np.arange(lo * TOGETHER, min((lo + 1) * TOGETHER, len(at.value.ids)))
-                found = [x[0] for x in at.value.votes(at.value.examples(here[0], here[-1] + 1), without=here)]
-                yield pa.record_batch([pa.array(here), pa.array(found, pa.float64())], names=["example", "vote"])
-
-    groups = -(-len(full) // TOGETHER)
-    found = spark.range(0, groups, 1, max(1, min(groups, 16))).mapInArrow(tidy(left_out), "example bigint, vote double").toArrow()
-    at.destroy()
-    votes, truth = found["vote"].to_numpy(), positive[full][found["example"].to_numpy()].astype(float)
-    votes, truth = votes[~np.isnan(votes)], truth[~np.isnan(votes)]
+        vocabulary, *fields = sent.value
+        index, counter = Index(*fields), TermCounter(vocabulary)
+        search = Search(index)
+        for b in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
+            own = np.searchsorted(index.ids, column_of(b, "doc_id").to_numpy(zero_copy_only=False)).tolist()
+            texts = [vector_of(index, other, text, counter) for text in as_bytes(column_of(b, "text"))]
+            there = [i for i, v in enumerate(texts) if v is not None]
+            found = np.full(len(texts), np.nan)
+            found[there] = [x[0] for x in search.votes([texts[i] for i in there], [own[i] for i in there])]
+            yield pa.record_batch([column_of(b, "label").cast(pa.int32()), pa.array(found, pa.float64())], names=["label", "vote"])
+
+    votes, truth = np.zeros(0), np.zeros(0)
+    if size:
+        found = spread(examples.select("doc_id", "label", "text")).mapInArrow(tidy(left_out), "label int, vote double").toArrow()
+        votes, truth = found["vote"].to_numpy(), (found["label"].to_numpy() > 0).astype(float)
+        votes, truth = votes[~np.isnan(votes)], truth[~np.isnan(votes)]
+        by = np.lexsort((truth, votes))
+        votes, truth = votes[by], truth[by]
     x, y = isotonic(votes, truth, np.ones(len(votes))) if len(votes) else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    return ToxicityModel(vocabulary, index, float(np.log((1 + total) / 2) + 1), float(min(max(plain, 0.0), 1.0)), x, y)
+    return ToxicityModel(sent, size, other, float(min(max(plain, 0.0), 1.0)), x, y)
+
+
+def plainly(model: ToxicityModel) -> tuple:
+    """The model's fields, which need no class of this module where they are read."""
+    return tuple(getattr(model, f.name) for f in dataclass_fields(model))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``doc_id, score, predicted, evidence`` of every whole text; evidence: the three nearest examples.
+    """``doc_id, score, predicted, evidence`` of every whole text; evidence: the three nearest examples (ties in six digits: the smaller id).
 
-    NULL and empty texts have no terms and get the score of such examples. Repeated rows stay.
+    NULL and empty texts have no terms and get the score of such examples. Repeated rows stay. An empty table gives no rows.
     """
-    at = docs.sparkSession.sparkContext.broadcast(model)
+    fields = plainly(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = at.value
-        counter = TermCounter()
+        _, _, ids, label = fields[0].value[:4]
+        judged = judge(fields)
         for b in batches:
             scores, found = [], []
-            for s, near, cosine in m.score(as_bytes(column_of(b, "text")), counter):
+            for s, near, cosine in judged(as_bytes(column_of(b, "text"))):
                 scores.append(s)
-                found.append([{"doc_id": int(m.index.ids[i]), "cosine": float(v), "label": int(m.index.label[i])} for i, v in zip(near[:3], cosine)])
+                found.append([{"doc_id": int(ids[i]), "cosine": float(v), "label": int(label[i])} for i, v in zip(near[:3], cosine)])
             s = np.array(scores)
             out = [column_of(b, "doc_id"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), pa.array(found, evidence)]
             yield pa.record_batch(out, names=["doc_id", "score", "predicted", "evidence"])
@@ -445,14 +563,13 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The documents that score below 0.5, with all their columns."""
-    at = docs.sparkSession.sparkContext.broadcast(model)
+    """The documents that score below 0.5, with all their columns. An empty table gives none."""
+    fields = plainly(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = at.value
-        counter = TermCounter()
+        judged = judge(fields)
         for b in batches:
-            keep = [s < 0.5 for s, _, _ in m.score(as_bytes(column_of(b, "text")), counter)]
+            keep = [s < 0.5 for s, _, _ in judged(as_bytes(column_of(b, "text")))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)

@@ -291,7 +291,7 @@ def test_block_max_search_is_exact():
     for i, (_, _, t, c) in enumerate(examples):
         dense[i, t] = index.vector(t, c)[1]
     for i in range(0, 500, 25):
-        near, cosine = index.nearest(*index.vector(*examples[i][2:]), 10)
+        ((near, cosine, opened),) = tfidf_knn.Search(index).nearest([index.vector(*examples[i][2:])], 10)
         s = np.round(dense @ dense[i], 12)
         want = np.lexsort((np.arange(500), -s))[:10]
         assert near.tolist() == want.tolist() and np.allclose(cosine, s[want])
