@@ -66,6 +66,22 @@ def tidy(task: Task) -> Task:
     return run
 
 
+def by_value(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Send an object to all tasks, classes of this package included; tasks call the result to get it, and it is made once a task.
+
+    A plain broadcast would name such classes by module, which executors would have to have installed.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list = []
+
+    def get() -> object:
+        if not held:
+            held.append(cloudpickle.loads(sent.value))
+        return held[0]
+
+    return get
+
+
 def words(text: bytes) -> list[bytes]:
     """Words of a text with A-Z lower-cased; ``bytes`` methods know ASCII only, which is what is asked for."""
     return text.lower().split()

@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import as_bytes, column_of, local_path, mix64, words
+from cladeframe.llm.common import as_bytes, by_value, column_of, local_path, mix64, words
 from cladeframe.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -502,12 +502,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Scores are log10 probabilities. NULL text is empty, a document of one token; repeated rows stay.
     """
-    at = docs.sparkSession.sparkContext.broadcast(model)
+    sent = by_value(docs.sparkSession, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = at.value
+        m = sent()
         scorer = Scorer(m)
         marks = m.order - 1
         for b, tokens, lengths in token_groups(batches, [START] * marks):

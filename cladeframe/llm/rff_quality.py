@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import as_bytes, column_of, id_hash, isotonic, tidy
+from cladeframe.llm.common import as_bytes, by_value, column_of, id_hash, isotonic, tidy
 from cladeframe.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -137,14 +137,14 @@ def matrix_of(column: pa.Array) -> np.ndarray:
 
 def _normal_equations(rows: DataFrame, model: QualityModel) -> np.ndarray:
     """Sums of (features, label) outer products by fold, from ``x, y, fold``."""
-    at = rows.sparkSession.sparkContext.broadcast(model)
+    sent = by_value(rows.sparkSession, model)
     size = FEATURES + 2
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((FOLDS, size, size))
         for b in batches:
             if b.num_rows:
-                f = np.hstack([at.value.features(matrix_of(column_of(b, "x"))), column_of(b, "y").to_numpy().reshape(-1, 1)])
+                f = np.hstack([sent().features(matrix_of(column_of(b, "x"))), column_of(b, "y").to_numpy().reshape(-1, 1)])
                 fold = column_of(b, "fold").to_numpy()
                 for k in range(FOLDS):
                     total[k] += f[fold == k].T @ f[fold == k]
@@ -193,10 +193,10 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> QualityM
     total = sums.sum(axis=0)
     model.weights = _solve(total)
     held = np.stack([_solve(total - sums[k]) for k in range(FOLDS)])
-    at = stats.sparkSession.sparkContext.broadcast((model, held))
+    sent = by_value(stats.sparkSession, (model, held))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, held = at.value
+        m, held = sent()
         for b in batches:
             if b.num_rows:
                 s = (m.features(matrix_of(column_of(b, "x"))) * held[column_of(b, "fold").to_numpy()]).sum(axis=1)
@@ -214,13 +214,13 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> QualityM
 
 def score(stats: DataFrame, model: QualityModel) -> DataFrame:
     """``doc_id, score, predicted`` from ``doc_id, x``."""
-    at = stats.sparkSession.sparkContext.broadcast(model)
+    sent = by_value(stats.sparkSession, model)
     kind = stats.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                s = at.value.score(matrix_of(column_of(b, "x")))
+                s = sent().score(matrix_of(column_of(b, "x")))
                 yield pa.record_batch([column_of(b, "doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return stats.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
@@ -238,11 +238,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality")
 def reject(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """The documents that score at least 0.5, with all their columns."""
     model = fit(materialise(document_statistics(docs), "statistics"), labels, label)
-    at = docs.sparkSession.sparkContext.broadcast(model)
+    sent = by_value(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([statistics(t) for t in as_bytes(column_of(b, "text"))]).reshape(-1, N_STATISTICS)
-            yield b.filter(pa.array(at.value.score(x) >= 0.5, pa.bool_()))
+            yield b.filter(pa.array(sent().score(x) >= 0.5, pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)

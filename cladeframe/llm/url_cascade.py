@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import column_of, mix64
+from cladeframe.llm.common import by_value, column_of, mix64
 from cladeframe.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -111,11 +111,11 @@ def build(keys: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES) ->
         levels.append(level)
         if len(levels) > 200:
             raise ValueError("two keys have one 128-bit hash")
-        at = sides[1].sparkSession.sparkContext.broadcast(level)
+        sent = by_value(sides[1].sparkSession, level)
 
-        def taken(batches: Iterator[pa.RecordBatch], at=at) -> Iterator[pa.RecordBatch]:
+        def taken(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array(at.value.has(*_unsigned(b))))
+                yield b.filter(pa.array(sent().has(*_unsigned(b))))
 
         sides = [materialise(sides[1].mapInArrow(taken, "h1 bigint, h2 bigint"), "mistaken-keys"), sides[0]]
     return levels
@@ -170,11 +170,11 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", most_bytes:
     blocks = build(rules.where("verdict = 'block'"), rules, most_bytes)
     if every is None or blocks is None:
         return _judge_by_join(urls, rows, rules, default)
-    at = spark.sparkContext.broadcast((every, blocks))
+    sent = by_value(spark, (every, blocks))
 
     @F.arrow_udf("struct<place: int, block: boolean>")
     def decide(h1: pa.Array, h2: pa.Array) -> pa.Array:
-        every, blocks = at.value
+        every, blocks = sent()
         n = len(h1)
         start = h1.offsets.to_numpy() - h1.offsets[0].as_py()
         row = np.repeat(np.arange(n), np.diff(start))
