@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text is a multiset of paragraphs (lines; long lines are cut every few words). Each paragraph's
+A text is a multiset of paragraphs (lines; long lines are cut after words that their own hash picks, so that pieces line up again after an edit). Each paragraph's
 digest goes into three cells of a small table; a cell holds a count and two XOR sums. Subtracting two tables cancels
 what the texts share, and peeling cells that hold a single digest recovers what they don't. If the difference is
 too large for the table, the digests are sketched again into a larger one, until peeling succeeds.
@@ -12,6 +12,7 @@ import base64
 import hashlib
 import sys
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,9 @@ from cladeframe.llm.common import column_of, mix64
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words and characters of a paragraph at most.
-PIECE_WORDS = 5
+#: One word in so many ends a piece of a line; a piece has so many words, and characters, at most.
+CUT = 5
+PIECE_WORDS = 20
 PIECE_CHARS = 64
 #: Cells of a fingerprint, and by how much a table grows after a failure.
 CELLS = 30
@@ -36,6 +38,8 @@ GROUP = 512
 GROUP_CHARS = 4_000_000
 #: Bytes of text per range of documents.
 RANGE_BYTES = 32 << 20
+#: Fine ranges that make a range.
+FINE = 8
 
 CHECK = np.uint64(0x9E3779B97F4A7C15)
 #: Added to a digest before it is hashed into a third of a table.
@@ -48,12 +52,16 @@ def digests(text: str) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
         ws = line.split()
-        for i in range(0, len(ws), PIECE_WORDS):
-            piece = b" ".join(ws[i : i + PIECE_WORDS])
-            if len(piece) <= PIECE_CHARS:
-                out.append(digest(piece))
-            else:
-                out += [digest(piece[j : j + PIECE_CHARS]) for j in range(0, len(piece), PIECE_CHARS)]
+        ends = [i for i, w in enumerate(ws, 1) if not crc32(w) % CUT]
+        lo = 0
+        for hi in [*ends, len(ws)]:
+            pieces = [b" ".join(ws[i : min(i + PIECE_WORDS, hi)]) for i in range(lo, hi, PIECE_WORDS)]
+            lo = hi
+            for piece in pieces:
+                if len(piece) <= PIECE_CHARS:
+                    out.append(digest(piece))
+                else:
+                    out += [digest(piece[j : j + PIECE_CHARS]) for j in range(0, len(piece), PIECE_CHARS)]
     d = np.sort(np.array(out, np.uint64))
     if len(d) > 1:
         first = np.append(0, np.flatnonzero(d[1:] != d[:-1]) + 1)
@@ -196,24 +204,43 @@ RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint strin
 NO_ID = -(2**63)
 
 
+def range_cuts(docs: DataFrame, total: int, first: int) -> np.ndarray:
+    """Smallest keys of ranges of about ``RANGE_BYTES`` of text; ``docs(k, text)``.
+
+    Fine ranges of about as many rows each are put together by their bytes.
+    """
+    ranges = int(max(1, -(-total // RANGE_BYTES)))
+    if ranges == 1:
+        return np.array([first])
+    fine = FINE * ranges
+    found = docs.agg(F.percentile_approx("k", [i / fine for i in range(1, fine)], max(10_000, 20 * fine)).alias("q")).first().q
+    bins = np.unique(np.append(found, first))
+
+    @F.arrow_udf("int")
+    def bin_of(k: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bins, k.to_numpy(zero_copy_only=False), side="right") - 1, pa.int32())
+
+    held = np.zeros(len(bins))
+    for r in docs.select("k", F.octet_length("text").alias("n")).groupBy(bin_of("k").alias("b")).agg(F.sum("n").alias("n")).collect():
+        held[r.b] = r.n
+    # a range ends where a further share of all bytes begins
+    share = np.floor((np.cumsum(held) - held) / total * ranges)
+    return bins[np.append(True, share[1:] != share[:-1])]
+
+
 def compare_versions(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of an edited version, and their likeness to each other and the next document.
 
     The next document is the one with the next larger ``doc_id``, after the last the first; NULL ids come first, rows with equal ids follow by text hash.
     NULL texts are empty; two texts without words are alike (1.0). A table of one row is its own next; an empty
-    one gives no rows. Whole texts are moved once: documents go to ranges of ids, and the first of each range also to
-    the range before it.
+    one gives no rows. Whole texts are moved once: documents go to ranges of ids, one a task, and the first of each range also to
+    the range before it. Rows of one id (or none) are one range.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("k"))
     total, first = docs.agg(F.sum(F.octet_length("text")), F.min("k")).first()
     if first is None:
         return docs.sparkSession.createDataFrame([], RESULT)
-    ranges = int(max(1, -(-total // RANGE_BYTES)))
-    cuts = np.array([first])
-    if ranges > 1:
-        shares = [i / ranges for i in range(1, ranges)]
-        found = docs.agg(F.percentile_approx("k", shares, max(10_000, 20 * ranges)).alias("q")).first().q
-        cuts = np.unique(np.append(found, first))
+    cuts = range_cuts(docs, total, first)
     last = len(cuts) - 1
 
     @F.arrow_udf("array<int>")
@@ -225,7 +252,7 @@ def compare_versions(docs: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", "text", "k", F.explode(ranges_of("k")).alias("r"))
     rows = rows.select("doc_id", "text", "k", F.when(F.col("r") < 0, -1 - F.col("r")).otherwise(F.col("r")).alias("range"), (F.col("r") < 0).alias("copy"))
-    rows = rows.repartition(len(cuts), "range").sortWithinPartitions("range", "copy", "k", F.xxhash64("text"))
+    rows = rows.repartitionById(len(cuts), F.col("range")).sortWithinPartitions("range", "copy", "k", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[object, str, str]] = []

@@ -452,6 +452,28 @@ def test_ranges_meet(spark, sf_dir, docs, monkeypatch):
     assert sorted(paragraph_sketch.compare_versions(docs).collect()) == want
 
 
+def test_ranges_hold_about_as_many_bytes(spark, monkeypatch):
+    """Long texts come first; ranges by rows would put nearly all bytes into one."""
+    rows = [(i, "word " * (2000 if i < 100 else 10), "en", "a", 1) for i in range(2000)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("k", F.col("doc_id"))
+    monkeypatch.setattr(paragraph_sketch, "RANGE_BYTES", 100_000)
+    total = sum(len(r[1]) for r in rows)
+    cuts = paragraph_sketch.range_cuts(docs, total, 0).tolist()
+    held = [sum(len(r[1]) for r in rows if lo <= r[0] < hi) for lo, hi in zip(cuts, [*cuts[1:], 2000])]
+    assert len(cuts) > 5 and max(held) < 4 * sorted(held)[len(held) // 2]
+
+
+def test_pieces_line_up_after_an_edit(texts):
+    likeness = []
+    for text in texts.values():
+        a, b = (Counter(paragraph_sketch.digests(t).tolist()) for t in (text, "surprise " + text))
+        if a.total() > 10:
+            likeness.append(2 * (a & b).total() / (a + b).total())
+    assert len(likeness) > 50 and min(likeness) > 0.7 and sum(x < 0.8 for x in likeness) < len(likeness) / 20
+    long = "no line ends here " * 60_000
+    assert len(paragraph_sketch.digests(long)) > 10_000
+
+
 def test_pipeline(spark, sf_dir, docs, texts):
     from cladeframe.session import materialise
 
