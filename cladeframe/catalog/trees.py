@@ -257,31 +257,33 @@ def portable_draw(*keys):
 _DRAW = """(((({0}) % 2147483648 * 1103515245 + 7 * 12345 + 12345) % 2147483648) * 48271 % 2147483647) / 2147483647.0::DOUBLE"""
 
 
+def _slot_draw(add: int) -> str:
+    return _DRAW.format(f"(tree_id * 4099 + slot + {add})")
+
+
 @query(
     "propose_moves",
     O.sql(
-        TREES, O.CLOSURE, SPR,
+        TREES, O.CLOSURE, SPR, TBR,
         f"""kid AS (SELECT tree_id, parent AS branch,
                            row_number() OVER (PARTITION BY tree_id, parent ORDER BY branch) - 1 AS side
                     FROM branches WHERE parent >= 6),
-            offers AS (SELECT tree_id, 'NNI' AS move, branch * 100 + side AS move_no FROM kid
-                       UNION ALL SELECT tree_id, 'SPR', src * 100 + dest FROM mv),
-            rated AS (SELECT *, row_number() OVER (PARTITION BY tree_id, move ORDER BY u, move_no) AS pick
-                       FROM (SELECT *, {_DRAW.format('(tree_id * 4099 + move_no + 1000)')} AS u FROM offers)),
-            slots AS (SELECT tree_id, slot, CASE WHEN {_DRAW.format('(tree_id * 4099 + slot)')} < 0.4 THEN 'NNI' ELSE 'SPR' END AS move
-                      FROM trees CROSS JOIN (SELECT unnest(range(4)) AS slot)),
-            wanted AS (SELECT *, row_number() OVER (PARTITION BY tree_id, move ORDER BY slot) AS pick FROM slots)""",
+            offers AS (SELECT tree_id, 'NNI' AS move, branch AS a, side AS b, -1 AS c FROM kid
+                       UNION ALL SELECT tree_id, 'SPR', src, dest, -1 FROM mv
+                       UNION ALL SELECT tree_id, 'TBR', src, dest, leaf FROM tm),
+            numbered AS (SELECT *, count(*) OVER (PARTITION BY tree_id, move) AS many,
+                row_number() OVER (PARTITION BY tree_id, move ORDER BY a, CASE WHEN move = 'TBR' THEN c ELSE b END, b) - 1 AS number FROM offers),
+            slots AS (SELECT tree_id, slot, CASE WHEN {_slot_draw(0)} < 0.4 THEN 'NNI' WHEN {_slot_draw(0)} < 0.7 THEN 'SPR' ELSE 'TBR' END AS move,
+                      {_slot_draw(4)} AS u FROM trees CROSS JOIN (SELECT unnest(range(4)) AS slot))""",
         recursive=True,
-        query="SELECT tree_id, move, move_no, slot FROM wanted LEFT JOIN rated USING (tree_id, move, pick)",
+        query="""SELECT s.tree_id, s.move, s.slot, n.a::INT AS a, n.b::INT AS b, n.c::INT AS c FROM slots s
+                 JOIN numbered n ON n.tree_id = s.tree_id AND n.move = s.move AND n.number = floor(s.u * n.many)""",
     ),
 )
 def propose_moves(spark, sf_dir):
     t = V.trees6(spark, sf_dir)
-    nni = moves.nni_edits(t, ID).withColumn("move_no", F.col("branch") * 100 + F.col("side"))
-    spr = moves.spr_edits(t, ID).withColumn("move_no", F.col("src") * 100 + F.col("dest"))
-    shares = t.select("tree_id", F.lit(0.4).alias("p_nni"), F.lit(0.6).alias("p_spr"))
-    picked = moves.propose_moves(t, {"NNI": nni, "SPR": spr}, ID, shares, 4, portable_draw)
-    return picked.select("tree_id", "move", "move_no", "slot")
+    shares = t.select("tree_id", F.lit(0.4).alias("p_nni"), F.lit(0.3).alias("p_spr"))
+    return moves.propose_moves(t, ID, shares, 4, portable_draw).drop("parent")
 
 
 def _inserted(parent: str, taxon: int, dest: str, n: int) -> str:

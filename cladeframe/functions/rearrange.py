@@ -314,6 +314,88 @@ def move_batches(kind: str, keep: list[str], columns: list[str], result: str):
     return run
 
 
+def place_of(weights: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of numbers (T x k) the column of ``weights`` (T x m) that it falls in when columns follow each other, and its place there."""
+    upto = np.cumsum(weights, axis=1)
+    column = np.minimum((upto[:, None, :] <= number[:, :, None]).sum(axis=2), max(0, weights.shape[1] - 1))
+    row = np.arange(len(weights))[:, None]
+    return column, number - (upto - weights)[row, column]
+
+
+def nth(flags: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Index of the ``number``-th set flag of each row."""
+    return np.argmax(np.cumsum(flags, axis=1) > number[:, None], axis=1)
+
+
+def drawn(trees: Trees, kind: int, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The moves (T x k x 4: code and three numbers) that the draws ``u`` (T x k) stand for, and whether there are any.
+
+    Moves are counted, not listed: a move's number gives its subtree by sums over the subtrees' sizes, then its destination and turn.
+    Kinds are 0 (interchange), 1 (regraft) and 2 (regraft with a turn), in the order of ``interchanges``, ``regrafts`` and ``turned_regrafts``.
+    """
+    t, b = trees.parent.shape
+    out = np.zeros((t, u.shape[1], 4), np.int64)
+    out[:, :, 0], out[:, :, 3] = kind, -1
+    if kind == 0:
+        total = np.full(t, max(0, 2 * (trees.n - 3)))
+        number = (u * total[:, None]).astype(np.int64)
+        out[:, :, 1], out[:, :, 2] = trees.n + number // 2, number % 2
+        return out, total[:, None] > np.zeros_like(u)
+    # all but the root, the subtree, the branch above it and its sister
+    dests = np.where(movable(trees, 0, b), b - 3 - trees.size, 0)
+    taxa = (trees.size + 1) // 2
+    children = ((trees.kids >= 0) & (trees.kids < trees.n)).sum(axis=2)
+    turns = np.where((taxa > 2) & (trees.kids[:, :, 0] >= 0), taxa - children, 1) if kind == 2 else np.ones_like(dests)
+    total = (dests * turns).sum(axis=1)
+    number = (u * total[:, None]).astype(np.int64)
+    src, rest = place_of(dests * turns, number)
+    row, draws = (x.ravel() for x in np.indices(u.shape))
+    src, rest = src.ravel(), rest.ravel()
+    many = np.maximum(dests[row, src], 1)
+    every = np.arange(b)
+    inside = (trees.first[row] >= trees.first[row, src][:, None]) & (trees.first[row] < (trees.first + trees.size)[row, src][:, None])
+    legal = (trees.parent[row] >= 0) & ~inside & (every != trees.parent[row, src][:, None]) & (every != trees.sister[row, src][:, None])
+    out[row, draws, 1] = src
+    out[row, draws, 2] = nth(legal, rest % many)
+    if kind == 2:
+        far = inside[:, : trees.n] & (trees.parent[row][:, : trees.n] != src[:, None])
+        large = (taxa[row, src] > 2) & (src >= trees.n)
+        out[row, draws, 3] = np.where(large, nth(far, rest // many), -1)
+    return out, (total > 0)[:, None] & np.ones(u.shape, bool)
+
+
+def draw_batches(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows ``keep, parent, kinds, draws`` (a kind and a draw for each slot) to ``slot, code, a, b, c`` and the tree after the move.
+
+    A slot for which a tree has no move has NULL numbers and the tree as it was.
+    """
+    for batch in batches:
+        slots = len(batch.column("kinds")[0]) if batch.num_rows else 0
+        kinds, draws = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, slots) for c in ("kinds", "draws"))
+        for rows, parent in matrices(batch.column("parent")):
+            step = max(1, CELLS // (parent.shape[1] * max(1, slots) * 8))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                trees = Trees(parent[at : at + step])
+                moves, there = np.zeros((len(part), slots, 4), np.int64), np.zeros((len(part), slots), bool)
+                for kind in range(3) if parent.shape[1] >= 5 else ():
+                    found, some = drawn(trees, kind, draws[part])
+                    own = kinds[part] == kind
+                    moves[own], there[own] = found[own], some[own]
+                t = np.repeat(np.arange(len(part)), slots)
+                flat, ok = moves.reshape(-1, 4), there.ravel()
+                new = trees.parent[t]
+                for code in np.unique(flat[ok, 0]):
+                    r = np.flatnonzero(ok & (flat[:, 0] == code))
+                    new[r] = MOVES[code](trees, t[r], *flat[r, 1:].T)
+                origin = pa.array(part[t])
+                numbers = [pa.array(np.tile(np.arange(slots), len(part)), pa.int32()), pa.array(kinds[part].ravel(), pa.int32())]
+                numbers += [pa.array(flat[:, j], pa.int32(), mask=~ok) for j in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(origin) for c in keep), *numbers, listed(new)], names=[*keep, "slot", "kind", "a", "b", "c", "parent"]
+                )
+
+
 def listed(flat: np.ndarray) -> pa.Array:
     """Rows of a matrix as a list column."""
     ends = pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32())

@@ -5,16 +5,15 @@ large one both keep all cores busy; the shuffle moves the trees, not their neigh
 Inside a task moves are array arithmetic on many trees at once (``functions.rearrange``).
 Trees must be rooted at a taxon; ``keep`` names the columns that identify a tree.
 
-Proposals need single moves only: those are found by expressions in the row of the
-tree (``*_edits``) and applied after they were picked.
+``*_edits`` are the same moves by expressions in the row of the tree, without Python workers, for
+small trees. Proposals need single moves only, which are worked out from their numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as types
 
@@ -152,45 +151,24 @@ def tbr_neighbours(trees: DataFrame, keep: list[str]) -> DataFrame:
     return _moved(trees, keep, "tbr", ["src", "dest", "leaf"])
 
 
-def propose_moves(
-    trees: DataFrame,
-    offers: dict[str, DataFrame],
-    keep: list[str],
-    shares: DataFrame,
-    k: int,
-    draw: Callable[..., Column],
-) -> DataFrame:
-    """Pick ``k`` proposals per tree, the kind of each drawn by its probability.
-
-    ``offers`` maps NNI, SPR, TBR to tables with ``keep, move_no, _edits``;
-    ``shares(keep, p_nni, p_spr)`` has one row per tree; ``draw(columns...)`` gives
-    a reproducible value in [0, 1). Slot j of a tree takes the kind its draw falls
-    on, then the first unused move of that kind in the order of the moves' own
-    draws. A slot for which the tree has no unused move of its kind stays, with NULL
-    ``move_no`` and the tree unchanged. Moves are picked by their edits alone and
-    applied afterwards.
+def propose_moves(trees: DataFrame, keep: list[str], shares: DataFrame, k: int, draw: Callable[..., Column]) -> DataFrame:
+    """``k`` proposals for each tree: ``slot, move`` (NNI, SPR or TBR), the numbers ``a, b, c`` of the move and the new ``parent``.
+
+    ``shares(keep, p_nni, p_spr)`` has one row per tree; ``draw(columns...)`` gives a reproducible value in [0, 1). Slot j takes the kind its
+    first draw falls on, ``draw(keep, j)``, and of that kind's moves the one whose number its second draw gives, ``draw(keep, k + j)``; numbers are in
+    the order of (branch, side), (src, dest) and (src, leaf, dest), as ``a, b`` and for TBR ``a, c, b``. Moves are counted and not listed, so a proposal costs no more
+    than its tree is wide. A slot whose kind the tree has no move of has NULL numbers and the tree unchanged.
     """
-    slots = shares.select(
-        *keep, "p_nni", "p_spr", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot")
-    )
-    u = draw(*[F.col(c) for c in keep], F.col("slot"))
-    kind = (
-        F.when(u < F.col("p_nni"), "NNI").when(u < F.col("p_nni") + F.col("p_spr"), "SPR").otherwise("TBR")
-    )
-    wanted = slots.withColumn("move", kind).withColumn(
-        "pick", F.row_number().over(Window.partitionBy(*keep, "move").orderBy("slot"))
-    )
-    every = reduce(
-        DataFrame.unionByName,
-        [n.select(*keep, "move_no", "_edits").withColumn("move", F.lit(m)) for m, n in offers.items()],
-    )
-    order = draw(*[F.col(c) for c in keep], F.col("move_no") + 1000)
-    # no slot needs more than the first k, which Spark cuts down to before shuffling
-    ranked = every.withColumn(
-        "pick", F.row_number().over(Window.partitionBy(*keep, "move").orderBy(order, "move_no"))
-    ).filter(F.col("pick") <= k)
-    picked = wanted.select(*keep, "move", "pick", "slot").join(ranked, [*keep, "move", "pick"], "left")
-    none = F.array().cast(ranked.schema["_edits"].dataType)
-    picked = picked.withColumn("_edits", F.coalesce("_edits", none))
-    old = trees.select(*keep, F.col("parent").alias("_old"))
-    return _applied(picked.join(old, keep)).drop("pick")
+    ids = [F.col(c) for c in keep]
+    joined = trees.select(*keep, "parent").join(shares.select(*keep, "p_nni", "p_spr"), keep)
+    kinds, draws = [], []
+    for j in range(k):
+        u = draw(*ids, F.lit(j))
+        kinds.append(F.when(u < F.col("p_nni"), 0).when(u < F.col("p_nni") + F.col("p_spr"), 1).otherwise(2))
+        draws.append(draw(*ids, F.lit(k + j)))
+    rows = joined.select(*keep, "parent", F.array(*kinds).alias("kinds"), F.array(*draws).alias("draws"))
+    numbers = [types.StructField(c, types.IntegerType()) for c in ("slot", "kind", "a", "b", "c")]
+    schema = types.StructType([*[rows.schema[c] for c in keep], *numbers, rows.schema["parent"]])
+    picked = rows.mapInArrow(lambda b: R.draw_batches(b, keep), schema)
+    names = F.array(F.lit("NNI"), F.lit("SPR"), F.lit("TBR"))
+    return picked.select(*keep, "slot", F.get(names, F.col("kind")).alias("move"), "a", "b", "c", "parent")

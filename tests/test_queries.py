@@ -131,13 +131,16 @@ def test_trees_and_patterns_must_have_the_same_taxa(spark):
 
 def test_slots_without_a_move_stay(spark):
     tree = spark.createDataFrame([(1, H.topologies(5)[3])], "tree_id long, parent array<int>")
-    nni = moves.nni_edits(tree, ["tree_id"]).withColumn("move_no", F.col("branch") * 100 + F.col("side"))
     shares = tree.select("tree_id", F.lit(1.0).alias("p_nni"), F.lit(0.0).alias("p_spr"))
     draw = lambda *keys: S.uniform_draw(5, *keys)
-    found = moves.propose_moves(tree, {"NNI": nni}, ["tree_id"], shares, 8, draw).collect()
+    found = moves.propose_moves(tree, ["tree_id"], shares, 8, draw).collect()
     assert sorted(r.slot for r in found) == list(range(8)) and {r.move for r in found} == {"NNI"}
-    none = [r for r in found if r.move_no is None]
-    assert len(none) == 4 and all(r.parent == H.topologies(5)[3] for r in none)
+    near = {(r.branch, r.side): r.parent for r in moves.nni_neighbours(tree, ["tree_id"]).collect()}
+    assert all(near[r.a, r.b] == r.parent for r in found)
+    # three taxa have no moves, five no interchange beyond four
+    three = spark.createDataFrame([(9, [-1, 0, 0])], "tree_id long, parent array<int>")
+    none = moves.propose_moves(three, ["tree_id"], three.select("tree_id", F.lit(0.4).alias("p_nni"), F.lit(0.3).alias("p_spr")), 3, draw).collect()
+    assert len(none) == 3 and all(r.a is None and r.parent == [-1, 0, 0] for r in none)
 
 
 def test_trees_and_traces_are_written_by_run(spark, tmp_path):

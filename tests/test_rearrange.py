@@ -74,3 +74,20 @@ def test_split_keys_do_not_see_numbers_of_inner_branches(spark):
     keys = [r.key for r in trees.with_topology_key(df).collect()]
     texts = [r.key for r in trees.with_topology_key(df, algorithm="md5").collect()]
     assert keys[0] == keys[1] != keys[2] and texts[0] == texts[1] != texts[2]
+
+
+@pytest.mark.parametrize("n", [4, 5, 9, 14])
+def test_numbers_of_moves_are_their_places_in_the_list(n):
+    """Every number of every kind, against the lists of all moves."""
+    listed = (R.interchanges, R.regrafts, R.turned_regrafts)
+    for parent in random_parents(n, 3, n):
+        tree = R.Trees(np.array([parent]))
+        for kind, moves_of in enumerate(listed):
+            ((code, _, a, b, c),) = moves_of(tree, 0, 2 * n - 3)
+            want = sorted(zip(a.tolist(), b.tolist(), c.tolist()), key=lambda x: (x[0], x[2], x[1]) if kind == 2 else x)
+            u = (np.arange(len(a)) + 0.5)[None, :] / max(1, len(a))
+            found, there = R.drawn(tree, kind, u)
+            assert there.all() and (found[0, :, 0] == code).all()
+            # interchanges and plain regrafts use their first two numbers only
+            width = 3 if kind == 2 else 2
+            assert [tuple(x[:width]) for x in found[0, :, 1:].tolist()] == [x[:width] for x in want]
