@@ -18,7 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.llm.common import as_bytes, column_of, tidy
@@ -262,11 +262,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part: int = PART) -> DataF
             settle(now, round_)
             break
         open_ = now.where((F.col("bins") > F.col("bound")) & (F.col("fill") < capacity))
-        # parts meet in groups whose open pieces are about one part; a group of one would change nothing
+        # parts meet in groups whose open pieces are about one part; dealt by rank, so none is alone, which would change nothing
         groups = max(1, min(gaps // 2, -(-open_.count() // part)))
-        met = F.pmod(F.xxhash64("part", F.lit(round_)), F.lit(groups))
-        before = open_.groupBy(met.alias("group")).agg(F.countDistinct("part", "bin").alias("old_bins"))
-        again = packed(open_.withColumn("part", met).select(*pieces.columns, "part"))
+        rank = F.row_number().over(Window.orderBy(F.xxhash64("part", F.lit(round_)), "part")) - 1
+        ranked = now.where("bins > bound").select("part").distinct().withColumn("group", (rank % groups).cast("long"))
+        ranked = materialise(ranked, "groups")
+        open_ = open_.join(ranked, "part")
+        before = open_.groupBy("group").agg(F.countDistinct("part", "bin").alias("old_bins"))
+        again = packed(open_.withColumn("part", F.col("group")).select(*pieces.columns, "part"))
         after = again.groupBy("part").agg(F.max("bins").alias("new_bins"))
         better = before.join(after, before.group == after.part).where("new_bins < old_bins").select("group")
         better = materialise(better, "better")
@@ -274,7 +277,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part: int = PART) -> DataF
             settle(now, round_)
             break
         moved = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)
-        keyed = now.withColumn("group", F.when(moved, met))
+        keyed = now.join(ranked, "part", "left").withColumn("group", F.when(moved, F.col("group")))
         settle(keyed.join(better, "group", "left_anti"), round_)
         now = again.join(better, again.part == better.group, "left_semi")
         round_ += 1

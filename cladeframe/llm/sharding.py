@@ -128,7 +128,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, slot_map: SlotMap | None =
 
     ``size`` is the UTF-8 length of the text plus 1. The map starts as slot modulo shards and is edited by the bytes
     in each slot. NULL text counts as empty; a NULL doc_id hashes as the empty text; repeated rows share a slot and
-    get places of their own; an empty table gives no rows. Only id, size and checksum are moved. A slot is never
+    get places of their own; an empty table gives no rows. Only id, size and checksum are moved. Where one cell holds more than a 16th of a
+    shard's fair share, as with an id that very many rows have (or NULL), its rows are dealt over all cells by their number. A slot is never
     split, so a single record larger than a fair share makes its shard the largest.
     """
     spark = docs.sparkSession
@@ -139,12 +140,20 @@ def shard_documents(docs: DataFrame, shards: int = 8, slot_map: SlotMap | None =
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             cell_of(F.col("doc_id")).alias("cell"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "records",
     )
     cells = materialise(measure(records), "cells")
+    # at most 16 cells a shard
+    total = cells.agg(F.sum("cell_bytes")).first()[0] or 0
+    hot = [r.cell for r in cells.where(F.col("cell_bytes") * shards * 16 > total).where("cell_rows > 1").select("cell").collect()]
+    if hot:
+        spread = F.pmod(F.xxhash64("row"), F.lit(SLOTS * CELLS))
+        records = records.withColumn("cell", F.when(F.col("cell").isin(hot), spread).otherwise(F.col("cell")))
+        cells = materialise(measure(records), "cells")
     slot_map = slot_map or SlotMap(spark)
     if slot_map.version < 0:
         slot_map.store(np.arange(slot_map.slots) % shards)
     slot_map.store(edit_map(slot_loads(cells, slot_map.slots), slot_map.shards(), shards))
-    return place(records, cells, slot_map.read(), [F.col("doc_id"), F.col("text_crc32")]).drop("cell")
+    return place(records, cells, slot_map.read(), [F.col("doc_id"), F.col("text_crc32")]).drop("cell", "row")

@@ -79,6 +79,17 @@ def test_sharding(spark, sf_dir, odd, empty, texts):
     assert sharding.shard_documents(empty).collect() == []
 
 
+def test_one_id_on_a_third_of_all_rows(spark):
+    rows = [(None if i % 3 == 0 else i, f"text {i % 7}", "en", "a", 1) for i in range(3000)] + [(5, "same", "en", "a", 1)] * 600
+    placed = sharding.shard_documents(spark.createDataFrame(rows, SCHEMA), 8).collect()
+    held, slots = Counter(), defaultdict(list)
+    for r in placed:
+        held[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(placed) == len(rows) and len(held) == 8 and max(held.values()) < 1.1 * min(held.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_growing_moves_few_slots():
     load = np.random.default_rng(1).integers(1, 1000, 512).astype(float)
     old = sharding.edit_map(load, np.arange(512) % 8, 8)
