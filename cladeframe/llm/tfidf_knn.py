@@ -305,7 +305,8 @@ class Search:
 
 def like_first(sketch: np.ndarray) -> np.ndarray:
     """An order of rows in which like ones are near each other: by the group whose centre is nearest, after a few rounds of moving centres."""
-    x = sketch / np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-12)
+    sketch /= np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-12)
+    x = sketch
     if len(x) <= BLOCK:
         return np.arange(len(x))
     centres = x[np.linspace(0, len(x) - 1, min(GROUPS, len(x))).astype(int)]
@@ -378,17 +379,21 @@ def index_of(ids: np.ndarray, label: np.ndarray, terms: list[np.ndarray], counts
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
     pair = keys[starts]
     del keys
-    term, block = pair >> (place_bits - 8), (pair & ((1 << (place_bits - 8)) - 1))
-    size = np.diff(np.append(starts, len(slot)))
-    most = (np.maximum.reduceat(largest, starts) if len(starts) else largest) * idf[term] * (1 + 1e-5)
+    term, block = (pair >> (place_bits - 8)).astype(np.int32), (pair & ((1 << (place_bits - 8)) - 1)).astype(np.uint16)
+    del pair
+    size = np.diff(np.append(starts, len(slot))).astype(np.uint16)
+    most = np.maximum.reduceat(largest, starts) if len(starts) else largest
+    del largest
+    most *= idf.astype(np.float32)[term]
+    most *= np.float32(1 + 1e-5)
     # half precision, rounded up
     half = most.astype(np.float16)
     half = np.where(half < most, np.nextafter(half, np.float16(np.inf)), half)
+    del most
     ends = np.searchsorted(term, np.arange(len(idf) + 1))
     first_post = np.append(starts, len(slot))[ends]
     return Index(
-        idf, ids, label.astype(np.float64), example, scale, ends.astype(np.int32), first_post[:-1].astype(np.int32), block.astype(np.uint16),
-        size.astype(np.uint16), half, slot, code, weights, column, dense,
+        idf, ids, label.astype(np.float64), example, scale, ends.astype(np.int32), first_post[:-1].astype(np.int32), block, size, half, slot, code, weights, column, dense,
     )
 
 
@@ -494,9 +499,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     full = np.flatnonzero([len(t) for t in terms])
     counts = []
     for x, t in zip(rows["counts"], terms):
-        n = np.frombuffer(x.as_buffer(), np.uint8, len(t)).astype(np.int64)
-        n[n == 255] = np.frombuffer(x.as_buffer(), np.int64, -1, len(t)) if (n == 255).any() else 0
-        counts.append(n.astype(np.uint32))
+        n = np.frombuffer(x.as_buffer(), np.uint8, len(t))
+        if (n == 255).any():
+            large, n = n == 255, n.astype(np.int64)
+            n[large] = np.frombuffer(x.as_buffer(), np.int64, -1, len(t))
+        counts.append(n)
     ids = rows["doc_id"].to_numpy()[full]
     total, df = frequencies(docs, at, len(vocabulary)) if len(full) else (0, np.zeros(0))
     at.destroy()
