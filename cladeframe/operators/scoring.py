@@ -41,7 +41,10 @@ def packed(df: DataFrame, units: Column, budget: int, label: str) -> DataFrame:
     schema = T.StructType(
         [df.schema["alignment_id"], T.StructField("_units", T.LongType()), T.StructField("_rows", T.ArrayType(rows.schema["_row"].dataType))]
     )
-    parts = rows.mapInArrow(lambda b: K.pack_batches(b, "alignment_id", budget, False), schema)
+    # the same order each time, so that a task that is run again after a lost executor makes the same packs
+    own = [F.col("_row")[f.name] for f in rows.schema["_row"].dataType.fields if not isinstance(f.dataType, T.MapType)]
+    ordered = rows.sortWithinPartitions("alignment_id", F.xxhash64(*own))
+    parts = ordered.mapInArrow(lambda b: K.pack_batches(b, "alignment_id", budget, False), schema)
     full = F.col("_units") >= budget // 2
     dealt = parts.withColumn("_deal", F.when(full, F.spark_partition_id() * F.lit(1 << 32) + F.monotonically_increasing_id() % (1 << 32)).otherwise(-1))
     met = dealt.repartition(_tasks(df), "alignment_id", "_deal").drop("_deal")
