@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import os
 import sys
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
@@ -13,6 +14,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeframe.session import scratch_path
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A word is a run of other characters than space and the five ASCII controls from tab to carriage return.
@@ -99,6 +102,28 @@ def local_path(uri: str) -> str:
     return at.path
 
 
+def shared_arrays(spark: SparkSession, label: str, arrays: list[np.ndarray]) -> Callable[[], list[np.ndarray]]:
+    """Hand arrays to all tasks, which call the result to get them: files in the shared folder, written once and mapped into memory.
+
+    A shared folder that is not mounted can't be mapped; arrays are broadcast then.
+    """
+    path = scratch_path(spark, label)
+    if urlparse(path).scheme not in ("", "file"):
+        sent = spark.sparkContext.broadcast(arrays)
+        return lambda: sent.value
+    folder, many = local_path(path), len(arrays)
+    os.makedirs(folder)
+    for i, a in enumerate(arrays):
+        np.save(f"{folder}/{i}.npy", a)
+
+    def get() -> list[np.ndarray]:
+        paths = [f"{folder}/{i}.npy" for i in range(many)]
+        # nothing to map in a file without values
+        return [np.asarray(np.load(p, mmap_mode="r")) if os.path.getsize(p) > 128 else np.load(p) for p in paths]
+
+    return get
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers with well mixed output."""
     x = x.astype(np.uint64, copy=True)

@@ -20,11 +20,11 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import as_bytes, column_of, id_hash, isotonic, mix64, tidy, words
+from cladeframe.llm.common import as_bytes, column_of, id_hash, isotonic, mix64, shared_arrays, tidy, words
 from cladeframe.session import materialise, spread
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,7 +42,9 @@ BLOCK = 256
 FIRST = 4
 #: A term in this share of the examples is frequent; so many terms at most are.
 FREQUENT = 1 / 64
-MOST_FREQUENT = 1024
+MOST_FREQUENT = 2048
+#: The code of a count too large for a code of its own; its weight is looked up.
+LARGE = 255
 #: Texts that are searched together.
 TOGETHER = 128
 #: What scores in single precision are off by, at most.
@@ -157,11 +159,11 @@ def numbers_of(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == h, at, -1)
 
 
-def frequencies(docs: DataFrame, vocabulary: Broadcast, size: int) -> tuple[int, np.ndarray]:
+def frequencies(docs: DataFrame, vocabulary: Callable[[], list[np.ndarray]], size: int) -> tuple[int, np.ndarray]:
     """Number of documents, and of those that hold each term of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, held, total = TermCounter(vocabulary.value), np.zeros(size + 1, np.int64), 0
+        counter, held, total = TermCounter(*vocabulary()), np.zeros(size + 1, np.int64), 0
         for b in batches:
             for text in as_bytes(column_of(b, "text")):
                 held[counter.count(text)[2]] += 1
@@ -199,21 +201,26 @@ class Index:
     #: Of each place (block x slot): the example (-1: none) and 1 / its norm.
     example: np.ndarray
     scale: np.ndarray
-    #: Of each term: where its pairs and its postings begin.
+    #: Of each term: where its pairs begin.
     first_pair: np.ndarray
-    first_post: np.ndarray
     #: Of each pair: block, number of postings, largest weight (rounded up).
     block: np.ndarray
     size: np.ndarray
     most: np.ndarray
-    #: Of each posting: slot in the block, and which of ``weights`` its count has.
-    slot: np.ndarray
+    #: Of each posting: place of the example, and which of ``weights`` its count has.
+    place: np.ndarray
     code: np.ndarray
     #: Weights by code; the first one, 0, is that of no count.
     weights: np.ndarray
+    #: Postings with the code LARGE and their weights.
+    large_at: np.ndarray
+    large: np.ndarray
     #: Column of each frequent term, -1 for others; and codes of all places and columns. Frequent terms have no pairs.
     column: np.ndarray
     dense: np.ndarray
+    #: Cells (place x column) of ``dense`` with the code LARGE and their weights.
+    wide_at: np.ndarray
+    wide: np.ndarray
 
     def vector(self, terms: np.ndarray, counts: np.ndarray, others: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Terms and their weights in a text of norm 1; ``others``: squared weights of terms that no example has."""
@@ -222,6 +229,15 @@ class Index:
         return t, w / np.sqrt((w * w).sum() + others)
 
 
+def weights_at(at: np.ndarray, code: np.ndarray, weights: np.ndarray, large_at: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """Weights of the codes that lie at the places ``at``."""
+    w = weights[code]
+    if len(large_at):
+        looked_up = code == LARGE
+        w[looked_up] = large[np.searchsorted(large_at, at[looked_up])]
+    return w
+
+
 class Search:
     """An index made ready in a task: weights of frequent terms in single precision, and their largest ones in each block."""
 
@@ -229,11 +245,33 @@ class Search:
         self.index = index
         self.blocks = len(index.example) // BLOCK
         frequent = index.dense.shape[1]
-        self.dense = (index.weights.astype(np.float32)[index.dense] * index.scale[:, None].astype(np.float32)).reshape(self.blocks, BLOCK, frequent)
-        self.most = self.dense.max(axis=1) if self.blocks else np.zeros((0, frequent), np.float32)
+        dense = index.weights.astype(np.float32)[index.dense]
+        dense.ravel()[index.wide_at] = index.wide
+        dense *= index.scale[:, None].astype(np.float32)
+        self.dense = dense.reshape(self.blocks, BLOCK, frequent)
+        self.wide_most = self.dense.max(axis=1) if self.blocks else np.zeros((0, frequent), np.float32)
         self.scale = index.scale.reshape(self.blocks, BLOCK)
-        self.example = index.example.reshape(self.blocks, BLOCK)
         self.pairs = np.diff(index.first_pair)
+        self.most = index.most.astype(np.float32)
+        #: Where the postings of each pair begin, and where the last ones end.
+        self.begin = np.zeros(len(index.size) + 1, np.int32)
+        np.cumsum(index.size, dtype=np.int32, out=self.begin[1:])
+
+    def sums(self, rare: tuple[np.ndarray, ...], todo: np.ndarray) -> np.ndarray:
+        """What the examples of the blocks ``todo`` get from a text's rarer terms; only these blocks' postings are read."""
+        x = self.index
+        part, term, pair, block = rare
+        open_ = np.flatnonzero(todo[block])
+        # postings of a term in neighbouring blocks lie side by side
+        new = np.ones(len(open_) + 1, bool)
+        new[1:-1] = (np.diff(open_) != 1) | (np.diff(term[open_]) != 0)
+        first, last = open_[new[:-1]], open_[new[1:]]
+        start = self.begin[pair[first]].astype(np.int64)
+        sizes = self.begin[pair[last] + 1] - start
+        post = spans(start, sizes)
+        w = weights_at(post, x.code[post], x.weights, x.large_at, x.large)
+        w *= np.repeat(part[term[first]], sizes)
+        return np.bincount(x.place[post], w, self.blocks * BLOCK).reshape(self.blocks, BLOCK)
 
     def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray, int]]:
         """For each text the k examples of largest cosine (ties in six digits: the earlier example), only such with a cosine above 0; and how many blocks were opened.
@@ -241,56 +279,49 @@ class Search:
         ``without`` names an example for each text that is left out.
         """
         x = self.index
-        wide = np.zeros((len(texts), self.most.shape[1]))
+        wide = np.zeros((len(texts), self.wide_most.shape[1]))
         rare = []
         bound = np.zeros((len(texts), self.blocks))
         for row, (t, w) in enumerate(texts):
             c = x.column[t]
             wide[row, c[c >= 0]] = (w * x.idf[t])[c >= 0]
             t, w = t[c < 0], w[c < 0]
-            many = self.pairs[t].astype(np.int64)
-            pair = spans(x.first_pair[t].astype(np.int64), many)
-            block, size = x.block[pair], x.size[pair].astype(np.int64)
-            bound[row] = np.bincount(block, x.most[pair] * np.repeat(w, many), self.blocks)
-            # postings of a term follow each other, block by block
-            ends = np.cumsum(size)
-            begin = np.cumsum(many) - many
-            before = (ends - size)[np.minimum(begin, max(0, len(size) - 1))] if len(size) else begin
-            rare.append((block, size, np.repeat(x.first_post[t] - before, many) + ends - size, np.repeat(w * x.idf[t], many)))
+            many = self.pairs[t]
+            pair = spans(x.first_pair[t], many)
+            term = np.repeat(np.arange(len(t), dtype=np.int32), many)
+            block = x.block[pair]
+            bound[row] = np.bincount(block, self.most[pair] * w[term], self.blocks)
+            rare.append((w * x.idf[t], term, pair, block))
         narrow = wide.astype(np.float32)
-        bound = (bound + narrow @ self.most.T) * (1 + ROUNDING) + ROUNDING
+        bound = (bound + narrow @ self.wide_most.T) * (1 + ROUNDING) + ROUNDING
         total = np.full((len(texts), self.blocks, BLOCK), -np.inf)
-        single = np.zeros((len(texts), self.blocks, BLOCK), np.float32)
+        rough = np.full(total.shape, -np.inf)
         least = np.full(len(texts), 1e-9)
         done = np.zeros(bound.shape, bool)
         first = np.zeros(bound.shape, bool)
         np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        wanted = k + (without is not None)
         for now in (first, ~first):
             todo = now & (bound >= least[:, None])
             done |= todo
             for row in np.flatnonzero(todo.any(axis=1)):
-                block, size, start, part = rare[row]
-                here = np.flatnonzero(todo[row, block])
-                sizes = size[here]
-                post = spans(start[here], sizes)
-                key = np.repeat(block[here].astype(np.int64) * BLOCK, sizes) + x.slot[post]
-                score = np.bincount(key, x.weights[x.code[post]] * np.repeat(part[here], sizes), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
-                total[row, todo[row]] = (score * self.scale)[todo[row]]
+                total[row, todo[row]] = (self.sums(rare[row], todo[row]) * self.scale)[todo[row]]
             for b in np.flatnonzero(todo.any(axis=0)):
                 rows = np.flatnonzero(todo[:, b])
-                single[rows, b] = narrow[rows] @ self.dense[b].T
-            rough = (total + single).reshape(len(texts), -1)
-            wanted = k + (without is not None)
-            if rough.shape[1] >= wanted:
-                kth = np.partition(rough, rough.shape[1] - wanted, axis=1)[:, -wanted]
-                least = np.maximum(least, kth - 2 * ROUNDING)
+                rough[rows, b] = total[rows, b] + narrow[rows] @ self.dense[b].T
+            for row in range(len(texts)):
+                found = rough[row, done[row]]
+                found = found[found >= least[row]]
+                if len(found) >= wanted:
+                    least[row] = max(least[row], np.partition(found, len(found) - wanted)[-wanted] - 2 * ROUNDING)
         out = []
         for row in range(len(texts)):
-            at = np.flatnonzero(rough[row] >= least[row] - ROUNDING)
+            at = np.flatnonzero(rough[row].ravel() >= least[row] - ROUNDING)
             who = x.example[at]
             at = at[(who >= 0) & (who != (without[row] if without is not None else -1))]
             # those that may be among the nearest once more, in double precision
-            score = total[row].ravel()[at] + (x.weights[x.dense[at]] @ wide[row]) * x.scale[at]
+            cells = at[:, None] * wide.shape[1] + np.arange(wide.shape[1])
+            score = total[row].ravel()[at] + (weights_at(cells, x.dense[at], x.weights, x.wide_at, x.wide) @ wide[row]) * x.scale[at]
             at, score = at[score > 1e-9], score[score > 1e-9]
             who = x.example[at]
             top = np.lexsort((who, -np.round(score, 6)))[:k]
@@ -329,7 +360,7 @@ def index_of(ids: np.ndarray, label: np.ndarray, terms: list[np.ndarray], counts
     n = len(ids)
     values = np.unique(np.concatenate([np.ones(1, np.int64), *(np.unique(c) for c in counts)]))
     code_bits = int(len(values)).bit_length()
-    small = np.uint8 if code_bits <= 8 else np.uint32
+    every_weight = np.append(0.0, weight_of(values.astype(np.float64)))
     held = np.zeros(len(idf), np.int64)
     for t in terms:
         held[t] += 1
@@ -357,31 +388,39 @@ def index_of(ids: np.ndarray, label: np.ndarray, terms: list[np.ndarray], counts
     # term, place and count in one number, sorted in place
     place_bits = max(8, int(max(1, blocks * BLOCK - 1)).bit_length())
     keys = np.empty(int(held[column < 0].sum()), np.int64)
-    dense = np.zeros((blocks * BLOCK, len(frequent)), small)
+    dense = np.zeros((blocks * BLOCK, len(frequent)), np.uint8)
+    wide_at, wide = [np.empty(0, np.int64)], [np.empty(0)]
     at = 0
     for i, (t, c) in enumerate(zip(terms, counts)):
         c, own = np.searchsorted(values, c) + 1, column[t]
-        dense[place[i], own[own >= 0]] = c[own >= 0]
+        dense[place[i], own[own >= 0]] = np.minimum(c[own >= 0], LARGE)
+        many = np.flatnonzero((own >= 0) & (c >= LARGE))
+        wide_at.append(place[i] * len(frequent) + own[many])
+        wide.append(every_weight[c[many]])
         t, c = t[own < 0].astype(np.int64), c[own < 0]
         keys[at : at + len(t)] = (t << (place_bits + code_bits)) | (place[i] << code_bits) | c
         at += len(t)
         terms[i] = counts[i] = None
     keys.sort()
-    code = (keys & ((1 << code_bits) - 1)).astype(small)
-    keys >>= code_bits
-    slot = (keys & (BLOCK - 1)).astype(np.uint8)
-    weights = np.append(0.0, weight_of(values.astype(np.float64)))
+    code = np.empty(len(keys), np.uint8)
+    places = np.empty(len(keys), np.uint16 if place_bits <= 16 else np.uint32)
     largest = np.empty(len(keys), np.float32)
+    large_at, large = [np.empty(0, np.int64)], [np.empty(0)]
     for lo in range(0, len(keys), 1 << 20):
         part = slice(lo, lo + (1 << 20))
-        largest[part] = weights[code[part]] * scale[keys[part] & ((1 << place_bits) - 1)]
+        c, places[part] = keys[part] & ((1 << code_bits) - 1), (keys[part] >> code_bits) & ((1 << place_bits) - 1)
+        code[part] = np.minimum(c, LARGE)
+        large_at.append(lo + np.flatnonzero(c >= LARGE))
+        large.append(every_weight[c[c >= LARGE]])
+        largest[part] = every_weight[c] * scale[places[part]]
+    keys >>= code_bits
     keys >>= 8
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
     pair = keys[starts]
     del keys
     term, block = (pair >> (place_bits - 8)).astype(np.int32), (pair & ((1 << (place_bits - 8)) - 1)).astype(np.uint16)
     del pair
-    size = np.diff(np.append(starts, len(slot))).astype(np.uint16)
+    size = np.diff(np.append(starts, len(code))).astype(np.uint16)
     most = np.maximum.reduceat(largest, starts) if len(starts) else largest
     del largest
     most *= idf.astype(np.float32)[term]
@@ -391,9 +430,12 @@ def index_of(ids: np.ndarray, label: np.ndarray, terms: list[np.ndarray], counts
     half = np.where(half < most, np.nextafter(half, np.float16(np.inf)), half)
     del most
     ends = np.searchsorted(term, np.arange(len(idf) + 1))
-    first_post = np.append(starts, len(slot))[ends]
+    weights = np.zeros(LARGE + 1)
+    weights[: min(LARGE, len(every_weight))] = every_weight[:LARGE]
+    by = np.argsort(cells := np.concatenate(wide_at))
     return Index(
-        idf, ids, label.astype(np.float64), example, scale, ends.astype(np.int32), first_post[:-1].astype(np.int32), block, size, half, slot, code, weights, column, dense,
+        idf, ids, label.astype(np.float64), example, scale, ends.astype(np.int32), block, size, half, places, code, weights,
+        np.concatenate(large_at), np.concatenate(large), column, dense, cells[by], np.concatenate(wide)[by],
     )
 
 
@@ -414,9 +456,9 @@ def vector_of(index: Index, other: float, text: bytes, counter: TermCounter) ->
 
 @dataclass
 class ToxicityModel:
-    """What is sent to tasks (``sent``: the vocabulary and the fields of the index) and the few numbers that make scores of votes."""
+    """How tasks get the vocabulary and the fields of the index (``sent``), and the few numbers that make scores of votes."""
 
-    sent: Broadcast
+    sent: Callable[[], list[np.ndarray]]
     #: Number of examples.
     size: int
     #: idf of a term that no example has; it counts as one of a single document.
@@ -431,7 +473,7 @@ class ToxicityModel:
 def judge(model: tuple) -> Callable[[Iterator[bytes]], Iterator[tuple[float, np.ndarray, np.ndarray]]]:
     """A function for one task that gives texts their calibrated scores, and the nearest examples with their cosines."""
     sent, size, other, plain, votes, scores = model
-    vocabulary, *fields = sent.value
+    vocabulary, *fields = sent()
     index, counter = Index(*fields), TermCounter(vocabulary)
     search = Search(index)
 
@@ -465,12 +507,12 @@ def vocabulary_of(examples: DataFrame) -> np.ndarray:
     return found
 
 
-def example_terms(examples: DataFrame, vocabulary: Broadcast) -> DataFrame:
+def example_terms(examples: DataFrame, vocabulary: Callable[[], list[np.ndarray]]) -> DataFrame:
     """``doc_id, label, terms, counts`` of examples, packed: places in the vocabulary, and counts as a byte each with the large ones after them."""
     kind = examples.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(vocabulary.value)
+        counter = TermCounter(*vocabulary())
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
                 terms, counts = [], []
@@ -489,10 +531,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
     Without labelled texts every score is 0; texts without a term of any example get the share of positive ones among such examples.
     """
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     examples = materialise(labelled_texts(docs, labels, label, sample), "examples")
     vocabulary = vocabulary_of(examples)
-    at = context.broadcast(vocabulary)
+    at = shared_arrays(spark, "vocabulary", [vocabulary])
     rows = example_terms(examples, at).toArrow().sort_by("doc_id")
     positive = rows["label"].to_numpy() > 0
     terms = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["terms"]]
@@ -506,18 +548,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         counts.append(n)
     ids = rows["doc_id"].to_numpy()[full]
     total, df = frequencies(docs, at, len(vocabulary)) if len(full) else (0, np.zeros(0))
-    at.destroy()
     idf = np.log((1 + total) / (1 + df)) + 1
     empty = positive[np.setdiff1d(np.arange(len(terms)), full)]
     plain = (empty.sum() + 0.5) / (len(empty) + 1) if len(empty) else positive.sum() / max(1, len(positive))
     index = index_of(ids, positive[full], [terms[i] for i in full], [counts[i] for i in full], idf)
     del rows, terms, counts
-    sent = context.broadcast((vocabulary, *(getattr(index, f.name) for f in dataclass_fields(index))))
+    sent = shared_arrays(spark, "index", [vocabulary, *(getattr(index, f.name) for f in dataclass_fields(index))])
     other, size = float(np.log((1 + total) / 2) + 1), len(full)
     del index
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, *fields = sent.value
+        vocabulary, *fields = sent()
         index, counter = Index(*fields), TermCounter(vocabulary)
         search = Search(index)
         for b in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
@@ -554,7 +595,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, ids, label = fields[0].value[:4]
+        _, _, ids, label = fields[0]()[:4]
         judged = judge(fields)
         for b in batches:
             scores, found = [], []

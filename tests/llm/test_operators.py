@@ -294,18 +294,28 @@ def labels_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("terms, of_one, most", [(40, 5, 5), (3000, 30, 5), (3000, 30, 2000)])
+def test_block_max_search_is_exact(terms, of_one, most):
+    # many terms: most of them are not frequent; large counts: more than a byte tells apart
     rng = np.random.default_rng(4)
-    examples = [(i, int(rng.integers(2)), sorted(rng.choice(40, 5, replace=False).tolist()), rng.integers(1, 5, 5).tolist()) for i in range(500)]
-    index = tfidf_knn.build_index(examples, rng.uniform(1, 6, 40))
-    dense = np.zeros((500, 40))
+    p = 1 / np.arange(1, terms + 1) ** 0.7
+    examples = [
+        (i, int(rng.integers(2)), sorted(rng.choice(terms, of_one, replace=False, p=p / p.sum()).tolist()), rng.integers(1, most, of_one).tolist())
+        for i in range(1200)
+    ]
+    index = tfidf_knn.build_index(examples, rng.uniform(1, 6, terms))
+    assert most < 255 or (len(index.large) and len(index.wide))
+    dense = np.zeros((len(examples), terms))
     for i, (_, _, t, c) in enumerate(examples):
         dense[i, t] = index.vector(t, c)[1]
-    for i in range(0, 500, 25):
-        ((near, cosine, opened),) = tfidf_knn.Search(index).nearest([index.vector(*examples[i][2:])], 10)
-        s = np.round(dense @ dense[i], 12)
-        want = np.lexsort((np.arange(500), -s))[:10]
-        assert near.tolist() == want.tolist() and np.allclose(cosine, s[want])
+    search = tfidf_knn.Search(index)
+    asked = list(range(0, len(examples), 25))
+    for i, (near, cosine, opened) in zip(asked, search.nearest([index.vector(*examples[i][2:]) for i in asked], 10)):
+        s = np.round(dense @ dense[i], 6)
+        want = np.lexsort((np.arange(len(examples)), -s))[:10]
+        assert near.tolist() == want.tolist() and np.allclose(cosine, s[want], atol=1e-6) and 0 < opened <= search.blocks
+    for i, (near, _, _) in zip(asked, search.nearest([index.vector(*examples[i][2:]) for i in asked], 10, asked)):
+        assert i not in near and len(near) == 10
 
 
 def test_toxicity(spark, odd, empty):
