@@ -42,7 +42,7 @@ BLOCK = 256
 FIRST = 4
 #: A term in this share of the examples is frequent; so many terms at most are.
 FREQUENT = 1 / 64
-MOST_FREQUENT = 2048
+MOST_FREQUENT = 4096
 #: The code of a count too large for a code of its own; its weight is looked up.
 LARGE = 255
 #: Texts that are searched together.
