@@ -36,6 +36,8 @@ BUCKET_TOKENS = 600_000
 CHUNK = 500_000
 #: Buckets of one order that a task reads to count the order below.
 READ = 8
+#: Buckets of one table that a task keeps mapped; each array of them holds a file open.
+MAPPED = 64
 
 
 def token_hash(token: bytes) -> int:
@@ -158,9 +160,14 @@ class Table:
         self.open: dict[int, list[np.ndarray]] = {}
 
     def part(self, bucket: int) -> list[np.ndarray]:
-        if bucket not in self.open:
-            self.open[bucket] = [mapped(self.folder, self.name, k, bucket) for k in ["key", *self.kinds]]
-        return self.open[bucket]
+        arrays = self.open.pop(bucket, None)
+        if arrays is None:
+            arrays = [mapped(self.folder, self.name, k, bucket) for k in ["key", *self.kinds]]
+            # the one not used for longest is first; its files close with its arrays
+            while len(self.open) >= MAPPED:
+                del self.open[next(iter(self.open))]
+        self.open[bucket] = arrays
+        return arrays
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Whether each key is there, its place in its bucket, and its values (0 if it isn't)."""

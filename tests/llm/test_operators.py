@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -230,6 +231,23 @@ def test_kneser_ney_of_order_3(spark, sf_dir, texts):
         assert rows[i].score == pytest.approx(sum(math.log10(p(g)) for g in zip(ws, ws[1:], ws[2:])))
 
 
+def test_many_buckets_need_few_open_files(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MAPPED", 8)
+    some = docs.where("doc_id < 200").select("doc_id", "text")
+    few, many = (kneser_ney.train(some, folder=str(tmp_path / n), bucket_tokens=t) for n, t in (("few", 10**6), ("many", 2000)))
+    assert few.buckets == 8 and many.buckets > 4 * kneser_ney.MAPPED
+    tokens = [w for r in some.collect() for w in [kneser_ney.START, *(r.text or "").lower().encode().split(), kneser_ney.END]]
+    lengths = np.diff(np.append(np.flatnonzero([t == kneser_ney.START for t in tokens]), len(tokens)))
+    found = []
+    for model in (few, many):
+        scorer = kneser_ney.Scorer(model)
+        before = len(os.listdir("/proc/self/fd"))
+        ids = scorer.numbering.number(tokens)
+        found.append((scorer.probabilities(ids, lengths)[0], scorer.counts(ids)))
+        assert len(os.listdir("/proc/self/fd")) - before <= 10 * kneser_ney.MAPPED
+    assert np.allclose(found[0][0], found[1][0], rtol=1e-12) and (found[0][1] == found[1][1]).all()
+
+
 def test_three_token_numbers_share_a_key(spark, odd):
     ids = [np.arange(9), np.arange(9)[::-1], np.full(9, 2**21 - 3)]
     assert [x.tolist() for x in kneser_ney.gram_ids(kneser_ney.gram_key(ids, 2**21 - 3), 3)] == [x.tolist() for x in ids]
