@@ -45,6 +45,8 @@ FREQUENT = 1 / 64
 MOST_FREQUENT = 4096
 #: The code of a count too large for a code of its own; its weight is looked up.
 LARGE = 255
+#: Postings that are sorted at once while the index is made.
+TOGETHER_POSTINGS = 1 << 20
 #: Texts that are searched together.
 TOGETHER = 128
 #: What scores in single precision are off by, at most.
@@ -385,57 +387,57 @@ def index_of(ids: np.ndarray, label: np.ndarray, terms: list[np.ndarray], counts
     place[order] = np.arange(n)
     scale = np.zeros(blocks * BLOCK)
     scale[:n] = 1 / norm[order]
-    # term, place and count in one number, sorted in place
     place_bits = max(8, int(max(1, blocks * BLOCK - 1)).bit_length())
-    keys = np.empty(int(held[column < 0].sum()), np.int64)
     dense = np.zeros((blocks * BLOCK, len(frequent)), np.uint8)
     wide_at, wide = [np.empty(0, np.int64)], [np.empty(0)]
-    at = 0
     for i, (t, c) in enumerate(zip(terms, counts)):
         c, own = np.searchsorted(values, c) + 1, column[t]
         dense[place[i], own[own >= 0]] = np.minimum(c[own >= 0], LARGE)
         many = np.flatnonzero((own >= 0) & (c >= LARGE))
         wide_at.append(place[i] * len(frequent) + own[many])
         wide.append(every_weight[c[many]])
-        t, c = t[own < 0].astype(np.int64), c[own < 0]
-        keys[at : at + len(t)] = (t << (place_bits + code_bits)) | (place[i] << code_bits) | c
-        at += len(t)
-        terms[i] = counts[i] = None
-    keys.sort()
-    code = np.empty(len(keys), np.uint8)
-    places = np.empty(len(keys), np.uint16 if place_bits <= 16 else np.uint32)
-    largest = np.empty(len(keys), np.float32)
-    large_at, large = [np.empty(0, np.int64)], [np.empty(0)]
-    for lo in range(0, len(keys), 1 << 20):
-        part = slice(lo, lo + (1 << 20))
-        c, places[part] = keys[part] & ((1 << code_bits) - 1), (keys[part] >> code_bits) & ((1 << place_bits) - 1)
-        code[part] = np.minimum(c, LARGE)
-        large_at.append(lo + np.flatnonzero(c >= LARGE))
-        large.append(every_weight[c[c >= LARGE]])
-        largest[part] = every_weight[c] * scale[places[part]]
-    keys >>= code_bits
-    keys >>= 8
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    pair = keys[starts]
-    del keys
-    term, block = (pair >> (place_bits - 8)).astype(np.int32), (pair & ((1 << (place_bits - 8)) - 1)).astype(np.uint16)
-    del pair
-    size = np.diff(np.append(starts, len(code))).astype(np.uint16)
-    most = np.maximum.reduceat(largest, starts) if len(starts) else largest
-    del largest
-    most *= idf.astype(np.float32)[term]
-    most *= np.float32(1 + 1e-5)
-    # half precision, rounded up
-    half = most.astype(np.float16)
-    half = np.where(half < most, np.nextafter(half, np.float16(np.inf)), half)
-    del most
-    ends = np.searchsorted(term, np.arange(len(idf) + 1))
+
+    def part(lo: int, hi: int, before: int) -> tuple[np.ndarray, ...]:
+        """Pairs and postings of the terms from lo to below hi; ``before``: postings of lower terms."""
+        # term, place and count in one number, sorted in place
+        keys = np.empty(int(upto[hi] - upto[lo]), np.int64)
+        at = 0
+        for i, (t, c) in enumerate(zip(terms, counts)):
+            here = (t >= lo) & (t < hi) & (column[t] < 0)
+            t, c = t[here].astype(np.int64), np.searchsorted(values, c[here]) + 1
+            keys[at : at + len(t)] = (t << (place_bits + code_bits)) | (place[i] << code_bits) | c
+            at += len(t)
+        keys.sort()
+        c = keys & ((1 << code_bits) - 1)
+        keys >>= code_bits
+        places = (keys & ((1 << place_bits) - 1)).astype(np.uint16 if place_bits <= 16 else np.uint32)
+        many = np.flatnonzero(c >= LARGE)
+        largest = (every_weight[c] * scale[places]).astype(np.float32)
+        keys >>= 8
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        term, block = keys[starts] >> (place_bits - 8), (keys[starts] & ((1 << (place_bits - 8)) - 1)).astype(np.uint16)
+        most = (np.maximum.reduceat(largest, starts) if len(starts) else largest) * idf[term].astype(np.float32) * np.float32(1 + 1e-5)
+        # half precision, rounded up
+        half = most.astype(np.float16)
+        half = np.where(half < most, np.nextafter(half, np.float16(np.inf)), half)
+        size = np.diff(np.append(starts, len(keys))).astype(np.uint16)
+        pairs = np.bincount(term - lo, minlength=hi - lo)
+        return pairs, block, size, half, places, np.minimum(c, LARGE).astype(np.uint8), before + many, every_weight[c[many]]
+
+    # ranges of terms one after the other, so that only what is kept of them adds up
+    upto = np.append(0, np.cumsum(np.where(column < 0, held, 0)))
+    cuts = np.unique(np.append(np.searchsorted(upto, np.arange(0, int(upto[-1]), TOGETHER_POSTINGS)), [0, len(idf)]))
+    parts = list(zip(*(part(int(lo), int(hi), int(upto[lo])) for lo, hi in zip(cuts[:-1], cuts[1:]))))
+    empty = (np.int64, np.uint16, np.uint16, np.float16, np.uint16, np.uint8, np.int64, np.float64)
+    pairs, block, size, half, places, code, large_at, large = (np.concatenate(x) for x in parts) if parts else (np.empty(0, t) for t in empty)
+    del parts
+    ends = np.append(0, np.cumsum(pairs))
     weights = np.zeros(LARGE + 1)
     weights[: min(LARGE, len(every_weight))] = every_weight[:LARGE]
     by = np.argsort(cells := np.concatenate(wide_at))
     return Index(
         idf, ids, label.astype(np.float64), example, scale, ends.astype(np.int32), block, size, half, places, code, weights,
-        np.concatenate(large_at), np.concatenate(large), column, dense, cells[by], np.concatenate(wide)[by],
+        large_at, large, column, dense, cells[by], np.concatenate(wide)[by],
     )
 
 

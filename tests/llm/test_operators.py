@@ -313,7 +313,8 @@ def labels_of(spark, rows):
 
 
 @pytest.mark.parametrize("terms, of_one, most", [(40, 5, 5), (3000, 30, 5), (3000, 30, 2000)])
-def test_block_max_search_is_exact(terms, of_one, most):
+def test_block_max_search_is_exact(monkeypatch, terms, of_one, most):
+    monkeypatch.setattr(tfidf_knn, "TOGETHER_POSTINGS", 1000)
     # many terms: most of them are not frequent; large counts: more than a byte tells apart
     rng = np.random.default_rng(4)
     p = 1 / np.arange(1, terms + 1) ** 0.7
@@ -323,6 +324,7 @@ def test_block_max_search_is_exact(terms, of_one, most):
     ]
     index = tfidf_knn.build_index(examples, rng.uniform(1, 6, terms))
     assert most < 255 or (len(index.large) and len(index.wide))
+    assert terms < 3000 or len(index.code) > 4 * tfidf_knn.TOGETHER_POSTINGS
     dense = np.zeros((len(examples), terms))
     for i, (_, _, t, c) in enumerate(examples):
         dense[i, t] = index.vector(t, c)[1]
