@@ -15,6 +15,8 @@ from cladeframe.streaming.sinks import drain, newest, upsert
 
 registry = Registry()
 query = registry.query
+#: Groups of runs that share a state value, for any number of runs.
+GROUPS = 256
 
 
 def event_stream(spark, sf_dir) -> DataFrame:
@@ -60,5 +62,5 @@ def stream_progress(spark, sf_dir):
 )
 def stream_best(spark, sf_dir):
     scored = V.scored_trees_of(event_stream(best.stream_session(spark), sf_dir))
-    path = drain(best.best_trees(scored, parts=8), "best")
+    path = drain(best.best_trees(scored, parts=8, groups=GROUPS), "best")
     return best_set(spark.read.schema("run_id bigint, key string, length bigint").parquet(path), ["run_id"])

@@ -89,3 +89,38 @@ def test_registered_streams(spark, sf_dir, name):
     from cladeframe.catalog import all_queries
 
     assert all_queries()[name](spark, sf_dir).count() > 0
+
+
+def test_state_values_do_not_grow_with_runs(spark):
+    source, schema = scratch_path(spark, "many-runs"), "run_id bigint, key string, length bigint"
+    big = 1 << 60
+    data = [(None if i % 50 == 0 else big + i % 50, f"k{i * 7 % 40}", None if i % 13 == 0 else 30 - i * 11 % 17) for i in range(600)]
+    for k in range(3):
+        spark.createDataFrame(data[k::3] * 2, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = best.stream_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    path, state = scratch_path(spark, "many-out"), scratch_path(spark, "many-state")
+    query = (
+        best.best_trees(stream, parts=2, groups=3).writeStream.format("parquet")
+        .option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    # 50 runs, but no more state values than groups and parts
+    assert len(query.recentProgress) >= 3
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 6
+    entered = spark.read.schema(schema).parquet(path)
+    full = [x for x in data if x[2] is not None]
+    least = {r: min(x[2] for x in full if x[0] == r) for r in {x[0] for x in full}}
+    assert entered.groupBy("run_id", "key", "length").agg(F.count(F.lit(1)).alias("c")).where("c > 1").count() == 0
+    found = {tuple(r) for r in entered.collect()}
+    assert {x for x in full if x[2] == least[x[0]]} == {x for x in found if x[2] == least[x[0]]}
+
+
+def test_many_runs_share_a_round_trip():
+    processor, state = best.BestTreesOfRuns(), Value()
+    processor.state = state
+    part = pd.DataFrame({"run_id": [1, 2, 1, 1], "unnamed": [False] * 4, "key": ["a", "b", "c", "a"], "length": [5, 7, 5, 5]})
+    (out,) = processor.handleInputRows((0, 0), iter([part, part]), None)
+    assert out[["run_id", "key", "length"]].values.tolist() == [[1, "a", 5], [2, "b", 7], [1, "c", 5]] and (state.reads, state.writes) == (0, 1)
+    assert list(processor.handleInputRows((0, 0), iter([part]), None)) == [] and (state.reads, state.writes) == (1, 1)
+    (out,) = processor.handleInputRows((0, 0), iter([part.assign(length=[9, 6, 9, 9])]), None)
+    assert out[["run_id", "key", "length"]].values.tolist() == [[2, "b", 6]] and (state.reads, state.writes) == (2, 2)
