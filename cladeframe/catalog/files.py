@@ -14,9 +14,10 @@ from cladeframe.catalog.registry import Registry
 from cladeframe.catalog.trees import _newick_sql, names6
 from cladeframe.operators import trace as R
 from cladeframe.operators import validate
-from cladeframe.session import scratch_path
+from cladeframe.session import scratch_path, spread
 from cladeframe.sources import alignments as A
 from cladeframe.sources import blocks, fasta
+from cladeframe.sources.paths import write_files
 
 registry = Registry()
 query = registry.query
@@ -60,7 +61,8 @@ def file_texts(sequences: DataFrame, fmt: str) -> DataFrame:
             F.lit("CLUSTAL 2.1 multiple sequence alignment\n\n\n"), top, F.lit(f"\n{marks}\n\n"), low, F.lit(f"\n{marks}")
         ),
     }[fmt]()
-    return sequences.groupBy("alignment_id").agg(text.alias("value"))
+    # few bytes are many files, and a file costs much more than its bytes: the number of tasks is not left to their size
+    return spread(sequences, "alignment_id").groupBy("alignment_id").agg(text.alias("value"))
 
 
 def written(spark, sf_dir, fmt: str) -> str:
@@ -69,7 +71,7 @@ def written(spark, sf_dir, fmt: str) -> str:
     if fmt == "fasta":
         fasta.write_fasta(small_alignments(spark, sf_dir), path)
     else:
-        file_texts(small_alignments(spark, sf_dir), fmt).write.partitionBy("alignment_id").text(path)
+        write_files(file_texts(small_alignments(spark, sf_dir), fmt), path)
     return path
 
 
@@ -178,6 +180,6 @@ def validate_source(spark, sf_dir):
     path = scratch_path(spark, "mixed")
     rows = small_alignments(spark, sf_dir)
     odd = rows.filter("taxon_id = 0 AND substr(seq, 1, 1) = 'A'").select("alignment_id")
-    file_texts(rows.join(odd, "alignment_id", "left_semi"), "clustal").write.partitionBy("alignment_id").text(path)
+    write_files(file_texts(rows.join(odd, "alignment_id", "left_semi"), "clustal"), path)
     fasta.write_fasta(rows.join(odd, "alignment_id", "left_anti"), path, mode="append")
     return validate.sources(spark, path, A.read_alignments(spark, path, "fasta")).select("alignment_id", "rule")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions import sequences as S
-from cladeframe.sources.paths import alignment_of
+from cladeframe.sources.paths import alignment_of, write_files
 
 LINE = 60
 
@@ -67,12 +67,12 @@ def write_fasta(sequences: DataFrame, path: str, mode: str = "errorifexists") ->
 
     A large alignment is cut into several files whose names sort in taxon order.
     """
-    (
+    # a file costs much more than its bytes, so the number of tasks is not left to their size
+    tasks = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (
         sequences.select("alignment_id", "taxon_id", fasta_record(F.col("name"), F.col("seq")).alias("value"))
-        .repartitionByRange("alignment_id", "taxon_id")
+        .repartitionByRange(tasks, "alignment_id", "taxon_id")
         .sortWithinPartitions("alignment_id", "taxon_id")
         .select("alignment_id", "value")
-        .write.mode(mode)
-        .partitionBy("alignment_id")
-        .text(path)
     )
+    write_files(rows, path, mode)

@@ -71,3 +71,18 @@ def test_files_without_an_alignment(spark):
         assert A.read_alignments(spark, path, fmt).count() == 0
     assert [(r.n, r.m) for r in blocks.phylip_headers(spark, path).collect()] == [(3, 4)]
     assert callable(kernels.line_batches)
+
+
+@pytest.mark.parametrize("fmt", ["fasta", "phylip"])
+def test_many_small_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch, fmt):
+    from cladeframe.catalog import files
+
+    rows = [(f"a{a:02d}", i, f"n{i}", "ACGT" * 16) for a in range(40) for i in range(files.K)]
+    table = spark.createDataFrame(rows, "alignment_id string, taxon_id int, name string, seq string")
+    monkeypatch.setattr(files, "small_alignments", lambda *_: table)
+    monkeypatch.setattr(files, "scratch_path", lambda *_: str(tmp_path / fmt))
+    path = files.written(spark, "", fmt)
+    parts = {f.name.split("-")[1] for f in (tmp_path / fmt).glob("*/part-*")}
+    assert len(parts) > 1
+    got = A.read_alignments(spark, path, fmt).select("alignment_id", "taxon_id", "name", "seq").collect()
+    assert sorted(map(tuple, got)) == rows
