@@ -452,6 +452,88 @@ def cut_batches(batches: Iterator[pa.RecordBatch], passed: list[str]) -> Iterato
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), cut], names=[*passed, "piece"])
 
 
+def cut_whole_batches(batches: Iterator[pa.RecordBatch], accepted: str, together: int) -> Iterator[pa.RecordBatch]:
+    """Whole alignments without their constant columns; rows come sorted by ``alignment_id, taxon_id, name``.
+
+    In: these and ``seq``; out: these, ``seq``, ``original_m`` and ``m``. Alignments of about ``together`` bytes are worked on at once. Rows of one
+    name are joined in the order of their cut text, and alignments without any column go, as ``cut_constant_sites`` has it.
+    """
+    others = [c for c in ascii_uppercase if c not in accepted]
+    kind = np.full(256, len(accepted) + len(others) + 1, dtype=np.uint8)
+    kind[list(digits.encode())] = len(accepted) + len(others)
+    for i, c in enumerate(accepted.encode() + "".join(others).encode()):
+        kind[c] = i
+
+    def cut(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        raw, offsets = _text(rows.column("seq"))
+        length = np.diff(offsets)
+        code = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(length))))
+        wide = np.maximum.reduceat(length, starts)
+        base = np.cumsum(wide) - wide
+        least, most = np.full(int(wide.sum()), 255, np.uint8), np.zeros(int(wide.sum()), np.uint8)
+        order = np.argsort(length, kind="stable")
+        # rows of one length form a matrix; its rows are grouped by alignment
+        for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+            size = int(length[own[0]])
+            if not size:
+                continue
+            first = np.concatenate([[0], np.flatnonzero(np.diff(code[own])) + 1])
+            found = kind[raw[offsets[own][:, None] + np.arange(size)]]
+            at = base[code[own[first]]][:, None] + np.arange(size)
+            least[at] = np.minimum(least[at], np.minimum.reduceat(found, first, axis=0))
+            most[at] = np.maximum(most[at], np.maximum.reduceat(found, first, axis=0))
+        keep = least != most
+        m = np.add.reduceat(np.append(keep, False).astype(np.int64), base) if len(base) else base
+        m = np.where(wide > 0, m, 0)
+        flags = keep[np.arange(offsets[0], offsets[-1]) + np.repeat(base[code] - offsets[:-1], length)]
+        ends = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[offsets - offsets[0]]
+        data = raw[offsets[0] : offsets[-1]][flags]
+        null = rows.column("seq").is_null().to_numpy(zero_copy_only=False)
+        names = [rows.column(c) for c in ("taxon_id", "name")]
+        new = np.append(True, np.diff(code) != 0)
+        for c in names:
+            c = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= np.diff(c) != 0
+        if new.all() and not (len(data) and data.max() > 127):
+            buffers = pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())
+            text = pa.LargeStringArray.from_buffers(len(length), *buffers).cast(pa.string())
+            text = pc.if_else(pa.array(null), pa.scalar(None, pa.string()), text)
+        else:
+            parts = [data[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(ends[:-1], ends[1:])]
+            groups = np.split(np.arange(len(length)), np.flatnonzero(new)[1:])
+            text = pa.array([None if null[g].any() else "".join(sorted(parts[i] for i in g)) for g in groups], pa.string())
+        at = np.flatnonzero(new)
+        at, text = at[wide[code[at]] > 0], text.filter(pa.array(wide[code[at]] > 0))
+        columns = [rows.column(c).take(pa.array(at)) for c in ("alignment_id", "taxon_id", "name")]
+        columns += [text, pa.array(wide[code[at]], pa.int32()), pa.array(m[code[at]], pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["alignment_id", "taxon_id", "name", "seq", "original_m", "m"])
+
+    def starts_of(rows: pa.RecordBatch) -> np.ndarray:
+        code = rows.column("alignment_id").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        return np.flatnonzero(np.append(True, np.diff(code) != 0))
+
+    def joined(parts: list) -> pa.RecordBatch:
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    held, size = [], 0
+    for batch in batches:
+        for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+            held.append(part)
+            size += int(pc.sum(pc.binary_length(part.column("seq"))).as_py() or 0) + part.num_rows
+            if size < together:
+                continue
+            # the last alignment may go on
+            rows = joined(held)
+            starts = starts_of(rows)
+            if len(starts) > 1:
+                yield cut(rows.slice(0, int(starts[-1])), starts[:-1])
+            rest = rows.slice(int(starts[-1]))
+            held, size = [rest], int(pc.sum(pc.binary_length(rest.column("seq"))).as_py() or 0) + rest.num_rows
+    if held:
+        rows = joined(held)
+        yield cut(rows, starts_of(rows))
+
+
 def pattern_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Turn blocks of an alignment (taxa after each other) into distinct columns with counts.
 

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cladeframe.functions import sequences as S
-from cladeframe.functions.kernels import cut_batches, mask_batches, merged_masks, pattern_batches, piece_batches
+from cladeframe.functions.kernels import cut_batches, cut_whole_batches, mask_batches, merged_masks, pattern_batches, piece_batches
 from cladeframe.operators.groups import with_group_value
+from cladeframe.session import materialise
 
 PIECE = 4096  # sites of one piece of a long sequence
 BLOCK = 1 << 20  # characters of one block of columns
+WHOLE = 1 << 23  # bytes of an alignment that meets in one task
+TOGETHER = 1 << 20  # bytes of small alignments worked on at once
 
 
 def explode_sites(sequences: DataFrame) -> DataFrame:
@@ -94,8 +97,28 @@ def kept_columns(sequences: DataFrame) -> DataFrame:
 def cut_constant_sites(sequences: DataFrame) -> DataFrame:
     """Sequences without their constant columns, with ``original_m`` and ``m``.
 
-    ``alignment_id, taxon_id, name`` name a row. Pieces meet the flags of their block and are put together again afterwards.
+    ``alignment_id, taxon_id, name`` name a row. An alignment of at most ``WHOLE`` bytes and of rows of one piece meets in one task, which
+    finds its columns and cuts them. Of larger ones, pieces meet the flags of their block and are put together again afterwards.
     """
+    length = F.coalesce(F.octet_length("seq"), F.lit(0))
+    size = sequences.groupBy("alignment_id").agg(F.sum(length + 1).alias("_s"), F.max(length).alias("_l"))
+    large = materialise(size.where((F.col("_s") > WHOLE) | (F.col("_l") > PIECE)).select("alignment_id"), "large")
+    some = not large.isEmpty()
+    schema = T.StructType([
+        *[sequences.schema[c] for c in ("alignment_id", "taxon_id", "name")], T.StructField("seq", T.StringType()),
+        T.StructField("original_m", T.IntegerType()), T.StructField("m", T.IntegerType()),
+    ])
+    small = sequences.where("alignment_id IS NOT NULL").select("alignment_id", "taxon_id", "name", "seq")
+    if some:
+        small = small.join(large, "alignment_id", "left_anti")
+    accepted, together = S.ACCEPTED, TOGETHER
+    met = small.repartition("alignment_id").sortWithinPartitions("alignment_id", "taxon_id", "name")
+    whole = met.mapInArrow(lambda batches: cut_whole_batches(batches, accepted, together), schema)
+    return whole.unionByName(_cut_pieces(sequences.join(large, "alignment_id", "left_semi"))) if some else whole
+
+
+def _cut_pieces(sequences: DataFrame) -> DataFrame:
+    """``cut_constant_sites`` of alignments of any size, by blocks of columns."""
     # the name travels with the first piece only
     rows = _pieces(sequences, F.lit(PIECE), ["alignment_id", "taxon_id", "name"])
     rows = rows.join(kept_columns(sequences).drop("cut_before"), ["alignment_id", "first"])

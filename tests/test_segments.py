@@ -80,3 +80,30 @@ def test_ragged_rows(spark):
     )
     got = {(r.alignment_id, r.taxon_id): r.seq for r in sites.cut_constant_sites(rows).collect()}
     assert got == {("r", 0): "G", ("r", 1): "C", ("r", 2): ""}
+
+
+ROWS = "alignment_id string, taxon_id int, name string, seq string"
+
+
+def odd_rows():
+    draw = random.Random(4)
+    rows = [(f"a{a}", i, f"n{i}", "".join(draw.choice("AC-T9é") for _ in range(draw.choice([0, 5, 9])))) for a in range(40) for i in range(a % 6)]
+    rows += [("twice", 0, "n", "ACGT"), ("twice", 0, "n", "ACCT"), ("twice", 1, "n", "TCGT"), ("twice", 1, "n", None), ("gone", 0, "n", None)]
+    rows += [("none", None, None, "AC"), ("none", None, None, "GC"), ("none", 0, None, "TT"), (None, 0, "n", "AC"), ("empty", 0, "n", "")]
+    return rows
+
+
+@pytest.mark.parametrize("together", [1, 40, 1 << 20])
+def test_whole_alignments_are_cut_as_by_pieces(spark, monkeypatch, together):
+    monkeypatch.setattr(sites, "TOGETHER", together)
+    rows = spark.createDataFrame(odd_rows(), ROWS).repartition(3)
+    want = sorted(map(repr, sites._cut_pieces(rows).collect()))
+    for whole in (sites.WHOLE, 30, 0):
+        monkeypatch.setattr(sites, "WHOLE", whole)
+        assert sorted(map(repr, sites.cut_constant_sites(rows).collect())) == want
+
+
+def test_small_alignments_meet_once(spark):
+    rows = spark.createDataFrame([r for r in odd_rows() if r[0] != "none"], ROWS)
+    plan = sites.cut_constant_sites(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
