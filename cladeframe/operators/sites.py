@@ -108,7 +108,8 @@ def cut_constant_sites(sequences: DataFrame) -> DataFrame:
         *[sequences.schema[c] for c in ("alignment_id", "taxon_id", "name")], T.StructField("seq", T.StringType()),
         T.StructField("original_m", T.IntegerType()), T.StructField("m", T.IntegerType()),
     ])
-    small = sequences.where("alignment_id IS NOT NULL").select("alignment_id", "taxon_id", "name", "seq")
+    named = F.coalesce("alignment_id", F.raise_error(F.lit("a sequence without an alignment_id")).cast("string"))
+    small = sequences.select(named.alias("alignment_id"), "taxon_id", "name", "seq")
     if some:
         small = small.join(large, "alignment_id", "left_anti")
     accepted, together = S.ACCEPTED, TOGETHER

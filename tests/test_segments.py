@@ -89,7 +89,7 @@ def odd_rows():
     draw = random.Random(4)
     rows = [(f"a{a}", i, f"n{i}", "".join(draw.choice("AC-T9é") for _ in range(draw.choice([0, 5, 9])))) for a in range(40) for i in range(a % 6)]
     rows += [("twice", 0, "n", "ACGT"), ("twice", 0, "n", "ACCT"), ("twice", 1, "n", "TCGT"), ("twice", 1, "n", None), ("gone", 0, "n", None)]
-    rows += [("none", None, None, "AC"), ("none", None, None, "GC"), ("none", 0, None, "TT"), (None, 0, "n", "AC"), ("empty", 0, "n", "")]
+    rows += [("none", None, None, "AC"), ("none", None, None, "GC"), ("none", 0, None, "TT"), ("empty", 0, "n", "")]
     return rows
 
 
@@ -103,6 +103,11 @@ def test_whole_alignments_are_cut_as_by_pieces(spark, monkeypatch, together):
         assert sorted(map(repr, sites.cut_constant_sites(rows).collect())) == want
 
 
+def test_sequences_need_an_alignment(spark):
+    with pytest.raises(Exception, match="without an alignment_id"):
+        sites.cut_constant_sites(spark.createDataFrame([*odd_rows(), (None, 0, "n", "AC")], ROWS)).collect()
+
+
 def test_small_alignments_meet_once(spark):
     rows = spark.createDataFrame([r for r in odd_rows() if r[0] != "none"], ROWS)
     plan = sites.cut_constant_sites(rows)._jdf.queryExecution().optimizedPlan().toString()
