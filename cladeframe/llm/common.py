@@ -102,6 +102,17 @@ def local_path(uri: str) -> str:
     return at.path
 
 
+def _mapped(folder: str, many: int) -> Callable[[], list[np.ndarray]]:
+    """A function that maps the arrays 0 to ``many`` of a folder into memory."""
+
+    def get() -> list[np.ndarray]:
+        paths = [f"{folder}/{i}.npy" for i in range(many)]
+        # nothing to map in a file without values
+        return [np.asarray(np.load(p, mmap_mode="r")) if os.path.getsize(p) > 128 else np.load(p) for p in paths]
+
+    return get
+
+
 def shared_arrays(spark: SparkSession, label: str, arrays: list[np.ndarray]) -> Callable[[], list[np.ndarray]]:
     """Hand arrays to all tasks, which call the result to get them: files in the shared folder, written once and mapped into memory.
 
@@ -111,17 +122,41 @@ def shared_arrays(spark: SparkSession, label: str, arrays: list[np.ndarray]) ->
     if urlparse(path).scheme not in ("", "file"):
         sent = spark.sparkContext.broadcast(arrays)
         return lambda: sent.value
-    folder, many = local_path(path), len(arrays)
+    folder = local_path(path)
     os.makedirs(folder)
     for i, a in enumerate(arrays):
         np.save(f"{folder}/{i}.npy", a)
+    return _mapped(folder, len(arrays))
 
-    def get() -> list[np.ndarray]:
-        paths = [f"{folder}/{i}.npy" for i in range(many)]
-        # nothing to map in a file without values
-        return [np.asarray(np.load(p, mmap_mode="r")) if os.path.getsize(p) > 128 else np.load(p) for p in paths]
 
-    return get
+def blank_arrays(
+    spark: SparkSession, label: str, kinds: list[tuple[tuple[int, ...], type]]
+) -> tuple[Callable[[int, int, np.ndarray], None], Callable[[], list[np.ndarray]]] | None:
+    """Arrays of zeros of the given shapes and types as files in the shared folder; None if it is not mounted.
+
+    Tasks call the first function to write rows of the array i from row ``begin`` on, and later ones the second to map the arrays into memory.
+    A task that runs again writes the same rows at the same place.
+    """
+    path = scratch_path(spark, label)
+    if urlparse(path).scheme not in ("", "file"):
+        return None
+    folder = local_path(path)
+    os.makedirs(folder)
+    for i, (shape, kind) in enumerate(kinds):
+        if 0 in shape:
+            np.save(f"{folder}/{i}.npy", np.zeros(shape, kind))
+        else:
+            np.lib.format.open_memmap(f"{folder}/{i}.npy", "w+", kind, shape).flush()
+
+    def fill(i: int, begin: int, rows: np.ndarray) -> None:
+        if rows.size:
+            file = f"{folder}/{i}.npy"
+            at = np.load(file, mmap_mode="r").offset + begin * rows.itemsize * (rows.size // len(rows))
+            with open(file, "r+b") as f:
+                f.seek(at)
+                f.write(rows.tobytes())
+
+    return fill, _mapped(folder, len(kinds))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -1,5 +1,6 @@
 """Small cases and brute force for the training-data operators."""
 
+import dataclasses
 import hashlib
 import math
 import os
@@ -338,6 +339,54 @@ def test_block_max_search_is_exact(monkeypatch, terms, of_one, most):
         assert i not in near and len(near) == 10
 
 
+def test_terms_of_words_have_one_hash_whatever_the_word_has_beside_them():
+    found = [w.encode() for w in ("dreadful", "dreadfull", '"dreadful,', "dreadfuë", "naïveté", "émigré", "12", "a_b", "--", "ab1cd", "straße")]
+    names, hashes = [tfidf_knn.terms_of(w) for w in found], tfidf_knn.hashes_of(found)
+    by_name, by_hash = {}, {}
+    for terms, row in zip(names, hashes.tolist()):
+        assert [h != 0 for h in row] == [i < len(terms) for i in range(len(row))]
+        for t, h in zip(terms, row):
+            assert by_name.setdefault(t, h) == h and by_hash.setdefault(h, t) == t
+    assert names[0] == names[2] and names[6] == [] and set(names[0][1:]) & set(names[3])
+
+
+def long_texts(spark, many):
+    rng = np.random.default_rng(6)
+    every = ["".join(x) for x in rng.choice(list("abcdefghij"), (3000, 8))]
+    texts = [(i, " ".join(rng.choice(every, 300 if i % 3 else 2500)) + " again" * (300 * (i % 7 == 0)), "en", "a", 30) for i in range(many)]
+    return spark.createDataFrame(texts, SCHEMA), labels_of(spark, [(i, 1, i % 2) for i in range(many)])
+
+
+def test_driver_gets_no_postings(monkeypatch, spark):
+    docs, labels = long_texts(spark, 300)
+    got, collect = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: got.append(collect(df)) or got[-1])
+    model = tfidf_knn.fit(docs, labels)
+    index = tfidf_knn.index_from(model.sent()[1:])
+    postings = int((index.dense > 0).sum()) + len(index.place)
+    # a few numbers for each example and each term
+    assert postings > 500_000 and sum(t.nbytes for t in got) < postings * 3
+
+
+@pytest.mark.parametrize("mounted", [True, False])
+def test_index_made_by_tasks(monkeypatch, spark, mounted):
+    monkeypatch.setattr(tfidf_knn, "TOGETHER_POSTINGS", 5000)
+    monkeypatch.setattr(tfidf_knn, "MOST_FREQUENT", 500)
+    if not mounted:
+        monkeypatch.setattr(tfidf_knn, "blank_arrays", lambda *_: None)
+    docs, labels = long_texts(spark, 300)
+    vocabulary, *fields = tfidf_knn.fit(docs, labels).sent()
+    made, counter, examples = tfidf_knn.index_from(fields), tfidf_knn.TermCounter(vocabulary), []
+    for r in docs.orderBy("doc_id").collect():
+        _, place, n = counter.count_places([r.text.encode()])
+        examples.append((r.doc_id, r.doc_id % 2, place, n))
+    want = tfidf_knn.build_index(examples, made.idf)
+    assert len(made.example) > tfidf_knn.BLOCK and len(made.place) > 20_000 and len(made.large) + len(made.wide)
+    for f in dataclasses.fields(want):
+        a, b = getattr(made, f.name), getattr(want, f.name)
+        assert a.shape == b.shape and np.allclose(a, b, rtol=1e-6), f.name
+
+
 def test_toxicity(spark, odd, empty):
     good = [(i, f"plain words number {i} of this tale", "en", "a", 30) for i in range(200)]
     bad = [(i, f"plain words number {i} with dreadfu{'lxyz'[i % 4]} insult", "en", "a", 30) for i in range(200, 240)]
